@@ -156,9 +156,10 @@ def brand_metrics(facts: DataFrame, dim: DataFrame, l1, l2,
          .where(F.col("__has_valid") == 1))
     flags = brand_flags(facts, ("account", "gc_platform", "brand"))
     out = g.join(flags, ["account", "gc_platform", "brand"], "left")
+    lowered = {"gc_platform", "bgr"}
     return out.select(
-        "account", F.lower("gc_platform").alias("gc_platform"), "date_period",
-        F.lower("bgr").alias("bgr"), "gc_city", "brand", "is_own_brand",
+        *[F.lower(k).alias(k) if k in lowered else F.col(k) for k in keys],
+        "date_period", "is_own_brand",
         _ratio_pct("total_wt_available", "total_wt_scrapes").alias("wt_osa"),
         _ratio_pct("total_wt_available", "total_wt_listed").alias("wt_osa_in_ls"),
         F.round(safe_div(100.0 * (F.col("wt_mrp") - F.col("wt_price")).cast("double"),
@@ -176,3 +177,115 @@ def brand_metrics_change(metrics: DataFrame,
     """``dr1`` metrics with unrounded changes against ``dr2``."""
     return compare_periods(metrics, keys, BRAND_METRIC_COLS, rounded=False,
                            names=BRAND_CHANGE_NAMES)
+
+
+def category_metrics(facts: DataFrame, dim: DataFrame, l1, l2) -> DataFrame:
+    """H4 without city, with the category share compare attached (H5).
+
+    Category share: H2 compared on (platform, category, brand) with pandas
+    rounding, left-joined onto the metric changes.
+    """
+    keys = ("account", "gc_platform", "bgr", "brand")
+    m = brand_metrics(facts, dim, l1, l2, keys=keys, total_keys=("account", "gc_platform", "bgr"))
+    ch = brand_metrics_change(m, keys=(*keys, "is_own_brand"))
+    cms = market_share_category(facts, l1, l2)
+    share = compare_periods(cms, keys, ["market_share"])
+    return ch.join(share, list(keys), "left")
+
+
+def grammage(facts: DataFrame, dim: DataFrame, l1, l2) -> DataFrame:
+    """Mean pack size per SKU over both capped windows.
+
+    L1 is capped at the upload date and L2 a month before it (B4); the
+    category and pack size come from the product dimension (left join, C1).
+    """
+    d = dim.select("product_id", F.lower("bgr").alias("__bgr"), F.col("grammage").alias("__g"))
+    f = filter_periods_capped(facts, "snapshot_date", l1, l2).join(d, "product_id", "left")
+    return (f.groupBy("account", F.lower("gc_platform").alias("gc_platform"),
+                      F.col("__bgr").alias("bgr"), "brand", "product_id")
+            .agg(F.avg("__g").alias("grammage")))
+
+
+def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
+                    keys: Sequence[str] = ("account", "gc_platform", "product_id", "title",
+                                           "grammage", "bgr", "gc_city", "brand"),
+                    part_keys: Sequence[str] = ("account", "gc_platform", "bgr", "gc_city")) -> DataFrame:
+    """SKU x city x period metrics (H6): offtake, prices, units, listing, OSA,
+    discount, shares of sales and impressions within the category, weighted PPU.
+
+    * windows capped (B4), label L2 first (B2), own flag in (0, 1) for both
+      windows (X1 parenthesised);
+    * ``mapping`` (optional) adds ``item_id`` through a left join filtered to
+      ``type = 'single'`` on the same platform (C7);
+    * one window spec over the aggregate for the four shares (E3); the
+      reference partitions by category, city and period inside one platform
+      table -- with all platforms in one table the platform joins the partition;
+    * listing rate ``100 * listed / scrapes`` with ``try_divide`` (X24).
+    """
+    f = filter_periods_capped(facts, "snapshot_date", l1, l2,
+                              extra=F.col("is_own_brand").isin(0, 1))
+    f = (f.withColumn("date_period", period_label("snapshot_date", l1, l2, "dr2"))
+         .withColumn("bgr", F.lower("bgr"))
+         .withColumn("grammage", F.col("original_grammage")))
+    if mapping is not None:
+        mp = (mapping.where(F.col("type") == "single")
+              .select("product_id", F.col("gc_platform").alias("__mp"), "item_id"))
+        f = f.join(mp, (f["product_id"] == mp["product_id"]) & (f["gc_platform"] == mp["__mp"]),
+                   "left").drop(mp["product_id"]).drop("__mp")
+        keys = (*keys, "item_id")
+    w = row_weight("estimated_offtake_mrp_last_month", "estimated_offtake_mrp_current_month")
+    qty_w = null_greatest("estimated_qty_sold", F.lit(1))
+    ppu_w = null_greatest("estimated_offtake_mrp_last_month", "estimated_offtake_mrp_current_month")
+    asp = F.col("asp_flag") == 1
+    ppu = F.col("ppu_flag") == 1
+    g = f.groupBy(*keys, "date_period").agg(
+        F.sum("reported_offtake_mrp").cast("double").alias("offtake_mrp"),
+        F.sum("reported_offtake_sp").cast("double").alias("offtake_sp"),
+        F.avg(F.when(asp, F.col("price"))).cast("double").alias("sp"),
+        F.avg(F.when(asp, F.col("mrp"))).cast("double").alias("mrp"),
+        F.sum("reported_offtake_qty").cast("double").alias("units"),
+        F.sum("total_listed").alias("__listed"),
+        F.sum("total_scrapes").alias("__scrapes"),
+        F.sum(F.col("total_available") * w).alias("__wa"),
+        F.sum(F.col("total_scrapes") * w).alias("__ws"),
+        F.sum(F.col("total_listed") * w).alias("__wl"),
+        F.sum(F.when(asp, F.col("mrp") * qty_w)).alias("__wmrp"),
+        F.sum(F.when(asp, F.col("price") * qty_w)).alias("__wprice"),
+        F.sum("normalized_offtake").alias("__no"),
+        F.sum("total_impressions").alias("__ti"),
+        F.sum("organic_impressions").alias("__oi"),
+        F.sum("ad_impressions").alias("__ai"),
+        F.sum(F.when(ppu, F.col("price_per_100_units") * ppu_w)).alias("__ppu_num"),
+        F.sum(F.when(ppu, ppu_w)).alias("__ppu_den"),
+    )
+    wp = Window.partitionBy(*part_keys, "date_period")
+
+    def dbl(c):
+        return F.col(c).cast("double")
+
+    def share(c):
+        return F.try_divide(dbl(c), F.sum(c).over(wp).cast("double")) * 100.0
+
+    return g.select(
+        *keys, "date_period", "offtake_mrp", "offtake_sp", "sp", "mrp", "units",
+        F.try_divide(100 * dbl("__listed"), dbl("__scrapes")).alias("ds_listing"),
+        F.try_divide(dbl("__wa") * 100.0, dbl("__ws")).alias("wt_osa"),
+        F.try_divide(dbl("__wa") * 100.0, dbl("__wl")).alias("wt_osa_in_ls"),
+        F.try_divide((dbl("__wmrp") - dbl("__wprice")) * 100.0, dbl("__wmrp")).alias("wt_discounting"),
+        share("__no").alias("market_share"),
+        F.try_divide(dbl("__ti") * 100.0, F.sum("__ti").over(wp).cast("double")).alias("sov"),
+        F.try_divide(dbl("__oi") * 100.0, F.sum("__oi").over(wp).cast("double")).alias("organic_sov"),
+        F.try_divide(dbl("__ai") * 100.0, F.sum("__ai").over(wp).cast("double")).alias("ad_sov"),
+        F.try_divide(dbl("__ppu_num"), dbl("__ppu_den")).alias("wt_ppu"),
+    )
+
+
+SKU_METRICS = ("ds_listing", "wt_osa", "wt_osa_in_ls", "wt_discounting", "sov", "ad_sov",
+               "organic_sov", "market_share")
+
+
+def sku_compare(pm: DataFrame,
+                keys: Sequence[str] = ("account", "gc_platform", "bgr", "gc_city", "brand",
+                                       "product_id", "title")) -> DataFrame:
+    """SKU x city period compare of H6 metrics (C11, pandas rounding)."""
+    return compare_periods(pm, keys, SKU_METRICS)
