@@ -83,7 +83,7 @@ def change_sql(src: str, keys: list[str], metrics: list[str], names: dict, round
     cols = [f"a.{k}" for k in keys] + [f"a.{m} AS {m}_dr1" for m in metrics]
     for m in metrics:
         d = f"CAST(a.{m} AS DOUBLE) - CAST(b.{m} AS DOUBLE)"
-        cols.append(f"{'round_even(' + d + ', 1)' if rounded else d} AS change_{names.get(m, m)}")
+        cols.append(f"{'round_even((' + d + ') * 10.0, 0) / 10.0' if rounded else d} AS change_{names.get(m, m)}")
     return (f"SELECT {', '.join(cols)} FROM (SELECT * FROM {src} WHERE date_period = 'dr1') a "
             f"LEFT JOIN (SELECT * FROM {src} WHERE date_period = 'dr2') b ON {on}")
 

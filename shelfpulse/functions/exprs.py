@@ -85,8 +85,14 @@ def sql_round(c, scale: int = 1) -> Column:
 
 
 def pandas_round(c, scale: int = 1) -> Column:
-    """pandas / numpy round: half to even."""
-    return F.bround(col_of(c), scale)
+    """pandas / numpy round: ``rint(x * 10**scale) / 10**scale``.
+
+    numpy scales the binary double and rounds half to even, so 4.9/4.0
+    (1.2250000000000001) gives 1.23; ``bround`` would round the shortest
+    decimal text "1.225" to 1.22.  The same steps keep the result identical.
+    """
+    f = float(10 ** scale)
+    return F.rint(col_of(c).cast("double") * f) / f
 
 
 def is_blank(c) -> Column:
