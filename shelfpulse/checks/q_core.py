@@ -14,14 +14,14 @@ from shelfpulse.sources.views import Views
 MS_KEYS = "account, gc_platform, bgr, gc_city, brand"
 
 MARKET_SHARE_SQL_CTES = f"""
-d AS (SELECT product_id, lower(bgr) AS dim_bgr FROM product_dim),
-f AS (
+msd AS (SELECT product_id, lower(bgr) AS dim_bgr FROM product_dim),
+msf AS (
   SELECT {label('m.snapshot_date')} AS date_period, m.account, lower(m.gc_platform) AS gc_platform,
-    d.dim_bgr AS bgr, m.gc_city, m.brand, m.is_own_brand, m.reported_offtake_mrp, m.normalized_offtake
-  FROM pid_metrics m LEFT JOIN d ON m.product_id = d.product_id
+    msd.dim_bgr AS bgr, m.gc_city, m.brand, m.is_own_brand, m.reported_offtake_mrp, m.normalized_offtake
+  FROM pid_metrics m LEFT JOIN msd ON m.product_id = msd.product_id
   WHERE {capped('m.snapshot_date', 'm.platform_offtake_uploaded_till')}
 ),
-agg AS (
+msagg AS (
   SELECT date_period, {MS_KEYS},
     CAST(SUM(CASE WHEN is_own_brand = 1 THEN reported_offtake_mrp ELSE normalized_offtake END) AS DOUBLE) AS actual_sum,
     CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr, gc_city) AS DOUBLE) AS category_size,
@@ -29,13 +29,13 @@ agg AS (
       ELSE ROUND(100 * CAST(SUM(normalized_offtake) AS DOUBLE)
            / CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr, gc_city) AS DOUBLE), 1)
     END AS market_share
-  FROM f WHERE date_period IS NOT NULL
+  FROM msf WHERE date_period IS NOT NULL
   GROUP BY date_period, account, gc_platform, bgr, gc_city, brand
 ),
-flags AS (SELECT DISTINCT account, gc_platform, brand, is_own_brand FROM f WHERE date_period IS NOT NULL),
+msflags AS (SELECT DISTINCT account, gc_platform, brand, is_own_brand FROM msf WHERE date_period IS NOT NULL),
 ms AS (
-  SELECT agg.*, flags.is_own_brand FROM agg
-  LEFT JOIN flags ON agg.account = flags.account AND agg.gc_platform = flags.gc_platform AND agg.brand = flags.brand
+  SELECT msagg.*, msflags.is_own_brand FROM msagg
+  LEFT JOIN msflags ON msagg.account = msflags.account AND msagg.gc_platform = msflags.gc_platform AND msagg.brand = msflags.brand
 )"""
 
 
@@ -51,7 +51,7 @@ def q_market_share(spark, sf):
 
 
 CAT_MS_CTES = f"""
-f AS (
+cmf AS (
   SELECT {label('snapshot_date', 'dr2')} AS date_period, account, gc_platform, bgr, brand, is_own_brand,
     reported_offtake_mrp, normalized_offtake
   FROM pid_metrics
@@ -65,7 +65,7 @@ cms AS (
       ELSE ROUND(100 * CAST(SUM(normalized_offtake) AS DOUBLE)
            / CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr) AS DOUBLE), 1)
     END AS market_share
-  FROM f
+  FROM cmf
   GROUP BY date_period, account, gc_platform, bgr, brand, is_own_brand
 )"""
 

@@ -122,12 +122,12 @@ def q_category_metrics(spark, sf):
 PPU_W = null_greatest("estimated_offtake_mrp_last_month", "estimated_offtake_mrp_current_month")
 PM_KEYS = ["account", "gc_platform", "product_id", "title", "grammage", "bgr", "gc_city", "brand"]
 PM_CTES = f"""
-pf AS (
+pmf AS (
   SELECT * EXCLUDE (bgr, grammage), lower(bgr) AS bgr, original_grammage AS grammage,
     {label('snapshot_date', 'dr2')} AS date_period
   FROM pid_metrics WHERE {capped()} AND is_own_brand IN (0, 1)
 ),
-pg AS (
+pmg AS (
   SELECT {', '.join(PM_KEYS)}, date_period,
     CAST(SUM(reported_offtake_mrp) AS DOUBLE) AS offtake_mrp,
     CAST(SUM(reported_offtake_sp) AS DOUBLE) AS offtake_sp,
@@ -142,7 +142,7 @@ pg AS (
     SUM(ad_impressions) AS ai,
     SUM(CASE WHEN ppu_flag = 1 THEN price_per_100_units * {PPU_W} END) AS pn,
     SUM(CASE WHEN ppu_flag = 1 THEN {PPU_W} END) AS pd
-  FROM pf GROUP BY {', '.join(PM_KEYS)}, date_period
+  FROM pmf GROUP BY {', '.join(PM_KEYS)}, date_period
 ),
 pm AS (
   SELECT {', '.join(PM_KEYS)}, date_period, offtake_mrp, offtake_sp, sp, mrp, units,
@@ -155,7 +155,7 @@ pm AS (
     CAST(oi AS DOUBLE) * 100.0 / NULLIF(CAST(SUM(oi) OVER w AS DOUBLE), 0) AS organic_sov,
     CAST(ai AS DOUBLE) * 100.0 / NULLIF(CAST(SUM(ai) OVER w AS DOUBLE), 0) AS ad_sov,
     CAST(pn AS DOUBLE) / NULLIF(CAST(pd AS DOUBLE), 0) AS wt_ppu
-  FROM pg
+  FROM pmg
   WINDOW w AS (PARTITION BY account, gc_platform, bgr, gc_city, date_period)
 )"""
 

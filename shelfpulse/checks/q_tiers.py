@@ -9,29 +9,29 @@ from shelfpulse.plans import tiers as TR
 from shelfpulse.sources.views import Views
 
 PPU_CTES = f"""
-d AS (SELECT product_id, lower(bgr) AS dbgr FROM product_dim),
-pg AS (
-  SELECT m.account, lower(m.gc_platform) AS gc_platform, d.dbgr AS bgr, m.brand,
+ppd AS (SELECT product_id, lower(bgr) AS dbgr FROM product_dim),
+ppg AS (
+  SELECT m.account, lower(m.gc_platform) AS gc_platform, ppd.dbgr AS bgr, m.brand,
     round(CAST(SUM(CASE WHEN m.ppu_flag = 1 THEN m.price_per_100_units * {null_greatest('m.estimated_offtake_mrp', '1')} ELSE 0 END) AS DOUBLE)
       / NULLIF(CAST(SUM(CASE WHEN m.ppu_flag = 1 THEN {null_greatest('m.estimated_offtake_mrp', '1')} ELSE 0 END) AS DOUBLE), 0), 0) AS wt_ppu
-  FROM pid_metrics m LEFT JOIN d ON m.product_id = d.product_id
+  FROM pid_metrics m LEFT JOIN ppd ON m.product_id = ppd.product_id
   WHERE {between('m.snapshot_date', *L1)}
   GROUP BY 1, 2, 3, 4
 ),
-fl AS (SELECT DISTINCT lower(bgr) AS bgr, brand, is_own_brand FROM product_dim),
+ppfl AS (SELECT DISTINCT lower(bgr) AS bgr, brand, is_own_brand FROM product_dim),
 ppu AS (
-  SELECT pg.account, pg.gc_platform, pg.bgr, pg.brand, abs(pg.wt_ppu) AS wt_ppu, fl.is_own_brand
-  FROM pg LEFT JOIN fl ON pg.bgr IS NOT DISTINCT FROM fl.bgr AND pg.brand = fl.brand
-  WHERE pg.wt_ppu IS NOT NULL
+  SELECT ppg.account, ppg.gc_platform, ppg.bgr, ppg.brand, abs(ppg.wt_ppu) AS wt_ppu, ppfl.is_own_brand
+  FROM ppg LEFT JOIN ppfl ON ppg.bgr IS NOT DISTINCT FROM ppfl.bgr AND ppg.brand = ppfl.brand
+  WHERE ppg.wt_ppu IS NOT NULL
 ),
-qt AS (
+ppqt AS (
   SELECT ppu.*, quantile_cont(wt_ppu, 1/3) OVER g AS q1, quantile_cont(wt_ppu, 2/3) OVER g AS q2
   FROM ppu WINDOW g AS (PARTITION BY account, gc_platform, bgr)
 ),
 tiers AS (
   SELECT account, gc_platform, bgr, brand, is_own_brand, wt_ppu, 'quantile' AS binning_method,
     CASE WHEN wt_ppu <= q1 THEN 'cost_effective' WHEN wt_ppu <= q2 THEN 'mid_range' ELSE 'premium' END AS ppu_category
-  FROM qt
+  FROM ppqt
 ),
 bounds AS (
   SELECT account, gc_platform, bgr, ppu_category,
