@@ -93,7 +93,7 @@ def impact_sql(src: str, keys: str, where: str = "TRUE") -> str:
       a.category_size AS size_dr1, a.market_share AS share_dr1, a.actual_sum AS actual_sales_dr1,
       b.category_size AS size_dr2, b.market_share AS share_dr2, b.actual_sum AS actual_sales_dr2,
       a.market_share - b.market_share AS pct_change,
-      (a.market_share - b.market_share) * a.category_size / 100 AS sales_impact
+      CAST(CAST(a.market_share - b.market_share AS DECIMAL(6,1)) * CAST(a.category_size AS DECIMAL(20,4)) * 0.01::DECIMAL(3,2) AS DOUBLE) AS sales_impact
     FROM (SELECT * FROM {src} WHERE date_period = 'dr1' AND {where}) a
     JOIN (SELECT * FROM {src} WHERE date_period = 'dr2' AND {where}) b ON {on}"""
 

@@ -37,8 +37,8 @@ comp_imp AS (SELECT *, 0 AS is_own_brand FROM ({impact_sql("ms", MS_KEYS, "is_ow
 cat_imp AS ({impact_sql("cms", CAT, "is_own_brand = 1")}),
 split AS (
   SELECT {CAT}, is_own_brand,
-    CAST(SUM(CASE WHEN sales_impact < 0 THEN CAST(sales_impact AS DECIMAL(38,6)) END) AS DOUBLE) AS impact_loss,
-    CAST(SUM(CASE WHEN sales_impact > 0 THEN CAST(sales_impact AS DECIMAL(38,6)) END) AS DOUBLE) AS impact_gain
+    CAST(SUM(CASE WHEN sales_impact < 0 THEN CAST(sales_impact AS DECIMAL(38,7)) END) AS DOUBLE) AS impact_loss,
+    CAST(SUM(CASE WHEN sales_impact > 0 THEN CAST(sales_impact AS DECIMAL(38,7)) END) AS DOUBLE) AS impact_gain
   FROM own_imp WHERE account IS NOT NULL AND gc_platform IS NOT NULL AND bgr IS NOT NULL AND brand IS NOT NULL
   GROUP BY {CAT}, is_own_brand
 ),

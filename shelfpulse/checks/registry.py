@@ -34,7 +34,8 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from shelfpulse.checks import q_core, q_drill, q_keywords, q_metrics, q_ops, q_stores, q_tiers  # noqa: F401
+    from shelfpulse.checks import (q_core, q_drill, q_keywords, q_metrics, q_ops, q_ops2,  # noqa: F401
+                                   q_stores, q_tiers)
 
 
 __all__ = ["QUERIES", "ORACLE", "register", "load_all", "L1", "L2"]

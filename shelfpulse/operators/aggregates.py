@@ -95,8 +95,8 @@ def impact_split(df: DataFrame, keys: Sequence[str], col: str = "sales_impact")
     d = df
     for k in keys:
         d = d.where(F.col(k).isNotNull())
-    # summed as DECIMAL(38,6): a double sum depends on the order rows arrive in
-    x = F.col(col).cast("decimal(38,6)")
+    # summed as DECIMAL(38,7): a double sum depends on the order rows arrive in
+    x = F.col(col).cast("decimal(38,7)")
     return d.groupBy(*keys).agg(
         F.sum(F.when(F.col(col) < 0, x)).cast("double").alias("impact_loss"),
         F.sum(F.when(F.col(col) > 0, x)).cast("double").alias("impact_gain"))
