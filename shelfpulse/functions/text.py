@@ -113,8 +113,11 @@ def json_flags(c, prefix: str = FLAG_PREFIX, platforms: Sequence[str] = DEFAULT_
     cfg = F.from_json(col_of(c), JOB_CONFIG, {"mode": "PERMISSIVE"})
     vars_ = F.coalesce(cfg["dbt"]["variables"], F.array().cast(JOB_CONFIG["dbt"].dataType["variables"].dataType))
     out = [F.coalesce(cfg["redshift"]["database"], F.lit("")).alias("name")]
+    def named(full):
+        return lambda v: v["name"] == F.lit(full)
+
     for p in platforms:
-        hits = F.filter(vars_, lambda v, p=p: v["name"] == F.lit(prefix + p))
+        hits = F.filter(vars_, named(prefix + p))
         val = F.when(F.size(hits) > 0, F.coalesce(F.element_at(hits, -1)["value"], F.lit(False)))
         out.append(F.coalesce(val, F.lit(False)).alias(f"build_{p}"))
     return out
