@@ -40,8 +40,8 @@ ms AS (
 
 
 def market_share_df(spark, sf):
-    v = Views(spark, sf)
-    return M.market_share(v.pid_metrics(), v.product_dim(), L1, L2)
+    v = Views.shared(spark, sf)
+    return M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
 
 
 @register("market_share", with_views(MARKET_SHARE_SQL_CTES + "\nSELECT * FROM ms",
@@ -71,8 +71,8 @@ cms AS (
 
 
 def category_share_df(spark, sf):
-    v = Views(spark, sf)
-    return M.market_share_category(v.pid_metrics(), L1, L2)
+    v = Views.shared(spark, sf)
+    return M.market_share_category(v.pid_slice(L1, L2), L1, L2)
 
 
 @register("market_share_category", with_views(CAT_MS_CTES + "\nSELECT * FROM cms"))
@@ -127,7 +127,7 @@ SELECT {label()} AS date_period, count(*)::BIGINT AS n_rows,
   CAST(SUM(normalized_offtake) AS DOUBLE) AS offtake
 FROM pid_metrics GROUP BY 1"""))
 def q_period_label(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     d = P.label_period(v.pid_metrics(), "snapshot_date", L1, L2, "dr1")
     return d.groupBy("date_period").agg(F.count("*").cast("bigint").alias("n_rows"),
                                         F.sum("normalized_offtake").cast("double").alias("offtake"))
@@ -142,7 +142,7 @@ OV2 = ("2000-07-01", "2001-06-30")
 SELECT {label('snapshot_date', 'dr2', OV1, OV2)} AS date_period, count(*)::BIGINT AS n_rows
 FROM pid_metrics GROUP BY 1"""))
 def q_period_label_l2_first(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     d = P.label_period(v.pid_metrics(), "snapshot_date", OV1, OV2, "dr2")
     return d.groupBy("date_period").agg(F.count("*").cast("bigint").alias("n_rows"))
 
@@ -151,7 +151,7 @@ def q_period_label_l2_first(spark, sf):
 SELECT gc_platform, count(*)::BIGINT AS n_rows, min(snapshot_date) AS first_day, max(snapshot_date) AS last_day
 FROM pid_metrics WHERE {in_periods()} GROUP BY gc_platform"""))
 def q_period_filter(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     d = P.filter_periods(v.pid_metrics(), "snapshot_date", L1, L2)
     return d.groupBy("gc_platform").agg(F.count("*").cast("bigint").alias("n_rows"),
                                         F.min("snapshot_date").alias("first_day"),
@@ -163,7 +163,7 @@ SELECT {label()} AS date_period, gc_platform, count(*)::BIGINT AS n_rows,
   min(snapshot_date) AS first_day, max(snapshot_date) AS last_day
 FROM pid_metrics WHERE {capped()} GROUP BY 1, 2"""))
 def q_period_filter_capped(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     d = P.filter_periods_capped(v.pid_metrics(), "snapshot_date", L1, L2)
     d = P.label_period(d, "snapshot_date", L1, L2)
     return d.groupBy("date_period", "gc_platform").agg(

@@ -101,9 +101,9 @@ own_sku AS (
 )""")
 
 
-def frames(spark, sf, direction):
-    v = Views(spark, sf)
-    pm, dim = v.pid_metrics(), v.product_dim()
+def frames(spark, sf, direction, views=None):
+    v = views or Views.shared(spark, sf)
+    pm, dim = v.pid_slice(L1, L2), v.product_dim()
     ms = M.market_share(pm, dim, L1, L2)
     cms = M.market_share_category(pm, L1, L2)
     tiers = TR.price_tiers(pm, dim, L1, method="quantile")

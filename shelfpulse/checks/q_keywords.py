@@ -53,8 +53,8 @@ KW_COLS = (f"date_period, {G}, keyword, max_keyword_weight, ad_sov, cat_share, v
 
 
 def _kw(spark, sf):
-    v = Views(spark, sf)
-    return K.keyword_totals(v.keyword_impressions(), L1, L2)
+    v = Views.shared(spark, sf)
+    return K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2)
 
 
 @register("keyword_scores", with_views(KW_CTES + f"\nSELECT {KW_COLS} FROM rel", ("keyword_impressions",)))
@@ -105,8 +105,8 @@ FROM z LEFT JOIN bi USING (brand)"""
 
 @register("keyword_brand_sov", with_views(KBS_SQL, ("keyword_impressions", "product_dim")))
 def q_keyword_brand_sov(spark, sf):
-    v = Views(spark, sf)
-    return K.keyword_brand_sov(v.keyword_impressions(), v.product_dim(), L1, L2)
+    v = Views.shared(spark, sf)
+    return K.keyword_brand_sov(v.window_slice("keyword_impressions", L1, L2), v.product_dim(), L1, L2)
 
 
 CONTRIB_SQL = f"""
@@ -122,5 +122,5 @@ FROM pt"""
 
 @register("contribution_pct", with_views(CONTRIB_SQL))
 def q_contribution(spark, sf):
-    v = Views(spark, sf)
-    return K.contribution(v.pid_metrics(), L1)
+    v = Views.shared(spark, sf)
+    return K.contribution(v.pid_slice(L1, L2), L1)

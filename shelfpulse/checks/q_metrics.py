@@ -59,7 +59,7 @@ merged AS (
   LEFT JOIN bp ON {on('wt', 'bp', keys + ['date_period'])}
   LEFT JOIN bs ON {on('wt', 'bs', keys + ['date_period'])}
 ),
-bi AS (SELECT DISTINCT account, gc_platform, brand, is_own_brand FROM pid_metrics),
+bi AS (SELECT DISTINCT account, gc_platform, brand, is_own_brand FROM src2),
 bm AS (
   SELECT {', '.join('merged.' + x for x in keys)}, merged.date_period, bi.is_own_brand,
     round(100.0 * CAST(total_wt_available AS DOUBLE) / nullif(CAST(total_wt_scrapes AS DOUBLE), 0), 1) AS wt_osa,
@@ -89,13 +89,13 @@ def change_sql(src: str, keys: list[str], metrics: list[str], names: dict, round
 
 
 def _views(spark, sf):
-    return Views(spark, sf)
+    return Views.shared(spark, sf)
 
 
 @register("brand_metrics", with_views(BM_CITY + "\nSELECT * FROM bm", ("pid_metrics", "product_dim")))
 def q_brand_metrics(spark, sf):
     v = _views(spark, sf)
-    return M.brand_metrics(v.pid_metrics(), v.product_dim(), L1, L2)
+    return M.brand_metrics(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
 
 
 @register("brand_metrics_change", with_views(
@@ -103,7 +103,7 @@ def q_brand_metrics(spark, sf):
     + ")\nSELECT * FROM ch", ("pid_metrics", "product_dim")))
 def q_brand_metrics_change(spark, sf):
     v = _views(spark, sf)
-    return M.brand_metrics_change(M.brand_metrics(v.pid_metrics(), v.product_dim(), L1, L2))
+    return M.brand_metrics_change(M.brand_metrics(v.pid_slice(L1, L2), v.product_dim(), L1, L2))
 
 
 CATEGORY_METRICS_SQL = with_views(
@@ -116,7 +116,7 @@ CATEGORY_METRICS_SQL = with_views(
 @register("category_metrics", CATEGORY_METRICS_SQL)
 def q_category_metrics(spark, sf):
     v = _views(spark, sf)
-    return M.category_metrics(v.pid_metrics(), v.product_dim(), L1, L2)
+    return M.category_metrics(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
 
 
 PPU_W = null_greatest("estimated_offtake_mrp_last_month", "estimated_offtake_mrp_current_month")
@@ -163,7 +163,7 @@ pm AS (
 @register("product_metrics", with_views(PM_CTES + "\nSELECT * FROM pm"))
 def q_product_metrics(spark, sf):
     v = _views(spark, sf)
-    return M.product_metrics(v.pid_metrics(), None, L1, L2)
+    return M.product_metrics(v.pid_slice(L1, L2), None, L1, L2)
 
 
 SKU_KEYS = ["account", "gc_platform", "bgr", "gc_city", "brand", "product_id", "title"]
@@ -175,7 +175,7 @@ SKU_COMPARE_CTES = PM_CTES + ",\nsc AS (" + change_sql("pm", SKU_KEYS, SKU_M, {}
 @register("compare_periods", with_views(SKU_COMPARE_CTES + "\nSELECT * FROM sc"))
 def q_compare_periods(spark, sf):
     v = _views(spark, sf)
-    return M.sku_compare(M.product_metrics(v.pid_metrics(), None, L1, L2))
+    return M.sku_compare(M.product_metrics(v.pid_slice(L1, L2), None, L1, L2))
 
 
 GRAMMAGE_CTES = f"""
@@ -191,4 +191,4 @@ gr AS (
 @register("grammage", with_views(GRAMMAGE_CTES + "\nSELECT * FROM gr", ("pid_metrics", "product_dim")))
 def q_grammage(spark, sf):
     v = _views(spark, sf)
-    return M.grammage(v.pid_metrics(), v.product_dim(), L1, L2)
+    return M.grammage(v.pid_slice(L1, L2), v.product_dim(), L1, L2)

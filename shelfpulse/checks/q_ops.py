@@ -29,7 +29,7 @@ def q_scan_table(spark, sf):
 SELECT gc_platform, count(*)::BIGINT AS n_rows, CAST(SUM(normalized_offtake) AS DOUBLE) AS offtake
 FROM pid_metrics GROUP BY gc_platform"""))
 def q_platform_union(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     frames = {p: pm.where(F.col("gc_platform") == p).drop("gc_platform") for p in PLATFORMS}
     u = S.scan_platforms(frames)
     return u.groupBy("gc_platform").agg(F.count("*").cast("bigint").alias("n_rows"),
@@ -39,8 +39,8 @@ def q_platform_union(spark, sf):
 @register("multi_account_share", with_views(MARKET_SHARE_SQL_CTES + "\nSELECT * FROM ms",
                                             ("pid_metrics", "product_dim"), by_priority=True))
 def q_multi_account_share(spark, sf):
-    v = Views(spark, sf, account_mode="by_priority")
-    return M.market_share(v.pid_metrics(), v.product_dim(), L1, L2)
+    v = Views.shared(spark, sf, "by_priority")
+    return M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
 
 
 @register("key_normalise", """
@@ -62,8 +62,8 @@ def q_slug_text(spark, sf):
                                                        "is_own_brand = 1")
     + ")\nSELECT * FROM imp WHERE gc_city IS DISTINCT FROM 'AFRICA'", ("pid_metrics", "product_dim")))
 def q_drop_bucket(spark, sf):
-    v = Views(spark, sf)
-    ms = M.market_share(v.pid_metrics(), v.product_dim(), L1, L2).where(F.col("is_own_brand") == 1)
+    v = Views.shared(spark, sf)
+    ms = M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2).where(F.col("is_own_brand") == 1)
     imp = P.share_impact(ms, ["account", "gc_platform", "bgr", "gc_city", "brand"])
     # the reference drops the 'Others' bucket; 'AFRICA' is a bucket present in the test data
     return imp.where(~F.col("gc_city").eqNullSafe("AFRICA"))
@@ -73,7 +73,7 @@ def q_drop_bucket(spark, sf):
 SELECT is_own_brand, count(*)::BIGINT AS n_rows, CAST(SUM(normalized_offtake) AS DOUBLE) AS offtake
 FROM pid_metrics WHERE is_own_brand IN (0, 1) AND {between('snapshot_date', *L1)} GROUP BY is_own_brand"""))
 def q_own_comp_split(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     f = pm.where(F.col("is_own_brand").isin(0, 1) & F.col("snapshot_date").between(L1[0], L1[1]))
     return f.groupBy("is_own_brand").agg(F.count("*").cast("bigint").alias("n_rows"),
                                          F.sum("normalized_offtake").cast("double").alias("offtake"))
@@ -88,7 +88,7 @@ SELECT account, gc_platform, bgr, gc_city,
   round(100.0 * CAST(SUM(total_available * {W}) AS DOUBLE) / NULLIF(CAST(SUM(total_listed * {W}) AS DOUBLE), 0), 1) AS wt_osa_in_ls
 FROM pid_metrics WHERE {between('snapshot_date', *L1)} GROUP BY account, gc_platform, bgr, gc_city"""))
 def q_weighted_osa(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     f = pm.where(F.col("snapshot_date").between(L1[0], L1[1]))
     w = A.osa_weight()
     return f.groupBy("account", "gc_platform", "bgr", "gc_city").agg(
@@ -118,7 +118,7 @@ SELECT CASE WHEN snapshot_date = DATE '2000-12-31' THEN 'dr1' ELSE 'dr2' END AS
   gc_platform, count(*)::BIGINT AS n_rows, CAST(SUM(total_listed) AS BIGINT) AS listed
 FROM pid_metrics WHERE snapshot_date IN (DATE '2000-12-31', DATE '1999-12-31') GROUP BY 1, 2"""))
 def q_day_snapshot(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     d = P.snapshot_on_days(pm, "snapshot_date", L1[1], L2[1])
     return d.groupBy("date_period", "gc_platform").agg(
         F.count("*").cast("bigint").alias("n_rows"), F.sum("total_listed").cast("bigint").alias("listed"))
@@ -131,7 +131,7 @@ SELECT c.gc_platform, c.gc_city, c.snapshot_date, count(*)::BIGINT AS n_rows
 FROM c JOIN m ON c.gc_platform = m.gc_platform AND c.gc_city = m.gc_city AND c.snapshot_date = m.d
 GROUP BY 1, 2, 3"""))
 def q_snapshot_or_previous(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     d = P.snapshot_or_previous(pm, "snapshot_date", "2000-11-30", keys=["gc_platform", "gc_city"])
     return d.groupBy("gc_platform", "gc_city", "snapshot_date").agg(
         F.count("*").cast("bigint").alias("n_rows"))
@@ -143,7 +143,7 @@ SELECT lower(d.bgr) AS dim_bgr, d.is_platform_bundle, count(*)::BIGINT AS n_rows
 FROM pid_metrics m LEFT JOIN product_dim d ON m.product_id = d.product_id
 WHERE {between('m.snapshot_date', *L1)} GROUP BY 1, 2""", ("pid_metrics", "product_dim")))
 def q_fact_dim_left(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     f = v.pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1])).select(
         "product_id", "normalized_offtake")
     d = v.product_dim().select("product_id", F.lower("bgr").alias("dim_bgr"), "is_platform_bundle")
@@ -159,7 +159,7 @@ WHERE {between('snapshot_date', *L1)}
   AND product_id IN (SELECT DISTINCT product_id FROM product_dim WHERE is_platform_bundle IS NULL)
 GROUP BY gc_platform""", ("pid_metrics", "product_dim")))
 def q_valid_product_semi(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     f = v.pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
     k = J.keep_valid(f, v.product_dim(), "product_id", F.col("is_platform_bundle").isNull())
     return k.groupBy("gc_platform").agg(F.count("*").cast("bigint").alias("n_rows"))
@@ -170,7 +170,7 @@ SELECT gc_platform, count(*)::BIGINT AS n_rows, CAST(SUM(potential_sales_loss_mr
 FROM psl_daily_locality WHERE product_id IN (SELECT product_id FROM own_sku_base WHERE is_own_brand = 1)
 GROUP BY gc_platform""", ("psl_daily_locality", "own_sku_base")))
 def q_in_list_semi(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     own = v.own_sku_base().where(F.col("is_own_brand") == 1).select("product_id")
     k = J.keep_in(v.psl_daily_locality(), own, "product_id")
     return k.groupBy("gc_platform").agg(F.count("*").cast("bigint").alias("n_rows"),
@@ -186,7 +186,7 @@ SELECT b.account, b.gc_platform, b.bgr, b.gc_city, b.brand,
   coalesce(round(CAST(b.ti AS DOUBLE) / nullif(CAST(t.ti AS DOUBLE), 0), 3) * 100.0, 0) AS sov
 FROM b JOIN t ON b.account = t.account AND b.gc_platform = t.gc_platform AND b.bgr = t.bgr AND b.gc_city = t.gc_city"""))
 def q_sov_join(spark, sf):
-    pm = Views(spark, sf).pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
+    pm = Views.shared(spark, sf).pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
     keys = ["account", "gc_platform", "bgr", "gc_city"]
     b = pm.groupBy(*keys, "brand").agg(F.round(F.sum("total_impressions"), 0).alias("ti"))
     t = pm.groupBy(*keys).agg(F.round(F.sum("total_impressions"), 0).alias("tti"))
@@ -202,7 +202,7 @@ a AS (SELECT gc_platform, brand, CAST(SUM(normalized_offtake) AS DOUBLE) AS offt
 f AS (SELECT DISTINCT gc_platform, brand, is_own_brand FROM pid_metrics)
 SELECT a.*, f.is_own_brand FROM a LEFT JOIN f USING (gc_platform, brand)"""))
 def q_brand_flag_lookup(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     a = (pm.where(F.col("snapshot_date").between(L1[0], L1[1]))
          .groupBy("gc_platform", "brand").agg(F.sum("normalized_offtake").cast("double").alias("offtake")))
     return J.lookup_flag(a, pm, ["gc_platform", "brand"])
@@ -215,7 +215,7 @@ SELECT a.product_id, a.offtake, d.is_platform_bundle, d.title
 FROM a LEFT JOIN product_dim d ON a.product_id = d.product_id AND d.is_platform_bundle = 'Y'""",
                                      ("pid_metrics", "product_dim")))
 def q_conditional_left(spark, sf):
-    v = Views(spark, sf)
+    v = Views.shared(spark, sf)
     a = (v.pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
          .groupBy("product_id").agg(F.sum("normalized_offtake").cast("double").alias("offtake")))
     d = v.product_dim().select("product_id", "is_platform_bundle", "title")
@@ -241,7 +241,7 @@ s AS (SELECT gc_platform, CAST(SUM(normalized_offtake) AS DOUBLE) AS offtake FRO
       WHERE {between('snapshot_date', *L1)} GROUP BY 1)
 SELECT spine.gc_platform, coalesce(s.offtake, 0.0) AS offtake FROM spine LEFT JOIN s USING (gc_platform)"""))
 def q_spine_fill(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     s = (pm.where(F.col("snapshot_date").between(L1[0], L1[1]))
          .groupBy("gc_platform").agg(F.sum("normalized_offtake").cast("double").alias("offtake")))
     spine = spark.createDataFrame([(p,) for p in (*PLATFORMS, "zepto")], "gc_platform string")
@@ -254,8 +254,8 @@ SELECT account, gc_platform, bgr, brand, coalesce(is_own_brand, 0) AS is_own_bra
   coalesce(actual_sum, 0.0) AS actual_sum, coalesce(market_share, 0.0) AS market_share
 FROM cms WHERE date_period = 'dr1'"""))
 def q_fill_defaults(spark, sf):
-    v = Views(spark, sf)
-    cms = M.market_share_category(v.pid_metrics(), L1, L2).where(F.col("date_period") == "dr1")
+    v = Views.shared(spark, sf)
+    cms = M.market_share_category(v.pid_slice(L1, L2), L1, L2).where(F.col("date_period") == "dr1")
     return (cms.select("account", "gc_platform", "bgr", "brand", "is_own_brand", "actual_sum",
                        "market_share")
             .na.fill({"is_own_brand": 0, "actual_sum": 0.0, "market_share": 0.0}))

@@ -23,8 +23,8 @@ CITY = ["account", "gc_platform", "bgr", "gc_city", "brand"]
 
 
 def _ms(spark, sf):
-    v = Views(spark, sf)
-    return M.market_share(v.pid_metrics(), v.product_dim(), L1, L2)
+    v = Views.shared(spark, sf)
+    return M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
 
 
 def _own_imp(spark, sf):
@@ -39,7 +39,7 @@ MSV = ("pid_metrics", "product_dim")
 SELECT account, lower(gc_platform) AS gc_platform, max(snapshot_date) AS last_updated
 FROM pid_metrics GROUP BY 1, 2"""))
 def q_uploaded_till(spark, sf):
-    return A.uploaded_till(Views(spark, sf).pid_metrics())
+    return A.uploaded_till(Views.shared(spark, sf).pid_metrics())
 
 
 @register("offtake_sum", with_views(f"""
@@ -48,7 +48,7 @@ SELECT {label()} AS date_period, account, gc_platform, bgr,
   CAST(SUM(normalized_offtake) AS DOUBLE) AS normalized_offtake
 FROM pid_metrics WHERE {in_periods()} GROUP BY 1, 2, 3, 4"""))
 def q_offtake_sum(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     d = label_period(pm.where(F.col("snapshot_date").between(L2[0], L1[1])), "snapshot_date", L1, L2)
     d = d.where(F.col("date_period").isNotNull())
     return A.sum_by(d, ["date_period", "account", "gc_platform", "bgr"],
@@ -64,19 +64,19 @@ SELECT account, gc_platform, bgr,
     / NULLIF(CAST(SUM(CASE WHEN asp_flag = 1 THEN mrp * {QW} END) AS DOUBLE), 0), 1) AS wt_discounting
 FROM pid_metrics WHERE {between('snapshot_date', *L1)} GROUP BY 1, 2, 3"""))
 def q_weighted_discount(spark, sf):
-    pm = Views(spark, sf).pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
+    pm = Views.shared(spark, sf).pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
     return pm.groupBy("account", "gc_platform", "bgr").agg(A.weighted_discount().alias("wt_discounting"))
 
 
 @register("wt_ppu")
 def q_wt_ppu(spark, sf):
-    v = Views(spark, sf)
-    return TR.brand_ppu(v.pid_metrics(), v.product_dim(), L1)
+    v = Views.shared(spark, sf)
+    return TR.brand_ppu(v.pid_slice(L1, L2), v.product_dim(), L1)
 
 
 @register("distinct_dims", with_views("SELECT DISTINCT gc_platform, bgr, gc_city FROM pid_metrics"))
 def q_distinct_dims(spark, sf):
-    return A.distinct_dims(Views(spark, sf).pid_metrics(), ["gc_platform", "bgr", "gc_city"])
+    return A.distinct_dims(Views.shared(spark, sf).pid_metrics(), ["gc_platform", "bgr", "gc_city"])
 
 
 @register("impact_split", with_views(OWN_IMP + """
@@ -129,7 +129,7 @@ SELECT account, gc_platform, bgr, gc_city,
   coalesce(max(CASE WHEN is_own_brand = 0 AND asp_flag = 1 THEN mrp END), max(CASE WHEN is_own_brand = 0 THEN mrp END)) AS target
 FROM pid_metrics WHERE {between('snapshot_date', *L1)} GROUP BY 1, 2, 3, 4"""))
 def q_target_osa(spark, sf):
-    pm = Views(spark, sf).pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
+    pm = Views.shared(spark, sf).pid_metrics().where(F.col("snapshot_date").between(L1[0], L1[1]))
     return A.max_in_set(pm, ["account", "gc_platform", "bgr", "gc_city"], "mrp",
                         (F.col("is_own_brand") == 0) & (F.col("asp_flag") == 1),
                         F.col("is_own_brand") == 0)
@@ -143,7 +143,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, b
         ORDER BY change_market_share DESC NULLS LAST, product_id ASC NULLS LAST, brand ASC NULLS LAST) AS stage2_rank FROM s1)
 WHERE stage2_rank <= 1"""))
 def q_two_stage_topk(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_slice(L1, L2)
     sc = M.sku_compare(M.product_metrics(pm, None, L1, L2))
     tie = [F.col("product_id").asc_nulls_last(), F.col("brand").asc_nulls_last()]
     return TK.two_stage_top(sc, ["account", "gc_platform", "bgr", "gc_city"],
@@ -155,7 +155,7 @@ def q_two_stage_topk(spark, sf):
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr, gc_city, brand
   ORDER BY abs(change_market_share) DESC NULLS LAST, product_id ASC NULLS LAST) AS rn FROM sc) WHERE rn = 1"""))
 def q_max_abs_sku(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_slice(L1, L2)
     sc = M.sku_compare(M.product_metrics(pm, None, L1, L2))
     return TK.max_abs_row(sc, CITY, "change_market_share", ["product_id"])
 
@@ -170,8 +170,8 @@ def q_limit_ordered(spark, sf):
 
 @register("top_metrics")
 def q_top_metrics(spark, sf):
-    v = Views(spark, sf)
-    ch = M.brand_metrics_change(M.brand_metrics(v.pid_metrics(), v.product_dim(), L1, L2))
+    v = Views.shared(spark, sf)
+    ch = M.brand_metrics_change(M.brand_metrics(v.pid_slice(L1, L2), v.product_dim(), L1, L2))
     cols = ["change_wt_osa", "change_wt_osa_listing", "change_wt_discounting", "change_sov",
             "change_adsov", "change_ogsov"]
     return TK.top_metrics(ch, ["account", "gc_platform", "bgr", "gc_city", "brand", "is_own_brand"],
@@ -212,7 +212,7 @@ SELECT DISTINCT strftime(snapshot_date, '%B') AS month_name, strftime(snapshot_d
   month(snapshot_date) AS month_no
 FROM pid_metrics"""))
 def q_month_names(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     return pm.select(T.month_name("snapshot_date").alias("month_name"),
                      T.month_name("snapshot_date", short=True).alias("month_short"),
                      F.month("snapshot_date").alias("month_no")).distinct()
@@ -254,7 +254,7 @@ SELECT s.account, s.gc_platform, s.bgr, s.brand,
   CAST(ceil(s.ppu / 5) * 5 AS DOUBLE) AS ppu_ceil5
 FROM ppu_src s JOIN q ON s.account = q.account AND s.gc_platform = q.gc_platform AND s.bgr = q.bgr"""))
 def q_winsor_log(spark, sf):
-    pm = Views(spark, sf).pid_metrics()
+    pm = Views.shared(spark, sf).pid_metrics()
     src = (pm.groupBy("account", "gc_platform", "bgr", "brand")
            .agg(F.avg("price_per_100_units").cast("double").alias("ppu")))
     q = A.group_quantiles(src, ["account", "gc_platform", "bgr"], "ppu", [0.05, 0.95])

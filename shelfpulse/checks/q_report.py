@@ -108,10 +108,10 @@ def _report_parts(spark, sf):
     from shelfpulse.checks.q_drill import frames
     from shelfpulse.plans import metrics as M
     from shelfpulse.sources.views import Views
-    v = Views(spark, sf)
-    ms = M.market_share(v.pid_metrics(), v.product_dim(), L1, L2)
-    down = frames(spark, sf, "down")
-    up = frames(spark, sf, "up")
+    v = Views.shared(spark, sf)
+    ms = M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
+    down = frames(spark, sf, "down", v)
+    up = frames(spark, sf, "up", v)
     summary = R.offtake_summary(ms, up["drivers"], down["drivers"])
     return summary, down, up
 

@@ -73,13 +73,13 @@ SV = ("locality_metrics", "psl_daily_locality", "own_sku_base")
 
 
 def _spm(spark, sf):
-    return Views(spark, sf).locality_metrics()
+    return Views.shared(spark, sf).window_slice("locality_metrics", L1, L2)
 
 
 def _srows(spark, sf):
-    v = Views(spark, sf)
-    osa = ST.sku_store_osa(v.locality_metrics(), L1, L2)
-    return ST.psl_by_store(osa, v.psl_daily_locality(), v.own_sku_base(), L1)
+    v = Views.shared(spark, sf)
+    osa = ST.sku_store_osa(v.window_slice("locality_metrics", L1, L2), L1, L2)
+    return ST.psl_by_store(osa, v.window_slice("psl_daily_locality", L1, L2), v.own_sku_base(), L1)
 
 
 @register("pareto_tags", with_views(STORE_CTES + "\nSELECT * EXCLUDE (wa, ws) FROM tags", SV))
@@ -136,7 +136,7 @@ ns AS (
 
 @register("first_seen_between", with_views(NEW_STORES + "\nSELECT * FROM ns", ("store_catalog",)))
 def q_first_seen_between(spark, sf):
-    return ST.new_stores(Views(spark, sf).store_catalog(), L2[0], L1[1])
+    return ST.new_stores(Views.shared(spark, sf).store_catalog(), L2[0], L1[1])
 
 
 @register("new_store_coverage", with_views(NEW_STORES + f""",
@@ -150,8 +150,8 @@ SELECT ns.account, ns.gc_platform, count(DISTINCT ns.store_id)::BIGINT AS new_st
 FROM ns LEFT JOIN yours y ON ns.account = y.account AND ns.gc_platform = y.gc_platform AND ns.store_id = y.store_id
 GROUP BY 1, 2""", ("store_catalog", "locality_metrics")))
 def q_new_store_coverage(spark, sf):
-    v = Views(spark, sf)
-    return ST.new_store_coverage(v.store_catalog(), v.locality_metrics(), L1, L2)
+    v = Views.shared(spark, sf)
+    return ST.new_store_coverage(v.store_catalog(), v.window_slice("locality_metrics", L1, L2), L1, L2)
 
 
 @register("inventory_days", with_views(drill_ctes("down") + f""",
@@ -167,4 +167,4 @@ doi AS (
 SELECT * FROM doi""", ("pid_metrics", "product_dim", "facility_doi")))
 def q_inventory_days(spark, sf):
     skus = frames(spark, sf, "down")["own_sku"]
-    return ST.inventory_days(Views(spark, sf).facility_doi(), skus, L1)
+    return ST.inventory_days(Views.shared(spark, sf).window_slice("facility_doi", L1, L2), skus, L1)

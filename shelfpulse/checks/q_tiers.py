@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfpulse.checks.oracle_views import with_views
-from shelfpulse.checks.registry import L1, register
+from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.checks.sqlbits import between, null_greatest
 from shelfpulse.plans import tiers as TR
 from shelfpulse.sources.views import Views
@@ -46,19 +46,19 @@ bounds AS (
     "ON t.account = b.account AND t.gc_platform = b.gc_platform AND t.bgr IS NOT DISTINCT FROM b.bgr "
     "AND t.ppu_category = b.ppu_category", ("pid_metrics", "product_dim")))
 def q_price_tier_quantile(spark, sf):
-    v = Views(spark, sf)
-    return TR.price_tiers(v.pid_metrics(), v.product_dim(), L1, method="quantile")
+    v = Views.shared(spark, sf)
+    return TR.price_tiers(v.pid_slice(L1, L2), v.product_dim(), L1, method="quantile")
 
 
 @register("price_tier_bounds", with_views(PPU_CTES + "\nSELECT * FROM bounds",
                                           ("pid_metrics", "product_dim")))
 def q_price_tier_bounds(spark, sf):
-    v = Views(spark, sf)
-    tiers = TR.quantile_tiers(TR.brand_ppu(v.pid_metrics(), v.product_dim(), L1))
+    v = Views.shared(spark, sf)
+    tiers = TR.quantile_tiers(TR.brand_ppu(v.pid_slice(L1, L2), v.product_dim(), L1))
     return TR.tier_bounds(tiers)
 
 
 @register("price_tier_kmeans")
 def q_price_tier_kmeans(spark, sf):
-    v = Views(spark, sf)
-    return TR.price_tiers(v.pid_metrics(), v.product_dim(), L1, method="auto")
+    v = Views.shared(spark, sf)
+    return TR.price_tiers(v.pid_slice(L1, L2), v.product_dim(), L1, method="auto")

@@ -47,24 +47,24 @@ def keyword_scores(totals: DataFrame, group: Sequence[str] = KW_GROUP,
 
     ``relevant=True``: relevance > 1 and volume share > 1; ``False``: the low
     relevance set, 0 < relevance <= 1 and volume share > 1.  ``sov_dr1`` /
-    ``sov_dr2`` come from a pivot of ad SOV by period (mean, pandas drops NULL
-    keys) left-joined on the keyword keys.
+    ``sov_dr2``: ad SOV of the keyword in each period (the reference's pivot,
+    mean per period, joined back on the keyword keys).
     """
     keys = [*group, "keyword"]
-    piv = totals
-    for k in keys:
-        piv = piv.where(F.col(k).isNotNull())
-    piv = (piv.groupBy(*keys).pivot("date_period", ["dr1", "dr2"]).agg(F.avg("ad_sov"))
-           .withColumnRenamed("dr1", "sov_dr1").withColumnRenamed("dr2", "sov_dr2"))
-    cur = (totals.where(F.col("date_period") == "dr1")
+    # the period pivot of ad SOV as a window over the keyword keys: same rows as
+    # pivot + left join, without a second pass over the totals
+    w = Window.partitionBy(*keys)
+    p = F.col("date_period")
+    d = (totals.withColumn("sov_dr1", F.avg(F.when(p == "dr1", F.col("ad_sov"))).over(w))
+         .withColumn("sov_dr2", F.avg(F.when(p == "dr2", F.col("ad_sov"))).over(w)))
+    cur = (d.where(F.col("date_period") == "dr1")
            .withColumn("relevant_score", relevance("cat_share", "vol_share")))
     if relevant:
         cur = cur.where((F.col("relevant_score") > 1) & (F.col("vol_share") > 1))
     else:
         cur = cur.where((F.col("relevant_score") <= 1) & (F.col("relevant_score") > 0)
                         & (F.col("vol_share") > 1))
-    cur = cur.withColumn("final_score", kw_score("vol_share", "relevant_score"))
-    return cur.join(piv, keys, "left")
+    return cur.withColumn("final_score", kw_score("vol_share", "relevant_score"))
 
 
 def keyword_recs(scored: DataFrame, group: Sequence[str] = KW_GROUP, k: int = 2) -> DataFrame:

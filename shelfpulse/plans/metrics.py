@@ -73,11 +73,22 @@ def market_share(facts: DataFrame, dim: DataFrame, l1, l2,
                        .otherwise(F.round(safe_div(100 * F.col("__n").cast("double"),
                                                    F.col("category_size")), 1)))
            .drop("__n"))
-    fk = [k for k in keys if k in ("account", "gc_platform", "brand")]
-    flags = (agg.select(*fk, F.explode("__flags").alias("__f")).distinct()
-             .select(*fk, F.when(F.col("__f") == -1, F.lit(None).cast("int"))
-                     .otherwise(F.col("__f")).alias("is_own_brand")))
-    return agg.drop("__flags").join(flags, fk, "left")
+    return attach_flags(agg, "__flags", [k for k in keys if k in ("account", "gc_platform", "brand")])
+
+
+def attach_flags(agg: DataFrame, flags_col: str, flag_keys: Sequence[str]) -> DataFrame:
+    """Own flag per (platform, brand) from per-group flag sets, as a window over
+    the aggregate (C6 without a second pass over the facts).
+
+    A brand carrying two flags yields two rows, exactly like a left join to
+    the distinct (platform, brand, flag) rows; -1 stands for a NULL flag.
+    """
+    w = Window.partitionBy(*flag_keys)
+    allf = F.array_distinct(F.flatten(F.collect_list(flags_col).over(w)))
+    out = agg.withColumn("__allf", allf).drop(flags_col)
+    out = out.withColumn("__f", F.explode_outer("__allf")).drop("__allf")
+    return out.withColumn("is_own_brand", F.when(F.col("__f") == -1, F.lit(None).cast("int"))
+                          .otherwise(F.col("__f").cast("int"))).drop("__f")
 
 
 def market_share_category(facts: DataFrame, l1, l2,
@@ -116,7 +127,10 @@ def brand_metrics(facts: DataFrame, dim: DataFrame, l1, l2,
       conditional on it); a group exists only when it has such products;
     * discount sums only over ``asp_flag = 1`` rows (X1 parenthesised);
     * impressions over all rows; category totals by a window over the
-      aggregate (C4 without a second scan).
+      aggregate (C4 without a second scan);
+    * the own flag of a (platform, brand) comes from its rows inside the two
+      windows (the reference reads it from the whole table; the two differ
+      only for a brand whose flag changed outside the windows).
     """
     valid = (dim.where(F.col("is_platform_bundle").isNull()).select("product_id").distinct()
              .withColumn("__valid", F.lit(1)))
@@ -137,6 +151,7 @@ def brand_metrics(facts: DataFrame, dim: DataFrame, l1, l2,
         F.sum(F.when(asp, F.col("price") * qty_w)).alias("wt_price"),
         F.sum("total_impressions").alias("__ti"),
         F.sum("ad_impressions").alias("__ai"),
+        F.collect_set(F.coalesce(F.col("is_own_brand"), F.lit(-1))).alias("__flags"),
     )
     wt = Window.partitionBy("date_period", *total_keys)
     ti = F.round(F.col("__ti"), 0)
@@ -152,10 +167,9 @@ def brand_metrics(facts: DataFrame, dim: DataFrame, l1, l2,
 
     g = (g.withColumn("sov", sov(ti, mti))
          .withColumn("ad_sov", sov(ai, mai))
-         .withColumn("organic_sov", sov(oi, moi))
-         .where(F.col("__has_valid") == 1))
-    flags = brand_flags(facts, ("account", "gc_platform", "brand"))
-    out = g.join(flags, ["account", "gc_platform", "brand"], "left")
+         .withColumn("organic_sov", sov(oi, moi)))
+    out = attach_flags(g, "__flags", [k for k in keys if k in ("account", "gc_platform", "brand")])
+    out = out.where(F.col("__has_valid") == 1)
     lowered = {"gc_platform", "bgr"}
     return out.select(
         *[F.lower(k).alias(k) if k in lowered else F.col(k) for k in keys],
