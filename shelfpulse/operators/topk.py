@@ -14,10 +14,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Salt slices for two-phase top-k over candidate sets whose size grows with the data.
+SKEW_SALT = 16
+
+
 def top_k(df: DataFrame, part_keys: Sequence[str], order: Sequence[Column], k: int,
-          cut: Column | None = None, rank_col: str | None = "rank") -> DataFrame:
-    """Rows passing ``cut``, first ``k`` per partition by ``order`` (F2)."""
+          cut: Column | None = None, rank_col: str | None = "rank",
+          salt: int | None = None) -> DataFrame:
+    """Rows passing ``cut``, first ``k`` per partition by ``order`` (F2).
+
+    With ``salt`` the selection runs in two phases: first ``k`` inside each of
+    ``salt`` hash slices of a partition (parallel tasks even when one partition
+    holds a large share of the rows), then first ``k`` of those survivors.  The
+    global first ``k`` rows are always among the slice winners, so the result
+    is exact; only ``salt * k`` rows per partition reach the second phase.
+    """
     d = df if cut is None else df.where(cut)
+    if salt:
+        d = d.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in d.columns]), F.lit(salt)))
+        w1 = Window.partitionBy(*part_keys, "__salt").orderBy(*order)
+        d = d.withColumn("__rn1", F.row_number().over(w1)).where(F.col("__rn1") <= k).drop("__rn1", "__salt")
     w = Window.partitionBy(*part_keys).orderBy(*order)
     d = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
     if rank_col:
@@ -34,9 +50,9 @@ def top_k_for(drivers: DataFrame, df: DataFrame, keys: Sequence[str], order: Seq
 
 
 def two_stage_top(df: DataFrame, part_keys: Sequence[str], order1: Sequence[Column], k1: int,
-                  order2: Sequence[Column], k2: int) -> DataFrame:
+                  order2: Sequence[Column], k2: int, salt: int | None = SKEW_SALT) -> DataFrame:
     """Top ``k1`` by ``order1``, then of those top ``k2`` by ``order2``."""
-    first = top_k(df, part_keys, order1, k1, rank_col="stage1_rank")
+    first = top_k(df, part_keys, order1, k1, rank_col="stage1_rank", salt=salt)
     return top_k(first, part_keys, order2, k2, rank_col="stage2_rank")
 
 
@@ -70,10 +86,11 @@ def top_metrics(df: DataFrame, keys: Sequence[str], metric_cols: Sequence[str],
                      F.transform(top, lambda x: x["value"]).alias("top_values"))
 
 
-def max_abs_row(df: DataFrame, keys: Sequence[str], col: str, tie: Sequence[str] = ()) -> DataFrame:
+def max_abs_row(df: DataFrame, keys: Sequence[str], col: str, tie: Sequence[str] = (),
+                salt: int | None = SKEW_SALT) -> DataFrame:
     """Row with the largest absolute ``col`` per group (F8)."""
     order = [F.abs(F.col(col)).desc_nulls_last()] + [F.col(t).asc_nulls_last() for t in tie]
-    return top_k(df, keys, order, 1, rank_col=None)
+    return top_k(df, keys, order, 1, rank_col=None, salt=salt)
 
 
 def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

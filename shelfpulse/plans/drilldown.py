@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfpulse.operators.aggregates import impact_split
 from shelfpulse.operators.periods import share_impact
-from shelfpulse.operators.topk import top_k
+from shelfpulse.operators.topk import SKEW_SALT, top_k
 
 CITY = ["account", "gc_platform", "bgr", "gc_city", "brand"]
 CAT = ["account", "gc_platform", "bgr", "brand"]
@@ -114,7 +114,8 @@ def driver_skus(rows: DataFrame, sku_cmp: DataFrame, direction: str = "down",
     d = sku_cmp.join(rows.select(*keys).distinct(), list(keys), "left_semi")
     first = (F.col("change_market_share").asc_nulls_last() if direction == "down"
              else F.col("change_market_share").desc_nulls_last())
-    return top_k(d, keys, [first, F.col("product_id").asc_nulls_last()], 1, rank_col=None)
+    return top_k(d, keys, [first, F.col("product_id").asc_nulls_last()], 1, rank_col=None,
+                 salt=SKEW_SALT)
 
 
 def drilldown(ms: DataFrame, cat_ms: DataFrame, tiers: DataFrame,

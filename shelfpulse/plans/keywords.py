@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfpulse.functions.exprs import safe_div
 from shelfpulse.functions.text import kw_score, relevance
 from shelfpulse.operators.periods import filter_periods, period_label
+from shelfpulse.operators.topk import SKEW_SALT, top_k
 
 KW_GROUP = ("account", "gc_platform", "bgr", "gc_city")
 
@@ -71,17 +72,20 @@ def keyword_recs(scored: DataFrame, group: Sequence[str] = KW_GROUP, k: int = 2)
     """Keywords to bid per group (D17): the first ``k`` (by score) whose ad SOV
     fell, else the single best-scored keyword.
 
-    One ``groupBy`` per group with a sorted array of (score desc, keyword)
-    structs -- bounded by the number of keywords of one category x city.
+    Two salted top-k selections (falling keywords, any keyword) keep at most
+    ``k + 1`` rows per group; only those are gathered into the list, so a
+    category with very many keywords never lands in one task or one array.
     """
-    item = F.struct((-F.col("final_score")).alias("o"), F.col("keyword").alias("keyword"),
-                    (F.col("sov_dr1") < F.col("sov_dr2")).alias("fell"))
-    g = scored.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("__a"))
-    fell = F.transform(F.filter("__a", lambda x: F.coalesce(x["fell"], F.lit(False))),
-                       lambda x: x["keyword"])
-    best = F.slice(F.transform("__a", lambda x: x["keyword"]), 1, 1)
-    return g.select(*group, F.when(F.size(fell) > 0, F.slice(fell, 1, k)).otherwise(best)
-                    .alias("recommended_keywords"))
+    order = [F.col("final_score").desc_nulls_last(), F.col("keyword").asc_nulls_last()]
+    fell = F.coalesce(F.col("sov_dr1") < F.col("sov_dr2"), F.lit(False))
+    top_fell = top_k(scored, group, order, k, fell, rank_col="__r", salt=SKEW_SALT).withColumn("__src", F.lit(1))
+    best = top_k(scored, group, order, 1, rank_col="__r", salt=SKEW_SALT).withColumn("__src", F.lit(2))
+    both = top_fell.unionByName(best).select(*group, "keyword", "__r", "__src")
+    g = both.groupBy(*group).agg(
+        F.min("__src").alias("__use"),
+        F.collect_list(F.struct("__src", "__r", "keyword")).alias("__a"))
+    picked = F.filter(F.array_sort("__a"), lambda x: x["__src"] == F.col("__use"))
+    return g.select(*group, F.transform(picked, lambda x: x["keyword"]).alias("recommended_keywords"))
 
 
 def keyword_brand_sov(kw: DataFrame, dim: DataFrame, l1, l2,

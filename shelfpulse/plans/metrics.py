@@ -64,7 +64,7 @@ def market_share(facts: DataFrame, dim: DataFrame, l1, l2,
         F.sum(F.when(F.col("is_own_brand") == 1, F.col("reported_offtake_mrp"))
               .otherwise(F.col("normalized_offtake"))).cast("double").alias("actual_sum"),
         F.sum("normalized_offtake").alias("__n"),
-        F.collect_set(F.coalesce(F.col("is_own_brand"), F.lit(-1))).alias("__flags"))
+        *flag_parts())
     w = Window.partitionBy("date_period", *part_keys)
     size = F.sum("__n").over(w)
     agg = (agg.withColumn("category_size", size.cast("double"))
@@ -73,20 +73,31 @@ def market_share(facts: DataFrame, dim: DataFrame, l1, l2,
                        .otherwise(F.round(safe_div(100 * F.col("__n").cast("double"),
                                                    F.col("category_size")), 1)))
            .drop("__n"))
-    return attach_flags(agg, "__flags", [k for k in keys if k in ("account", "gc_platform", "brand")])
+    return attach_flags(agg, [k for k in keys if k in ("account", "gc_platform", "brand")])
 
 
-def attach_flags(agg: DataFrame, flags_col: str, flag_keys: Sequence[str]) -> DataFrame:
-    """Own flag per (platform, brand) from per-group flag sets, as a window over
-    the aggregate (C6 without a second pass over the facts).
+def flag_parts(col: str = "is_own_brand") -> list:
+    """Per-group presence of each own-flag value (0, 1, NULL): three bounded ints."""
+    c = F.col(col)
+    return [F.max(F.when(c == 0, 1).otherwise(0)).alias("__f0"),
+            F.max(F.when(c == 1, 1).otherwise(0)).alias("__f1"),
+            F.max(F.when(c.isNull(), 1).otherwise(0)).alias("__fn")]
+
+
+def attach_flags(agg: DataFrame, flag_keys: Sequence[str]) -> DataFrame:
+    """Own flag per (platform, brand) from the per-group flag presence, as a
+    window over the aggregate (C6 without a second pass over the facts).
 
     A brand carrying two flags yields two rows, exactly like a left join to
-    the distinct (platform, brand, flag) rows; -1 stands for a NULL flag.
+    the distinct (platform, brand, flag) rows.  The window only takes three
+    maxima per key, so a brand present in very many groups costs O(rows).
     """
     w = Window.partitionBy(*flag_keys)
-    allf = F.array_distinct(F.flatten(F.collect_list(flags_col).over(w)))
-    out = agg.withColumn("__allf", allf).drop(flags_col)
-    out = out.withColumn("__f", F.explode_outer("__allf")).drop("__allf")
+    present = F.array(F.when(F.max("__f0").over(w) == 1, F.lit(0)),
+                      F.when(F.max("__f1").over(w) == 1, F.lit(1)),
+                      F.when(F.max("__fn").over(w) == 1, F.lit(-1)))
+    out = agg.withColumn("__allf", F.filter(present, lambda x: x.isNotNull()))
+    out = out.drop("__f0", "__f1", "__fn").withColumn("__f", F.explode_outer("__allf")).drop("__allf")
     return out.withColumn("is_own_brand", F.when(F.col("__f") == -1, F.lit(None).cast("int"))
                           .otherwise(F.col("__f").cast("int"))).drop("__f")
 
@@ -151,7 +162,7 @@ def brand_metrics(facts: DataFrame, dim: DataFrame, l1, l2,
         F.sum(F.when(asp, F.col("price") * qty_w)).alias("wt_price"),
         F.sum("total_impressions").alias("__ti"),
         F.sum("ad_impressions").alias("__ai"),
-        F.collect_set(F.coalesce(F.col("is_own_brand"), F.lit(-1))).alias("__flags"),
+        *flag_parts(),
     )
     wt = Window.partitionBy("date_period", *total_keys)
     ti = F.round(F.col("__ti"), 0)
@@ -168,7 +179,7 @@ def brand_metrics(facts: DataFrame, dim: DataFrame, l1, l2,
     g = (g.withColumn("sov", sov(ti, mti))
          .withColumn("ad_sov", sov(ai, mai))
          .withColumn("organic_sov", sov(oi, moi)))
-    out = attach_flags(g, "__flags", [k for k in keys if k in ("account", "gc_platform", "brand")])
+    out = attach_flags(g, [k for k in keys if k in ("account", "gc_platform", "brand")])
     out = out.where(F.col("__has_valid") == 1)
     lowered = {"gc_platform", "bgr"}
     return out.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfpulse.functions.exprs import row_weight, safe_div
 from shelfpulse.operators.periods import _d, filter_periods, period_label
-from shelfpulse.operators.windows import pareto_tag
+from shelfpulse.operators.windows import pareto_tag, ranked_running_share
 
 STORE_KEYS = ("account", "gc_platform", "gc_city", "bgr", "product_id", "title", "store_id",
               "locality")
@@ -42,22 +42,19 @@ def store_period_metrics(loc: DataFrame, l1, l2, keys: Sequence[str] = STORE_KEY
 
 
 def pareto_tags(spm: DataFrame, part: Sequence[str] = PARETO_PART,
-                tie: Sequence[str] = ("product_id", "store_id", "locality", "title")) -> DataFrame:
+                tie: Sequence[str] = ("product_id", "store_id", "locality", "title"),
+                buckets: int = 32) -> DataFrame:
     """Rank SKU x store by impact inside period x platform x city x category,
     cumulative share of impact, Pareto tag (E5-E7).
 
+    A city x category can hold very many store x SKU rows, so rank and running
+    share come from the bucketed, parallel form (``ranked_running_share``)
+    rather than one sorted window per partition; the result is identical.
     ``contribution_weight_pf`` is reported rounded to 3 decimals; the tag is
     decided on the unrounded share.
     """
-    order = [F.col("total_mtd_impact_pf").desc_nulls_first()] + [F.col(t).asc_nulls_last() for t in tie]
-    w = Window.partitionBy(*part).orderBy(*order)
-    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy(*part)
-    # running sums over the exact DECIMAL impact: a double running sum would
-    # depend on how the engine associates the additions
-    d = (spm.withColumn("sku_rank_pf", F.row_number().over(w).cast("bigint"))
-         .withColumn("__cum", safe_div(F.sum("__imp").over(w_run).cast("double"),
-                                       F.sum("__imp").over(w_all).cast("double"))))
+    d = ranked_running_share(spm, part, "total_mtd_impact_pf", "__imp", tie, buckets,
+                             rank_out="sku_rank_pf", cum_out="__cum")
     return (d.withColumn("psl_tags_pf", pareto_tag("__cum", "sku_rank_pf", "total_mtd_impact_pf"))
             .withColumn("contribution_weight_pf", F.round("__cum", 3)).drop("__cum"))
 

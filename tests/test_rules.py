@@ -140,3 +140,31 @@ def test_html_month_argument(spark, month):
     df = spark.createDataFrame([("<table></table>",)], "html string")
     with pytest.raises(ValueError):
         extract_table_rows(df, 2024, month)
+
+
+def test_ranked_running_share_matches_plain_window(spark):
+    from shelfpulse.operators.windows import ranked_running_share, rank_in, running_share
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", float((i * 37) % 11) if i % 5 else None, f"k{i}")
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, v double, k string").selectExpr(
+        "*", "cast(v as decimal(10,2)) as dv")
+    order = [F.col("v").desc_nulls_first(), F.col("k").asc_nulls_last()]
+    plain = running_share(rank_in(df, ["g"], order, "r"), ["g"], order, "dv", "c")
+    split = ranked_running_share(df, ["g"], "v", "dv", ["k"], buckets=4, rank_out="r2", cum_out="c2")
+    a = {(r.g, r.k): (r.r, r.c) for r in plain.collect()}
+    b = {(r.g, r.k): (r.r2, r.c2) for r in split.collect()}
+    assert a.keys() == b.keys()
+    for key, (r, c) in a.items():
+        r2, c2 = b[key]
+        assert r == r2
+        assert (c is None and c2 is None) or abs(c - c2) < 1e-12
+
+
+def test_salted_top_k_is_exact(spark):
+    from shelfpulse.operators.topk import top_k
+    rows = [(f"g{i % 2}", float((i * 53) % 17), f"k{i:03d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double, k string")
+    order = [F.col("v").desc(), F.col("k").asc()]
+    a = sorted(tuple(r) for r in top_k(df, ["g"], order, 3).collect())
+    b = sorted(tuple(r) for r in top_k(df, ["g"], order, 3, salt=8).collect())
+    assert a == b
