@@ -132,3 +132,25 @@ _reg("drilldown_up", "up", "brand_rows", "SELECT * FROM brand_rows")
 _reg("rising_competitors", "down", "competitors", "SELECT * FROM comps")
 _reg("driver_sku", "down", "own_sku", "SELECT * FROM own_sku")
 _ = F
+
+
+def drivers_sql(direction: str, suffix: str) -> str:
+    """The category-driver CTEs of one direction under suffixed names (to sit
+    next to the other direction's CTEs in one statement)."""
+    cat_cut = D.CUTS[direction][0]
+    side = "impact_loss" if direction == "down" else "impact_gain"
+    cmp_ = "<" if direction == "down" else ">"
+    order = "ASC" if direction == "down" else "DESC"
+    return f""",
+cand{suffix} AS (
+  SELECT s.account, s.gc_platform, s.bgr, s.brand, s.is_own_brand, s.{side} AS sales_impact,
+    {', '.join('c.' + x.strip() for x in IMP.split(','))}
+  FROM split s LEFT JOIN cat_imp c ON {on('s', 'c', CAT)}
+  WHERE s.{side} IS NOT NULL
+),
+drivers{suffix} AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY account, gc_platform ORDER BY sales_impact {order} NULLS LAST,
+      bgr ASC NULLS LAST, brand ASC NULLS LAST) AS rank
+    FROM cand{suffix} WHERE sales_impact {cmp_} {cat_cut}) WHERE rank <= 2
+)"""

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shelfpulse.checks.oracle_views import with_views
+from shelfpulse.checks.q_core import MARKET_SHARE_SQL_CTES
+from shelfpulse.checks.q_drill import drill_ctes, drivers_sql
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import report as R
 from shelfpulse.session import checkpoint_dir
@@ -116,14 +119,14 @@ def _report_parts(spark, sf):
     return summary, down, up
 
 
-SUMMARY_COLS = ["gc_platform", "offtake_text", "change_text", "top_gainer", "top_drainer"]
+SUMMARY_COLS = ["gc_platform", "offtake", "prev_offtake", "share_delta", "gainers", "drainers"]
 DRIVER_COLS = ["bgr", "brand", "pct_change", "sales_impact"]
 
 
 def _markers(spark, sf):
     summary, down, up = _report_parts(spark, sf)
     parts = [
-        R.to_markers(summary, "1*", [F.col("offtake_dr1").desc(), F.col("gc_platform")], SUMMARY_COLS, 4),
+        R.to_markers(summary, "1*", [F.col("offtake").desc(), F.col("gc_platform")], SUMMARY_COLS, 4),
         R.to_markers(down["drivers"], "ZD1_", [F.col("sales_impact").asc(), F.col("gc_platform"), F.col("bgr")],
                      DRIVER_COLS, 2),
         R.to_markers(up["drivers"], "ZG1_", [F.col("sales_impact").desc(), F.col("gc_platform"), F.col("bgr")],
@@ -145,11 +148,67 @@ MARKERS = (["Brand", "m1", "m2"] + R.marker_names("1*", len(SUMMARY_COLS), 4)
            + R.marker_names("ZD1_", len(DRIVER_COLS), 2) + R.marker_names("ZG1_", len(DRIVER_COLS), 2))
 
 
-@register("offtake_summary")
+def fmt_amt_sql(x: str) -> str:
+    return (f"CASE WHEN {x} >= 1e7 THEN '₹' || printf('%.1f', round({x} / 1e7, 1)) || ' Cr ' "
+            f"ELSE '₹' || printf('%.1f', round({x} / 1e5, 1)) || ' L' END")
+
+
+GAIN_DRAIN_SQL = drill_ctes("down") + drivers_sql("up", "_up") + """,
+g AS (SELECT account, gc_platform, bgr AS gainers_bgr, pct_change AS gainers_change,
+        bgr || '(' || printf('%.1f', round(pct_change, 1)) || '%)' AS gainers
+      FROM drivers_up WHERE rank = 1),
+d AS (SELECT account, gc_platform, bgr AS drainers_bgr, pct_change AS drainers_change,
+        bgr || '(' || printf('%.1f', round(pct_change, 1)) || '%)' AS drainers
+      FROM drivers WHERE rank = 1),
+m AS (SELECT coalesce(g.account, d.account) AS account, coalesce(g.gc_platform, d.gc_platform) AS gc_platform,
+        coalesce(gainers_bgr, '') AS gb, coalesce(drainers_bgr, '') AS db, coalesce(gainers_change, 0.0) AS gc,
+        coalesce(gainers, '') AS gainers, coalesce(drainers, '') AS drainers
+      FROM g FULL JOIN d ON g.account = d.account AND g.gc_platform = d.gc_platform),
+gdm AS (SELECT account, gc_platform,
+        CASE WHEN gb = db AND NOT gc > 0 THEN '' ELSE gainers END AS gainers,
+        CASE WHEN gb = db AND gc > 0 THEN '' ELSE drainers END AS drainers FROM m),
+po AS (SELECT account, gc_platform,
+        coalesce(CAST(SUM(CASE WHEN date_period = 'dr1' THEN CAST(actual_sum AS DECIMAL(38,6)) END) AS DOUBLE), 0.0) AS o1,
+        coalesce(CAST(SUM(CASE WHEN date_period = 'dr2' THEN CAST(actual_sum AS DECIMAL(38,6)) END) AS DOUBLE), 0.0) AS o2
+       FROM ms WHERE is_own_brand = 1 GROUP BY 1, 2)"""
+
+
+@register("gain_drain_merge", with_views(GAIN_DRAIN_SQL + "\nSELECT * FROM gdm", ("pid_metrics", "product_dim")))
+def q_gain_drain_merge(spark, sf):
+    _, down, up = _report_parts(spark, sf)
+    return R.gain_drain_merge(up["drivers"], down["drivers"])
+
+
+@register("offtake_summary", with_views(GAIN_DRAIN_SQL + f"""
+SELECT po.account, po.gc_platform, po.o1 AS offtake, {fmt_amt_sql('po.o2')} AS prev_offtake,
+  CASE WHEN po.o1 - po.o2 > 0 THEN '(↑ ' ELSE '(↓ ' END || {fmt_amt_sql('abs(po.o1 - po.o2)')} || ')' AS share_delta,
+  coalesce(gdm.gainers, '') AS gainers, coalesce(gdm.drainers, '') AS drainers
+FROM po LEFT JOIN gdm ON po.account = gdm.account AND po.gc_platform = gdm.gc_platform""",
+                                          ("pid_metrics", "product_dim")))
 def q_offtake_summary(spark, sf):
     return _report_parts(spark, sf)[0]
 
 
+@register("platform_mix", with_views(MARKET_SHARE_SQL_CTES + """,
+p AS (SELECT account, gc_platform,
+        coalesce(SUM(CASE WHEN date_period = 'dr2' THEN CAST(actual_sum AS DECIMAL(38,6)) END), 0) AS m1,
+        coalesce(SUM(CASE WHEN date_period = 'dr1' THEN CAST(actual_sum AS DECIMAL(38,6)) END), 0) AS m2
+      FROM ms GROUP BY 1, 2),
+t AS (SELECT *, SUM(m1) OVER (PARTITION BY account) AS t1, SUM(m2) OVER (PARTITION BY account) AS t2,
+        row_number() OVER (PARTITION BY account ORDER BY m1 + m2 DESC, gc_platform) AS platform_rank FROM p)
+SELECT account, gc_platform, platform_rank, CAST(m1 AS DOUBLE) AS offtake_dr2, CAST(m2 AS DOUBLE) AS offtake_dr1,
+  round(100 * CAST(m1 AS DOUBLE) / CAST(t1 AS DOUBLE), 1) AS share_dr2,
+  round(100 * CAST(m2 AS DOUBLE) / CAST(t2 AS DOUBLE), 1) AS share_dr1,
+  round(100 * CAST(m2 AS DOUBLE) / CAST(t2 AS DOUBLE), 1) - round(100 * CAST(m1 AS DOUBLE) / CAST(t1 AS DOUBLE), 1) AS share_delta,
+  round(100 * CAST(t2 - t1 AS DOUBLE) / CAST(t1 AS DOUBLE), 1) AS total_change_pct
+FROM t WHERE platform_rank <= 3""", ("pid_metrics", "product_dim")))
+def q_platform_mix(spark, sf):
+    from shelfpulse.plans import metrics as M
+    from shelfpulse.sources.views import Views
+    v = Views.shared(spark, sf)
+    return R.platform_mix(M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2))
+
+
 @register("markers_long")
 def q_markers_long(spark, sf):
     return _markers(spark, sf)

@@ -28,37 +28,77 @@ def platform_offtake(ms: DataFrame) -> DataFrame:
     return p.withColumn("offtake_change", F.col("offtake_dr1") - F.col("offtake_dr2"))
 
 
+def first_per_platform(drivers: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
+    """First driver category per account x platform with ``category(x.x%)`` text."""
+    w = Window.partitionBy("account", "gc_platform").orderBy(*order)
+    d = drivers.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
+    return d.select("account", "gc_platform", F.col("bgr").alias(f"{label}_bgr"),
+                    F.col("pct_change").alias(f"{label}_change"),
+                    F.concat(F.col("bgr"), F.lit("("), fixed("pct_change"), F.lit("%)")).alias(label))
+
+
+def gain_drain_merge(best: DataFrame, worst: DataFrame) -> DataFrame:
+    """Top gaining and draining category per platform.
+
+    Full outer merge on the platform with blanks / zeros filled; when the same
+    category (also: both missing) is on both sides, the drainer is blanked if
+    the gainer's change is positive, else the gainer is blanked.
+    """
+    g = first_per_platform(best, [F.col("sales_impact").desc_nulls_last(), F.col("bgr"),
+                                  F.col("brand")], "gainers")
+    d = first_per_platform(worst, [F.col("sales_impact").asc_nulls_last(), F.col("bgr"),
+                                   F.col("brand")], "drainers")
+    m = g.join(d, ["account", "gc_platform"], "full")
+    m = (m.na.fill({"gainers_bgr": "", "drainers_bgr": "", "gainers": "", "drainers": ""})
+         .na.fill({"gainers_change": 0.0, "drainers_change": 0.0}))
+    same = F.col("gainers_bgr") == F.col("drainers_bgr")
+    pos = F.col("gainers_change") > 0
+    return m.select("account", "gc_platform",
+                    F.when(same & ~pos, F.lit("")).otherwise(F.col("gainers")).alias("gainers"),
+                    F.when(same & pos, F.lit("")).otherwise(F.col("drainers")).alias("drainers"))
+
+
 def offtake_summary(ms: DataFrame, best: DataFrame, worst: DataFrame) -> DataFrame:
-    """Per account x platform: sales, change text, top gainer and top drainer.
+    """Per account x platform: own sales now, before (text), change text, top
+    gainer and drainer category (H15).
 
-    Gainer / drainer = first best / worst category per platform (D18) as
-    ``category(+x.x%)`` text; when the same category is both, the drainer is
-    blanked if its change is positive and the gainer otherwise (B18).
+    Sales sums are the own-brand ``actual_sum`` of each period (pivot with 0
+    fill, D15); platforms without drivers get blanks (outer merge, C14).
     """
     base = platform_offtake(ms)
-    w = Window.partitionBy("account", "gc_platform")
-
-    def first(df, order, out):
-        d = df.withColumn("__rn", F.row_number().over(w.orderBy(*order))).where("__rn = 1")
-        return d.select("account", "gc_platform", F.col("bgr").alias(f"{out}_bgr"),
-                        F.col("pct_change").alias(f"{out}_change"))
-    g = first(best, [F.col("sales_impact").desc_nulls_last(), F.col("bgr"), F.col("brand")], "gainer")
-    d = first(worst, [F.col("sales_impact").asc_nulls_last(), F.col("bgr"), F.col("brand")], "drainer")
-    j = base.join(g, ["account", "gc_platform"], "left").join(d, ["account", "gc_platform"], "left")
-    same = F.col("gainer_bgr").eqNullSafe(F.col("drainer_bgr"))
-
-    def label(bgr, ch):
-        return F.when(F.col(bgr).isNotNull(),
-                      F.concat(F.col(bgr), F.lit("("), fixed(F.col(ch)), F.lit("%)")))
-    gainer = F.when(same & (F.col("drainer_change") > 0), label("gainer_bgr", "gainer_change")) \
-        .when(same, F.lit("")).otherwise(label("gainer_bgr", "gainer_change"))
-    drainer = F.when(same & (F.col("drainer_change") > 0), F.lit("")) \
-        .otherwise(label("drainer_bgr", "drainer_change"))
-    return j.select("account", "gc_platform", "offtake_dr1", "offtake_dr2", "offtake_change",
-                    fmt_amount("offtake_dr1").alias("offtake_text"),
-                    fmt_change("offtake_change").alias("change_text"),
-                    F.coalesce(gainer, F.lit("")).alias("top_gainer"),
-                    F.coalesce(drainer, F.lit("")).alias("top_drainer"))
+    cat = gain_drain_merge(best, worst)
+    j = base.join(cat, ["account", "gc_platform"], "left").na.fill({"gainers": "", "drainers": ""})
+    return j.select("account", "gc_platform", F.col("offtake_dr1").alias("offtake"),
+                    fmt_amount("offtake_dr2").alias("prev_offtake"),
+                    fmt_change("offtake_change").alias("share_delta"),
+                    "gainers", "drainers")
+
+
+def platform_mix(ms: DataFrame, n: int = 3) -> DataFrame:
+    """Total change and platform shares in both periods, top ``n`` platforms.
+
+    The reference reads month numbers nobody produces (X12); here the two
+    periods are the two columns.  Shares use SQL rounding to one decimal; the
+    top platforms are the ``n`` largest by combined sales (F6).
+    """
+    v = F.col("actual_sum").cast("decimal(38,6)")
+    p = ms.groupBy("account", "gc_platform").agg(
+        F.coalesce(F.sum(F.when(F.col("date_period") == "dr2", v)), F.lit(0)).alias("__m1"),
+        F.coalesce(F.sum(F.when(F.col("date_period") == "dr1", v)), F.lit(0)).alias("__m2"))
+    wa = Window.partitionBy("account")
+    t1 = F.sum("__m1").over(wa)
+    t2 = F.sum("__m2").over(wa)
+    d = (p.withColumn("share_dr2", F.round(F.try_divide(100 * F.col("__m1").cast("double"), t1.cast("double")), 1))
+         .withColumn("share_dr1", F.round(F.try_divide(100 * F.col("__m2").cast("double"), t2.cast("double")), 1))
+         .withColumn("total_change_pct", F.round(F.try_divide(
+             100 * (t2 - t1).cast("double"), t1.cast("double")), 1)))
+    d = d.withColumn("share_delta", F.col("share_dr1") - F.col("share_dr2"))
+    w = Window.partitionBy("account").orderBy((F.col("__m1") + F.col("__m2")).desc(), F.col("gc_platform"))
+    d = d.withColumn("platform_rank", F.row_number().over(w).cast("bigint")).where(F.col("platform_rank") <= n)
+    return d.select("account", "gc_platform", "platform_rank",
+                    F.col("__m1").cast("double").alias("offtake_dr2"),
+                    F.col("__m2").cast("double").alias("offtake_dr1"),
+                    "share_dr2", "share_dr1", "share_delta", "total_change_pct")
 
 
 def to_markers(df: DataFrame, prefix: str, order: Sequence[Column], cols: Sequence[str],
