@@ -35,7 +35,7 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
     from shelfpulse.checks import (q_core, q_drill, q_keywords, q_metrics, q_ops, q_ops2,  # noqa: F401
-                                   q_report, q_stores, q_summaries, q_tiers)
+                                   q_recs, q_report, q_stores, q_summaries, q_tiers)
 
 
 __all__ = ["QUERIES", "ORACLE", "register", "load_all", "L1", "L2"]
