@@ -237,3 +237,24 @@ def q_template_render(spark, sf):
 def q_template_drop_empty(spark, sf):
     r = R.render_templates(_templates(spark, sf), _markers(spark, sf), leave_missing=False)
     return r.where("keep")
+
+
+@register("sheet_union")
+def q_sheet_union(spark, sf):
+    """Two sheets (customer, supplier) written as header CSVs, read back, cleaned, unioned by name."""
+    paths = {}
+    for name, cols in (("customer", ["c_custkey", "c_name", "c_nationkey"]),
+                       ("supplier", ["s_suppkey", "s_name", "s_nationkey"])):
+        path = _scratch(spark, f"sheet-{name}")
+        scan_table(spark, sf, name).select(*[F.col(c).cast("string") for c in cols]).write.option(
+            "header", True).csv(path)
+        paths[name] = path
+    return SH.union_sheets(SH.read_sheets(spark, paths))
+
+
+@register("markers_wide")
+def q_markers_wide(spark, sf):
+    """The platform-summary family alone, one wide row per account."""
+    summary, _, _ = _report_parts(spark, sf)
+    long = R.to_markers(summary, "1*", [F.col("offtake").desc(), F.col("gc_platform")], SUMMARY_COLS, 4)
+    return R.report_row(long, R.marker_names("1*", len(SUMMARY_COLS), 4))

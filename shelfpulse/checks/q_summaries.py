@@ -106,3 +106,16 @@ def q_new_launches(spark, sf):
     v = Views.shared(spark, sf)
     sku = M.sku_compare(M.product_metrics(v.pid_slice(L1, L2), None, LM1, LM2))
     return SU.new_launches(v.sku_master(), v.product_dim(), sku, LM1[1])
+
+
+@register("gain_summary")
+def q_gain_summary(spark, sf):
+    from shelfpulse.plans import keywords as K
+    v = Views.shared(spark, sf)
+    pm, dim = v.pid_slice(L1, L2), v.product_dim()
+    fr = frames(spark, sf, "up", v)
+    catm = M.category_metrics(pm, dim, L1, L2)
+    sku = M.sku_compare(M.product_metrics(pm, None, L1, L2))
+    contrib = K.contribution(pm, L1)
+    kw = K.keyword_scores(K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2))
+    return SU.gain_summary(fr["drivers"], catm, fr["cities"], fr["brand_rows"], sku, contrib, kw)

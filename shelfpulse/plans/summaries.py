@@ -1,5 +1,5 @@
 """Text summaries over the drill-down frames: impact by city (H20), what
-happened (H19), new launches (H22).
+happened (H19), gain summary (H21), new launches (H22).
 
 Each summary is a bounded per-row computation: the candidate rows of one driver
 (at most three cities, at most two competitors) are gathered with
@@ -172,3 +172,80 @@ def new_launches(sku_master: DataFrame, dim: DataFrame, sku_cmp: DataFrame, l1_e
 
 
 _ = Window
+
+
+# ------------------------------------------------------------------ H21
+def city_share_text(cities: DataFrame, drivers: DataFrame, k: int = 2) -> DataFrame:
+    """``c1 (x%)`` / ``c1 (x%) and c2 (y%)`` of each gaining driver's top cities,
+    x = city impact as % of the category impact (pandas rounding)."""
+    c = cities.where(F.col("city_rank") <= k).select(*CAT, "city_rank", "gc_city",
+                                                      F.col("sales_impact").alias("__ci"))
+    c = c.join(drivers.select(*CAT, F.col("sales_impact").alias("__di")), CAT)
+    c = c.withColumn("__t", F.concat(F.col("gc_city"), F.lit(" ("),
+                                     py_num(F.col("__ci") / F.col("__di") * 100), F.lit("%)")))
+    g = c.groupBy(*CAT).agg(F.array_sort(F.collect_list(F.struct("city_rank", "__t"))).alias("__a"))
+    return g.select(*CAT, F.array_join(F.transform("__a", lambda x: x["__t"]), " and ").alias("geo_text"))
+
+
+def gain_summary(best: DataFrame, cat_metrics: DataFrame, cities: DataFrame, brand_rows: DataFrame,
+                 sku_cmp: DataFrame, contribution: DataFrame, kw_scores: DataFrame) -> DataFrame:
+    """Result text of each gaining category and what worked.
+
+    Result: offtake gain (Cr / L), sales growth %, category share and change,
+    top cities.  What worked, per the brand row of the top city: OSA up ->
+    the two most contributing SKUs whose listing rose; ad SOV up -> two
+    relevant keywords whose ad SOV rose (relevance > 1 and change > 0, X4),
+    picked from the ten best scored; discount up -> discount and share text.
+    Lines are attached by category and brand (the reference matches on the
+    category only, so a second brand would overwrite the first).
+    """
+    m = cat_metrics.where(F.col("is_own_brand") == 1).select(*CAT, "market_share_dr1")
+    d = best.join(m, CAT, "left")
+    geo = city_share_text(cities, best)
+    d = d.join(geo, CAT, "left")
+    x = F.col("sales_impact")
+    off = F.when(x >= 1e7, F.concat(py_num(x / 1e7), F.lit(" Cr"))).otherwise(F.concat(py_num(x / 1e5), F.lit(" L")))
+    growth = py_num(F.try_divide(100 * (F.col("actual_sales_dr1") - F.col("actual_sales_dr2")),
+                                 F.col("actual_sales_dr2")))
+    ms = F.concat(F.col("market_share_dr1").cast("string"), F.lit("% ("), py_num("pct_change"), F.lit("%)"))
+    result = F.concat(F.lit("Offtake: "), off, F.lit(" ("), growth, F.lit("%)\nCategory Share: "), ms,
+                      F.lit("\n"), F.coalesce(F.col("geo_text"), F.lit("")))
+    d = d.select(*CAT, result.alias("result"), off.alias("offtake"),
+                 F.coalesce(F.col("geo_text"), F.lit("")).alias("geo_text"), ms.alias("ms"))
+
+    where = ["account", "gc_platform", "bgr", "gc_city"]
+    br = brand_rows
+    skus = (sku_cmp.join(br.select(*CITY).distinct(), CITY, "left_semi")
+            .join(contribution.select(*where, "product_id", "title", "contribution_pct"),
+                  [*where, "product_id", "title"], "left")
+            .where(F.col("change_ds_listing") > 0))
+    skus = top_k(skus, CITY, [F.col("contribution_pct").desc_nulls_last(), F.col("product_id")], 2,
+                 rank_col="__r", salt=SKEW_SALT)
+    sk = skus.groupBy(*CITY).agg(F.array_sort(F.collect_list(F.struct("__r", "title"))).alias("__s"))
+    kw = kw_scores.withColumn("change_adsov", F.col("sov_dr1") - F.col("sov_dr2")).where(
+        (F.col("relevant_score") > 1) & (F.col("change_adsov") > 0))
+    kw = kw.join(br.select(*where).distinct(), where, "left_semi")
+    kw10 = top_k(kw, where, [F.col("final_score").desc_nulls_last(), F.col("keyword")], 10, rank_col=None,
+                 salt=SKEW_SALT)
+    kw2 = top_k(kw10, where, [F.col("change_adsov").desc_nulls_last(), F.col("keyword")], 2, rank_col="__r")
+    kg = kw2.groupBy(*where).agg(F.array_sort(F.collect_list(F.struct("__r", "keyword"))).alias("__k"))
+    b = br.join(sk, CITY, "left").join(kg, where, "left")
+    titles = F.transform(F.coalesce(F.col("__s"), F.array()), lambda s: s["title"])
+    acct = F.concat(F.upper(F.substring("account", 1, 1)), F.lower(F.substring("account", 2, 1 << 30)))
+    osa_head = lambda lead: F.concat(F.lit(lead), acct, F.lit("'s OSA increased to "),
+                                     F.col("wt_osa_dr1").cast("string"), F.lit("%(+"),
+                                     F.format_string("%.0f", F.rint(F.col("change_wt_osa"))),
+                                     F.lit("%) by fixing DS listing for "))
+    osa_line = F.when(F.col("change_wt_osa") > 0, F.when(F.size(titles) == 1, F.concat(
+        osa_head("•"), titles[0], F.lit(" in "), F.col("gc_city"))).when(F.size(titles) >= 2, F.concat(
+        osa_head("• "), titles[0], F.lit(" and "), titles[1], F.lit(" in "), F.col("gc_city"))))
+    kws = F.transform(F.coalesce(F.col("__k"), F.array()), lambda s: s["keyword"])
+    sov_line = F.when(F.col("change_adsov") > 0, F.when(F.size(kws) > 0, F.concat(
+        F.lit("• SOV increased to "), py_num("ad_sov_dr1"), F.lit("(+"), py_num("change_adsov"),
+        F.lit("%) by targeting relevant keywords - "), F.array_join(kws, ", "))).otherwise(F.lit("")))
+    dis_line = F.when(F.col("change_wt_discounting") > 0, F.concat(
+        F.lit("• Discounting increased to "), F.col("wt_discounting_dr1").cast("string"), F.lit("(+"),
+        py_num("change_wt_discounting"), F.lit("%) ,resulting in market share increase to "),
+        F.col("share_dr1").cast("string"), F.lit("("), py_num("pct_change"), F.lit("%)")))
+    worked = b.select(*CAT, F.concat_ws("\n", osa_line, sov_line, dis_line).alias("what_worked"))
+    return d.join(worked, CAT, "left")
