@@ -258,3 +258,16 @@ def q_markers_wide(spark, sf):
     summary, _, _ = _report_parts(spark, sf)
     long = R.to_markers(summary, "1*", [F.col("offtake").desc(), F.col("gc_platform")], SUMMARY_COLS, 4)
     return R.report_row(long, R.marker_names("1*", len(SUMMARY_COLS), 4))
+
+
+@register("html_table_dates")
+def q_html_table_dates(spark, sf):
+    """Month-table extraction over every page (the test pages carry no tables,
+    so this returns no rows; the literal-fixture tests cover the parsing)."""
+    return PG.extract_table_rows(scan_table(spark, sf, "pages"), 2024)
+
+
+@register("html_day_cells")
+def q_html_day_cells(spark, sf):
+    """Calendar day-cell extraction over every page (none in the test pages)."""
+    return PG.extract_day_cells(scan_table(spark, sf, "pages"))

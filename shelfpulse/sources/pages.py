@@ -40,7 +40,7 @@ def extract_table_rows(pages: DataFrame, year: int, month: int | None = None,
                  F.regexp_extract(_text(cells[0]), r"^(\d{1,2})", 1).alias("day"),
                  _text(cells[1]).alias("name"))
     r = r.withColumn("date", F.try_to_date(F.concat_ws(" ", "day", "month_name", F.lit(str(year))),
-                                           F.lit("d MMMM yyyy")))
+                                           "d MMMM yyyy"))
     r = r.where(F.col("date").isNotNull())
     if month is not None:
         r = r.where(F.month("date") == int(month))

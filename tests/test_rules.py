@@ -168,3 +168,74 @@ def test_salted_top_k_is_exact(spark):
     a = sorted(tuple(r) for r in top_k(df, ["g"], order, 3).collect())
     b = sorted(tuple(r) for r in top_k(df, ["g"], order, 3, salt=8).collect())
     assert a == b
+
+
+HTML_TABLE = """
+<table><thead><tr><th>January 2024</th></tr></thead><tbody>
+<tr><td>26 Friday</td><td>Republic Day</td></tr>
+<tr><td>14 Sunday</td><td><b>Makar</b> Sankranti</td></tr>
+</tbody></table>
+<table><thead><tr><th>February</th></tr></thead><tbody>
+<tr><td>31 Saturday</td><td>Not a day</td></tr>
+<tr><td>14 Wednesday</td><td>Vasant Panchami</td></tr>
+</tbody></table>"""
+
+DAY_CELLS = """
+<td class="single-day" data-date="2024-03-25"><div class="holidayCal">Holi</div></td>
+<td class="single-day" data-date="2024-03-26"><div class="holidayCal"> </div></td>
+<td class="single-day" data-date="not-a-date"><div class="holidayCal">Bad</div></td>"""
+
+
+def test_html_month_tables(spark):
+    from shelfpulse.sources.pages import extract_table_rows
+    df = spark.createDataFrame([(HTML_TABLE,)], "html string")
+    rows = [(r.date.isoformat(), r.name) for r in extract_table_rows(df, 2024).collect()]
+    assert rows == [("2024-01-14", "Makar Sankranti"), ("2024-01-26", "Republic Day"),
+                    ("2024-02-14", "Vasant Panchami")]          # 31 February skipped, sorted
+    feb = [r.name for r in extract_table_rows(df, 2024, 2).collect()]
+    assert feb == ["Vasant Panchami"]
+
+
+def test_html_day_cells(spark):
+    from shelfpulse.sources.pages import extract_day_cells
+    df = spark.createDataFrame([(DAY_CELLS,)], "html string")
+    rows = [(r.date.isoformat(), r.name) for r in extract_day_cells(df).collect()]
+    assert rows == [("2024-03-25", "Holi")]                     # blank name and bad date dropped
+
+
+def test_merge_recommendations_moves_restore_lines(spark):
+    from shelfpulse.plans.recommendations import merge_recommendations
+    rows = [("Sov Recommendation:\n• Soap: Restore OSA to 95.0% to improve organic SOV\n• Increase Ad SOV on “x” KWs",
+             "OSA Recommendations:\n- Soap:\n• Fix DS listing in 7 stores in Pune"),
+            ("Sov Recommendation:\n• Gel: Restore OSA to 90.0% to improve organic SOV",
+             "OSA Recommendations:\n- Soap:\n• Fix DS listing in 7 stores in Pune"),
+            ("Sov Recommendation:", "OSA Recommendations:")]
+    df = spark.createDataFrame(rows, "recommendation_sov string, recommendation_osa string")
+    out = merge_recommendations(df).collect()
+    assert len(out) == 2                                        # header-only blocks dropped
+    assert out[0].recommendation_osa.endswith("• Restore OSA to 95.0% to improve organic SOV")
+    assert out[0].recommendation_sov == "Sov Recommendation:\n• Increase Ad SOV on “x” KWs"
+    assert out[1].recommendation_osa.endswith("- Gel: Restore OSA to 90.0% to improve organic SOV")
+    assert out[1].recommendation_sov is None                   # only its header was left
+
+
+def test_sheet_cleaning(spark, tmp_path):
+    from shelfpulse.sources.sheets import read_sheet
+    p = tmp_path / "s.csv"
+    p.write_text(" a ,b,,c\n1,,, \n,,,\n2,x,,\n")
+    out = read_sheet(spark, str(p))
+    assert out.columns == ["a", "b"]                            # trimmed; blank-header and all-blank columns dropped
+    assert [tuple(r) for r in out.collect()] == [("1", None), ("2", "x")]   # all-blank row dropped
+
+
+def test_template_render(spark):
+    from shelfpulse.plans.report import render_templates
+    t = spark.createDataFrame([("a", 1, "Hi {{ Brand }}, {{m1}} {{nope}}"), ("a", 2, "{{nope}}"),
+                               ("a", 3, "no keys")], "account string, slide_id int, text string")
+    v = spark.createDataFrame([("a", "Brand", "Acme"), ("a", "m1", "May")], "account string, marker string, value string")
+    out = {r.slide_id: r for r in render_templates(t, v).collect()}
+    assert out[1].rendered == "Hi Acme, May " and out[1].keep
+    assert out[2].rendered == "" and not out[2].keep            # every placeholder blank -> dropped
+    assert out[3].keep                                          # no placeholders -> kept
+    kept = {r.slide_id: r.rendered for r in render_templates(t, v, leave_missing=True).collect()}
+    assert kept[1] == "Hi Acme, May {{nope}}"
