@@ -54,15 +54,15 @@ class Inputs:
         return scores, low, recs, change
 
 
-def osa_recs(spark, sf):
-    i = Inputs(spark, sf)
+def osa_recs(spark, sf, i=None):
+    i = i or Inputs(spark, sf)
     psl_rows, counts, doi = i.store_frames()
     return RC.osa_recommendations(i.fr["brand_rows"], i.fr["drivers"], i.cat_metrics, i.fr["cities"],
                                   psl_rows, counts, doi)
 
 
-def sov_recs(spark, sf):
-    i = Inputs(spark, sf)
+def sov_recs(spark, sf, i=None):
+    i = i or Inputs(spark, sf)
     scores, low, recs, change = i.keyword_frames()
     own = i.dim.select("product_id", "is_own_brand")
     sku = (M.sku_compare(M.product_metrics(i.pm, None, L1, L2)).join(own, "product_id", "left")
@@ -92,6 +92,7 @@ def q_discount_recs(spark, sf):
 @register("text_rules")
 def q_text_rules(spark, sf):
     cat = ["account", "gc_platform", "bgr", "brand"]
-    o = osa_recs(spark, sf).select(*cat, F.col("recommendation").alias("recommendation_osa"))
-    s = sov_recs(spark, sf).select(*cat, "gc_city", F.col("recommendation").alias("recommendation_sov"))
+    i = Inputs(spark, sf)
+    o = osa_recs(spark, sf, i).select(*cat, F.col("recommendation").alias("recommendation_osa"))
+    s = sov_recs(spark, sf, i).select(*cat, "gc_city", F.col("recommendation").alias("recommendation_sov"))
     return RC.merge_recommendations(s.join(o, cat, "full"))

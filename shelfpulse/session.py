@@ -31,7 +31,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
-        builder = builder.master(master)
+        # local runs only: the whole job lives in the driver JVM
+        builder = builder.master(master).config("spark.driver.memory", "16g")
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
