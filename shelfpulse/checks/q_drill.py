@@ -101,15 +101,26 @@ own_sku AS (
 )""")
 
 
+def inputs(v):
+    """Memoised metric frames over the window slice (built once per session)."""
+    pm, dim = v.pid_slice(L1, L2), v.product_dim()
+    return {
+        "ms": lambda: v.memo(("ms", L1, L2), lambda: M.market_share(pm, dim, L1, L2)),
+        "cms": lambda: v.memo(("cms", L1, L2), lambda: M.market_share_category(pm, L1, L2)),
+        "tiers": lambda: v.memo(("tiers_q", L1), lambda: TR.price_tiers(pm, dim, L1, method="quantile")),
+        "ch": lambda: v.memo(("bm_change", L1, L2), lambda: M.brand_metrics_change(
+            M.brand_metrics(pm, dim, L1, L2))),
+        "sku": lambda: v.memo(("sku_cmp", L1, L2), lambda: M.sku_compare(M.product_metrics(pm, None, L1, L2))),
+    }
+
+
 def frames(spark, sf, direction, views=None):
     v = views or Views.shared(spark, sf)
-    pm, dim = v.pid_slice(L1, L2), v.product_dim()
-    ms = M.market_share(pm, dim, L1, L2)
-    cms = M.market_share_category(pm, L1, L2)
-    tiers = TR.price_tiers(pm, dim, L1, method="quantile")
-    ch = M.brand_metrics_change(M.brand_metrics(pm, dim, L1, L2))
-    sku = M.sku_compare(M.product_metrics(pm, None, L1, L2))
-    return D.drilldown(ms, cms, tiers, ch, sku, direction)
+
+    def build():
+        i = inputs(v)
+        return D.drilldown(i["ms"], i["cms"], i["tiers"], i["ch"], i["sku"], direction)
+    return v.memo(("drill", direction), build)
 
 
 BRAND_ROW_COLS = None  # the Spark frame carries exactly the SQL columns

@@ -118,19 +118,35 @@ def driver_skus(rows: DataFrame, sku_cmp: DataFrame, direction: str = "down",
                  salt=SKEW_SALT)
 
 
-def drilldown(ms: DataFrame, cat_ms: DataFrame, tiers: DataFrame,
-              metrics_change: DataFrame | None, sku_cmp: DataFrame | None,
-              direction: str = "down") -> dict[str, DataFrame]:
-    """All drill-down frames of one direction, lazily."""
-    own = city_impacts(ms, 1)
-    comp = city_impacts(ms, 0)
-    cat_imp = share_impact(cat_ms.where(F.col("is_own_brand") == 1), CAT)
-    drivers = category_drivers(own, cat_imp, direction)
-    cities = driver_cities(drivers, own, direction)
-    brand_rows = driver_brand_rows(cities, tiers, metrics_change)
-    comps = rising_competitors(brand_rows, comp, tiers)
-    out = {"drivers": drivers, "cities": cities, "brand_rows": brand_rows, "competitors": comps}
-    if sku_cmp is not None:
-        out["own_sku"] = driver_skus(brand_rows, sku_cmp, direction)
-        out["comp_sku"] = driver_skus(comps, sku_cmp, "up")
-    return out
+class LazyFrames(dict):
+    """Mapping whose frames are built on first access (plan construction in
+    PySpark analyses every step, so frames a caller never reads are never built)."""
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self._builders[key](self)
+        self[key] = value
+        return value
+
+
+def drilldown(ms, cat_ms, tiers, metrics_change, sku_cmp, direction: str = "down") -> LazyFrames:
+    """All drill-down frames of one direction, built lazily on access.
+
+    Inputs may be DataFrames or zero-argument callables returning them.
+    """
+    def get(x):
+        return x() if callable(x) else x
+    return LazyFrames({
+        "own": lambda f: city_impacts(get(ms), 1),
+        "comp": lambda f: city_impacts(get(ms), 0),
+        "cat_imp": lambda f: share_impact(get(cat_ms).where(F.col("is_own_brand") == 1), CAT),
+        "drivers": lambda f: category_drivers(f["own"], f["cat_imp"], direction),
+        "cities": lambda f: driver_cities(f["drivers"], f["own"], direction),
+        "brand_rows": lambda f: driver_brand_rows(f["cities"], get(tiers), get(metrics_change)),
+        "competitors": lambda f: rising_competitors(f["brand_rows"], f["comp"], get(tiers)),
+        "own_sku": lambda f: driver_skus(f["brand_rows"], get(sku_cmp), direction),
+        "comp_sku": lambda f: driver_skus(f["competitors"], get(sku_cmp), "up"),
+    })

@@ -52,6 +52,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self._memo(("table", name), lambda: scan_table(self.spark, self.base, name))
 
+    def memo(self, key, build):
+        """Session-wide memo of derived frames (plans are built once per session)."""
+        return self._memo(("derived", key), build)
+
     def _memo(self, key, build):
         if key not in self._cache:
             self._cache[key] = build()
