@@ -150,22 +150,18 @@ class Views:
         """``pid_metrics`` restricted to the two windows' span, materialised once."""
         return self.window_slice("pid_metrics", l1, l2)
 
-    SLICE_DATE = {"pid_metrics": "snapshot_date", "locality_metrics": "snapshot_date",
-                  "keyword_impressions": "snapshot_date", "facility_doi": "snapshot_date",
-                  "psl_daily_locality": "gc_crawl_date", "psl_daily": "gc_crawl_date"}
-
-    def window_slice(self, view: str, l1, l2) -> DataFrame:
-        """Rows of ``view`` between the earliest start and the latest end of the
-        two windows, written once as parquet under the shared checkpoint folder
-        (``spark.checkpoint.dir``) and read back.
-
-        A report runs a dozen operators over the same window slice; writing it
-        once replaces a dozen evaluations of the star join, cuts the lineage
-        (a lost executor re-reads files instead of recomputing joins) and keeps
-        columnar scans with column pruning and filter pushdown.  Operators
-        still apply their own exact window filters on top.
+    def base_slice(self, l1, l2) -> DataFrame:
+        """The joined base facts between the earliest start and the latest end of
+        the two windows, written once as parquet under the shared checkpoint
+        folder (``spark.checkpoint.dir``) and read back.
+
+        A report runs dozens of operators over the same window slice; writing
+        it once replaces dozens of evaluations of the star join, cuts the
+        lineage (a lost executor re-reads files instead of recomputing joins)
+        and keeps columnar scans with column pruning and filter pushdown.
+        Operators still apply their own exact window filters on top.
         """
-        key = ("slice", view, str(l1), str(l2))
+        key = ("base_slice", str(l1), str(l2))
 
         def build():
             import os
@@ -174,14 +170,21 @@ class Views:
             from shelfpulse.session import checkpoint_dir
             lo = min(str(l1[0]), str(l2[0]))
             hi = max(str(l1[1]), str(l2[1]))
-            col = self.SLICE_DATE[view]
-            d = getattr(self, view)().where(F.col(col).between(F.to_date(F.lit(lo)),
-                                                               F.to_date(F.lit(hi))))
-            path = os.path.join(checkpoint_dir(self.spark), "slices", f"{view}-{uuid.uuid4().hex}")
+            d = self.base_facts().where(F.col("snapshot_date").between(F.to_date(F.lit(lo)),
+                                                                       F.to_date(F.lit(hi))))
+            path = os.path.join(checkpoint_dir(self.spark), "slices", f"base-{uuid.uuid4().hex}")
             d.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
         return self._memo(key, build)
 
+    def window_slice(self, view: str, l1, l2) -> DataFrame:
+        """A fact view (``pid_metrics``, ``locality_metrics``, ``keyword_impressions``,
+        ``facility_doi``, ``psl_daily_locality`` ...) over the materialised
+        window slice: every view is a projection of the same slice, so the star
+        join runs once per session."""
+        return self._memo(("slice", view, str(l1), str(l2)),
+                          lambda: getattr(_OnSlice(self, self.base_slice(l1, l2)), view)())
+
     def product_dim(self) -> DataFrame:
         """One row per product id (part); bundles flagged on every tenth size."""
         return self._memo("product_dim", self._product_dim)
@@ -270,3 +273,15 @@ class Views:
         b = self.base_facts()
         return (b.select((F.col("l_partkey") % 20).cast("string").alias("product_id"),
                          "is_own_brand").distinct())
+
+
+class _OnSlice(Views):
+    """The same view definitions, reading the materialised base slice."""
+
+    def __init__(self, parent: Views, base: DataFrame):
+        super().__init__(parent.spark, parent.base, parent.account_mode)
+        self._cache = {"base": base}
+        self._parent = parent
+
+    def table(self, name: str) -> DataFrame:
+        return self._parent.table(name)
