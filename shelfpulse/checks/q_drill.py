@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import CAT_MS_CTES, MARKET_SHARE_SQL_CTES, MS_KEYS, impact_sql
@@ -123,9 +122,6 @@ def frames(spark, sf, direction, views=None):
     return v.memo(("drill", direction), build)
 
 
-BRAND_ROW_COLS = None  # the Spark frame carries exactly the SQL columns
-
-
 def _reg(key, direction, part, sql_select):
     @register(key, with_views(drill_ctes(direction) + "\n" + sql_select, ("pid_metrics", "product_dim")))
     def q(spark, sf):
@@ -142,7 +138,6 @@ _reg("drilldown_down", "down", "brand_rows", "SELECT * FROM brand_rows")
 _reg("drilldown_up", "up", "brand_rows", "SELECT * FROM brand_rows")
 _reg("rising_competitors", "down", "competitors", "SELECT * FROM comps")
 _reg("driver_sku", "down", "own_sku", "SELECT * FROM own_sku")
-_ = F
 
 
 def drivers_sql(direction: str, suffix: str) -> str:

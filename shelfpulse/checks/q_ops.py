@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import CAT_MS_CTES, MARKET_SHARE_SQL_CTES, impact_sql
 from shelfpulse.checks.registry import L1, L2, register
-from shelfpulse.checks.sqlbits import between, in_periods, label, weight
+from shelfpulse.checks.sqlbits import between, weight
 from shelfpulse.functions import exprs as X
 from shelfpulse.operators import aggregates as A
 from shelfpulse.operators import joins as J
@@ -260,5 +260,3 @@ def q_fill_defaults(spark, sf):
                        "market_share")
             .na.fill({"is_own_brand": 0, "actual_sum": 0.0, "market_share": 0.0}))
 
-
-_ = (in_periods, label, L2)

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from shelfpulse.functions.text import capitalise, domain_of, fixed, fmt_amount, fmt_change, json_field
 
-GAIN_UP = "↑"
-
-
 def platform_offtake(ms: DataFrame) -> DataFrame:
     """Own sales per account x platform in both periods (D15 pivot with 0 fill)."""
     own = ms.where(F.col("is_own_brand") == 1).withColumn(
