@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import MARKET_SHARE_SQL_CTES, MS_KEYS, impact_sql
-from shelfpulse.checks.q_metrics import SKU_COMPARE_CTES
+from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_COMPARE_CTES, change_sql
+from shelfpulse.checks.q_tiers import PPU_CTES
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.checks.sqlbits import between, in_periods, label, null_greatest
 from shelfpulse.functions import exprs as X
@@ -68,7 +69,7 @@ def q_weighted_discount(spark, sf):
     return pm.groupBy("account", "gc_platform", "bgr").agg(A.weighted_discount().alias("wt_discounting"))
 
 
-@register("wt_ppu")
+@register("wt_ppu", with_views(PPU_CTES + "\nSELECT account, gc_platform, bgr, brand, wt_ppu, is_own_brand FROM ppu", ("pid_metrics", "product_dim")))
 def q_wt_ppu(spark, sf):
     v = Views.shared(spark, sf)
     return TR.brand_ppu(v.pid_slice(L1, L2), v.product_dim(), L1)
@@ -168,7 +169,10 @@ def q_limit_ordered(spark, sf):
                             [F.col("sales_impact").asc_nulls_last(), *[F.col(k).asc() for k in CITY]], 20)
 
 
-@register("top_metrics")
+@register("top_metrics", with_views(BM_CITY + ",\nch AS (" + change_sql("bm", CITY_KEYS + ["is_own_brand"], METRICS, NAMES, False) + ")" + """
+SELECT account, gc_platform, bgr, gc_city, brand, is_own_brand,
+  list_transform(t, lambda x: x.metric) AS top_metrics, list_transform(t, lambda x: x.value) AS top_values
+FROM (SELECT *, list_slice(list_sort(list_filter([{'g': CASE WHEN CAST(change_wt_osa AS DOUBLE) * -1.0 > 0 THEN 0 ELSE 1 END, 'o': CASE WHEN CAST(change_wt_osa AS DOUBLE) * -1.0 > 0 THEN -(CAST(change_wt_osa AS DOUBLE) * -1.0) ELSE -abs(CAST(change_wt_osa AS DOUBLE)) END, 'metric': 'change_wt_osa', 'value': CAST(change_wt_osa AS DOUBLE)}, {'g': CASE WHEN CAST(change_wt_osa_listing AS DOUBLE) * -1.0 > 0 THEN 0 ELSE 1 END, 'o': CASE WHEN CAST(change_wt_osa_listing AS DOUBLE) * -1.0 > 0 THEN -(CAST(change_wt_osa_listing AS DOUBLE) * -1.0) ELSE -abs(CAST(change_wt_osa_listing AS DOUBLE)) END, 'metric': 'change_wt_osa_listing', 'value': CAST(change_wt_osa_listing AS DOUBLE)}, {'g': CASE WHEN CAST(change_wt_discounting AS DOUBLE) * -1.0 > 0 THEN 0 ELSE 1 END, 'o': CASE WHEN CAST(change_wt_discounting AS DOUBLE) * -1.0 > 0 THEN -(CAST(change_wt_discounting AS DOUBLE) * -1.0) ELSE -abs(CAST(change_wt_discounting AS DOUBLE)) END, 'metric': 'change_wt_discounting', 'value': CAST(change_wt_discounting AS DOUBLE)}, {'g': CASE WHEN CAST(change_sov AS DOUBLE) * -1.0 > 0 THEN 0 ELSE 1 END, 'o': CASE WHEN CAST(change_sov AS DOUBLE) * -1.0 > 0 THEN -(CAST(change_sov AS DOUBLE) * -1.0) ELSE -abs(CAST(change_sov AS DOUBLE)) END, 'metric': 'change_sov', 'value': CAST(change_sov AS DOUBLE)}, {'g': CASE WHEN CAST(change_adsov AS DOUBLE) * -1.0 > 0 THEN 0 ELSE 1 END, 'o': CASE WHEN CAST(change_adsov AS DOUBLE) * -1.0 > 0 THEN -(CAST(change_adsov AS DOUBLE) * -1.0) ELSE -abs(CAST(change_adsov AS DOUBLE)) END, 'metric': 'change_adsov', 'value': CAST(change_adsov AS DOUBLE)}, {'g': CASE WHEN CAST(change_ogsov AS DOUBLE) * -1.0 > 0 THEN 0 ELSE 1 END, 'o': CASE WHEN CAST(change_ogsov AS DOUBLE) * -1.0 > 0 THEN -(CAST(change_ogsov AS DOUBLE) * -1.0) ELSE -abs(CAST(change_ogsov AS DOUBLE)) END, 'metric': 'change_ogsov', 'value': CAST(change_ogsov AS DOUBLE)}], lambda x: x.value IS NOT NULL)), 1, 2) AS t FROM ch)""", ("pid_metrics", "product_dim")))
 def q_top_metrics(spark, sf):
     v = Views.shared(spark, sf)
     ch = M.brand_metrics_change(M.brand_metrics(v.pid_slice(L1, L2), v.product_dim(), L1, L2))
@@ -226,7 +230,12 @@ def q_json_field(spark, sf):
             .groupBy("event_type", "k").agg(F.count("*").cast("bigint").alias("n")))
 
 
-@register("json_flags")
+@register("json_flags", """
+SELECT event_id, coalesce(json_extract_string(props, '$.redshift.database'), '') AS name,
+  coalesce(list_filter(try_cast(json_extract(props, '$.dbt.variables') AS STRUCT(name VARCHAR, value BOOLEAN)[]), lambda x: x.name = 'build_normalized_offtake_blinkit')[-1].value, false) AS build_blinkit,
+  coalesce(list_filter(try_cast(json_extract(props, '$.dbt.variables') AS STRUCT(name VARCHAR, value BOOLEAN)[]), lambda x: x.name = 'build_normalized_offtake_instamart')[-1].value, false) AS build_instamart,
+  coalesce(list_filter(try_cast(json_extract(props, '$.dbt.variables') AS STRUCT(name VARCHAR, value BOOLEAN)[]), lambda x: x.name = 'build_normalized_offtake_zepto')[-1].value, false) AS build_zepto
+FROM events""")
 def q_json_flags(spark, sf):
     e = S.scan_table(spark, sf, "events")
     return e.select("event_id", *T.json_flags("props"))

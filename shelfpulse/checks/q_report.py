@@ -67,7 +67,13 @@ def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), "sinks", f"{name}-{uuid.uuid4().hex}")
 
 
-@register("sheet_clean")
+SHEET_CLEAN_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS custkey,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS segment, c_name AS name
+FROM customer"""
+
+
+@register("sheet_clean", SHEET_CLEAN_SQL)
 def q_sheet_clean(spark, sf):
     """Customer table round-tripped through a header CSV with blank cells, then cleaned."""
     c = scan_table(spark, sf, "customer").select(
@@ -79,7 +85,10 @@ def q_sheet_clean(spark, sf):
     return SH.read_sheet(spark, path)
 
 
-@register("sink_write_or_append")
+@register("sink_write_or_append", """
+SELECT *, CAST(NULL AS VARCHAR) AS note FROM nation
+UNION ALL SELECT *, CAST(NULL AS VARCHAR) AS note FROM nation
+UNION ALL SELECT *, 'widened' AS note FROM nation""")
 def q_sink_write_or_append(spark, sf):
     """Nation written (create), appended, then widened by region's columns; read back."""
     path = _scratch(spark, "sink")
@@ -90,7 +99,7 @@ def q_sink_write_or_append(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("sink_overwrite")
+@register("sink_overwrite", "SELECT * FROM region")
 def q_sink_overwrite(spark, sf):
     path = _scratch(spark, "overwrite")
     SK.write_table(scan_table(spark, sf, "region"), path, "overwrite")
@@ -98,7 +107,7 @@ def q_sink_overwrite(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("sink_append")
+@register("sink_append", "SELECT * FROM region UNION ALL SELECT * FROM region")
 def q_sink_append(spark, sf):
     path = _scratch(spark, "append")
     SK.write_table(scan_table(spark, sf, "region"), path, "overwrite")
@@ -239,7 +248,12 @@ def q_template_drop_empty(spark, sf):
     return r.where("keep")
 
 
-@register("sheet_union")
+@register("sheet_union", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+  'customer' AS sheet FROM customer
+UNION ALL BY NAME
+SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey,
+  'supplier' AS sheet FROM supplier""")
 def q_sheet_union(spark, sf):
     """Two sheets (customer, supplier) written as header CSVs, read back, cleaned, unioned by name."""
     paths = {}
