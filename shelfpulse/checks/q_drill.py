@@ -104,12 +104,14 @@ def inputs(v):
     """Memoised metric frames over the window slice (built once per session)."""
     pm, dim = v.pid_slice(L1, L2), v.product_dim()
     return {
-        "ms": lambda: v.memo(("ms", L1, L2), lambda: M.market_share(pm, dim, L1, L2)),
-        "cms": lambda: v.memo(("cms", L1, L2), lambda: M.market_share_category(pm, L1, L2)),
-        "tiers": lambda: v.memo(("tiers_q", L1), lambda: TR.price_tiers(pm, dim, L1, method="quantile")),
-        "ch": lambda: v.memo(("bm_change", L1, L2), lambda: M.brand_metrics_change(
+        "ms": lambda: v.materialize(("ms", L1, L2), lambda: M.market_share(pm, dim, L1, L2)),
+        "cms": lambda: v.materialize(("cms", L1, L2), lambda: M.market_share_category(pm, L1, L2)),
+        "tiers": lambda: v.materialize(("tiers_q", L1), lambda: TR.price_tiers(pm, dim, L1, method="quantile")),
+        "ch": lambda: v.materialize(("bm_change", L1, L2), lambda: M.brand_metrics_change(
             M.brand_metrics(pm, dim, L1, L2))),
-        "sku": lambda: v.memo(("sku_cmp", L1, L2), lambda: M.sku_compare(M.product_metrics(pm, None, L1, L2))),
+        "sku": lambda: v.materialize(("sku_cmp", L1, L2), lambda: M.sku_compare(
+            M.product_metrics(pm, None, L1, L2))),
+        "catm": lambda: v.materialize(("catm", L1, L2), lambda: M.category_metrics(pm, dim, L1, L2)),
     }
 
 
@@ -118,7 +120,8 @@ def frames(spark, sf, direction, views=None):
 
     def build():
         i = inputs(v)
-        return D.drilldown(i["ms"], i["cms"], i["tiers"], i["ch"], i["sku"], direction)
+        return D.drilldown(i["ms"], i["cms"], i["tiers"], i["ch"], i["sku"], direction,
+                           wrap=lambda k, df: v.materialize(("drill", direction, k), lambda: df))
     return v.memo(("drill", direction), build)
 
 

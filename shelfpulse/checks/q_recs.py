@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfpulse.checks.q_drill import frames
+from shelfpulse.checks.q_drill import frames, inputs
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.operators.periods import compare_periods
 from shelfpulse.plans import drilldown as D
@@ -12,7 +12,6 @@ from shelfpulse.plans import keywords as K
 from shelfpulse.plans import metrics as M
 from shelfpulse.plans import recommendations as RC
 from shelfpulse.plans import stores as ST
-from shelfpulse.plans import tiers as TR
 from shelfpulse.sources.views import Views
 
 CITY = ["account", "gc_platform", "bgr", "gc_city", "brand"]
@@ -26,10 +25,11 @@ class Inputs:
         self.v = v
         pm, dim = v.pid_slice(L1, L2), v.product_dim()
         self.fr = frames(spark, sf, "down", v)
-        self.cat_metrics = M.category_metrics(pm, dim, L1, L2)
-        self.tiers = TR.price_tiers(pm, dim, L1, method="quantile")
-        ms = M.market_share(pm, dim, L1, L2)
-        ch = M.brand_metrics_change(M.brand_metrics(pm, dim, L1, L2))
+        shared = inputs(v)
+        self.cat_metrics = shared["catm"]()
+        self.tiers = shared["tiers"]()
+        ms = shared["ms"]()
+        ch = shared["ch"]()
         self.merged_comp = D.city_impacts(ms, 0).drop("is_own_brand").join(
             ch.where(F.col("is_own_brand") == 0).drop("is_own_brand"), CITY, "left")
         self.pm, self.dim = pm, dim

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import MARKET_SHARE_SQL_CTES
-from shelfpulse.checks.q_drill import drill_ctes, drivers_sql
+from shelfpulse.checks.q_drill import drill_ctes, drivers_sql, inputs
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import report as R
 from shelfpulse.session import checkpoint_dir
@@ -118,10 +118,9 @@ def q_sink_append(spark, sf):
 # ------------------------------------------------------------------ report
 def _report_parts(spark, sf):
     from shelfpulse.checks.q_drill import frames
-    from shelfpulse.plans import metrics as M
     from shelfpulse.sources.views import Views
     v = Views.shared(spark, sf)
-    ms = M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2)
+    ms = inputs(v)["ms"]()
     down = frames(spark, sf, "down", v)
     up = frames(spark, sf, "up", v)
     summary = R.offtake_summary(ms, up["drivers"], down["drivers"])
@@ -212,10 +211,9 @@ SELECT account, gc_platform, platform_rank, CAST(m1 AS DOUBLE) AS offtake_dr2, C
   round(100 * CAST(t2 - t1 AS DOUBLE) / CAST(t1 AS DOUBLE), 1) AS total_change_pct
 FROM t WHERE platform_rank <= 3""", ("pid_metrics", "product_dim")))
 def q_platform_mix(spark, sf):
-    from shelfpulse.plans import metrics as M
     from shelfpulse.sources.views import Views
     v = Views.shared(spark, sf)
-    return R.platform_mix(M.market_share(v.pid_slice(L1, L2), v.product_dim(), L1, L2))
+    return R.platform_mix(inputs(v)["ms"]())
 
 
 @register("markers_long")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfpulse.checks.oracle_views import with_views
-from shelfpulse.checks.q_drill import drill_ctes, frames
+from shelfpulse.checks.q_drill import drill_ctes, frames, inputs
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import metrics as M
 from shelfpulse.plans import summaries as SU
@@ -62,7 +62,7 @@ def q_what_happened(spark, sf):
     v = Views.shared(spark, sf)
     fr = frames(spark, sf, "down", v)
     pm = v.pid_slice(L1, L2)
-    ch = M.brand_metrics_change(M.brand_metrics(pm, v.product_dim(), L1, L2))
+    ch = inputs(v)["ch"]()
     return SU.what_happened(fr["brand_rows"], fr["competitors"], ch)
 
 
@@ -114,7 +114,7 @@ def q_gain_summary(spark, sf):
     v = Views.shared(spark, sf)
     pm, dim = v.pid_slice(L1, L2), v.product_dim()
     fr = frames(spark, sf, "up", v)
-    catm = M.category_metrics(pm, dim, L1, L2)
+    catm = inputs(v)["catm"]()
     sku = M.sku_compare(M.product_metrics(pm, None, L1, L2))
     contrib = K.contribution(pm, L1)
     kw = K.keyword_scores(K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2))

@@ -122,20 +122,25 @@ class LazyFrames(dict):
     """Mapping whose frames are built on first access (plan construction in
     PySpark analyses every step, so frames a caller never reads are never built)."""
 
-    def __init__(self, builders: dict):
+    def __init__(self, builders: dict, wrap=None):
         super().__init__()
         self._builders = builders
+        self._wrap = wrap
 
     def __missing__(self, key):
         value = self._builders[key](self)
+        if self._wrap is not None:
+            value = self._wrap(key, value)
         self[key] = value
         return value
 
 
-def drilldown(ms, cat_ms, tiers, metrics_change, sku_cmp, direction: str = "down") -> LazyFrames:
+def drilldown(ms, cat_ms, tiers, metrics_change, sku_cmp, direction: str = "down",
+              wrap=None) -> LazyFrames:
     """All drill-down frames of one direction, built lazily on access.
 
-    Inputs may be DataFrames or zero-argument callables returning them.
+    Inputs may be DataFrames or zero-argument callables returning them;
+    ``wrap(name, frame)`` may materialise each frame once it is built.
     """
     def get(x):
         return x() if callable(x) else x
@@ -149,4 +154,4 @@ def drilldown(ms, cat_ms, tiers, metrics_change, sku_cmp, direction: str = "down
         "competitors": lambda f: rising_competitors(f["brand_rows"], f["comp"], get(tiers)),
         "own_sku": lambda f: driver_skus(f["brand_rows"], get(sku_cmp), direction),
         "comp_sku": lambda f: driver_skus(f["competitors"], get(sku_cmp), "up"),
-    })
+    }, wrap)

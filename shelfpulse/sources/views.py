@@ -56,6 +56,25 @@ class Views:
         """Session-wide memo of derived frames (plans are built once per session)."""
         return self._memo(("derived", key), build)
 
+    def materialize(self, key, build):
+        """Write a derived frame once as parquet under the shared checkpoint
+        folder and read it back (memoised per session).
+
+        Used for the aggregates and drill-down frames that many report parts
+        read: downstream plans start from files instead of re-deriving them,
+        the lineage is cut (lost executors re-read files), and plan size stays
+        small however many report parts are stacked on top.
+        """
+        def run():
+            import os
+            import uuid
+
+            from shelfpulse.session import checkpoint_dir
+            path = os.path.join(checkpoint_dir(self.spark), "derived", uuid.uuid4().hex)
+            build().write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+        return self._memo(("materialized", key), run)
+
     def _memo(self, key, build):
         if key not in self._cache:
             self._cache[key] = build()
