@@ -283,3 +283,48 @@ def q_html_table_dates(spark, sf):
 def q_html_day_cells(spark, sf):
     """Calendar day-cell extraction over every page (none in the test pages)."""
     return PG.extract_day_cells(scan_table(spark, sf, "pages"))
+
+
+def _marker_sql(src: str, prefix: str, order: str, cols: list[str], types: dict, slots: int) -> str:
+    n = len(cols)
+    parts = []
+    for i, c in enumerate(cols):
+        v = (f"printf('%.1f', round_even({c} * 10.0, 0) / 10.0)" if types.get(c) == "double"
+             else f"CAST({c} AS VARCHAR)")
+        parts.append(f"SELECT account, '{prefix}' || CAST((slot - 1) * {n} + {i + 1} AS VARCHAR) AS marker, "
+                     f"coalesce({v}, '') AS value FROM (SELECT *, row_number() OVER (PARTITION BY account "
+                     f"ORDER BY {order}) AS slot FROM {src}) WHERE slot <= {slots}")
+    return "\nUNION ALL\n".join(parts)
+
+
+SUMMARY_TYPES = {"offtake": "double"}
+DRIVER_TYPES = {"pct_change": "double", "sales_impact": "double"}
+
+MARKERS_LONG_SQL = with_views(GAIN_DRAIN_SQL + f""",
+osum AS (
+  SELECT po.account, po.gc_platform, po.o1 AS offtake, {fmt_amt_sql('po.o2')} AS prev_offtake,
+    CASE WHEN po.o1 - po.o2 > 0 THEN '(↑ ' ELSE '(↓ ' END || {fmt_amt_sql('abs(po.o1 - po.o2)')} || ')' AS share_delta,
+    coalesce(gdm.gainers, '') AS gainers, coalesce(gdm.drainers, '') AS drainers
+  FROM po LEFT JOIN gdm ON po.account = gdm.account AND po.gc_platform = gdm.gc_platform
+),
+mk AS (
+  SELECT DISTINCT account, 'Brand' AS marker, upper(substr(account, 1, 1)) || lower(substr(account, 2)) AS value FROM osum
+  UNION ALL SELECT DISTINCT account, 'm1', strftime(DATE '{L2[0]}', '%B') FROM osum
+  UNION ALL SELECT DISTINCT account, 'm2', strftime(DATE '{L1[0]}', '%B') FROM osum
+  UNION ALL {_marker_sql('osum', '1*', 'offtake DESC, gc_platform', SUMMARY_COLS, SUMMARY_TYPES, 4)}
+  UNION ALL {_marker_sql('drivers', 'ZD1_', 'sales_impact ASC, gc_platform, bgr', DRIVER_COLS, DRIVER_TYPES, 2)}
+  UNION ALL {_marker_sql('drivers_up', 'ZG1_', 'sales_impact DESC, gc_platform, bgr', DRIVER_COLS, DRIVER_TYPES, 2)}
+)""", ("pid_metrics", "product_dim"))
+
+
+def _wide_sql(names: list[str]) -> str:
+    cols = ", ".join(f"coalesce(max(CASE WHEN marker = '{n}' THEN value END), '') AS \"{n}\"" for n in names)
+    return f"SELECT account, {cols} FROM mk GROUP BY account"
+
+
+ORACLE_EXTRA = {
+    "markers_long": MARKERS_LONG_SQL + "\nSELECT * FROM mk",
+    "report_row": MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS),
+    "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(R.marker_names("1*", len(SUMMARY_COLS), 4)).replace(
+        "FROM mk", "FROM mk WHERE marker LIKE '1*%'"),
+}

@@ -36,6 +36,8 @@ def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
     from shelfpulse.checks import (q_core, q_drill, q_keywords, q_metrics, q_ops, q_ops2,  # noqa: F401
                                    q_recs, q_report, q_stores, q_summaries, q_tiers)
+    for key, sql in q_report.ORACLE_EXTRA.items():
+        ORACLE.setdefault(key, sql)
 
 
 __all__ = ["QUERIES", "ORACLE", "register", "load_all", "L1", "L2"]

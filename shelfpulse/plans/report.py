@@ -109,14 +109,23 @@ def to_markers(df: DataFrame, prefix: str, order: Sequence[Column], cols: Sequen
     w = Window.partitionBy(key).orderBy(*order)
     d = df.withColumn("__slot", F.row_number().over(w)).where(F.col("__slot") <= slots)
     n = len(cols)
-    items = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
-                      for i, c in enumerate(cols)])
+    types = dict(df.dtypes)
+
+    def text(c):
+        # numbers print with one decimal (the report's convention), text as is
+        return fixed_pandas(F.col(c)) if types[c] in ("double", "float") else F.col(c).cast("string")
+    items = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(cols)])
     e = d.select(key, "__slot", F.explode(items).alias("__it"))
     marker = F.concat(F.lit(prefix + sep),
                       ((F.col("__slot") - 1) * n + F.col("__it.i") + 1).cast("string"))
     return e.select(key, marker.alias("marker"), F.coalesce(F.col("__it.v"), F.lit("")).alias("value"))
 
 
+def fixed_pandas(c) -> Column:
+    """``x`` rounded half-to-even on its binary value (numpy) and printed with one decimal."""
+    return F.format_string("%.1f", F.rint(c * 10.0) / 10.0)
+
+
 def marker_names(prefix: str, n_cols: int, slots: int, sep: str = "") -> list[str]:
     return [f"{prefix}{sep}{i}" for i in range(1, n_cols * slots + 1)]
 
