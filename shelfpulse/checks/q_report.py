@@ -328,3 +328,33 @@ ORACLE_EXTRA = {
     "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(R.marker_names("1*", len(SUMMARY_COLS), 4)).replace(
         "FROM mk", "FROM mk WHERE marker LIKE '1*%'"),
 }
+
+
+def _template_sql(leave_missing: bool, keep_only: bool) -> str:
+    def val(marker_expr: str) -> str:
+        return f"(SELECT value FROM mk WHERE mk.account = t.account AND mk.marker = {marker_expr})"
+    k = "'1*' || CAST(t.doc_id % 20 + 1 AS VARCHAR)"
+    last = "CASE WHEN t.doc_id % 7 = 0 THEN 'absent' ELSE 'm2' END"
+    missing = "'{{' || name || '}}'" if leave_missing else "''"
+    body = f""",
+t AS (SELECT 'main' AS account, doc_id, text FROM documents),
+v AS (
+  SELECT t.account, t.doc_id, t.text,
+    {val("'Brand'")} AS v_brand, {val("'m1'")} AS v_m1, {val("'m2'")} AS v_m2,
+    {k} AS k_name, {val(k)} AS v_k, {last} AS last_name, {val(last)} AS v_last
+  FROM t
+),
+r AS (
+  SELECT account, doc_id AS slide_id,
+    text || ' ' || coalesce(v_brand, '') || ' ' || coalesce(v_m1, '') || '-' || coalesce(v_m2, '') || ' '
+      || coalesce(v_k, {missing.replace('name', 'k_name')}) || ' ' || coalesce(v_last, {missing.replace('name', 'last_name')}) AS rendered,
+    (trim(coalesce(v_brand, '')) <> '' OR trim(coalesce(v_m1, '')) <> '' OR trim(coalesce(v_m2, '')) <> ''
+      OR trim(coalesce(v_k, '')) <> '' OR trim(coalesce(v_last, '')) <> '') AS keep
+  FROM v
+)
+SELECT * FROM r{' WHERE keep' if keep_only else ''}"""
+    return MARKERS_LONG_SQL + body
+
+
+ORACLE_EXTRA["template_render"] = _template_sql(True, False)
+ORACLE_EXTRA["template_drop_empty"] = _template_sql(False, True)
