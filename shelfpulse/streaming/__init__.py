@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream source, watermark, time window, state or late-data
+handling (SURVEY 2.9); every operator here is batch.  The period filters and
+aggregates are plain DataFrame expressions, so they would also apply to a
+``readStream`` source, but no streaming query is part of the inventory.
+"""
