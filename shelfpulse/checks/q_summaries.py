@@ -119,3 +119,66 @@ def q_gain_summary(spark, sf):
     contrib = K.contribution(pm, L1)
     kw = K.keyword_scores(K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2))
     return SU.gain_summary(fr["drivers"], catm, fr["cities"], fr["brand_rows"], sku, contrib, kw)
+
+
+def _f1(x: str) -> str:
+    return f"printf('%.1f', round_even(({x}) * 10.0, 0) / 10.0)"
+
+
+def _moves_sql(sign: int) -> str:
+    """Selected moves (list of structs) and status for one brand row, as SQL."""
+    items = ", ".join(
+        f"{{'i': {i}, 'label': '{label}', 'v': CAST({ch} AS DOUBLE), 'lvl': CAST({lvl} AS DOUBLE)}}"
+        for i, (ch, label, lvl) in enumerate(SU.BRAND_CHANGE_LABELS))
+    s = float(sign)
+    arr = f"list_filter([{items}], lambda x: x.v IS NOT NULL)"
+    signed = (f"list_sort(list_transform(list_filter({arr}, lambda x: x.v * {s} > 0), "
+              f"lambda x: {{'o': -(x.v * {s}), 'i': x.i, 'label': x.label, 'v': x.v, 'lvl': x.lvl}}))")
+    fall = (f"list_sort(list_transform({arr}, "
+            f"lambda x: {{'o': -abs(x.v), 'i': x.i, 'label': x.label, 'v': x.v, 'lvl': x.lvl}}))")
+    want, other = ("decreased", "increased") if sign < 0 else ("increased", "decreased")
+    sel = f"CASE WHEN len({signed}) > 0 THEN list_slice({signed}, 1, 2) ELSE list_slice({fall}, 1, 2) END"
+    status = f"CASE WHEN len({signed}) > 0 THEN '{want}' ELSE '{other}' END"
+    return sel, status
+
+
+def _block_sql(src: str, sign: int) -> str:
+    sel, status = _moves_sql(sign)
+    arrow = lambda x: f"CASE WHEN {x} > 0 THEN '↑' ELSE '↓' END"
+    return f"""(
+  SELECT *,
+    brand || ' ' || array_to_string(list_transform(sel, lambda x: x.label), ' and ') || ' ' || status AS performance_line,
+    brand || ' ' || array_to_string(list_concat(
+      ['MS ' || {_f1('share_dr1')} || '% (' || {arrow('pct_change')} || {_f1('abs(pct_change)')} || '%)'],
+      list_transform(sel, lambda x: x.label || ' ' || {_f1('coalesce(x.lvl, 0.0)')} || '% (' ||
+        CASE WHEN x.v > 0 THEN '↑' ELSE '↓' END || {_f1('abs(x.v)')} || '%)')), chr(10) || chr(10)) AS brand_text
+  FROM (SELECT *, {sel} AS sel, {status} AS status FROM {src})
+)"""
+
+
+WHAT_HAPPENED_SQL = with_views(drill_ctes("down") + f""",
+cm AS (
+  SELECT c.account, c.gc_platform, c.bgr, c.gc_city, c.brand, c.pct_change, c.share_dr1,
+    m.wt_osa_dr1, m.wt_discounting_dr1, m.sov_dr1, m.ad_sov_dr1,
+    m.change_wt_osa, m.change_wt_discounting, m.change_sov, m.change_adsov
+  FROM comps c LEFT JOIN (SELECT * FROM bmch WHERE is_own_brand = 0) m
+    ON c.account = m.account AND c.gc_platform = m.gc_platform AND c.bgr = m.bgr AND c.gc_city = m.gc_city
+   AND c.brand = m.brand
+),
+cb AS (SELECT * FROM {_block_sql('cm', +1)}),
+cr AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr, gc_city
+                   ORDER BY pct_change DESC NULLS LAST, brand ASC NULLS LAST) AS r
+                 FROM cb WHERE pct_change IS NOT NULL) WHERE r <= 2
+),
+cg AS (
+  SELECT account, gc_platform, bgr, gc_city,
+    list(brand_text ORDER BY r) AS texts, list(performance_line ORDER BY r) AS perfs
+  FROM cr GROUP BY 1, 2, 3, 4
+),
+ob AS (SELECT * FROM {_block_sql('brand_rows', -1)})
+SELECT ob.account, ob.gc_platform, ob.bgr, ob.gc_city, ob.brand,
+  ob.brand_text AS what_happened1, cg.texts[1] AS what_happened2, cg.texts[2] AS what_happened3,
+  array_to_string(list_concat([ob.performance_line], coalesce(cg.perfs, [])), chr(10)) AS performance
+FROM ob LEFT JOIN cg ON ob.account = cg.account AND ob.gc_platform = cg.gc_platform AND ob.bgr = cg.bgr
+  AND ob.gc_city = cg.gc_city""", ("pid_metrics", "product_dim"))

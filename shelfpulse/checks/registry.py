@@ -38,6 +38,7 @@ def load_all() -> None:
                                    q_recs, q_report, q_stores, q_summaries, q_tiers)
     for key, sql in q_report.ORACLE_EXTRA.items():
         ORACLE.setdefault(key, sql)
+    ORACLE.setdefault("what_happened", q_summaries.WHAT_HAPPENED_SQL)
 
 
 __all__ = ["QUERIES", "ORACLE", "register", "load_all", "L1", "L2"]
