@@ -96,3 +96,85 @@ def q_text_rules(spark, sf):
     o = osa_recs(spark, sf, i).select(*cat, F.col("recommendation").alias("recommendation_osa"))
     s = sov_recs(spark, sf, i).select(*cat, "gc_city", F.col("recommendation").alias("recommendation_sov"))
     return RC.merge_recommendations(s.join(o, cat, "full"))
+
+
+# ------------------------------------------------------------------ oracle SQL
+def _renamed_cat_block() -> str:
+    import re
+
+    from shelfpulse.checks.q_metrics import BM_CAT
+    s = BM_CAT
+    for name in ("valid", "src2", "src", "wt", "bp", "mbi", "mi", "bs", "merged", "bi", "bm"):
+        s = re.sub(rf"\b{name}\b", f"cat_{name}", s)
+    return s
+
+
+def _f1(x: str) -> str:
+    return f"printf('%.1f', round_even(({x}) * 10.0, 0) / 10.0)"
+
+
+def _pct(x: str) -> str:
+    return f"{_f1(x)} || '%'"
+
+
+def _discount_sql() -> str:
+    from shelfpulse.checks.oracle_views import with_views
+    from shelfpulse.checks.q_drill import drill_ctes
+    from shelfpulse.checks.q_metrics import CAT_KEYS, METRICS, NAMES, change_sql
+    cat = "account, gc_platform, bgr, brand"
+    on = lambda a, b, ks: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in ks.split(","))
+    where = "account, gc_platform, bgr, gc_city"
+    return with_views(drill_ctes("down") + ",\n" + _renamed_cat_block().strip() + f""",
+cat_ch AS ({change_sql("cat_bm", CAT_KEYS + ["is_own_brand"], METRICS, NAMES, False)}),
+ctx AS (
+  SELECT d.account, d.gc_platform, d.bgr, d.brand, d.share_dr1 AS cat_share_dr1, d.pct_change AS cat_change_market_share,
+    m.wt_discounting_dr1 AS cat_wt_discounting_dr1, m.change_wt_discounting AS cat_change_wt_discounting
+  FROM drivers d LEFT JOIN (SELECT * FROM cat_ch WHERE is_own_brand = 1) m ON {on('d', 'm', cat)}
+),
+drows AS (
+  SELECT b.account, b.gc_platform, b.bgr, b.gc_city, b.brand, b.ppu_category, x.cat_share_dr1,
+    x.cat_change_market_share, x.cat_wt_discounting_dr1, x.cat_change_wt_discounting
+  FROM brand_rows b JOIN ctx x ON {on('b', 'x', cat)}
+  WHERE b.change_wt_discounting < 0
+),
+mcomp AS (
+  SELECT ci.account, ci.gc_platform, ci.bgr, ci.gc_city, ci.brand, ci.pct_change, ci.share_dr1,
+    m.wt_discounting_dr1, m.change_wt_discounting, t.ppu_category AS tier
+  FROM comp_imp ci
+  LEFT JOIN (SELECT * FROM bmch WHERE is_own_brand = 0) m ON {on('ci', 'm', 'account, gc_platform, bgr, gc_city, brand')}
+  LEFT JOIN (SELECT * FROM tiers WHERE is_own_brand = 0) t ON {on('ci', 't', cat)}
+  WHERE m.change_wt_discounting > 0 AND ci.pct_change > 0
+),
+drv AS (SELECT DISTINCT {where}, ppu_category FROM drows),
+l1c AS (SELECT c.* FROM mcomp c WHERE EXISTS (SELECT 1 FROM drv d WHERE {on('c', 'd', where)} AND d.ppu_category = c.tier)),
+l2c AS (SELECT c.* FROM mcomp c WHERE EXISTS (SELECT 1 FROM drv d WHERE {on('c', 'd', where)})),
+pick AS (
+  SELECT *, 1 AS lvl FROM (
+    SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY change_wt_discounting DESC NULLS LAST, brand) AS r2 FROM (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY share_dr1 DESC NULLS LAST, brand) AS r1
+                     FROM l1c) WHERE r1 <= 4)) WHERE r2 = 1
+  UNION ALL
+  SELECT *, 2 AS lvl FROM (
+    SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY change_wt_discounting DESC NULLS LAST, brand) AS r2 FROM (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY share_dr1 DESC NULLS LAST, brand) AS r1
+                     FROM l2c) WHERE r1 <= 4)) WHERE r2 = 1
+),
+best AS (
+  SELECT {where}, brand AS comp, wt_discounting_dr1 AS comp_current, change_wt_discounting AS comp_change,
+    share_dr1 AS comp_share, pct_change AS comp_ms_delta
+  FROM (SELECT *, min(lvl) OVER (PARTITION BY {where}) AS mlvl FROM pick) WHERE lvl = mlvl
+)
+SELECT r.account, r.gc_platform, r.bgr, r.gc_city, r.brand,
+  CASE WHEN b.comp IS NOT NULL THEN chr(10) || b.comp || ' increased discounting to '
+    || printf('%.0f', round_even(b.comp_current, 0)) || '% (' || printf('%+.0f', round_even(b.comp_change, 0))
+    || '%) in ' || r.gc_city ELSE '' END AS what_happened,
+  CASE WHEN b.comp IS NOT NULL THEN b.comp || '''s MS increased to ' || {_f1('b.comp_share')} || '% ('
+    || printf('%+.0f', round_even(b.comp_ms_delta, 0)) || '%) in ' || r.gc_city ELSE '' END AS why_it_matters,
+  {_pct('r.cat_wt_discounting_dr1')} AS wt_discounting_dr1,
+  {_pct('r.cat_change_wt_discounting')} AS change_wt_discounting,
+  {_pct('r.cat_share_dr1')} AS share_dr1,
+  {_pct('r.cat_change_market_share')} AS pct_change
+FROM drows r LEFT JOIN best b ON {on('r', 'b', where)}""", ("pid_metrics", "product_dim"))
+
+
+ORACLE_EXTRA = {"discount_recs": _discount_sql()}

@@ -39,6 +39,8 @@ def load_all() -> None:
     for key, sql in q_report.ORACLE_EXTRA.items():
         ORACLE.setdefault(key, sql)
     ORACLE.setdefault("what_happened", q_summaries.WHAT_HAPPENED_SQL)
+    for key, sql in q_recs.ORACLE_EXTRA.items():
+        ORACLE.setdefault(key, sql)
 
 
 __all__ = ["QUERIES", "ORACLE", "register", "load_all", "L1", "L2"]
