@@ -182,3 +182,86 @@ SELECT ob.account, ob.gc_platform, ob.bgr, ob.gc_city, ob.brand,
   array_to_string(list_concat([ob.performance_line], coalesce(cg.perfs, [])), chr(10)) AS performance
 FROM ob LEFT JOIN cg ON ob.account = cg.account AND ob.gc_platform = cg.gc_platform AND ob.bgr = cg.bgr
   AND ob.gc_city = cg.gc_city""", ("pid_metrics", "product_dim"))
+
+
+def _gain_sql() -> str:
+    from shelfpulse.checks.q_keywords import KW_CTES
+    from shelfpulse.checks.q_metrics import CAT_KEYS, METRICS, NAMES, change_sql
+    from shelfpulse.checks.q_recs import _renamed_cat_block
+    from shelfpulse.checks.sqlbits import between
+    cat = "account, gc_platform, bgr, brand"
+    where = "account, gc_platform, bgr, gc_city"
+    on = lambda a, b, ks: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in ks.split(","))
+    f1 = _f1
+    return with_views(drill_ctes("up") + ",\n" + _renamed_cat_block().strip() + ",\n" + KW_CTES.strip() + f""",
+cat_ch AS ({change_sql("cat_bm", CAT_KEYS + ["is_own_brand"], METRICS, NAMES, False)}),
+cat_sh AS ({change_sql("cms", CAT_KEYS, ["market_share"], dict(), True)}),
+catm AS (SELECT c.account, c.gc_platform, c.bgr, c.brand, s.market_share_dr1 FROM cat_ch c
+         LEFT JOIN cat_sh s ON {on('c', 's', cat)} WHERE c.is_own_brand = 1),
+geo AS (
+  SELECT c.account, c.gc_platform, c.bgr, c.brand,
+    string_agg(c.gc_city || ' (' || {f1('c.sales_impact / d.sales_impact * 100')} || '%)', ' and ' ORDER BY c.city_rank) AS geo_text
+  FROM cities c JOIN drivers d ON {on('c', 'd', cat)} WHERE c.city_rank <= 2 GROUP BY 1, 2, 3, 4
+),
+dd AS (
+  SELECT d.*, m.market_share_dr1, g.geo_text,
+    CASE WHEN d.sales_impact >= 1e7 THEN {f1('d.sales_impact / 1e7')} || ' Cr' ELSE {f1('d.sales_impact / 1e5')} || ' L' END AS off,
+    CAST(m.market_share_dr1 AS VARCHAR) || '% (' || {f1('d.pct_change')} || '%)' AS ms_text
+  FROM drivers d LEFT JOIN catm m ON {on('d', 'm', cat)} LEFT JOIN geo g ON {on('d', 'g', cat)}
+),
+ctb AS (
+  SELECT account, product_id, title, gc_platform, bgr, gc_city,
+    ROUND(100.0 * CAST(total_mrp AS DOUBLE) / NULLIF(CAST(SUM(total_mrp) OVER (PARTITION BY account, gc_platform, bgr, gc_city) AS DOUBLE), 0), 1) AS contribution_pct
+  FROM (SELECT account, product_id, title, gc_platform, bgr, gc_city, SUM(reported_offtake_mrp) AS total_mrp
+        FROM pid_metrics WHERE {between('snapshot_date', *L1)} AND is_own_brand = 1
+        GROUP BY account, product_id, title, gc_platform, bgr, gc_city)
+),
+gsk AS (
+  SELECT * FROM (
+    SELECT s.account, s.gc_platform, s.bgr, s.gc_city, s.brand, s.title, s.product_id,
+      row_number() OVER (PARTITION BY s.account, s.gc_platform, s.bgr, s.gc_city, s.brand
+                         ORDER BY c.contribution_pct DESC NULLS LAST, s.product_id) AS r
+    FROM sc s LEFT JOIN ctb c ON {on('s', 'c', where)} AND s.product_id = c.product_id AND s.title = c.title
+    WHERE s.change_ds_listing > 0
+      AND EXISTS (SELECT 1 FROM brand_rows b WHERE {on('s', 'b', 'account, gc_platform, bgr, gc_city, brand')})
+  ) WHERE r <= 2
+),
+sk AS (SELECT account, gc_platform, bgr, gc_city, brand, list(title ORDER BY r) AS titles FROM gsk GROUP BY 1, 2, 3, 4, 5),
+kwc AS (
+  SELECT *, sov_dr1 - sov_dr2 AS change_adsov FROM rel r
+  WHERE relevant_score > 1 AND sov_dr1 - sov_dr2 > 0
+    AND EXISTS (SELECT 1 FROM brand_rows b WHERE {on('r', 'b', where)})
+),
+kw10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY final_score DESC NULLS LAST, keyword) AS r1
+                       FROM kwc) WHERE r1 <= 10),
+kw2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY change_adsov DESC NULLS LAST, keyword) AS r2
+                      FROM kw10) WHERE r2 <= 2),
+kg AS (SELECT {where}, list(keyword ORDER BY r2) AS kws FROM kw2 GROUP BY 1, 2, 3, 4),
+worked AS (
+  SELECT b.account, b.gc_platform, b.bgr, b.brand,
+    concat_ws(chr(10),
+      CASE WHEN b.change_wt_osa > 0 THEN
+        CASE WHEN len(coalesce(sk.titles, [])) = 1 THEN '•' || upper(substr(b.account, 1, 1)) || lower(substr(b.account, 2))
+               || '''s OSA increased to ' || CAST(b.wt_osa_dr1 AS VARCHAR) || '%(+' || printf('%.0f', round_even(b.change_wt_osa, 0))
+               || '%) by fixing DS listing for ' || sk.titles[1] || ' in ' || b.gc_city
+             WHEN len(coalesce(sk.titles, [])) >= 2 THEN '• ' || upper(substr(b.account, 1, 1)) || lower(substr(b.account, 2))
+               || '''s OSA increased to ' || CAST(b.wt_osa_dr1 AS VARCHAR) || '%(+' || printf('%.0f', round_even(b.change_wt_osa, 0))
+               || '%) by fixing DS listing for ' || sk.titles[1] || ' and ' || sk.titles[2] || ' in ' || b.gc_city END END,
+      CASE WHEN b.change_adsov > 0 THEN
+        CASE WHEN len(coalesce(kg.kws, [])) > 0 THEN '• SOV increased to ' || {f1('b.ad_sov_dr1')} || '(+' || {f1('b.change_adsov')}
+               || '%) by targeting relevant keywords - ' || array_to_string(kg.kws, ', ') ELSE '' END END,
+      CASE WHEN b.change_wt_discounting > 0 THEN '• Discounting increased to ' || CAST(b.wt_discounting_dr1 AS VARCHAR)
+        || '(+' || {f1('b.change_wt_discounting')} || '%) ,resulting in market share increase to '
+        || CAST(b.share_dr1 AS VARCHAR) || '(' || {f1('b.pct_change')} || '%)' END) AS what_worked
+  FROM brand_rows b
+  LEFT JOIN sk ON {on('b', 'sk', 'account, gc_platform, bgr, gc_city, brand')}
+  LEFT JOIN kg ON {on('b', 'kg', where)}
+)
+SELECT dd.account, dd.gc_platform, dd.bgr, dd.brand,
+  'Offtake: ' || dd.off || ' (' || {f1('100 * (dd.actual_sales_dr1 - dd.actual_sales_dr2) / dd.actual_sales_dr2')} || '%)' || chr(10)
+    || 'Category Share: ' || dd.ms_text || chr(10) || coalesce(dd.geo_text, '') AS result,
+  dd.off AS offtake, coalesce(dd.geo_text, '') AS geo_text, dd.ms_text AS ms, w.what_worked
+FROM dd LEFT JOIN worked w ON {on('dd', 'w', cat)}""", ("pid_metrics", "product_dim", "keyword_impressions"))
+
+
+GAIN_SUMMARY_SQL = _gain_sql()

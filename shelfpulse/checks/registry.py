@@ -39,6 +39,7 @@ def load_all() -> None:
     for key, sql in q_report.ORACLE_EXTRA.items():
         ORACLE.setdefault(key, sql)
     ORACLE.setdefault("what_happened", q_summaries.WHAT_HAPPENED_SQL)
+    ORACLE.setdefault("gain_summary", q_summaries.GAIN_SUMMARY_SQL)
     for key, sql in q_recs.ORACLE_EXTRA.items():
         ORACLE.setdefault(key, sql)
 
