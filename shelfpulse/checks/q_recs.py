@@ -178,3 +178,99 @@ FROM drows r LEFT JOIN best b ON {on('r', 'b', where)}""", ("pid_metrics", "prod
 
 
 ORACLE_EXTRA = {"discount_recs": _discount_sql()}
+
+
+def _osa_sql() -> str:
+    from shelfpulse.checks.oracle_views import with_views
+    from shelfpulse.checks.q_drill import drill_ctes
+    from shelfpulse.checks.q_metrics import CAT_KEYS, METRICS, NAMES, change_sql
+    from shelfpulse.checks.q_stores import STORE_CTES
+    from shelfpulse.checks.sqlbits import between
+    cat = "account, gc_platform, bgr, brand"
+    on = lambda a, b, ks: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in ks.split(","))
+
+    def psl_text(x):
+        return (f"CASE WHEN {x} >= 1e7 THEN '₹' || {_f1(x + ' / 1e7')} || ' Cr' "
+                f"ELSE '₹' || {_f1(x + ' / 1e5')} || ' L' END")
+    nl = "chr(10)"
+    return with_views(drill_ctes("down") + ",\n" + _renamed_cat_block().strip() + ",\n" + STORE_CTES.strip() + f""",
+cat_ch AS ({change_sql("cat_bm", CAT_KEYS + ["is_own_brand"], METRICS, NAMES, False)}),
+ctx AS (
+  SELECT d.account, d.gc_platform, d.bgr, d.brand, d.share_dr1 AS cat_share_dr1, d.pct_change AS cat_change_market_share,
+    d.sales_impact AS cat_sales_impact, m.wt_osa_dr1 AS cat_wt_osa_dr1, m.change_wt_osa AS cat_change_wt_osa
+  FROM drivers d LEFT JOIN (SELECT * FROM cat_ch WHERE is_own_brand = 1) m ON {on('d', 'm', cat)}
+),
+cc AS (
+  SELECT c.account, c.gc_platform, c.bgr, c.brand, c.city_rank, c.gc_city,
+    CAST(round_even(100 * c.sales_impact / x.cat_sales_impact, 0) AS BIGINT) AS pct
+  FROM cities c JOIN ctx x ON {on('c', 'x', cat)} WHERE c.city_rank <= 2
+),
+geo AS (
+  SELECT account, gc_platform, bgr, brand,
+    string_agg(gc_city || ' (' || CAST(pct AS VARCHAR) || '%)', ' , ' ORDER BY city_rank) AS top_geo,
+    arg_min(gc_city, city_rank) AS top_city
+  FROM cc GROUP BY 1, 2, 3, 4
+),
+orows AS (
+  SELECT b.account, b.gc_platform, b.bgr, b.brand, b.wt_osa_dr1, b.change_wt_osa, x.cat_share_dr1,
+    x.cat_change_market_share, x.cat_wt_osa_dr1, x.cat_change_wt_osa, g.top_geo, g.top_city
+  FROM brand_rows b JOIN ctx x ON {on('b', 'x', cat)} LEFT JOIN geo g ON {on('b', 'g', cat)}
+  WHERE b.change_wt_osa < 0
+),
+psl_cat AS (
+  SELECT account, gc_platform, bgr, CAST(round(SUM(CAST(psl_mrp AS DECIMAL(38,2))), 0) AS DOUBLE) AS psl_mrp
+  FROM srows GROUP BY 1, 2, 3
+),
+skup AS (
+  SELECT account, gc_platform, bgr, gc_city, product_id, title, SUM(CAST(psl_mrp AS DECIMAL(38,2))) AS p
+  FROM srows GROUP BY 1, 2, 3, 4, 5, 6
+),
+sku1 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr, gc_city
+                   ORDER BY p DESC NULLS LAST, product_id) AS r FROM skup) WHERE r = 1
+),
+cnt AS (
+  SELECT account, gc_platform, bgr, gc_city, product_id, title,
+    count(DISTINCT locality)::BIGINT AS high_psl_stores, CAST(SUM(total_listed) AS BIGINT) AS listed_in
+  FROM srows WHERE gc_city IS DISTINCT FROM 'Others' AND psl_tags_pf IS DISTINCT FROM 'medium'
+  GROUP BY 1, 2, 3, 4, 5, 6
+),
+doi AS (
+  SELECT account, gc_platform, gc_city, lower(bgr) AS bgr, product_id,
+    round(avg(backend_doi_value), 0) AS bdoi, round(avg(frontend_doi_value), 0) AS fdoi
+  FROM facility_doi WHERE {between('snapshot_date', *L1)} GROUP BY 1, 2, 3, 4, 5
+),
+full_osa AS (
+  SELECT o.*, pc.psl_mrp, s.product_id, s.title, n.high_psl_stores, n.listed_in, dd.bdoi, dd.fdoi,
+    n.high_psl_stores - n.listed_in AS gap
+  FROM orows o
+  LEFT JOIN psl_cat pc ON o.account = pc.account AND o.gc_platform = pc.gc_platform AND o.bgr = pc.bgr
+  LEFT JOIN sku1 s ON o.account = s.account AND o.gc_platform = s.gc_platform AND o.bgr = s.bgr AND o.top_city = s.gc_city
+  LEFT JOIN cnt n ON o.account = n.account AND o.gc_platform = n.gc_platform AND o.bgr = n.bgr
+    AND o.top_city = n.gc_city AND s.product_id = n.product_id AND s.title = n.title
+  LEFT JOIN doi dd ON o.account = dd.account AND o.gc_platform = dd.gc_platform AND o.bgr = dd.bgr
+    AND o.top_city = dd.gc_city AND s.product_id = dd.product_id
+),
+lines AS (
+  SELECT *, list_filter([
+      CASE WHEN gap > 5 THEN '• Fix DS listing in ' || CAST(gap AS VARCHAR) || ' stores in ' || top_city || {nl} END,
+      CASE WHEN bdoi = 0 THEN '• No stock available, fix backend inventory in ' || top_city || {nl}
+           WHEN bdoi < 5 THEN '• Stock-out risk, Only ' || CAST(bdoi AS VARCHAR) || ' days of stock left in ' || top_city
+             || '; backend inventory needs to be refilled' || {nl}
+           ELSE CASE WHEN fdoi < 3 THEN '• Fix transfer issue from warehouse to DS in ' || top_city || {nl} END END],
+    lambda x: x IS NOT NULL) AS fired
+  FROM full_osa
+)
+SELECT account, gc_platform, bgr, brand, top_geo,
+  {_pct('cat_share_dr1')} AS share_dr1, {_pct('cat_change_market_share')} AS pct_change,
+  {_pct('cat_wt_osa_dr1')} AS wt_osa_dr1, {_pct('cat_change_wt_osa')} AS change_wt_osa,
+  'OSA dropped from ' || CAST(CAST(trunc(wt_osa_dr1 - change_wt_osa) AS BIGINT) AS VARCHAR) || '% to ' || {_f1('wt_osa_dr1')}
+    || '%' || {nl} || 'Top impacted cities are ' || coalesce(top_geo, '') AS what_happened,
+  {psl_text('psl_mrp')} AS potential_sales_loss,
+  CASE WHEN len(fired) > 0 THEN 'OSA Recommendations:' || {nl} || '- ' || coalesce(title, '') || ':' || {nl}
+    || array_to_string(fired, '') ELSE '' END AS recommendation
+FROM lines""", ("pid_metrics", "product_dim", "locality_metrics", "psl_daily_locality", "own_sku_base",
+                "facility_doi"))
+
+
+ORACLE_EXTRA["osa_recs"] = _osa_sql()

@@ -80,10 +80,10 @@ def osa_recommendations(brand_rows: DataFrame, drivers: DataFrame, cat_metrics:
                 [F.col("__p").desc_nulls_last(), F.col("product_id")], 1, rank_col=None,
                 salt=SKEW_SALT).withColumnRenamed("gc_city", "top_city").drop("__p")
     r = r.join(sku, ["account", "gc_platform", "bgr", "top_city"], "left")
-    sc = store_counts.select("account", "gc_platform", F.col("gc_city").alias("top_city"), "product_id",
-                             "high_psl_stores", "listed_in").dropDuplicates(
-        ["account", "gc_platform", "top_city", "product_id"])
-    r = r.join(sc, ["account", "gc_platform", "top_city", "product_id"], "left")
+    # store counts of the chosen SKU in the same category and city (one row per key)
+    sc = store_counts.select("account", "gc_platform", "bgr", F.col("gc_city").alias("top_city"), "product_id",
+                             "title", "high_psl_stores", "listed_in")
+    r = r.join(sc, ["account", "gc_platform", "bgr", "top_city", "product_id", "title"], "left")
     dd = doi.select("account", "gc_platform", "bgr", F.col("gc_city").alias("top_city"), "product_id",
                     F.col("backend_doi").alias("bdoi"), F.col("frontend_doi").alias("fdoi"))
     r = r.join(dd, ["account", "gc_platform", "bgr", "top_city", "product_id"], "left")
