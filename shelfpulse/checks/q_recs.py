@@ -274,3 +274,152 @@ FROM lines""", ("pid_metrics", "product_dim", "locality_metrics", "psl_daily_loc
 
 
 ORACLE_EXTRA["osa_recs"] = _osa_sql()
+
+
+def _sov_sql() -> str:
+    import re
+
+    from shelfpulse.checks.oracle_views import with_views
+    from shelfpulse.checks.q_drill import drill_ctes
+    from shelfpulse.checks.q_keywords import G, KBS_SQL, KW_CTES
+    from shelfpulse.checks.q_metrics import CAT_KEYS, METRICS, NAMES, change_sql
+    from shelfpulse.checks.sqlbits import between
+    cat = "account, gc_platform, bgr, brand"
+    where = "account, gc_platform, bgr, gc_city"
+    on = lambda a, b, ks: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in ks.split(","))
+    nl = "chr(10)"
+    # keyword x brand SOV as CTEs with private names
+    kbs = KBS_SQL
+    for name in ("t", "s", "z", "bi"):
+        kbs = re.sub(rf"\b{name}\b(?=\s+AS \(|\.|\s+LEFT|\s+USING|\s*$)", f"kb_{name}", kbs)
+    kbs = kbs.replace("FROM t LEFT JOIN s", "FROM kb_t LEFT JOIN kb_s").replace("FROM z LEFT JOIN bi", "FROM kb_z LEFT JOIN kb_bi")
+    head, final = kbs.rsplit("SELECT z.brand", 1) if "SELECT z.brand" in kbs else kbs.rsplit("SELECT kb_z.brand", 1)
+    kbs_ctes = head.strip().rstrip(",") + ",\nkbs AS (SELECT kb_z.brand" + final.replace("z.", "kb_z.").replace(
+        "bi.", "kb_bi.").replace("kb_kb_", "kb_") + ")"
+    quoted = lambda arr: f"array_to_string(list_transform({arr}, lambda x: '“' || x || '”'), ' and ')"
+    return with_views(drill_ctes("down") + ",\n" + _renamed_cat_block().strip() + ",\n" + KW_CTES.strip() + ",\n"
+                      + kbs_ctes + f""",
+cat_ch AS ({change_sql("cat_bm", CAT_KEYS + ["is_own_brand"], METRICS, NAMES, False)}),
+kbc AS ({change_sql("kbs", ["account", "gc_platform", "bgr", "brand", "keyword", "gc_city"], ["ad_sov"], dict(), True)}),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY final_score DESC, keyword) AS rn,
+    row_number() OVER (PARTITION BY {G}, (coalesce(sov_dr1 < sov_dr2, false)) ORDER BY final_score DESC, keyword) AS frn,
+    count(*) FILTER (WHERE coalesce(sov_dr1 < sov_dr2, false)) OVER (PARTITION BY {G}) AS nfell
+  FROM rel
+),
+recs AS (
+  SELECT {G}, list(keyword ORDER BY final_score DESC, keyword) FILTER (
+    WHERE (nfell > 0 AND coalesce(sov_dr1 < sov_dr2, false) AND frn <= 2) OR (nfell = 0 AND rn = 1)) AS rec_keywords
+  FROM ranked GROUP BY {G}
+),
+ctb AS (
+  SELECT account, product_id, title, gc_platform, bgr, gc_city,
+    ROUND(100.0 * CAST(total_mrp AS DOUBLE) / NULLIF(CAST(SUM(total_mrp) OVER (PARTITION BY account, gc_platform, bgr, gc_city) AS DOUBLE), 0), 1) AS contribution_pct
+  FROM (SELECT account, product_id, title, gc_platform, bgr, gc_city, SUM(reported_offtake_mrp) AS total_mrp
+        FROM pid_metrics WHERE {between('snapshot_date', *L1)} AND is_own_brand = 1
+        GROUP BY account, product_id, title, gc_platform, bgr, gc_city)
+),
+ctx AS (
+  SELECT d.account, d.gc_platform, d.bgr, d.brand, d.share_dr1 AS cat_share_dr1, d.pct_change AS cat_change_market_share,
+    d.sales_impact AS cat_sales_impact, m.sov_dr1 AS cat_sov_dr1, m.change_sov AS cat_change_sov
+  FROM drivers d LEFT JOIN (SELECT * FROM cat_ch WHERE is_own_brand = 1) m ON {on('d', 'm', cat)}
+),
+topc AS (SELECT account, gc_platform, bgr, brand, arg_min(gc_city, city_rank) AS top_city FROM cities
+         WHERE city_rank <= 2 GROUP BY 1, 2, 3, 4),
+srows0 AS (
+  SELECT b.account, b.gc_platform, b.bgr, b.gc_city, b.brand, b.ppu_category, b.sov_dr1, b.change_sov, b.wt_osa_dr1,
+    b.change_wt_osa, x.cat_share_dr1, x.cat_change_market_share, x.cat_sov_dr1, x.cat_change_sov, tc.top_city
+  FROM brand_rows b JOIN ctx x ON {on('b', 'x', cat)} LEFT JOIN topc tc ON {on('b', 'tc', cat)}
+  WHERE b.change_sov < 0
+),
+sov_sku AS (
+  SELECT * FROM (
+    SELECT s.account, s.gc_platform, s.bgr, s.gc_city, s.title, s.change_sov AS sku_change_sov,
+      s.change_wt_osa AS sku_change_wt_osa,
+      row_number() OVER (PARTITION BY s.account, s.gc_platform, s.bgr, s.gc_city
+                         ORDER BY c.contribution_pct DESC NULLS LAST, s.product_id) AS r
+    FROM sc s JOIN product_dim pd ON s.product_id = pd.product_id
+    LEFT JOIN ctb c ON {on('s', 'c', where)} AND s.product_id = c.product_id AND s.title = c.title
+    WHERE pd.is_own_brand = 1 AND c.contribution_pct > 5 AND s.change_sov < 0 AND s.change_wt_osa < 0
+  ) WHERE r = 1
+),
+sov_mc AS (
+  SELECT ci.account, ci.gc_platform, ci.bgr, ci.gc_city, ci.brand, ci.share_dr1, m.wt_osa_dr1, m.change_adsov,
+    t.ppu_category AS tier
+  FROM comp_imp ci
+  LEFT JOIN (SELECT * FROM bmch WHERE is_own_brand = 0) m ON {on('ci', 'm', 'account, gc_platform, bgr, gc_city, brand')}
+  LEFT JOIN (SELECT * FROM tiers WHERE is_own_brand = 0) t ON {on('ci', 't', cat)}
+),
+sov_tgt AS (
+  SELECT m.account, m.gc_platform, m.bgr, m.gc_city, d.ppu_category,
+    coalesce(max(CASE WHEN m.tier = d.ppu_category THEN m.wt_osa_dr1 END),
+             max(CASE WHEN m.tier IS NOT NULL THEN m.wt_osa_dr1 END)) AS target
+  FROM sov_mc m JOIN (SELECT DISTINCT {where}, ppu_category FROM srows0) d ON {on('m', 'd', where)}
+  GROUP BY 1, 2, 3, 4, 5
+),
+sov_comp AS (
+  SELECT account, gc_platform, bgr, brand AS comp_ms FROM (
+    SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr
+                                 ORDER BY change_adsov DESC NULLS LAST, brand, gc_city) AS r2 FROM (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr
+                       ORDER BY share_dr1 DESC NULLS LAST, brand, gc_city) AS r1
+                     FROM sov_mc WHERE tier IS NOT NULL AND change_adsov > 0) WHERE r1 <= 4)) WHERE r2 = 1
+),
+sr AS (
+  SELECT s.*, os.title, os.sku_change_sov, os.sku_change_wt_osa,
+    CASE WHEN s.wt_osa_dr1 > tg.target THEN s.wt_osa_dr1 - s.change_wt_osa ELSE tg.target END AS target_osa,
+    cp.comp_ms
+  FROM srows0 s
+  LEFT JOIN sov_sku os ON {on('s', 'os', where)}
+  LEFT JOIN sov_tgt tg ON {on('s', 'tg', where)} AND s.ppu_category = tg.ppu_category
+  LEFT JOIN sov_comp cp ON s.account = cp.account AND s.gc_platform = cp.gc_platform AND s.bgr = cp.bgr
+),
+kb AS (
+  SELECT k.account, k.gc_platform, k.bgr, k.gc_city, k.brand, k.keyword, rl.final_score
+  FROM kbc k LEFT JOIN rel rl ON {on('k', 'rl', where)} AND k.keyword = rl.keyword
+  WHERE k.change_ad_sov > 0
+    AND EXISTS (SELECT 1 FROM sr WHERE {on('k', 'sr', where)} AND sr.comp_ms = k.brand)
+),
+kbl AS (
+  SELECT {where}, list(keyword ORDER BY r) AS comp_keywords FROM (
+    SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY final_score DESC NULLS LAST, keyword) AS r FROM kb)
+  WHERE r <= 2 GROUP BY 1, 2, 3, 4
+),
+low10 AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY ad_sov DESC NULLS LAST, keyword) AS r
+                 FROM lowrel WHERE ad_sov > 0 AND relevant_score < 0.5) WHERE r <= 10
+),
+drop1 AS (
+  SELECT {where}, keyword AS drop_keyword FROM (
+    SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY final_score ASC NULLS LAST, keyword) AS r2 FROM low10)
+  WHERE r2 = 1
+),
+fin AS (
+  SELECT sr.*, kbl.comp_keywords, recs.rec_keywords, drop1.drop_keyword,
+    CASE WHEN sr.top_city IS NOT NULL THEN '• Top impacted geographies – ' || sr.top_city END AS what2
+  FROM sr LEFT JOIN kbl ON {on('sr', 'kbl', where)} LEFT JOIN recs ON {on('sr', 'recs', where)}
+  LEFT JOIN drop1 ON {on('sr', 'drop1', where)}
+),
+sov_lines AS (
+  SELECT *, list_filter([
+      CASE WHEN title IS NOT NULL AND sku_change_wt_osa <= -5.0 AND target_osa IS NOT NULL THEN
+        '• ' || title || ': Restore OSA to ' || CAST(CAST(ceil(target_osa / 5) * 5 AS DOUBLE) AS VARCHAR)
+        || '% to improve organic SOV' END,
+      CASE WHEN len(coalesce(rec_keywords, [])) > 0 THEN '• Increase Ad SOV on ' || {quoted('list_slice(rec_keywords, 1, 2)')} || ' KWs' END,
+      CASE WHEN drop_keyword IS NOT NULL THEN '• Remove ad spends from ' || drop_keyword END],
+    lambda x: x IS NOT NULL) AS rl
+  FROM fin
+)
+SELECT account, gc_platform, bgr, gc_city, brand,
+  concat_ws({nl}, '• Overall SOV dropped from ' || {_f1('sov_dr1 - change_sov')} || '% to ' || {_f1('sov_dr1')} || '%', what2) AS what_happened,
+  concat_ws({nl},
+    CASE WHEN title IS NOT NULL THEN '• ' || title || ' SOV declined ' || {_f1('abs(sku_change_sov)')} || '% due to OSA drop' END,
+    CASE WHEN len(coalesce(comp_keywords, [])) > 0 THEN '• ' || comp_ms || ' gained SOV on KWs – ' || {quoted('comp_keywords')} END,
+    what2) AS rca,
+  CASE WHEN len(rl) > 0 THEN 'Sov Recommendation:' || {nl} || array_to_string(rl, {nl}) ELSE '' END AS recommendation,
+  {_pct('cat_share_dr1')} AS share_dr1, {_pct('cat_change_market_share')} AS pct_change,
+  {_pct('cat_sov_dr1')} AS sov_dr1_text, {_pct('cat_change_sov')} AS change_sov_text
+FROM sov_lines""", ("pid_metrics", "product_dim", "keyword_impressions"))
+
+
+ORACLE_EXTRA["sov_recs"] = _sov_sql()
