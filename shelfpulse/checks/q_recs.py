@@ -423,3 +423,71 @@ FROM sov_lines""", ("pid_metrics", "product_dim", "keyword_impressions"))
 
 
 ORACLE_EXTRA["sov_recs"] = _sov_sql()
+
+
+def _text_rules_sql() -> str:
+    nl = "chr(10)"
+
+    def strip(x):
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    def first_group(lines, pattern):
+        return (f"trim(list_filter(list_transform({lines}, lambda l: regexp_extract(l, '{pattern}', 1)), "
+                f"lambda x: x <> '')[1])")
+
+    def drop_orphan(lines, header):
+        ne = f"list_filter({lines}, lambda l: trim(l) <> '')"
+        return (f"CASE WHEN len({ne}) = 1 AND regexp_matches({ne}[1], '{header}') THEN []::VARCHAR[] "
+                f"ELSE {lines} END")
+
+    def tidy(lines):
+        return strip(f"regexp_replace(array_to_string({lines}, {nl}), '\\n{{3,}}', {nl} || {nl}, 'g')")
+    restore = "regexp_matches(l, '(?i)restore\\s+osa')"
+    right = ("CASE WHEN instr(l, ':') > 0 THEN trim(regexp_extract(l, '(?s)^[^:]*:(.*)$', 1)) "
+             "ELSE trim(regexp_replace(l, '^\\s*[•-]\\s*', '')) END")
+    return f"""WITH o AS ({_osa_sql()}),
+s AS ({_sov_sql()}),
+j AS (
+  SELECT coalesce(s.account, o.account) AS account, coalesce(s.gc_platform, o.gc_platform) AS gc_platform,
+    coalesce(s.bgr, o.bgr) AS bgr, coalesce(s.brand, o.brand) AS brand, s.gc_city,
+    s.recommendation AS recommendation_sov, o.recommendation AS recommendation_osa
+  FROM s FULL JOIN o ON s.account = o.account AND s.gc_platform = o.gc_platform AND s.bgr = o.bgr AND s.brand = o.brand
+),
+p AS (
+  SELECT *, string_split({strip("coalesce(recommendation_sov, '')")}, {nl}) AS rec_l,
+    string_split({strip("coalesce(recommendation_osa, '')")}, {nl}) AS osa_l
+  FROM j
+),
+q AS (
+  SELECT *, {first_group('rec_l', '(?i)^\\s*•\\s*(.+?)\\s*:')} AS sku_sov,
+    {first_group('osa_l', '(?i)^\\s*-\\s*(.+?)\\s*:')} AS sku_osa,
+    list_transform(list_filter(rec_l, lambda l: {restore}), lambda l: trim(l)) AS restore_l,
+    list_transform(list_filter(rec_l, lambda l: NOT {restore} AND trim(l) <> ''), lambda l: trim(l)) AS other_l
+  FROM p
+),
+m AS (
+  SELECT *, list_concat(osa_l, list_transform(restore_l, lambda l:
+      CASE WHEN sku_sov IS NOT NULL AND sku_osa IS NOT NULL AND sku_sov = sku_osa THEN '• ' || {right}
+           WHEN sku_sov IS NOT NULL THEN '- ' || sku_sov || ': ' || {right}
+           ELSE '• ' || {right} END)) AS osa_all
+  FROM q
+),
+t AS (
+  SELECT account, gc_platform, bgr, brand, gc_city,
+    {tidy(drop_orphan('other_l', '(?i)^\\s*sov\\s+recommendation:?\\s*$'))} AS rec_txt,
+    {tidy(drop_orphan('osa_all', '(?i)^\\s*osa\\s+recommendations?:?\\s*$'))} AS osa_txt
+  FROM m
+),
+u AS (
+  SELECT account, gc_platform, bgr, brand, gc_city,
+    CASE WHEN rec_txt <> '' THEN rec_txt END AS recommendation_sov,
+    CASE WHEN osa_txt <> '' THEN osa_txt END AS recommendation_osa
+  FROM t
+)
+SELECT *, CASE WHEN concat_ws({nl} || {nl}, recommendation_osa, recommendation_sov) <> ''
+  THEN concat_ws({nl} || {nl}, recommendation_osa, recommendation_sov) END AS recommendation
+FROM u
+WHERE concat_ws({nl} || {nl}, recommendation_osa, recommendation_sov) NOT IN ('', {nl})"""
+
+
+ORACLE_EXTRA["text_rules"] = _text_rules_sql()
