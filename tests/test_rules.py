@@ -239,3 +239,42 @@ def test_template_render(spark):
     assert out[3].keep                                          # no placeholders -> kept
     kept = {r.slide_id: r.rendered for r in render_templates(t, v, leave_missing=True).collect()}
     assert kept[1] == "Hi Acme, May {{nope}}"
+
+
+def test_osa_rule_lines(spark):
+    from shelfpulse.plans.recommendations import osa_recommendations
+    key = ("a", "p", "c", "B1")
+    brand_rows = spark.createDataFrame([(*key, 40.0, -10.0)],
+                                       "account string, gc_platform string, bgr string, brand string, "
+                                       "wt_osa_dr1 double, change_wt_osa double")
+    drivers = spark.createDataFrame([(*key, 5.0, -2.0, -200000.0)],
+                                    "account string, gc_platform string, bgr string, brand string, "
+                                    "share_dr1 double, pct_change double, sales_impact double")
+    cat = spark.createDataFrame([(*key, 1, 41.0, -9.0)],
+                                "account string, gc_platform string, bgr string, brand string, "
+                                "is_own_brand int, wt_osa_dr1 double, change_wt_osa double")
+    cities = spark.createDataFrame([(*key, 1, "Pune", -150000.0), (*key, 2, "Goa", -30000.0)],
+                                   "account string, gc_platform string, bgr string, brand string, "
+                                   "city_rank bigint, gc_city string, sales_impact double")
+    psl = spark.createDataFrame([("a", "p", "c", "Pune", "s1", "Soap", 120000.0),
+                                 ("a", "p", "c", "Pune", "s2", "Gel", 5000.0)],
+                                "account string, gc_platform string, bgr string, gc_city string, "
+                                "product_id string, title string, psl_mrp double")
+    counts = spark.createDataFrame([("a", "p", "c", "Pune", "s1", "Soap", 12, 4)],
+                                   "account string, gc_platform string, bgr string, gc_city string, "
+                                   "product_id string, title string, high_psl_stores bigint, listed_in bigint")
+    doi = spark.createDataFrame([("a", "p", "c", "Pune", "s1", 3.0, 1.0)],
+                                "account string, gc_platform string, bgr string, gc_city string, "
+                                "product_id string, backend_doi double, frontend_doi double")
+    r = osa_recommendations(brand_rows, drivers, cat, cities, psl, counts, doi).first()
+    assert r.top_geo == "Pune (75%) , Goa (15%)"
+    assert r.what_happened.startswith("OSA dropped from 50% to 40.0%")
+    assert r.potential_sales_loss == "₹1.2 L"
+    assert r.recommendation == ("OSA Recommendations:\n- Soap:\n"
+                                "• Fix DS listing in 8 stores in Pune\n"
+                                "• Stock-out risk, Only 3.0 days of stock left in Pune; "
+                                "backend inventory needs to be refilled\n")
+    # no rule fires -> blank block
+    quiet = doi.withColumn("backend_doi", F.lit(9.0)).withColumn("frontend_doi", F.lit(5.0))
+    calm = counts.withColumn("listed_in", F.lit(10).cast("bigint"))
+    assert osa_recommendations(brand_rows, drivers, cat, cities, psl, calm, quiet).first().recommendation == ""
