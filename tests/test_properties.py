@@ -77,3 +77,49 @@ def test_report_row_has_full_marker_list(spark):
     row = q_report.q_report_row(spark, SMALL)
     assert row.columns == ["account", *q_report.MARKERS]
     assert row.count() == 1
+
+
+def test_kmeans_tiers_match_brute_force(spark):
+    """The distributed tiering equals a plain single-machine computation on the
+    collected brand aggregate (small fixture)."""
+    import math
+
+    import numpy as np
+    v = _views(spark)
+    ppu = TR.brand_ppu(v.pid_metrics(), v.product_dim(), L1)
+    got = {(r.gc_platform, r.bgr, r.brand): (r.ppu_category, r.ppu_lower_bound, r.ppu_upper_bound)
+           for r in TR.price_tiers(v.pid_metrics(), v.product_dim(), L1, method="auto").collect()}
+    rows = ppu.collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.gc_platform, r.bgr), []).append((r.brand, r.wt_ppu))
+    names = ["cost_effective", "mid_range", "premium"]
+    expected = {}
+    for (plat, bgr), items in groups.items():
+        items.sort()
+        x = np.array([p for _, p in items], dtype=float)
+        if len(x) >= 3:
+            z = np.log1p(np.clip(x, np.quantile(x, 0.05), np.quantile(x, 0.95)))
+            lo, hi = z.min(), z.max()
+            c = (np.linspace(lo, hi, 4)[1:] + np.linspace(lo, hi, 4)[:-1]) / 2
+            for _ in range(300):
+                lab = np.abs(z[:, None] - c[None, :]).argmin(axis=1)
+                new = np.array([z[lab == k].mean() if (lab == k).any() else c[k] for k in range(3)])
+                if np.allclose(new, c, rtol=0, atol=1e-12):
+                    break
+                c = new
+            c = np.sort(c)
+            edges = np.r_[lo, (c[1:] + c[:-1]) / 2, hi]
+            edges = edges[np.ediff1d(edges, to_begin=np.inf) > 1e-8]
+            codes = np.clip(np.searchsorted(edges[1:-1], z, side="right"), 0, len(edges) - 2)
+            cats = [names[k] for k in codes]
+        else:
+            q1, q2 = np.quantile(x, 1 / 3), np.quantile(x, 2 / 3)
+            cats = [names[0] if p <= q1 else names[1] if p <= q2 else names[2] for p in x]
+        by_cat = {}
+        for (brand, p), cat in zip(items, cats):
+            by_cat.setdefault(cat, []).append(p)
+        for (brand, p), cat in zip(items, cats):
+            expected[(plat, bgr, brand)] = (cat, float(math.floor(min(by_cat[cat]) / 5) * 5),
+                                            float(math.ceil(max(by_cat[cat]) / 5) * 5))
+    assert got == expected
