@@ -133,3 +133,20 @@ def ranked_running_share(df: DataFrame, part_keys: Sequence[str], order_value: s
             .withColumn(cum_out, F.try_divide((F.col("__off_s") + F.col("__run")).cast("double"),
                                               F.col("__tot").cast("double")))
             .drop("__b", "__rn", "__run", "__off_n", "__off_s", "__tot"))
+
+
+def with_group_totals(df: DataFrame, keys: Sequence[str], values: Sequence[str],
+                      prefix: str = "__tot_") -> DataFrame:
+    """Attach ``sum(value)`` over ``keys`` to every row as ``<prefix><value>``.
+
+    Same numbers as ``sum(value) OVER (PARTITION BY keys)``, computed as a
+    partially aggregated ``groupBy`` joined back on the keys (NULL keys match,
+    like a window partition).  A window puts a whole partition in one task; the
+    join lets AQE split a hot partition of the large side (skew join) while the
+    totals side holds one row per key.  Use it where partitions grow with the
+    data (SKUs or keywords per category x city); windows over brand-level
+    aggregates stay windows.
+    """
+    from shelfpulse.operators.joins import join_null_safe
+    tots = df.groupBy(*keys).agg(*[F.sum(v).alias(f"{prefix}{v}") for v in values])
+    return join_null_safe(df, tots, list(keys), "inner")

@@ -12,6 +12,7 @@ from shelfpulse.functions.exprs import safe_div
 from shelfpulse.functions.text import kw_score, relevance
 from shelfpulse.operators.periods import filter_periods, period_label
 from shelfpulse.operators.topk import SKEW_SALT, top_k
+from shelfpulse.operators.windows import with_group_totals
 
 KW_GROUP = ("account", "gc_platform", "bgr", "gc_city")
 
@@ -33,13 +34,14 @@ def keyword_totals(kw: DataFrame, l1, l2, group: Sequence[str] = KW_GROUP) -> Da
             F.round(safe_div(own_ad.cast("double") * 100.0, F.sum("ad_impressions").cast("double")), 1)
         ).alias("ad_sov"),
         F.max("keyword_weight").alias("max_keyword_weight"))
-    w = Window.partitionBy("date_period", *group)
+    # keywords per category x city grow with the data: group totals joined back
+    g = with_group_totals(g, ["date_period", *group], ["tot_imp", "max_keyword_weight"])
     return g.select(
         "date_period", *group, "keyword", "max_keyword_weight", "ad_sov",
         F.round(safe_div(100.0 * F.col("tot_imp").cast("double"),
-                         F.sum("tot_imp").over(w).cast("double")), 1).alias("cat_share"),
+                         F.col("__tot_tot_imp").cast("double")), 1).alias("cat_share"),
         F.round(safe_div(100.0 * F.col("max_keyword_weight").cast("double"),
-                         F.sum("max_keyword_weight").over(w).cast("double")), 1).alias("vol_share"))
+                         F.col("__tot_max_keyword_weight").cast("double")), 1).alias("vol_share"))
 
 
 def keyword_scores(totals: DataFrame, group: Sequence[str] = KW_GROUP,
@@ -116,8 +118,8 @@ def contribution(facts: DataFrame, l1, keys=("account", "product_id", "title", "
     f = facts.where(F.col("snapshot_date").between(F.to_date(F.lit(str(l1[0]))),
                                                    F.to_date(F.lit(str(l1[1]))))
                     & (F.col("is_own_brand") == 1))
-    g = f.groupBy(*keys).agg(F.sum("reported_offtake_mrp").alias("total_mrp"))
-    w = Window.partitionBy(*part_keys)
+    g = with_group_totals(f.groupBy(*keys).agg(F.sum("reported_offtake_mrp").alias("total_mrp")),
+                          list(part_keys), ["total_mrp"])
     return g.select(*keys, F.round(safe_div(100.0 * F.col("total_mrp").cast("double"),
-                                            F.sum("total_mrp").over(w).cast("double")), 1)
+                                            F.col("__tot_total_mrp").cast("double")), 1)
                     .alias("contribution_pct"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfpulse.functions.exprs import null_greatest, row_weight, safe_div
+from shelfpulse.operators.windows import with_group_totals
 from shelfpulse.operators.periods import (compare_periods, filter_periods,
                                           filter_periods_capped, period_label)
 
@@ -283,13 +284,18 @@ def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
         F.sum(F.when(ppu, F.col("price_per_100_units") * ppu_w)).alias("__ppu_num"),
         F.sum(F.when(ppu, ppu_w)).alias("__ppu_den"),
     )
-    wp = Window.partitionBy(*part_keys, "date_period")
+    # category x city totals of four measures: group totals joined back (SKUs
+    # per category x city grow with the data, so no single-task window partition)
+    g = with_group_totals(g, [*part_keys, "date_period"], ["__no", "__ti", "__oi", "__ai"])
 
     def dbl(c):
         return F.col(c).cast("double")
 
+    def tot(c):
+        return F.col(f"__tot_{c}").cast("double")
+
     def share(c):
-        return F.try_divide(dbl(c), F.sum(c).over(wp).cast("double")) * 100.0
+        return F.try_divide(dbl(c), tot(c)) * 100.0
 
     return g.select(
         *keys, "date_period", "offtake_mrp", "offtake_sp", "sp", "mrp", "units",
@@ -298,9 +304,9 @@ def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
         F.try_divide(dbl("__wa") * 100.0, dbl("__wl")).alias("wt_osa_in_ls"),
         F.try_divide((dbl("__wmrp") - dbl("__wprice")) * 100.0, dbl("__wmrp")).alias("wt_discounting"),
         share("__no").alias("market_share"),
-        F.try_divide(dbl("__ti") * 100.0, F.sum("__ti").over(wp).cast("double")).alias("sov"),
-        F.try_divide(dbl("__oi") * 100.0, F.sum("__oi").over(wp).cast("double")).alias("organic_sov"),
-        F.try_divide(dbl("__ai") * 100.0, F.sum("__ai").over(wp).cast("double")).alias("ad_sov"),
+        F.try_divide(dbl("__ti") * 100.0, tot("__ti")).alias("sov"),
+        F.try_divide(dbl("__oi") * 100.0, tot("__oi")).alias("organic_sov"),
+        F.try_divide(dbl("__ai") * 100.0, tot("__ai")).alias("ad_sov"),
         F.try_divide(dbl("__ppu_num"), dbl("__ppu_den")).alias("wt_ppu"),
     )
 
