@@ -278,3 +278,15 @@ def test_osa_rule_lines(spark):
     quiet = doi.withColumn("backend_doi", F.lit(9.0)).withColumn("frontend_doi", F.lit(5.0))
     calm = counts.withColumn("listed_in", F.lit(10).cast("bigint"))
     assert osa_recommendations(brand_rows, drivers, cat, cities, psl, calm, quiet).first().recommendation == ""
+
+
+def test_group_totals_equal_window_sums(spark):
+    from pyspark.sql import Window
+
+    from shelfpulse.operators.windows import with_group_totals
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", f"k{i}", i * 1.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, k string, v double").selectExpr(
+        "*", "cast(v as decimal(10,2)) as dv")
+    a = {r.k: r.t for r in df.withColumn("t", F.sum("dv").over(Window.partitionBy("g"))).collect()}
+    b = {r.k: r.__tot_dv for r in with_group_totals(df, ["g"], ["dv"]).collect()}
+    assert a == b                                 # NULL keys form one group, as in a window
