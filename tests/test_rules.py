@@ -288,5 +288,5 @@ def test_group_totals_equal_window_sums(spark):
     df = spark.createDataFrame(rows, "g string, k string, v double").selectExpr(
         "*", "cast(v as decimal(10,2)) as dv")
     a = {r.k: r.t for r in df.withColumn("t", F.sum("dv").over(Window.partitionBy("g"))).collect()}
-    b = {r.k: r.__tot_dv for r in with_group_totals(df, ["g"], ["dv"]).collect()}
+    b = {r["k"]: r["__tot_dv"] for r in with_group_totals(df, ["g"], ["dv"]).collect()}
     assert a == b                                 # NULL keys form one group, as in a window
