@@ -11,8 +11,8 @@ Only identifiers are shuffled for all texts; chunk texts only move for repeated
 each distinct chunk once per map task.
 
 NULL text counts as empty.  Of equal texts the row with the largest doc_id stays; rows
-that repeat that doc_id are all marked kept; a group whose ids are all NULL has a NULL
-keep_id and its rows are kept.  Extra input columns are ignored.
+that repeat that doc_id are all marked kept; a group whose ids are all NULL has a
+NULL keep_id and its rows are kept.  Extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,19 +55,26 @@ def collisions(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     made = saved(recipes(docs), "recipes")
-    alike = made.groupBy("n_bytes", "recipe").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = saved(made.join(alike, ["n_bytes", "recipe"], "left_semi").select("doc_id", "recipe"), "repeated")
+    key = ["n_bytes", "recipe"]
+    groups = saved(_groups(made, key), "groups")
+    repeated = saved(made.join(groups, key, "left_semi").select("doc_id", "recipe"), "repeated")
     bad = saved(collisions(docs, repeated), "collisions")
-    if bad.isEmpty():
-        rows = made.withColumn("mark", F.lit(""))
-    else:
+    if not bad.isEmpty():
         marked = (repeated.select("doc_id", F.explode("recipe").alias("id")).join(bad, "id", "left_semi")
                   .select("doc_id").distinct().withColumn("unsure", F.lit(True)))
-        rows = (made.join(marked, "doc_id", "left")
+        made = (made.join(marked, "doc_id", "left")
                 .withColumn("mark", F.when(F.col("unsure"), F.col("text_sha256")).otherwise(F.lit("")))
                 .drop("unsure"))
-    key = ["n_bytes", "recipe", "mark"]
-    groups = (rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    return rows.join(groups, key).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256")
+        key = [*key, "mark"]
+        groups = saved(_groups(made, key), "groups")
+    # groups of one need no partner; the groups are read from files, so a crowded group's
+    # rows can be split by the skewed-join rule
+    rows = made.join(groups, key, "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("largest"))
+    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
+                       F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Groups of two rows or more: their key, size and largest doc_id."""
+    return (rows.groupBy(*key).agg(F.max("doc_id").alias("largest"), F.count("*").alias("n")).filter("n > 1"))
