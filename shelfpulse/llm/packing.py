@@ -97,16 +97,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def ranked(made: DataFrame, histogram: dict[int, int], rows_per_bucket: int = 50_000) -> DataFrame:
-    """Adds rank (from 0, without gaps) within each length."""
-    buckets = max(1, math.ceil(max(histogram.values(), default=0) / rows_per_bucket))
-    rows = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+def ranked(made: DataFrame, histogram: dict[int, int], rows_per_bucket: int = 5_000) -> DataFrame:
+    """Adds rank (from 0, without gaps) within each length.  A length has as many buckets
+    as its count asks for."""
+    buckets = made.sparkSession.createDataFrame(
+        [(k, math.ceil(n / rows_per_bucket)) for k, n in histogram.items()], "length long, buckets int")
+    rows = (made.join(F.broadcast(buckets), "length")       # one row per length, capacity at most
+            .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))))
     sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = (sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n"))
               .drop("n"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     return (rows.withColumn("r", F.row_number().over(order) - 1).join(before, ["length", "bucket"])
-            .withColumn("rank", F.col("base") + F.col("r")).drop("bucket", "base", "r"))
+            .withColumn("rank", F.col("base") + F.col("r")).drop("bucket", "buckets", "base", "r"))
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

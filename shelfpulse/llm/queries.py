@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpulse.llm import decontam, exact_dedup, packing, quality, simhash
+from shelfpulse.llm import decontam, exact_dedup, packing, quality, simhash, token_counts, toxicity
 from shelfpulse.llm.common import read
 
 
@@ -16,6 +16,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 3, 1)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 4, 2)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
@@ -43,7 +51,7 @@ FROM d JOIN g USING (norm)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op5_best_fit_packing, op7_simhash_near_dedup, op8_exact_dedup,
+        op1_quality_classifier, op3_toxicity, op4_token_counts, op5_best_fit_packing, op7_simhash_near_dedup, op8_exact_dedup,
         op9_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
