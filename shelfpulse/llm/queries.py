@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpulse.llm import decontam, exact_dedup, packing, quality, simhash, token_counts, toxicity
+from shelfpulse.llm import (decontam, exact_dedup, packing, pii, quality, simhash, suffix_lm, token_counts,
+                            toxicity)
 from shelfpulse.llm.common import read
 
 
@@ -16,6 +17,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 3, 1)
 
 
+def op2_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(read(spark, sf_dir, "documents"), 7, 2)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 4, 2)
 
@@ -28,6 +33,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -51,7 +60,8 @@ FROM d JOIN g USING (norm)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op3_toxicity, op4_token_counts, op5_best_fit_packing, op7_simhash_near_dedup, op8_exact_dedup,
+        op1_quality_classifier, op2_suffix_tree_lm, op3_toxicity, op4_token_counts, op5_best_fit_packing,
+        op6_pii_sanitisation, op7_simhash_near_dedup, op8_exact_dedup,
         op9_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
