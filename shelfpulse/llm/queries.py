@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpulse.llm import (decontam, exact_dedup, packing, pii, quality, simhash, suffix_lm, token_counts,
-                            toxicity)
+from shelfpulse.llm import (decontam, exact_dedup, packing, pii, quality, repeats, simhash, suffix_lm,
+                            token_counts, toxicity)
 from shelfpulse.llm.common import read
 
 
@@ -49,6 +49,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -62,6 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_suffix_tree_lm, op3_toxicity, op4_token_counts, op5_best_fit_packing,
         op6_pii_sanitisation, op7_simhash_near_dedup, op8_exact_dedup,
-        op9_benchmark_decontamination)}
+        op9_benchmark_decontamination, op10_repeated_substrings)}
 
 ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
