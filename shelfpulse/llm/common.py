@@ -44,11 +44,18 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def slices(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python objects at a time."""
+    for batch in it:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str) -> DataFrame:
     """``mapInArrow`` with a per-batch function; ``None`` means no rows."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             out = fn(batch)
             if out is not None:
                 yield out
@@ -59,7 +66,7 @@ class WordValues(dict):
     """word -> value, computed on a miss.  Emptied when it holds ``limit`` words, so a
     worker's memory is bounded whatever the vocabulary."""
 
-    def __init__(self, fn: Callable[[bytes], int], limit: int = 400_000):
+    def __init__(self, fn: Callable[[bytes], int], limit: int = 250_000):
         super().__init__()
         self.fn, self.limit = fn, limit
 

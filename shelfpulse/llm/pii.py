@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfpulse.llm.common import WordValues, hash64, map_batches, saved, text_bytes, values_of
+from shelfpulse.llm.common import WordValues, hash64, map_batches, saved, slices, text_bytes, values_of
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR, REACH = 5, 120
@@ -153,14 +153,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
         def counted():
             term, n = np.unique(np.concatenate(parts), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
-        for batch in it:
+        for batch in slices(it):
             for text in batch.column(0).to_pylist():
                 words = text.split()
                 if not words:
                     continue
                 parts.append(values_of(words, cache))
                 size += len(words)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield counted()
                     parts, size = [], 0
         if parts:

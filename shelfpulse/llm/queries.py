@@ -50,7 +50,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 OP8_SQL = """

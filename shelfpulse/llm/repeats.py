@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfpulse.llm.common import map_batches, saved, text_bytes
+from shelfpulse.llm.common import map_batches, saved, slices, text_bytes
 
 LENGTH = 200
 K = 32                          # bytes of an anchor's word
-SLICE = 1 << 20                 # bytes handled at a time (places take 24 bits)
-CROWD = 20_000
+SLICE = 1 << 19                 # bytes handled at a time (places take 24 bits)
+CROWD = 5_000
 
 _rng = np.random.default_rng(20240607)          # fixed seed: every task hashes alike
 _TABLES = [_rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -132,7 +132,7 @@ def _joined(texts: list[bytes]):
 def anchors(docs: DataFrame) -> DataFrame:
     """One row per run of start places of every document."""
     def run(it):
-        for batch in it:
+        for batch in slices(it):
             ids, keys = batch.column(0), batch.column(1)
             texts = batch.column(2).to_pylist()
             queue, size = [], 0
@@ -229,8 +229,8 @@ def contested(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFram
         order = np.argsort(word, kind="stable")
         cuts = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
         chunk = [0]
-        for c in cuts[1:].tolist():             # cut between words, about 20,000 blocks at a time
-            if c - chunk[-1] >= 20_000:
+        for c in cuts[1:].tolist():             # cut between words, about CROWD blocks at a time
+            if c - chunk[-1] >= CROWD:
                 chunk.append(c)
         for a, b in zip(chunk, [*chunk[1:], len(order)]):
             rows = whole.take(pa.array(order[a:b]))
@@ -300,13 +300,14 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, n
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for every row."""
+def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining
+    bytes) for every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(5)]
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             kept, removed, n = cut(text, spans)
-            for c, v in zip(cols, (len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept)):
+            for c, v in zip(cols, (len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept if texts else None)):
                 c.append(v)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))],

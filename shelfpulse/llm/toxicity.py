@@ -93,20 +93,20 @@ def subsequences(words: list[bytes]):
 def word_scores(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Score of each word: its best piece."""
     out = np.full(len(words), -1e9)
-    for s in range(0, len(words), 50_000):
-        part = words[s:s + 50_000]
+    for s in range(0, len(words), 20_000):
+        part = words[s:s + 20_000]
         at, slot, value, owner = subsequences(part)
         sums = np.bincount(at, weights[slot] * value, len(owner))
         best = np.full(len(part), -1e9)
         np.maximum.at(best, owner, sums)
-        out[s:s + 50_000] = best
+        out[s:s + 20_000] = best
     return out
 
 
 class Scorer:
     """Scores texts with a bounded table of word scores."""
 
-    def __init__(self, weights: np.ndarray, limit: int = 400_000):
+    def __init__(self, weights: np.ndarray, limit: int = 250_000):
         self.weights, self.limit, self.known = weights, limit, {}
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
