@@ -19,16 +19,16 @@ from shelfpulse.llm.common import read, saved
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more; the model learns from all labelled rows' bounded sample."""
     weights = quality.train(docs, read(spark, sf_dir, "labels"))
-    scored = quality.score(docs, weights, keep=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = quality.score(docs, weights, keep=tuple(docs.columns), named=("__score", "__good"))
+    return scored.filter("__good = 1").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id.  Rows are told apart by id and text."""
     keep = (exact_dedup.exact_groups(docs).filter("kept")
-            .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
+            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
     sha = F.sha2(exact_dedup.lowered().cast("binary"), 256)
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

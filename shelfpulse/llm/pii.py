@@ -230,7 +230,8 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with base spans replaced by ``[kind]`` and disclosing terms by ``[term]``."""
     found = (spans(docs).filter("base <> '' OR terms IS NOT NULL")
-             .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "base", "terms").distinct())
+             .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"),
+                     F.col("base").alias("__base"), F.col("terms").alias("__terms")).distinct())
 
     @F.pandas_udf("string")
     def replaced(text, base, terms):
@@ -247,5 +248,5 @@ def sanitised(docs: DataFrame) -> DataFrame:
                     at = e
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    return (docs.join(found, same, "left").withColumn("text", replaced("text", "base", "terms")).select(*docs.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__key"))
+    return (docs.join(found, same, "left").withColumn("text", replaced("text", "__base", "__terms")).select(*docs.columns))

@@ -131,8 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return total / max(parts, 1)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score (probability of label 1) and predicted (score >= 0.5)."""
+def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",),
+          named: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns and, under the names ``named``, the probability of label 1 and whether
+    it is 0.5 or more (int)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     schema = docs.select(*keep).schema
     names = list(keep)
@@ -147,9 +149,10 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id
         p = _sigmoid(out)
         return pa.RecordBatch.from_arrays(
             [*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-            [*names, "score", "predicted"])
+            [*names, *named])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_batches(docs.select(text_bytes().alias("_t"), *keep), run, f"{ddl}, score double, predicted int")
+    return map_batches(docs.select(text_bytes().alias("__text"), *keep), run,
+                       f"{ddl}, `{named[0]}` double, `{named[1]}` int")
 
 
 _CACHE: dict[str, WordValues] = {}      # per Python worker

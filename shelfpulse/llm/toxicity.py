@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfpulse.llm.common import fold, map_batches, saved, text_bytes
+from shelfpulse.llm.common import fold, hash64, map_batches, saved, text_bytes
 
 SPAN, DECAY = 5, 0.7
 WIDE = 24
@@ -196,20 +196,26 @@ def _fit(good: list[bytes], bad: list[bytes], rounds: int = 50) -> tuple[np.ndar
     return weights, float(w[-1])
 
 
-def _cover(rows, least: int) -> list[bytes]:
-    """Words that cover the toxic documents, largest cover first."""
+def _guilty(rows, toxic: int, least: int) -> list[bytes]:
+    """Words that cover the toxic documents, largest cover first, and those that are in a
+    twentieth of them anyway."""
     holds = {bytes(r["word"]): set(r["docs"]) for r in rows}
     order = sorted(holds, key=lambda w: (-len(holds[w]), w))
     chosen, covered = [], set()
     while order:
-        gains = [(len(holds[w] - covered), w) for w in order[:2000]]
-        n, w = max(gains, key=lambda g: (g[0], g[1]))
+        n, w = max(((len(holds[w] - covered), w) for w in order[:2000]), key=lambda g: (g[0], g[1]))
         if n < least:
             break
         chosen.append(w)
         covered |= holds[w]
-        order = [x for x in order if x != w and len(holds[x]) >= least]
-    return chosen
+        order = [x for x in order if x != w]
+    return chosen + [w for w in order if len(holds[w]) >= max(least, toxic / 20)]
+
+
+def _near_key(text: bytes) -> int:
+    """Smallest hash of three words in a row: mostly equal for near copies."""
+    w = text.lower().split()
+    return min((hash64(b" ".join(w[i:i + 3])) for i in range(max(1, len(w) - 2))), default=0) if w else 0
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int = 3):
@@ -219,8 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int
               .groupBy("doc_id").agg(F.max("y").cast("int").alias("y")))
     # at most max_rows ids a class, so they may be broadcast
     chosen = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    sample = saved(docs.select("doc_id", text_bytes().alias("text"))
-                   .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").dropDuplicates(["doc_id"]), "sentences")
+    found = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = pa.array([_near_key(t) for t in batch.column(1).to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, keys], ["doc_id", "text", "y", "near"])
+    # one document of those that are nearly the same: copies are no evidence
+    sample = saved(map_batches(found.select(F.col("doc_id").cast("long"), "text", "y"), keyed,
+                               "doc_id long, text binary, y int, near long").dropDuplicates(["near", "y"]), "sentences")
 
     def sentences(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -235,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int
     table = saved(flat.groupBy("word").agg(
         F.collect_list(F.when(F.col("y") == 1, F.col("doc_id"))).alias("docs"),
         F.sum(1 - F.col("y")).alias("clean")), "words")
-    guilty = _cover(table.filter((F.size("docs") >= least) & (F.col("clean") == 0)).collect(), least)
+    toxic = sample.filter("y = 1").count()
+    guilty = _guilty(table.filter((F.size("docs") >= least) & (F.col("clean") == 0)).collect(), toxic, least)
     clean = (table.filter("clean > 0").orderBy(F.desc(F.when(F.col("clean") >= 20, 1).otherwise(0)), F.xxhash64("word"))
              .limit(12_000).select("word").collect())
     clean = [bytes(r["word"]) for r in clean]
