@@ -96,7 +96,7 @@ def q_sink_write_or_append(spark, sf):
     SK.write_or_append(spark, n, path)
     SK.write_or_append(spark, n, path)
     SK.write_or_append(spark, n.withColumn("note", F.lit("widened")), path)
-    return spark.read.parquet(path)
+    return SK.read_merged(spark, path)
 
 
 @register("sink_overwrite", "SELECT * FROM region")
@@ -129,22 +129,28 @@ def _report_parts(spark, sf):
 
 SUMMARY_COLS = ["gc_platform", "offtake", "prev_offtake", "share_delta", "gainers", "drainers"]
 DRIVER_COLS = ["bgr", "brand", "pct_change", "sales_impact"]
+# The report's platforms, in its order (the test mapping's market segments).
+PLATFORMS = ("automobile", "building", "furniture", "household", "machinery")
+
+
+def _summary_markers(summary):
+    return R.to_markers(R.on_spine(summary, PLATFORMS), "1*", [F.col("place")], SUMMARY_COLS, len(PLATFORMS))
 
 
 def _markers(spark, sf):
     summary, down, up = _report_parts(spark, sf)
     parts = [
-        R.to_markers(summary, "1*", [F.col("offtake").desc(), F.col("gc_platform")], SUMMARY_COLS, 4),
-        R.to_markers(down["drivers"], "ZD1_", [F.col("sales_impact").asc(), F.col("gc_platform"), F.col("bgr")],
-                     DRIVER_COLS, 2),
-        R.to_markers(up["drivers"], "ZG1_", [F.col("sales_impact").desc(), F.col("gc_platform"), F.col("bgr")],
-                     DRIVER_COLS, 2),
+        _summary_markers(summary),
+        R.platform_markers(down["drivers"], {p: p[0].upper() + "D" for p in PLATFORMS},
+                           [F.col("sales_impact").asc(), F.col("bgr"), F.col("brand")], DRIVER_COLS),
+        R.platform_markers(up["drivers"], {p: p[0].upper() + "G" for p in PLATFORMS},
+                           [F.col("sales_impact").desc(), F.col("bgr"), F.col("brand")], DRIVER_COLS),
     ]
     acct = summary.select("account").distinct()
     extra = acct.select("account", F.explode(F.array(
         F.struct(F.lit("Brand").alias("marker"), R.capitalise("account").alias("value")),
-        F.struct(F.lit("m1").alias("marker"), F.date_format(F.to_date(F.lit(L2[0])), "MMMM").alias("value")),
-        F.struct(F.lit("m2").alias("marker"), F.date_format(F.to_date(F.lit(L1[0])), "MMMM").alias("value")),
+        F.struct(F.lit("m1").alias("marker"), F.date_format(F.to_date(F.lit(L2[0])), "MMM").alias("value")),
+        F.struct(F.lit("m2").alias("marker"), F.date_format(F.to_date(F.lit(L1[0])), "MMM").alias("value")),
     )).alias("kv")).select("account", "kv.marker", "kv.value")
     out = extra
     for p in parts:
@@ -152,8 +158,9 @@ def _markers(spark, sf):
     return out
 
 
-MARKERS = (["Brand", "m1", "m2"] + R.marker_names("1*", len(SUMMARY_COLS), 4)
-           + R.marker_names("ZD1_", len(DRIVER_COLS), 2) + R.marker_names("ZG1_", len(DRIVER_COLS), 2))
+MARKERS = (["Brand", "m1", "m2"] + R.marker_names("1*", len(SUMMARY_COLS), len(PLATFORMS))
+           + [m for p in PLATFORMS for side in "DG" for s in (1, 2)
+              for m in R.marker_names(f"{p[0].upper()}{side}{s}_", len(DRIVER_COLS), 1)])
 
 
 def fmt_amt_sql(x: str) -> str:
@@ -268,8 +275,7 @@ def q_sheet_union(spark, sf):
 def q_markers_wide(spark, sf):
     """The platform-summary family alone, one wide row per account."""
     summary, _, _ = _report_parts(spark, sf)
-    long = R.to_markers(summary, "1*", [F.col("offtake").desc(), F.col("gc_platform")], SUMMARY_COLS, 4)
-    return R.report_row(long, R.marker_names("1*", len(SUMMARY_COLS), 4))
+    return R.report_row(_summary_markers(summary), R.marker_names("1*", len(SUMMARY_COLS), len(PLATFORMS)))
 
 
 @register("html_table_dates")
@@ -300,6 +306,18 @@ def _marker_sql(src: str, prefix: str, order: str, cols: list[str], types: dict,
 SUMMARY_TYPES = {"offtake": "double"}
 DRIVER_TYPES = {"pct_change": "double", "sales_impact": "double"}
 
+def _platform_sql(src: str, side: str, order: str) -> str:
+    """Two slots per account and platform; the platform's capital, the side, the slot, the field."""
+    parts = []
+    for i, c in enumerate(DRIVER_COLS):
+        v = (f"printf('%.1f', round_even({c} * 10.0, 0) / 10.0)" if DRIVER_TYPES.get(c) == "double"
+             else f"CAST({c} AS VARCHAR)")
+        parts.append(f"SELECT account, upper(substr(gc_platform, 1, 1)) || '{side}' || CAST(slot AS VARCHAR) || '_{i + 1}' "
+                     f"AS marker, coalesce({v}, '') AS value FROM (SELECT *, row_number() OVER (PARTITION BY account, "
+                     f"gc_platform ORDER BY {order}) AS slot FROM {src}) WHERE slot <= 2")
+    return "\nUNION ALL\n".join(parts)
+
+
 MARKERS_LONG_SQL = with_views(GAIN_DRAIN_SQL + f""",
 osum AS (
   SELECT po.account, po.gc_platform, po.o1 AS offtake, {fmt_amt_sql('po.o2')} AS prev_offtake,
@@ -307,13 +325,19 @@ osum AS (
     coalesce(gdm.gainers, '') AS gainers, coalesce(gdm.drainers, '') AS drainers
   FROM po LEFT JOIN gdm ON po.account = gdm.account AND po.gc_platform = gdm.gc_platform
 ),
+spine AS (
+  SELECT a.account, p.gc_platform, p.place, o.* EXCLUDE (account, gc_platform)
+  FROM (SELECT DISTINCT account FROM osum) a
+  JOIN (SELECT unnest([{", ".join(f"'{p}'" for p in PLATFORMS)}]) AS gc_platform, unnest(range({len(PLATFORMS)})) AS place) p ON true
+  LEFT JOIN osum o ON o.account = a.account AND o.gc_platform = p.gc_platform
+),
 mk AS (
   SELECT DISTINCT account, 'Brand' AS marker, upper(substr(account, 1, 1)) || lower(substr(account, 2)) AS value FROM osum
-  UNION ALL SELECT DISTINCT account, 'm1', strftime(DATE '{L2[0]}', '%B') FROM osum
-  UNION ALL SELECT DISTINCT account, 'm2', strftime(DATE '{L1[0]}', '%B') FROM osum
-  UNION ALL {_marker_sql('osum', '1*', 'offtake DESC, gc_platform', SUMMARY_COLS, SUMMARY_TYPES, 4)}
-  UNION ALL {_marker_sql('drivers', 'ZD1_', 'sales_impact ASC, gc_platform, bgr', DRIVER_COLS, DRIVER_TYPES, 2)}
-  UNION ALL {_marker_sql('drivers_up', 'ZG1_', 'sales_impact DESC, gc_platform, bgr', DRIVER_COLS, DRIVER_TYPES, 2)}
+  UNION ALL SELECT DISTINCT account, 'm1', strftime(DATE '{L2[0]}', '%b') FROM osum
+  UNION ALL SELECT DISTINCT account, 'm2', strftime(DATE '{L1[0]}', '%b') FROM osum
+  UNION ALL {_marker_sql('spine', '1*', 'place', SUMMARY_COLS, SUMMARY_TYPES, len(PLATFORMS))}
+  UNION ALL {_platform_sql('drivers', 'D', 'sales_impact ASC, bgr, brand')}
+  UNION ALL {_platform_sql('drivers_up', 'G', 'sales_impact DESC, bgr, brand')}
 )""", ("pid_metrics", "product_dim"))
 
 
@@ -325,7 +349,7 @@ def _wide_sql(names: list[str]) -> str:
 ORACLE_EXTRA = {
     "markers_long": MARKERS_LONG_SQL + "\nSELECT * FROM mk",
     "report_row": MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS),
-    "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(R.marker_names("1*", len(SUMMARY_COLS), 4)).replace(
+    "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(R.marker_names("1*", len(SUMMARY_COLS), len(PLATFORMS))).replace(
         "FROM mk", "FROM mk WHERE marker LIKE '1*%'"),
 }
 

@@ -67,6 +67,7 @@ pslp AS (
 srows AS (
   SELECT s.*, coalesce(p.psl_mrp, 0.0) AS psl_mrp
   FROM sku_osa s LEFT JOIN pslp p USING (account, gc_platform, product_id, store_id)
+  WHERE s.date_period = 'dr1'
 )"""
 
 SV = ("locality_metrics", "psl_daily_locality", "own_sku_base")
@@ -110,10 +111,9 @@ def q_psl_by_platform(spark, sf):
 @register("psl_by_sku", with_views(STORE_CTES + """
 SELECT account, gc_platform, bgr, gc_city, product_id, title,
   CAST(SUM(CAST(psl_mrp AS DECIMAL(38,2))) AS DOUBLE) AS psl_mrp
-FROM srows WHERE date_period = 'dr1' GROUP BY 1, 2, 3, 4, 5, 6""", SV))
+FROM srows GROUP BY 1, 2, 3, 4, 5, 6""", SV))
 def q_psl_by_sku(spark, sf):
-    r = _srows(spark, sf).where(F.col("date_period") == "dr1")
-    return ST.psl_by(r, ["account", "gc_platform", "bgr", "gc_city", "product_id", "title"])
+    return ST.psl_by(_srows(spark, sf), ["account", "gc_platform", "bgr", "gc_city", "product_id", "title"])
 
 
 @register("sku_store_counts", with_views(STORE_CTES + """

@@ -169,9 +169,9 @@ def share_impact(ms: DataFrame, keys: Sequence[str], date_col: str = "date_perio
         aggs.append(F.first(F.when(p == "dr2", F.col(src)), ignorenulls=True).alias(f"{dst}_dr2"))
     g = (ms.where(p.isin("dr1", "dr2")).groupBy(*keys).agg(*aggs)
          .where((F.col("__h1") == 1) & (F.col("__h2") == 1)).drop("__h1", "__h2"))
-    # sales impact in exact DECIMAL (share points have one decimal, sizes are
-    # exact sums), so sums of impacts do not depend on summation order
-    exact = (F.col("pct_change").cast("decimal(6,1)") * F.col("size_dr1").cast("decimal(20,4)")
+    # sales impact in DECIMAL with six decimals of a share point, so sums of impacts
+    # do not depend on summation order
+    exact = (F.col("pct_change").cast("decimal(12,6)") * F.col("size_dr1").cast("decimal(24,4)")
              * F.lit(0.01).cast("decimal(3,2)"))
     return (g.withColumn("pct_change", F.col("share_dr1") - F.col("share_dr2"))
              .withColumn("sales_impact", exact.cast("double")))

@@ -274,57 +274,64 @@ def sov_recommendations(brand_rows: DataFrame, drivers: DataFrame, cat_metrics:
 
 
 # ------------------------------------------------------------------ H23
-def _pystrip(c):
-    """Python ``str.strip()``: all leading / trailing whitespace, newlines included."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+# Titles of the two blocks and the words of a line that moves.
+BLOCK_TITLES = ("sov recommendation", "osa recommendation", "osa recommendations")
+MOVING_WORDS = "restore osa"
 
 
-def _first_group(lines, pattern: str):
-    hits = F.filter(F.transform(lines, lambda s: F.regexp_extract(s, pattern, 1)), lambda x: x != "")
-    return F.trim(F.try_element_at(hits, F.lit(1)))
+def _block(col: str) -> F.Column:
+    """A recommendation block as an array of (line, kind, name, body).
 
+    The blocks are written by this module: a title, ``- name:`` headers and
+    ``•`` points.  ``kind`` is title, header, point or text; ``name`` is what a
+    header or point has before its first colon, ``body`` what follows it (the
+    whole point without a colon)."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(col), F.lit("")), "\n"), lambda s: F.trim(s)),
+                     lambda s: s != "")
 
-def _drop_orphan(lines, header: str):
-    nonempty = F.filter(lines, lambda s: F.trim(s) != "")
-    return F.when((F.size(nonempty) == 1) & nonempty[0].rlike(header), F.array().cast("array<string>")) \
-            .otherwise(lines)
+    def parsed(s):
+        kind = (F.when(F.lower(F.rtrim(F.translate(s, ":", " "))).isin(*BLOCK_TITLES), "title")
+                .when(s.startswith("-"), "header").when(s.startswith("•"), "point").otherwise("text"))
+        marked = s.startswith("-") | s.startswith("•")
+        rest = F.when(marked, F.trim(F.substr(s, F.lit(2)))).otherwise(s)
+        colon = F.instr(rest, ":")
+        return F.struct(s.alias("line"), kind.alias("kind"),
+                        F.when(marked & (colon > 1), F.trim(F.substring_index(rest, ":", 1))).alias("name"),
+                        F.when(colon > 0, F.trim(F.substr(rest, colon + 1))).otherwise(rest).alias("body"))
+    return F.transform(lines, parsed)
 
 
-def _tidy(lines):
-    return _pystrip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+def _subject(block: str, kind: str) -> F.Column:
+    """Name of the first header (point) that has one."""
+    return F.try_element_at(F.filter(block, lambda e: (e["kind"] == kind) & e["name"].isNotNull()), F.lit(1))["name"]
+
+
+def _printed(lines: F.Column, titles: F.Column) -> F.Column:
+    """Lines of a block as text; NULL when nothing but titles is left."""
+    return F.when(F.size(lines) > titles, F.array_join(lines, "\n"))
 
 
 def merge_recommendations(df: DataFrame, sov_col: str = "recommendation_sov",
                           osa_col: str = "recommendation_osa") -> DataFrame:
     """Move "restore OSA" lines from the SOV block into the OSA block.
 
-    A moved line keeps only the text after its first colon; it becomes a
-    bullet when the SOV block's SKU (first "• name:") equals the OSA block's
-    SKU (first "- name:"), else a new "- name: ..." header line (a bullet
-    when the SOV block names no SKU).  A block left with only its header is
-    emptied, runs of blank lines are collapsed, and rows whose combined
-    recommendation is blank are dropped (B16).
+    Both blocks are parsed, regrouped and printed again.  A moved line keeps its
+    body: as a point when both blocks are about the same SKU or the SOV block
+    names none, else under a header of its SKU.  A block of titles only is
+    NULL, and rows without any recommendation are dropped (B16).
     """
-    rec = F.split(_pystrip(F.coalesce(F.col(sov_col), F.lit(""))), "\n")
-    osa = F.split(_pystrip(F.coalesce(F.col(osa_col), F.lit(""))), "\n")
-    sku_sov = _first_group(rec, r"(?i)^\s*•\s*(.+?)\s*:")
-    sku_osa = _first_group(osa, r"(?i)^\s*-\s*(.+?)\s*:")
-    is_restore = lambda s: s.rlike(r"(?i)restore\s+osa")
-    restore = F.transform(F.filter(rec, is_restore), lambda s: F.trim(s))
-    other = F.transform(F.filter(rec, lambda s: ~is_restore(s) & (F.trim(s) != "")), lambda s: F.trim(s))
-
-    def moved(s):
-        right = F.when(F.instr(s, ":") > 0, F.trim(F.regexp_extract(s, r"(?s)^[^:]*:(.*)$", 1))) \
-                 .otherwise(F.trim(F.regexp_replace(s, r"^\s*[•-]\s*", "")))
-        same = sku_sov.isNotNull() & sku_osa.isNotNull() & (sku_sov == sku_osa)
-        return F.when(same, F.concat(F.lit("• "), right)) \
-                .when(sku_sov.isNotNull(), F.concat(F.lit("- "), sku_sov, F.lit(": "), right)) \
-                .otherwise(F.concat(F.lit("• "), right))
-    osa_all = F.concat(osa, F.transform(restore, moved))
-    rec_txt = _tidy(_drop_orphan(other, r"(?i)^\s*sov\s+recommendation:?\s*$"))
-    osa_txt = _tidy(_drop_orphan(osa_all, r"(?i)^\s*osa\s+recommendations?:?\s*$"))
-    out = (df.withColumn(osa_col, F.when(osa_txt != "", osa_txt))
-           .withColumn(sov_col, F.when(rec_txt != "", rec_txt)))
-    combined = F.concat_ws("\n\n", F.col(osa_col), F.col(sov_col))
-    out = out.withColumn("recommendation", F.when(combined != "", combined))
-    return out.where(F.col("recommendation").isNotNull() & (F.col("recommendation") != "\n"))
+    moves = lambda e: F.contains(F.regexp_replace(F.lower(e["line"]), r"\s+", " "), F.lit(MOVING_WORDS))
+    d = df.withColumns({"__sov": _block(sov_col), "__osa": _block(osa_col)})
+    d = d.withColumns({"__from": _subject("__sov", "point"), "__to": _subject("__osa", "header")})
+    own_header = F.col("__from").isNotNull() & ~F.coalesce(F.col("__from") == F.col("__to"), F.lit(False))
+    moved = F.transform(F.filter("__sov", moves), lambda e: F.when(
+        own_header, F.concat(F.lit("- "), F.col("__from"), F.lit(": "), e["body"])).otherwise(
+        F.concat(F.lit("• "), e["body"])))
+    stays = F.filter("__sov", lambda e: ~moves(e))
+    titles = lambda block: F.size(F.filter(block, lambda e: e["kind"] == "title"))
+    line = lambda e: e["line"]
+    d = d.withColumns({
+        osa_col: _printed(F.concat(F.transform("__osa", line), moved), titles("__osa")),
+        sov_col: _printed(F.transform(stays, line), titles(stays))}).drop("__sov", "__osa", "__from", "__to")
+    both = F.concat_ws("\n\n", F.col(osa_col), F.col(sov_col))
+    return d.where(both != "").withColumn("recommendation", both)

@@ -121,6 +121,30 @@ def to_markers(df: DataFrame, prefix: str, order: Sequence[Column], cols: Sequen
     return e.select(key, marker.alias("marker"), F.coalesce(F.col("__it.v"), F.lit("")).alias("value"))
 
 
+def on_spine(df: DataFrame, platforms: Sequence[str], key: str = "account") -> DataFrame:
+    """One row per account and platform of the report's fixed list, in its order
+    (``place``); platforms without a row get NULLs, none is left out."""
+    spine = df.select(key).distinct().select(
+        key, F.posexplode(F.array(*map(F.lit, platforms))).alias("place", "gc_platform"))
+    return spine.join(df, [key, "gc_platform"], "left")
+
+
+def platform_markers(df: DataFrame, prefixes: dict[str, str], order: Sequence[Column], cols: Sequence[str],
+                     slots: int = 2, key: str = "account") -> DataFrame:
+    """The first ``slots`` rows of every account and platform as markers (H24):
+    ``<platform's prefix><slot>_<field number>``.  Output: (account, marker, value)."""
+    w = Window.partitionBy(key, "gc_platform").orderBy(*order)
+    names = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
+    types = dict(df.dtypes)
+    text = lambda c: fixed_pandas(F.col(c)) if types[c] in ("double", "float") else F.col(c).cast("string")
+    items = F.array(*[F.struct(F.lit(i + 1).alias("i"), text(c).alias("v")) for i, c in enumerate(cols)])
+    d = (df.withColumn("__slot", F.row_number().over(w)).where(F.col("__slot") <= slots)
+         .select(key, F.try_element_at(names, F.col("gc_platform")).alias("__p"), "__slot", F.explode(items).alias("__it"))
+         .where(F.col("__p").isNotNull()))
+    return d.select(key, F.concat("__p", F.col("__slot").cast("string"), F.lit("_"), F.col("__it.i").cast("string"))
+                    .alias("marker"), F.coalesce(F.col("__it.v"), F.lit("")).alias("value"))
+
+
 def fixed_pandas(c) -> Column:
     """``x`` rounded half-to-even on its binary value (numpy) and printed with one decimal."""
     return F.format_string("%.1f", F.rint(c * 10.0) / 10.0)

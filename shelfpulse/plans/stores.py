@@ -84,7 +84,9 @@ def sku_store_osa(loc: DataFrame, l1, l2, keys: Sequence[str] = STORE_KEYS) -> D
 
 def psl_by_store(sku_osa: DataFrame, psl: DataFrame, own_ids: DataFrame, l1,
                  keys: Sequence[str] = ("account", "gc_platform", "product_id", "store_id")) -> DataFrame:
-    """Attach potential sales loss of L1 to each store x SKU row, 0 when none.
+    """Attach potential sales loss of L1 to each current (``dr1``) store x SKU row, 0 when
+    none (H11).  The ``dr2`` row of a pair carries no loss of its own and is left out, so
+    every loss counts once.
 
     Own products through a semi join (C3), never an id tuple in the query text.
     """
@@ -94,7 +96,7 @@ def psl_by_store(sku_osa: DataFrame, psl: DataFrame, own_ids: DataFrame, l1,
                "product_id", "left_semi")
          .withColumn("gc_platform", F.lower("gc_platform"))
          .groupBy(*keys).agg(F.sum("potential_sales_loss_mrp").cast("double").alias("psl_mrp")))
-    return sku_osa.join(p, list(keys), "left").na.fill({"psl_mrp": 0.0})
+    return sku_osa.where(F.col("date_period") == "dr1").join(p, list(keys), "left").na.fill({"psl_mrp": 0.0})
 
 
 def psl_by(psl_rows: DataFrame, keys: Sequence[str]) -> DataFrame:

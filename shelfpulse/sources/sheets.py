@@ -15,7 +15,7 @@ def clean_sheet(df: DataFrame) -> DataFrame:
     Finding all-NULL columns takes one ``count(col)`` aggregate (a one-row
     result); the column list is schema, not data.
     """
-    named = [c for c in df.columns if c is not None and c.strip() != "" and not c.startswith("_c")]
+    named = [c for c in df.columns if c is not None and c.strip() != ""]
     d = df.select(*[F.when(F.trim(F.col(f"`{c}`").cast("string")) == "", None)
                     .otherwise(F.col(f"`{c}`")).alias(c.strip()) for c in named])
     d = d.dropna(how="all")
@@ -29,7 +29,11 @@ def clean_sheet(df: DataFrame) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header row, every cell a string, cleaned as above (A3)."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return clean_sheet(raw)
+    # Spark names the column of a blank header cell _c<place>; a header that reads so is kept
+    header = spark.read.option("header", False).option("inferSchema", False).csv(path).first()
+    blank = [c for i, c in enumerate(raw.columns)
+             if c == f"_c{i}" and (header is None or not (header[i] or "").strip())]
+    return clean_sheet(raw.drop(*blank))
 
 
 def read_sheets(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:

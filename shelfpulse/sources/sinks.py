@@ -8,6 +8,7 @@ the commit protocol keeps the output whole.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,17 +23,19 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
 def _exists_non_empty(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
     try:
         cur = spark.read.format(fmt).load(path)
-    except Exception:  # noqa: BLE001 -- a missing path is the "create" case
-        return None
+    except AnalysisException as e:
+        # only a missing or empty path is the "create" case; any other error must not overwrite
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     return cur if cur.columns and not cur.isEmpty() else None
 
 
 def write_or_append(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Full write when the target is missing or empty, else append.
 
-    New columns are added by reading the existing rows with the union of both
-    schemas (``unionByName(allowMissingColumns=True)``), which requires a
-    rewrite; same-shaped appends just append.  Returns the action taken.
+    New columns are appended with their schema; nothing is rewritten.  Read such
+    a table with ``read_merged``.  Returns the action taken.
     """
     cur = _exists_non_empty(spark, path, fmt)
     if cur is None:
@@ -41,8 +44,10 @@ def write_or_append(spark: SparkSession, df: DataFrame, path: str, fmt: str = "p
     if set(df.columns) <= set(cur.columns):
         write_table(df.select(*[c for c in cur.columns if c in df.columns]), path, "append", fmt)
         return "appended"
-    merged = cur.unionByName(df, allowMissingColumns=True)
-    tmp = path.rstrip("/") + "__widened"
-    write_table(merged, tmp, "overwrite", fmt)
-    write_table(spark.read.format(fmt).load(tmp), path, "overwrite", fmt)
+    write_table(df, path, "append", fmt)
     return "widened"
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table whose files may have different columns; missing ones read as NULL."""
+    return spark.read.option("mergeSchema", True).parquet(path)

@@ -17,8 +17,8 @@ TEST_TABLES = (
 
 def table_path(base: str, name: str) -> str:
     """``<base>/<name>.parquet`` when that exists, else ``<base>/<name>`` (a folder)."""
-    p = os.path.join(base, f"{name}.parquet")
-    if base.startswith(("s3:", "s3a:", "gs:", "abfs:", "hdfs:")) or os.path.exists(p):
+    p = f"{base.rstrip('/')}/{name}.parquet"
+    if ":" in base.split("/", 1)[0] or os.path.exists(p):       # any URI scheme: only Spark can look
         return p
     return os.path.join(base, name)
 
