@@ -79,8 +79,8 @@ product_dim AS (
 LOCALITY = """
 locality_metrics AS (
   SELECT account, snapshot_date, gc_platform, gc_city, bgr,
-    CAST(l_partkey % 20 AS VARCHAR) AS product_id,
-    'sku ' || CAST(l_partkey % 20 AS VARCHAR) AS title,
+    CAST(l_partkey AS VARCHAR) AS product_id,
+    'sku ' || CAST(l_partkey AS VARCHAR) AS title,
     CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
     'loc ' || CAST(l_suppkey % 5 AS VARCHAR) AS locality,
     total_available, total_listed, total_scrapes,
@@ -106,7 +106,7 @@ psl_daily AS (
 
 PSL_LOCALITY = """
 psl_daily_locality AS (
-  SELECT account, gc_platform, CAST(l_partkey % 20 AS VARCHAR) AS product_id,
+  SELECT account, gc_platform, CAST(l_partkey AS VARCHAR) AS product_id,
     CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
     ext AS potential_sales_loss_mrp, snapshot_date AS gc_crawl_date
   FROM base WHERE l_returnflag = 'R'
@@ -135,7 +135,7 @@ sku_master AS (
 
 OWN_SKU_BASE = """
 own_sku_base AS (
-  SELECT DISTINCT CAST(l_partkey % 20 AS VARCHAR) AS product_id, is_own_brand FROM base
+  SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS product_id, is_own_brand FROM base
 )"""
 
 ALL_VIEWS = {

@@ -75,7 +75,7 @@ comp AS (
 ),
 lv AS (
   SELECT * FROM (
-    SELECT c.*, row_number() OVER (PARTITION BY c.account, c.gc_platform, c.bgr, c.gc_city
+    SELECT c.*, row_number() OVER (PARTITION BY c.account, c.gc_platform, c.bgr, c.gc_city, c.ppu_category
       ORDER BY c.pct_change DESC NULLS LAST, c.brand ASC NULLS LAST) AS comp_rank, 1 AS level
     FROM comp c WHERE EXISTS (SELECT 1 FROM brand_rows b WHERE b.account = c.account AND b.gc_platform = c.gc_platform
       AND b.bgr = c.bgr AND b.gc_city = c.gc_city AND b.ppu_category = c.ppu_category)) WHERE comp_rank <= 2

@@ -16,6 +16,9 @@ from shelfpulse.plans import metrics as M
 from shelfpulse.sources import tables as S
 from shelfpulse.sources.views import Views
 
+# The platforms of the spine (lower-cased market segments of the test mapping).
+PLATFORMS = ("automobile", "building", "furniture", "household", "machinery")
+
 
 
 @register("scan_table", "SELECT * FROM part")

@@ -150,8 +150,8 @@ l1c AS (SELECT c.* FROM mcomp c WHERE EXISTS (SELECT 1 FROM drv d WHERE {on('c',
 l2c AS (SELECT c.* FROM mcomp c WHERE EXISTS (SELECT 1 FROM drv d WHERE {on('c', 'd', where)})),
 pick AS (
   SELECT *, 1 AS lvl FROM (
-    SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY change_wt_discounting DESC NULLS LAST, brand) AS r2 FROM (
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where} ORDER BY share_dr1 DESC NULLS LAST, brand) AS r1
+    SELECT *, row_number() OVER (PARTITION BY {where}, tier ORDER BY change_wt_discounting DESC NULLS LAST, brand) AS r2 FROM (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {where}, tier ORDER BY share_dr1 DESC NULLS LAST, brand) AS r1
                      FROM l1c) WHERE r1 <= 4)) WHERE r2 = 1
   UNION ALL
   SELECT *, 2 AS lvl FROM (
@@ -160,9 +160,18 @@ pick AS (
                      FROM l2c) WHERE r1 <= 4)) WHERE r2 = 1
 ),
 best AS (
-  SELECT {where}, brand AS comp, wt_discounting_dr1 AS comp_current, change_wt_discounting AS comp_change,
-    share_dr1 AS comp_share, pct_change AS comp_ms_delta
-  FROM (SELECT *, min(lvl) OVER (PARTITION BY {where}) AS mlvl FROM pick) WHERE lvl = mlvl
+  SELECT {where}, CASE WHEN lvl = 1 THEN tier END AS tier, lvl, brand AS comp, wt_discounting_dr1 AS comp_current,
+    change_wt_discounting AS comp_change, share_dr1 AS comp_share, pct_change AS comp_ms_delta
+  FROM pick
+),
+best_of AS (
+  SELECT d.*, coalesce(s.comp, a.comp) AS comp, CASE WHEN s.comp IS NULL THEN a.comp_current ELSE s.comp_current END AS comp_current,
+    CASE WHEN s.comp IS NULL THEN a.comp_change ELSE s.comp_change END AS comp_change,
+    CASE WHEN s.comp IS NULL THEN a.comp_share ELSE s.comp_share END AS comp_share,
+    CASE WHEN s.comp IS NULL THEN a.comp_ms_delta ELSE s.comp_ms_delta END AS comp_ms_delta
+  FROM drv d
+  LEFT JOIN (SELECT * FROM best WHERE lvl = 1) s ON {on('d', 's', where)} AND d.ppu_category = s.tier
+  LEFT JOIN (SELECT * FROM best WHERE lvl = 2) a ON {on('d', 'a', where)}
 )
 SELECT r.account, r.gc_platform, r.bgr, r.gc_city, r.brand,
   CASE WHEN b.comp IS NOT NULL THEN chr(10) || b.comp || ' increased discounting to '
@@ -174,7 +183,7 @@ SELECT r.account, r.gc_platform, r.bgr, r.gc_city, r.brand,
   {_pct('r.cat_change_wt_discounting')} AS change_wt_discounting,
   {_pct('r.cat_share_dr1')} AS share_dr1,
   {_pct('r.cat_change_market_share')} AS pct_change
-FROM drows r LEFT JOIN best b ON {on('r', 'b', where)}""", ("pid_metrics", "product_dim"))
+FROM drows r LEFT JOIN best_of b ON {on('r', 'b', where)} AND r.ppu_category IS NOT DISTINCT FROM b.ppu_category""", ("pid_metrics", "product_dim"))
 
 
 ORACLE_EXTRA = {"discount_recs": _discount_sql()}

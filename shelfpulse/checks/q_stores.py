@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_drill import drill_ctes, frames
 from shelfpulse.checks.registry import L1, L2, register

@@ -58,12 +58,6 @@ def row_weight(*cols) -> Column:
     return null_greatest(c, F.lit(1))
 
 
-def offtake_value(own_col="is_own_brand", own="reported_offtake_mrp",
-                  other="normalized_offtake") -> Column:
-    """Own brand uses the reported value, competitors the normalised one."""
-    return F.when(col_of(own_col) == 1, col_of(own)).otherwise(col_of(other))
-
-
 def norm_key(c) -> Column:
     """``lower(trim(x))`` key normalisation."""
     return F.lower(F.trim(col_of(c)))
@@ -106,10 +100,6 @@ def ceil_to(c, step: int = 5) -> Column:
     return F.ceil(col_of(c) / F.lit(step)) * F.lit(step)
 
 
-def floor_to(c, step: int = 5) -> Column:
-    return F.floor(col_of(c) / F.lit(step)) * F.lit(step)
-
-
 def clip(c, lo, hi) -> Column:
     """Winsorise ``x`` into ``[lo, hi]`` (pandas ``clip``)."""
     return F.greatest(col_of(lo), F.least(col_of(c), col_of(hi)))

@@ -70,11 +70,6 @@ def month_name(c, short: bool = False) -> Column:
     return F.date_format(x, "MMM" if short else "MMMM")
 
 
-def month_name_of_number(c, short: bool = False) -> Column:
-    d = F.make_date(F.lit(2000), col_of(c).cast("int"), F.lit(1))
-    return month_name(d, short)
-
-
 def domain_of(c) -> Column:
     """Text before the first dot (K5)."""
     return F.split(col_of(c), r"\.").getItem(0)
@@ -137,25 +132,3 @@ def kw_score(vol_share, rel, scale: int = 6) -> Column:
     making the value independent of the last bit of the platform's log.
     """
     return F.round(col_of(vol_share).cast("double") * F.log1p(col_of(rel).cast("double")), scale)
-
-
-def first_match(c, pattern: str, group: int = 1) -> Column:
-    """Case-insensitive first regex group, NULL when absent (K8)."""
-    m = F.regexp_extract(col_of(c), "(?i)" + pattern, group)
-    return F.when(m == "", F.lit(None)).otherwise(m)
-
-
-def tidy_lines(c) -> Column:
-    """Strip each line, drop blank ones, join with newlines (K8)."""
-    lines = F.split(F.regexp_replace(col_of(c), "\r\n?", "\n"), "\n")
-    kept = F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
-    return F.array_join(kept, "\n")
-
-
-def split_first_colon(c) -> list[Column]:
-    """Text before / after the first colon (K8)."""
-    x = col_of(c)
-    pos = F.instr(x, ":")
-    head = F.when(pos > 0, F.substring_index(x, ":", 1))
-    tail = F.when(pos > 0, F.trim(F.regexp_extract(x, "(?s)^[^:]*:(.*)$", 1)))
-    return [head.alias("head"), tail.alias("tail")]

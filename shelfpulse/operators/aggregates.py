@@ -48,11 +48,6 @@ def weighted_discount(flag: str = "asp_flag", scale: int | None = 1) -> Column:
     return F.round(r, scale) if scale is not None else r
 
 
-def avg_where(col: str, pred: Column) -> Column:
-    """``AVG(CASE WHEN pred THEN col END)``."""
-    return F.avg(F.when(pred, F.col(col)))
-
-
 def weighted_price(value: str = "price_per_100_units", weight: Column | None = None,
                    flag: str = "ppu_flag", scale: int | None = 0) -> Column:
     """Weighted average of ``value`` over flagged rows."""
@@ -63,11 +58,6 @@ def weighted_price(value: str = "price_per_100_units", weight: Column | None = N
     return F.round(r, scale) if scale is not None else r
 
 
-def listing_rate(listed: str = "total_listed", scrapes: str = "total_scrapes") -> Column:
-    """``100 * sum(listed) / sum(scrapes)`` with NULL on zero scrapes."""
-    return safe_div(100 * F.sum(listed).cast("double"), F.sum(scrapes).cast("double"))
-
-
 def first_seen_between(df: DataFrame, keys: Sequence[str], date_col: str, start, end,
                        out: str = "first_seen") -> DataFrame:
     """Groups whose first date falls in ``[start, end]``: GROUP BY + HAVING min."""
@@ -75,11 +65,6 @@ def first_seen_between(df: DataFrame, keys: Sequence[str], date_col: str, start,
             .where(F.col(out).between(F.to_date(F.lit(str(start))), F.to_date(F.lit(str(end))))))
 
 
-def count_distinct_by(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    """Exact distinct count per group."""
-    return df.groupBy(*keys).agg(F.count_distinct(col).cast("bigint").alias(out))
-
-
 def distinct_dims(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``SELECT DISTINCT``."""
     return df.select(*cols).distinct()
@@ -148,8 +133,3 @@ def max_in_set(df: DataFrame, keys: Sequence[str], value: str, set_pred: Column,
     return df.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(set_pred, F.col(value))),
                    F.max(F.when(wider_pred, F.col(value)))).alias(out))
-
-
-def frame_totals(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Totals over the whole frame (or per key)."""
-    return df.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(f"total_{c}") for c in cols])

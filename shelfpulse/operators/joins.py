@@ -58,10 +58,6 @@ def keep_in(df: DataFrame, ids: DataFrame, keys: Sequence[str] | str) -> DataFra
     return df.join(ids, list([keys] if isinstance(keys, str) else keys), "left_semi")
 
 
-def drop_in(df: DataFrame, ids: DataFrame, keys: Sequence[str] | str) -> DataFrame:
-    return df.join(ids, list([keys] if isinstance(keys, str) else keys), "left_anti")
-
-
 def lookup_flag(df: DataFrame, source: DataFrame, keys: Sequence[str],
                 flag: str = "is_own_brand") -> DataFrame:
     """Left join to distinct (keys, flag); a key with two flags fans out."""
@@ -74,21 +70,6 @@ def left_with_filter(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(right.where(right_pred), list(keys), "left")
 
 
-def left_chain(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Chain of left joins of pre-aggregates on the same keys."""
-    out = base
-    for p in parts:
-        out = out.join(p, list(keys), "left")
-    return out
-
-
-def full_merge(left: DataFrame, right: DataFrame, keys: Sequence[str],
-               defaults: dict | None = None) -> DataFrame:
-    """Full outer merge on ``keys`` then fill (C14)."""
-    out = left.join(right, list(keys), "full")
-    return out.na.fill(defaults) if defaults else out
-
-
 def on_spine(df: DataFrame, spine: DataFrame, keys: Sequence[str],
              defaults: dict | None = None) -> DataFrame:
     """Reindex to a fixed key list: spine left join data, missing -> default."""
@@ -101,10 +82,3 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-
-
-def first_lookup(df: DataFrame, ref: DataFrame, keys: Sequence[str],
-                 order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
-    """Row-by-row ``.values[0]`` lookups as a left join to the first ref row per key."""
-    first = first_per(ref, keys, order).select(*keys, *cols)
-    return df.join(first, list(keys), "left")

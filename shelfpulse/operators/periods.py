@@ -59,6 +59,7 @@ def in_periods(date_col, l1: Period, l2: Period) -> Column:
 
 def filter_periods(df: DataFrame, date_col: str, l1: Period, l2: Period) -> DataFrame:
     """Keep rows inside either window (B3); plain comparisons reach the parquet scan."""
+    validate_periods(l1, l2)
     return df.where(in_periods(date_col, l1, l2))
 
 
@@ -84,6 +85,7 @@ def filter_periods_capped(df: DataFrame, date_col: str, l1: Period, l2: Period,
                           till_col: str = "platform_offtake_uploaded_till",
                           extra: Column | None = None) -> DataFrame:
     """B4 filter; ``extra`` applies to both windows (the reference binds it to L1 only, X1)."""
+    validate_periods(l1, l2)
     cond = capped_periods(date_col, l1, l2, till_col)
     if extra is not None:
         cond = cond & extra

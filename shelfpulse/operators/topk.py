@@ -56,13 +56,6 @@ def two_stage_top(df: DataFrame, part_keys: Sequence[str], order1: Sequence[Colu
     return top_k(first, part_keys, order2, k2, rank_col="stage2_rank")
 
 
-def n_largest(df: DataFrame, col: str, n: int, keys: Sequence[str] = (),
-              tie: Sequence[str] = ()) -> DataFrame:
-    """``nlargest(n)`` per key group."""
-    order = [F.col(col).desc_nulls_last()] + [F.col(t).asc_nulls_last() for t in tie]
-    return top_k(df, keys, order, n, rank_col="rank")
-
-
 def top_metrics(df: DataFrame, keys: Sequence[str], metric_cols: Sequence[str], k: int = 2,
                 sign: int = 1) -> DataFrame:
     """Top ``k`` metric names across columns of each row.
@@ -93,12 +86,6 @@ def max_abs_row(df: DataFrame, keys: Sequence[str], col: str, tie: Sequence[str]
     return top_k(df, keys, order, 1, rank_col=None, salt=salt)
 
 
-def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-             pred: Column | None = None) -> DataFrame:
-    """First row per key among rows passing ``pred``."""
-    return top_k(df, keys, order, 1, pred, rank_col=None)
-
-
 def limit_ordered(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """``ORDER BY ... LIMIT n`` (F10): Spark plans TakeOrderedAndProject, a per-task
     top-n followed by one merge of n rows per task."""

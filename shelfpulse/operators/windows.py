@@ -12,31 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfpulse.functions.exprs import col_of
-
-
-def share_of_total(df: DataFrame, keys: Sequence[str], part_keys: Sequence[str], value,
-                   out: str = "market_share", total_out: str | None = "category_size",
-                   scale: int | None = 1, zero_as: float | None = 0.0) -> DataFrame:
-    """``SUM(x) / SUM(SUM(x)) OVER (PARTITION BY part_keys) * 100``.
-
-    Aggregates to ``keys`` first (partial + final hash aggregate), then one
-    window over the aggregate.  A zero total gives ``zero_as`` (the reference's
-    CASE), a rounded share uses SQL ROUND when ``scale`` is set.
-    """
-    v = col_of(value)
-    agg = df.groupBy(*keys).agg(F.sum(v).alias("__v"))
-    w = Window.partitionBy(*part_keys)
-    tot = F.sum("__v").over(w).cast("double")
-    share = F.try_divide(100 * F.col("__v").cast("double"), tot)
-    if scale is not None:
-        share = F.round(share, scale)
-    if zero_as is not None:
-        share = F.when(tot == 0, F.lit(zero_as)).otherwise(share)
-    out_df = agg.withColumn(out, share)
-    if total_out:
-        out_df = out_df.withColumn(total_out, tot)
-    return out_df.drop("__v")
 
 
 def contribution(df: DataFrame, part_keys: Sequence[str], value: str,

@@ -96,7 +96,8 @@ def rising_competitors(brand_rows: DataFrame, comp_imp: DataFrame, tiers: DataFr
     order = [F.col("pct_change").desc_nulls_last(), F.col("brand").asc_nulls_last()]
     where = ["account", "gc_platform", "bgr", "gc_city"]
     drv = brand_rows.select(*where, "ppu_category").distinct()
-    l1 = top_k(comp.join(drv, [*where, "ppu_category"], "left_semi"), where, order, k,
+    # own brands of different tiers in one city have k competitors each
+    l1 = top_k(comp.join(drv, [*where, "ppu_category"], "left_semi"), [*where, "ppu_category"], order, k,
                rank_col="comp_rank").withColumn("level", F.lit(1))
     l2 = top_k(comp.join(drv.select(*where).distinct(), where, "left_semi"), where, order, k,
                rank_col="comp_rank").withColumn("level", F.lit(2))

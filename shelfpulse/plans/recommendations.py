@@ -8,7 +8,7 @@ column expression, so all drivers of all accounts are handled in one plan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfpulse.functions.exprs import pandas_round
@@ -137,18 +137,18 @@ def discount_recommendations(brand_rows: DataFrame, drivers: DataFrame, cat_metr
     order1 = [F.col("share_dr1").desc_nulls_last(), F.col("brand")]
     order2 = [F.col("change_wt_discounting").desc_nulls_last(), F.col("brand")]
 
-    def pick(cands, level):
-        first = top_k(cands, where, order1, 4, rank_col=None)
-        return top_k(first, where, order2, 1, rank_col=None).withColumn("__level", F.lit(level))
+    def pick(cands, keys, out):
+        first = top_k(cands, keys, order1, 4, rank_col=None)
+        return top_k(first, keys, order2, 1, rank_col=None).select(*keys, F.struct(
+            F.col("brand").alias("comp"), F.col("wt_discounting_dr1").alias("comp_current"),
+            F.col("change_wt_discounting").alias("comp_change"), F.col("share_dr1").alias("comp_share"),
+            F.col("pct_change").alias("comp_ms_delta")).alias(out))
     same = comp.join(drv.withColumnRenamed("ppu_category", "__tier"), [*where, "__tier"], "left_semi")
     anyt = comp.join(drv.select(*where).distinct(), where, "left_semi")
-    both = pick(same, 1).unionByName(pick(anyt, 2))
-    w = Window.partitionBy(*where)
-    best = (both.withColumn("__min", F.min("__level").over(w)).where(F.col("__level") == F.col("__min"))
-            .select(*where, F.col("brand").alias("comp"), F.col("wt_discounting_dr1").alias("comp_current"),
-                    F.col("change_wt_discounting").alias("comp_change"), F.col("share_dr1").alias("comp_share"),
-                    F.col("pct_change").alias("comp_ms_delta")))
-    j = r.join(best, where, "left")
+    # the driver's own tier first, any tier when nobody in it qualifies
+    tiered = pick(same, [*where, "__tier"], "__same").withColumnRenamed("__tier", "ppu_category")
+    j = r.join(tiered, [*where, "ppu_category"], "left").join(pick(anyt, where, "__any"), where, "left")
+    j = j.withColumn("__best", F.coalesce("__same", "__any")).select("*", "__best.*")
     signed0 = lambda c: F.format_string("%+.0f", F.rint(F.col(c)))
     what = F.when(F.col("comp").isNotNull(), F.concat(
         F.lit("\n"), F.col("comp"), F.lit(" increased discounting to "),

@@ -147,7 +147,7 @@ def platform_markers(df: DataFrame, prefixes: dict[str, str], order: Sequence[Co
 
 def fixed_pandas(c) -> Column:
     """``x`` rounded half-to-even on its binary value (numpy) and printed with one decimal."""
-    return F.format_string("%.1f", F.rint(c * 10.0) / 10.0)
+    return F.when(c.isNotNull(), F.format_string("%.1f", F.rint(c * 10.0) / 10.0))
 
 
 def marker_names(prefix: str, n_cols: int, slots: int, sep: str = "") -> list[str]:

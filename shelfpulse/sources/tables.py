@@ -56,11 +56,6 @@ def scan_platforms(frames: dict[str, DataFrame], platform_col: str = "gc_platfor
     return out
 
 
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    """Vertical concat of same-shaped frames by column name (G1)."""
-    return reduce(lambda a, b: a.unionByName(b), dfs)
-
-
 def union_blocks(own: DataFrame, comp: DataFrame, flag: str = "is_own") -> DataFrame:
     """Own rows + competitor rows as one block list, missing columns NULL."""
     return own.withColumn(flag, F.lit(1)).unionByName(

@@ -224,7 +224,7 @@ class Views:
     def locality_metrics(self) -> DataFrame:
         """Store x SKU facts on a coarse grain (20 SKUs, 5 stores) so falling pairs exist."""
         b = self.base_facts()
-        pid = (F.col("l_partkey") % 20).cast("string")
+        pid = F.col("l_partkey").cast("string")
         store = (F.col("l_suppkey") % 5).cast("string")
         return b.select(
             "account", "snapshot_date", "gc_platform", "gc_city", "bgr",
@@ -260,7 +260,7 @@ class Views:
         b = self.base_facts().where(F.col("l_returnflag") == "R")
         return b.select(
             "account", "gc_platform",
-            (F.col("l_partkey") % 20).cast("string").alias("product_id"),
+            F.col("l_partkey").cast("string").alias("product_id"),
             (F.col("l_suppkey") % 5).cast("string").alias("store_id"),
             F.col("ext").alias("potential_sales_loss_mrp"),
             F.col("snapshot_date").alias("gc_crawl_date"),
@@ -290,7 +290,7 @@ class Views:
     def own_sku_base(self) -> DataFrame:
         """``sku_base_for_locality_metrics``: coarse product id with its own flag."""
         b = self.base_facts()
-        return (b.select((F.col("l_partkey") % 20).cast("string").alias("product_id"),
+        return (b.select(F.col("l_partkey").cast("string").alias("product_id"),
                          "is_own_brand").distinct())
 
 
