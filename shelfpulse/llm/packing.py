@@ -97,7 +97,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def ranked(made: DataFrame, histogram: dict[int, int], rows_per_bucket: int = 5_000) -> DataFrame:
+def ranked(made: DataFrame, histogram: dict[int, int], rows_per_bucket: int = 1_000) -> DataFrame:
     """Adds rank (from 0, without gaps) within each length.  A length has as many buckets
     as its count asks for."""
     buckets = made.sparkSession.createDataFrame(
