@@ -241,6 +241,24 @@ def q_json_flags(spark, sf):
     return e.select("event_id", *T.json_flags("props"))
 
 
+@register("json_flags_accounts", """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lower(c_mktsegment) END AS name,
+  c_custkey % 5 <> 0 AND c_nationkey % 2 = 0 AS build_blinkit, false AS build_instamart,
+  c_custkey % 5 <> 0 AS build_zepto
+FROM customer""")
+def q_json_flags_accounts(spark, sf):
+    """Job configs built from every customer; each fifth one is broken JSON."""
+    c = S.scan_table(spark, sf, "customer")
+    config = F.format_string(
+        '{"redshift": {"database": "%s"}, "dbt": {"variables": ['
+        '{"name": "build_normalized_offtake_zepto", "value": false}, '
+        '{"name": "build_normalized_offtake_blinkit", "value": %s}, '
+        '{"name": "build_normalized_offtake_zepto", "value": true}]}}',
+        F.lower("c_mktsegment"), (F.col("c_nationkey") % 2 == 0).cast("string"))
+    d = c.withColumn("config", F.when(F.col("c_custkey") % 5 == 0, F.lit("{")).otherwise(config))
+    return d.select("c_custkey", *T.json_flags("config"))
+
+
 @register("account_domain", """
 SELECT page_id, split_part(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.', 1) AS domain,
   upper(substr(split_part(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '.', 1), 1, 1))

@@ -291,6 +291,38 @@ def q_html_day_cells(spark, sf):
     return PG.extract_day_cells(scan_table(spark, sf, "pages"))
 
 
+ORDER_DAYS_SQL = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS name FROM orders WHERE year(o_orderdate) = 2000"
+
+
+def _order_days(spark, sf):
+    """Order days and statuses of 2000, one row per month with its days (at most 31 x statuses)."""
+    d = (scan_table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_orderstatus").alias("name"))
+         .where(F.year("date") == 2000).distinct())
+    return d.groupBy(F.month("date").alias("m"), F.date_format("date", "MMMM").alias("month")).agg(
+        F.sort_array(F.collect_list(F.struct("date", "name"))).alias("days"))
+
+
+@register("html_table_dates_orders", ORDER_DAYS_SQL)
+def q_html_table_dates_orders(spark, sf):
+    """Month tables printed from the order days and read back."""
+    rows = F.array_join(F.transform("days", lambda d: F.concat(
+        F.lit("<tr><td>"), F.dayofmonth(d["date"]).cast("string"), F.lit(" <b>day</b></td><td> "), d["name"],
+        F.lit("</td></tr>"))), "")
+    html = F.concat(F.lit("<p>x</p><table><thead><tr><th>"), F.col("month"), F.lit(" list</th><th>Name</th></tr></thead><tbody>"),
+                    rows, F.lit("<tr><td>99</td><td>no day</td></tr></tbody></table>"))
+    return PG.extract_table_rows(_order_days(spark, sf).select(html.alias("html")), 2000)
+
+
+@register("html_day_cells_orders", ORDER_DAYS_SQL)
+def q_html_day_cells_orders(spark, sf):
+    """Calendar day cells printed from the order days and read back."""
+    cells = F.array_join(F.transform("days", lambda d: F.concat(
+        F.lit('<td class="single-day" data-date="'), d["date"].cast("string"), F.lit('"><div class="dayCal">'), d["name"],
+        F.lit("</div></td>"))), "")
+    html = F.concat(cells, F.lit('<td class="single-day" data-date="2000-13-01"><div class="dayCal">x</div></td>'))
+    return PG.extract_day_cells(_order_days(spark, sf).select(html.alias("html")))
+
+
 def _marker_sql(src: str, prefix: str, order: str, cols: list[str], types: dict, slots: int) -> str:
     n = len(cols)
     parts = []
