@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.checks.sqlbits import between, in_periods, label
@@ -38,18 +40,18 @@ cur AS (
   FROM km WHERE date_period = 'dr1'
 ),
 rel AS (
-  SELECT c.*, round(c.vol_share * ln(1 + c.relevant_score), 6) AS final_score, p.sov_dr1, p.sov_dr2
+  SELECT c.*, c.vol_share * ln(1 + c.relevant_score) AS final_score, p.sov_dr1, p.sov_dr2
   FROM cur c LEFT JOIN piv p USING ({G}, keyword)
   WHERE c.relevant_score > 1 AND c.vol_share > 1
 ),
 lowrel AS (
-  SELECT c.*, round(c.vol_share * ln(1 + c.relevant_score), 6) AS final_score, p.sov_dr1, p.sov_dr2
+  SELECT c.*, c.vol_share * ln(1 + c.relevant_score) AS final_score, p.sov_dr1, p.sov_dr2
   FROM cur c LEFT JOIN piv p USING ({G}, keyword)
   WHERE c.relevant_score <= 1 AND c.relevant_score > 0 AND c.vol_share > 1
 )"""
 
 KW_COLS = (f"date_period, {G}, keyword, max_keyword_weight, ad_sov, cat_share, vol_share, "
-           "relevant_score, final_score, sov_dr1, sov_dr2")
+           "relevant_score, round(final_score, 6) AS final_score, sov_dr1, sov_dr2")
 
 
 def _kw(spark, sf):
@@ -57,15 +59,20 @@ def _kw(spark, sf):
     return K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2)
 
 
+def _rounded(scores):
+    """Scores to six decimals, for the comparison only: two engines' logarithms may differ in the last bit."""
+    return scores.withColumn("final_score", F.round("final_score", 6))
+
+
 @register("keyword_scores", with_views(KW_CTES + f"\nSELECT {KW_COLS} FROM rel", ("keyword_impressions",)))
 def q_keyword_scores(spark, sf):
-    return K.keyword_scores(_kw(spark, sf))
+    return _rounded(K.keyword_scores(_kw(spark, sf)))
 
 
 @register("keyword_low_relevance", with_views(KW_CTES + f"\nSELECT {KW_COLS} FROM lowrel",
                                               ("keyword_impressions",)))
 def q_keyword_low_relevance(spark, sf):
-    return K.keyword_scores(_kw(spark, sf), relevant=False)
+    return _rounded(K.keyword_scores(_kw(spark, sf), relevant=False))
 
 
 @register("keyword_recs", with_views(KW_CTES + f""",

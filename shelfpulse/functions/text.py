@@ -125,10 +125,6 @@ def relevance(cat_share, vol_share) -> Column:
         pandas_round(F.try_divide(col_of(cat_share).cast("double"), v), 2))
 
 
-def kw_score(vol_share, rel, scale: int = 6) -> Column:
-    """``vol_share * log1p(relevance)`` (K12), kept to ``scale`` decimals.
-
-    The score only orders keywords; six decimals keep every ordering while
-    making the value independent of the last bit of the platform's log.
-    """
-    return F.round(col_of(vol_share).cast("double") * F.log1p(col_of(rel).cast("double")), scale)
+def kw_score(vol_share, rel) -> Column:
+    """``vol_share * log1p(relevance)`` (K12), not rounded."""
+    return col_of(vol_share).cast("double") * F.log1p(col_of(rel).cast("double"))
