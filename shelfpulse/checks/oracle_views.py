@@ -135,14 +135,31 @@ sku_master AS (
 
 OWN_SKU_BASE = """
 own_sku_base AS (
-  SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS product_id, is_own_brand FROM base
+  SELECT CAST(p_partkey AS VARCHAR) AS product_id,
+    CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4','Brand#5') THEN 1 ELSE 0 END AS is_own_brand
+  FROM part
+)"""
+
+SKU_REGISTRY = """
+sku_registry AS (
+  SELECT DISTINCT account, gc_platform, product_id,
+    CAST(DATE '2000-09-01' + CAST(grammage * 2 AS INTEGER) AS DATE) AS first_seen
+  FROM base WHERE snapshot_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'
+)"""
+
+STORE_LISTING = """
+store_listing AS (
+  SELECT account, snapshot_date, gc_platform,
+    CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey % 50 AS VARCHAR) AS store_id,
+    total_listed, is_own_brand
+  FROM base
 )"""
 
 ALL_VIEWS = {
     "pid_metrics": PID, "product_dim": PRODUCT_DIM, "locality_metrics": LOCALITY,
     "keyword_impressions": KEYWORDS, "psl_daily": PSL, "psl_daily_locality": PSL_LOCALITY,
     "facility_doi": DOI, "store_catalog": STORE_CATALOG, "sku_master": SKU_MASTER,
-    "own_sku_base": OWN_SKU_BASE,
+    "own_sku_base": OWN_SKU_BASE, "sku_registry": SKU_REGISTRY, "store_listing": STORE_LISTING,
 }
 
 

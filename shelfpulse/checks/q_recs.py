@@ -9,7 +9,6 @@ from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.operators.periods import compare_periods
 from shelfpulse.plans import drilldown as D
 from shelfpulse.plans import keywords as K
-from shelfpulse.plans import metrics as M
 from shelfpulse.plans import recommendations as RC
 from shelfpulse.plans import stores as ST
 from shelfpulse.sources.views import Views
@@ -36,15 +35,14 @@ class Inputs:
 
     def store_frames(self):
         v = self.v
-        osa = ST.sku_store_osa(v.window_slice("locality_metrics", L1, L2), L1, L2)
-        psl_rows = ST.psl_by_store(osa, v.window_slice("psl_daily_locality", L1, L2), v.own_sku_base(), L1)
+        psl_rows = inputs(v)["psl"]()
         counts = ST.sku_store_counts(psl_rows)
         doi = ST.inventory_days(v.window_slice("facility_doi", L1, L2), psl_rows, L1)
         return psl_rows, counts, doi
 
     def keyword_frames(self):
         kw = self.v.window_slice("keyword_impressions", L1, L2)
-        totals = K.keyword_totals(kw, L1, L2)
+        totals = inputs(self.v)["kwt"]()
         scores = K.keyword_scores(totals)
         low = K.keyword_scores(totals, relevant=False)
         recs = K.keyword_recs(scores)
@@ -65,13 +63,26 @@ def sov_recs(spark, sf, i=None):
     i = i or Inputs(spark, sf)
     scores, low, recs, change = i.keyword_frames()
     own = i.dim.select("product_id", "is_own_brand")
-    sku = (M.sku_compare(M.product_metrics(i.pm, None, L1, L2)).join(own, "product_id", "left")
+    sku = (inputs(i.v)["sku"]().join(own, "product_id", "left")
            .where(F.col("is_own_brand") == 1).drop("is_own_brand"))
     contrib = K.contribution(i.pm, L1)
     return RC.sov_recommendations(i.fr["brand_rows"], i.fr["drivers"], i.cat_metrics, i.fr["cities"],
                                   i.tiers, i.merged_comp, sku, contrib, scores, recs, low, change)
 
 
+def discount_recs(spark, sf, i=None):
+    i = i or Inputs(spark, sf)
+    return RC.discount_recommendations(i.fr["brand_rows"], i.fr["drivers"], i.cat_metrics, i.fr["cities"],
+                                       i.tiers, i.merged_comp)
+
+
+def merged_recs(osa, sov):
+    cat = ["account", "gc_platform", "bgr", "brand"]
+    o = osa.select(*cat, F.col("recommendation").alias("recommendation_osa"))
+    s = sov.select(*cat, "gc_city", F.col("recommendation").alias("recommendation_sov"))
+    return RC.merge_recommendations(s.join(o, cat, "full"))
+
+
 @register("osa_recs")
 def q_osa_recs(spark, sf):
     return osa_recs(spark, sf)
@@ -84,18 +95,13 @@ def q_sov_recs(spark, sf):
 
 @register("discount_recs")
 def q_discount_recs(spark, sf):
-    i = Inputs(spark, sf)
-    return RC.discount_recommendations(i.fr["brand_rows"], i.fr["drivers"], i.cat_metrics, i.fr["cities"],
-                                       i.tiers, i.merged_comp)
+    return discount_recs(spark, sf)
 
 
 @register("text_rules")
 def q_text_rules(spark, sf):
-    cat = ["account", "gc_platform", "bgr", "brand"]
     i = Inputs(spark, sf)
-    o = osa_recs(spark, sf, i).select(*cat, F.col("recommendation").alias("recommendation_osa"))
-    s = sov_recs(spark, sf, i).select(*cat, "gc_city", F.col("recommendation").alias("recommendation_sov"))
-    return RC.merge_recommendations(s.join(o, cat, "full"))
+    return merged_recs(osa_recs(spark, sf, i), sov_recs(spark, sf, i))
 
 
 # ------------------------------------------------------------------ oracle SQL

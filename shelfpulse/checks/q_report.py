@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import MARKET_SHARE_SQL_CTES
-from shelfpulse.checks.q_drill import drill_ctes, drivers_sql, inputs
-from shelfpulse.checks.registry import L1, L2, register
+from shelfpulse.checks import q_recs as RQ
+from shelfpulse.checks import q_stores  # noqa: F401  (registers statements used below)
+from shelfpulse.checks import q_summaries as SQ
+from shelfpulse.checks.q_drill import drill_ctes, drivers_sql, frames, inputs
+from shelfpulse.checks.registry import L1, L2, ORACLE, register
+from shelfpulse.plans import families as FA
 from shelfpulse.plans import report as R
+from shelfpulse.plans import stores as ST
+from shelfpulse.plans import summaries as SU
 from shelfpulse.session import checkpoint_dir
 from shelfpulse.sources import pages as PG
 from shelfpulse.sources import sheets as SH
 from shelfpulse.sources import sinks as SK
 from shelfpulse.sources.tables import scan_table
+from shelfpulse.sources.views import Views
 
 ACCOUNTS_SQL = """
 acc AS (SELECT page_id AS id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS primary_email_domain FROM pages),
@@ -117,8 +124,6 @@ def q_sink_append(spark, sf):
 
 # ------------------------------------------------------------------ report
 def _report_parts(spark, sf):
-    from shelfpulse.checks.q_drill import frames
-    from shelfpulse.sources.views import Views
     v = Views.shared(spark, sf)
     ms = inputs(v)["ms"]()
     down = frames(spark, sf, "down", v)
@@ -127,40 +132,70 @@ def _report_parts(spark, sf):
     return summary, down, up
 
 
-SUMMARY_COLS = ["gc_platform", "offtake", "prev_offtake", "share_delta", "gainers", "drainers"]
-DRIVER_COLS = ["bgr", "brand", "pct_change", "sales_impact"]
 # The report's platforms, in its order (the test mapping's market segments).
 PLATFORMS = ("automobile", "building", "furniture", "household", "machinery")
 
 
+def _summary(spark, sf):
+    v = Views.shared(spark, sf)
+    offtake = _report_parts(spark, sf)[0]
+    coverage = ST.new_store_coverage(v.store_catalog(), v.window_slice("store_listing", L1, L2), L1, L2)
+    return FA.report_summary(offtake, ST.psl_by(inputs(v)["psl"](), ["account", "gc_platform"]), coverage)
+
+
 def _summary_markers(summary):
-    return R.to_markers(R.on_spine(summary, PLATFORMS), "1*", [F.col("place")], SUMMARY_COLS, len(PLATFORMS))
+    return R.to_markers(R.on_spine(summary, PLATFORMS), "1*", [F.col("place")], FA.SUMMARY_FIELDS, len(PLATFORMS))
+
+
+def _pair(rows, number, fields, order):
+    """The two leading rows of an account as one of the families 2*, 3*, 4*, NL_."""
+    return R.to_markers(rows, number, order, fields, 2)
 
 
 def _markers(spark, sf):
-    summary, down, up = _report_parts(spark, sf)
+    """All marker families of the report, written once per session."""
+    v = Views.shared(spark, sf)
+    return v.materialize(("markers", L1, L2), lambda: _build_markers(spark, sf, v))
+
+
+def _build_markers(spark, sf, v):
+    down, up = (frames(spark, sf, side, v) for side in ("down", "up"))
+    i = RQ.Inputs(spark, sf)
+    keep = lambda key, build: v.materialize(("report", key), build)
+    summary = keep("summary", lambda: _summary(spark, sf))
+    osa, sov, discount = (keep(name, lambda: build(spark, sf, i)) for name, build in (
+        ("osa", RQ.osa_recs), ("sov", RQ.sov_recs), ("discount", RQ.discount_recs)))
+    rank = down["brand_rows"]
+    happened = SU.what_happened(rank, down["competitors"], inputs(v)["ch"]())
+    drainers = FA.drainer_rows(RQ.merged_recs(osa, sov), happened, SU.impact_by_city(down["drivers"], down["cities"]))
+    gainers = FA.gainer_rows(SQ.q_gain_summary(spark, sf), up["drivers"])
+    launches = FA.launch_rows(SQ.q_new_launches_registry(spark, sf))
+    names = lambda side: {p: p[0].upper() + side for p in PLATFORMS}
     parts = [
         _summary_markers(summary),
-        R.platform_markers(down["drivers"], {p: p[0].upper() + "D" for p in PLATFORMS},
-                           [F.col("sales_impact").asc(), F.col("bgr"), F.col("brand")], DRIVER_COLS),
-        R.platform_markers(up["drivers"], {p: p[0].upper() + "G" for p in PLATFORMS},
-                           [F.col("sales_impact").desc(), F.col("bgr"), F.col("brand")], DRIVER_COLS),
+        _pair(FA.recommended(FA.with_impact(osa, rank)), "2*", FA.OSA_FIELDS, FA.worst_first()),
+        _pair(FA.recommended(FA.with_impact(sov, rank)), "3*", FA.SOV_FIELDS, FA.worst_first()),
+        _pair(FA.with_impact(discount, rank), "4*", FA.DISCOUNT_FIELDS, FA.worst_first()),
+        R.platform_markers(drainers, names("D"), FA.worst_first(), FA.DRAINER_FIELDS, numbers=FA.DRAINER_NUMBERS),
+        R.platform_markers(gainers, names("G"), FA.best_first(), FA.GAINER_FIELDS),
+        _pair(launches, "NL_", FA.LAUNCH_FIELDS, [F.col("gc_platform")]),
     ]
-    acct = summary.select("account").distinct()
-    extra = acct.select("account", F.explode(F.array(
+    out = summary.select("account").distinct().select("account", F.explode(F.array(
         F.struct(F.lit("Brand").alias("marker"), R.capitalise("account").alias("value")),
         F.struct(F.lit("m1").alias("marker"), F.date_format(F.to_date(F.lit(L2[0])), "MMM").alias("value")),
         F.struct(F.lit("m2").alias("marker"), F.date_format(F.to_date(F.lit(L1[0])), "MMM").alias("value")),
     )).alias("kv")).select("account", "kv.marker", "kv.value")
-    out = extra
     for p in parts:
         out = out.unionByName(p)
     return out
 
 
-MARKERS = (["Brand", "m1", "m2"] + R.marker_names("1*", len(SUMMARY_COLS), len(PLATFORMS))
-           + [m for p in PLATFORMS for side in "DG" for s in (1, 2)
-              for m in R.marker_names(f"{p[0].upper()}{side}{s}_", len(DRIVER_COLS), 1)])
+SUMMARY_MARKERS = R.marker_names("1*", len(FA.SUMMARY_FIELDS), len(PLATFORMS))
+MARKERS = (["Brand", "m1", "m2"] + SUMMARY_MARKERS + R.marker_names("2*", len(FA.OSA_FIELDS), 2)
+           + R.marker_names("3*", len(FA.SOV_FIELDS), 2) + R.marker_names("4*", len(FA.DISCOUNT_FIELDS), 2)
+           + [f"{p[0].upper()}D{slot}_{n}" for p in PLATFORMS for slot in (1, 2) for n in FA.DRAINER_NUMBERS]
+           + [f"{p[0].upper()}G{slot}_{n + 1}" for p in PLATFORMS for slot in (1, 2) for n in range(len(FA.GAINER_FIELDS))]
+           + R.marker_names("NL_", len(FA.LAUNCH_FIELDS), 2))
 
 
 def fmt_amt_sql(x: str) -> str:
@@ -218,7 +253,6 @@ SELECT account, gc_platform, platform_rank, CAST(m1 AS DOUBLE) AS offtake_dr2, C
   round(100 * CAST(t2 - t1 AS DOUBLE) / CAST(t1 AS DOUBLE), 1) AS total_change_pct
 FROM t WHERE platform_rank <= 3""", ("pid_metrics", "product_dim")))
 def q_platform_mix(spark, sf):
-    from shelfpulse.sources.views import Views
     v = Views.shared(spark, sf)
     return R.platform_mix(inputs(v)["ms"]())
 
@@ -274,8 +308,7 @@ def q_sheet_union(spark, sf):
 @register("markers_wide")
 def q_markers_wide(spark, sf):
     """The platform-summary family alone, one wide row per account."""
-    summary, _, _ = _report_parts(spark, sf)
-    return R.report_row(_summary_markers(summary), R.marker_names("1*", len(SUMMARY_COLS), len(PLATFORMS)))
+    return R.report_row(_summary_markers(_summary(spark, sf)), SUMMARY_MARKERS)
 
 
 @register("html_table_dates")
@@ -323,54 +356,90 @@ def q_html_day_cells_orders(spark, sf):
     return PG.extract_day_cells(_order_days(spark, sf).select(html.alias("html")))
 
 
-def _marker_sql(src: str, prefix: str, order: str, cols: list[str], types: dict, slots: int) -> str:
-    n = len(cols)
-    parts = []
-    for i, c in enumerate(cols):
-        v = (f"printf('%.1f', round_even({c} * 10.0, 0) / 10.0)" if types.get(c) == "double"
-             else f"CAST({c} AS VARCHAR)")
-        parts.append(f"SELECT account, '{prefix}' || CAST((slot - 1) * {n} + {i + 1} AS VARCHAR) AS marker, "
-                     f"coalesce({v}, '') AS value FROM (SELECT *, row_number() OVER (PARTITION BY account "
-                     f"ORDER BY {order}) AS slot FROM {src}) WHERE slot <= {slots}")
-    return "\nUNION ALL\n".join(parts)
+def _text(x: str) -> str:
+    return f"printf('%.1f', round_even(({x}) * 10.0, 0) / 10.0)"
+
 
+def _flat_sql(src: str, part: str, order: str, fields, slots: int, marker) -> str:
+    """The leading ``slots`` rows per ``part`` of ``src``, one marker per field."""
+    return "\nUNION ALL\n".join(
+        f"SELECT account, {marker(i)} AS marker, coalesce(CAST({c} AS VARCHAR), '') AS value "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS slot FROM {src}) WHERE slot <= {slots}"
+        for i, c in enumerate(fields))
 
-SUMMARY_TYPES = {"offtake": "double"}
-DRIVER_TYPES = {"pct_change": "double", "sales_impact": "double"}
 
-def _platform_sql(src: str, side: str, order: str) -> str:
+def _pair_sql(src: str, prefix: str, order: str, fields, slots: int = 2) -> str:
+    return _flat_sql(src, "account", order, fields, slots,
+                     lambda i: f"'{prefix}' || CAST((slot - 1) * {len(fields)} + {i + 1} AS VARCHAR)")
+
+
+def _platform_sql(src: str, side: str, order: str, fields, numbers) -> str:
     """Two slots per account and platform; the platform's capital, the side, the slot, the field."""
-    parts = []
-    for i, c in enumerate(DRIVER_COLS):
-        v = (f"printf('%.1f', round_even({c} * 10.0, 0) / 10.0)" if DRIVER_TYPES.get(c) == "double"
-             else f"CAST({c} AS VARCHAR)")
-        parts.append(f"SELECT account, upper(substr(gc_platform, 1, 1)) || '{side}' || CAST(slot AS VARCHAR) || '_{i + 1}' "
-                     f"AS marker, coalesce({v}, '') AS value FROM (SELECT *, row_number() OVER (PARTITION BY account, "
-                     f"gc_platform ORDER BY {order}) AS slot FROM {src}) WHERE slot <= 2")
-    return "\nUNION ALL\n".join(parts)
-
-
-MARKERS_LONG_SQL = with_views(GAIN_DRAIN_SQL + f""",
-osum AS (
-  SELECT po.account, po.gc_platform, po.o1 AS offtake, {fmt_amt_sql('po.o2')} AS prev_offtake,
-    CASE WHEN po.o1 - po.o2 > 0 THEN '(↑ ' ELSE '(↓ ' END || {fmt_amt_sql('abs(po.o1 - po.o2)')} || ')' AS share_delta,
-    coalesce(gdm.gainers, '') AS gainers, coalesce(gdm.drainers, '') AS drainers
-  FROM po LEFT JOIN gdm ON po.account = gdm.account AND po.gc_platform = gdm.gc_platform
+    return _flat_sql(src, "account, gc_platform", order, fields, 2,
+                     lambda i: f"upper(substr(gc_platform, 1, 1)) || '{side}' || CAST(slot AS VARCHAR) || '_{numbers[i]}'")
+
+
+def _markers_sql() -> str:
+    """The whole report from the statements of its parts."""
+    said = "trim(replace(coalesce(recommendation, ''), chr(10), ' ')) <> ''"
+    worst = "rank_impact ASC NULLS LAST, gc_platform, bgr, brand"
+    cat = "account, gc_platform, bgr, brand"
+    named = lambda q: (f"SELECT q.*, b.sales_impact AS rank_impact, q.bgr || ' (' || q.gc_platform || ')' AS name "
+                       f"FROM ({q}) q JOIN down_rows b USING ({cat})")
+    lakh = "CASE WHEN {0} >= 1e7 THEN '₹' || " + _text("{0} / 1e7") + " || '{1}' ELSE '₹' || " + _text("{0} / 1e5") + " || ' L' END"
+    return f"""WITH down_rows AS ({ORACLE["drilldown_down"]}),
+up_drivers AS ({ORACLE["best_categories"]}),
+offt AS ({ORACLE["offtake_summary"]}),
+plat_psl AS ({ORACLE["psl_by_platform"]}),
+cover AS ({ORACLE["new_store_coverage"]}),
+summ AS (
+  SELECT o.account, o.gc_platform, {lakh.format("o.offtake", " Cr ")} AS offtake_text, o.share_delta, o.gainers, o.drainers,
+    {lakh.format("p.psl_mrp", " Cr")} || chr(10) || '(' || {_text("100 * p.psl_mrp / nullif(o.offtake, 0)")} || '% of offtake)' AS psl,
+    CAST(CAST(round_even(100.0 * c.listed_in_new_stores / nullif(c.new_stores, 0), 0) AS BIGINT) AS VARCHAR) || '%' AS listing_pct,
+    'out of ' || CAST(c.new_stores AS VARCHAR) || ' stores' AS new_stores
+  FROM offt o LEFT JOIN plat_psl p USING (account, gc_platform) LEFT JOIN cover c USING (account, gc_platform)
 ),
 spine AS (
   SELECT a.account, p.gc_platform, p.place, o.* EXCLUDE (account, gc_platform)
-  FROM (SELECT DISTINCT account FROM osum) a
+  FROM (SELECT DISTINCT account FROM summ) a
   JOIN (SELECT unnest([{", ".join(f"'{p}'" for p in PLATFORMS)}]) AS gc_platform, unnest(range({len(PLATFORMS)})) AS place) p ON true
-  LEFT JOIN osum o ON o.account = a.account AND o.gc_platform = p.gc_platform
+  LEFT JOIN summ o ON o.account = a.account AND o.gc_platform = p.gc_platform
+),
+osa_f AS ({named(RQ.ORACLE_EXTRA["osa_recs"])}),
+sov_f AS ({named(RQ.ORACLE_EXTRA["sov_recs"])}),
+dis_f AS ({named(RQ.ORACLE_EXTRA["discount_recs"])}),
+hap AS ({SQ.WHAT_HAPPENED_SQL}),
+imp AS ({ORACLE["impact_text"]}),
+tr AS ({RQ.ORACLE_EXTRA["text_rules"]}),
+drain AS (
+  SELECT h.account, h.gc_platform, h.bgr, h.brand, h.gc_city, h.what_happened1, h.what_happened2, h.what_happened3,
+    t.recommendation, i.geo_text, i.sales_impact AS rank_impact, {_text("abs(i.sales_impact) / 100000")} || ' L' AS impact,
+    CAST(i.share_dr1 AS VARCHAR) || '% (' || {_text("i.pct_change")} || '%)' AS ms
+  FROM hap h JOIN (SELECT * FROM tr WHERE {said}) t USING ({cat}) LEFT JOIN imp i USING ({cat})
+),
+gain AS (
+  SELECT q.*, b.sales_impact AS rank_impact FROM ({SQ.GAIN_SUMMARY_SQL}) q JOIN up_drivers b USING ({cat})
+  WHERE q.what_worked IS NULL OR q.what_worked <> ''
 ),
-mk AS (
-  SELECT DISTINCT account, 'Brand' AS marker, upper(substr(account, 1, 1)) || lower(substr(account, 2)) AS value FROM osum
-  UNION ALL SELECT DISTINCT account, 'm1', strftime(DATE '{L2[0]}', '%b') FROM osum
-  UNION ALL SELECT DISTINCT account, 'm2', strftime(DATE '{L1[0]}', '%b') FROM osum
-  UNION ALL {_marker_sql('spine', '1*', 'place', SUMMARY_COLS, SUMMARY_TYPES, len(PLATFORMS))}
-  UNION ALL {_platform_sql('drivers', 'D', 'sales_impact ASC, bgr, brand')}
-  UNION ALL {_platform_sql('drivers_up', 'G', 'sales_impact DESC, bgr, brand')}
-)""", ("pid_metrics", "product_dim"))
+laun AS (
+  SELECT *, {_text("wt_osa_dr1")} || '% (' || {_text("change_wt_osa")} || '%)' AS osa, {_text("market_share_dr1")} || '%' AS share
+  FROM ({ORACLE["new_launches_registry"]})
+),
+mk AS MATERIALIZED (
+  SELECT DISTINCT account, 'Brand' AS marker, upper(substr(account, 1, 1)) || lower(substr(account, 2)) AS value FROM summ
+  UNION ALL SELECT DISTINCT account, 'm1', strftime(DATE '{L2[0]}', '%b') FROM summ
+  UNION ALL SELECT DISTINCT account, 'm2', strftime(DATE '{L1[0]}', '%b') FROM summ
+  UNION ALL {_pair_sql('spine', '1*', 'place', FA.SUMMARY_FIELDS, len(PLATFORMS))}
+  UNION ALL {_pair_sql(f'(SELECT * FROM osa_f WHERE {said})', '2*', worst, FA.OSA_FIELDS)}
+  UNION ALL {_pair_sql(f'(SELECT * FROM sov_f WHERE {said})', '3*', worst, FA.SOV_FIELDS)}
+  UNION ALL {_pair_sql('dis_f', '4*', worst, FA.DISCOUNT_FIELDS)}
+  UNION ALL {_platform_sql('drain', 'D', worst, FA.DRAINER_FIELDS, FA.DRAINER_NUMBERS)}
+  UNION ALL {_platform_sql('gain', 'G', worst.replace('ASC', 'DESC'), FA.GAINER_FIELDS, range(1, 6))}
+  UNION ALL {_pair_sql('laun', 'NL_', 'gc_platform', FA.LAUNCH_FIELDS)}
+)"""
+
+
+MARKERS_LONG_SQL = _markers_sql()
 
 
 def _wide_sql(names: list[str]) -> str:
@@ -381,7 +450,7 @@ def _wide_sql(names: list[str]) -> str:
 ORACLE_EXTRA = {
     "markers_long": MARKERS_LONG_SQL + "\nSELECT * FROM mk",
     "report_row": MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS),
-    "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(R.marker_names("1*", len(SUMMARY_COLS), len(PLATFORMS))).replace(
+    "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(SUMMARY_MARKERS).replace(
         "FROM mk", "FROM mk WHERE marker LIKE '1*%'"),
 }
 

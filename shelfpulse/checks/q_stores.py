@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfpulse.checks.oracle_views import with_views
-from shelfpulse.checks.q_drill import drill_ctes, frames
+from shelfpulse.checks.q_drill import drill_ctes, frames, inputs
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.checks.sqlbits import between, in_periods, label, weight
 from shelfpulse.plans import stores as ST
@@ -76,9 +76,7 @@ def _spm(spark, sf):
 
 
 def _srows(spark, sf):
-    v = Views.shared(spark, sf)
-    osa = ST.sku_store_osa(v.window_slice("locality_metrics", L1, L2), L1, L2)
-    return ST.psl_by_store(osa, v.window_slice("psl_daily_locality", L1, L2), v.own_sku_base(), L1)
+    return inputs(Views.shared(spark, sf))["psl"]()
 
 
 @register("pareto_tags", with_views(STORE_CTES + "\nSELECT * EXCLUDE (wa, ws) FROM tags", SV))
@@ -138,7 +136,7 @@ def q_first_seen_between(spark, sf):
 
 
 @register("new_store_coverage", with_views(NEW_STORES + f""",
-cand AS (SELECT * FROM locality_metrics WHERE is_own_brand = 1 AND total_listed = 1
+cand AS (SELECT * FROM store_listing WHERE is_own_brand = 1 AND total_listed = 1
          AND snapshot_date IN (DATE '{L1[1]}', DATE '{L1[1]}' - INTERVAL 1 DAY)),
 pick AS (SELECT account, max(snapshot_date) AS d FROM cand GROUP BY account),
 yours AS (SELECT DISTINCT c.account, lower(c.gc_platform) AS gc_platform, c.store_id FROM cand c
@@ -146,10 +144,10 @@ yours AS (SELECT DISTINCT c.account, lower(c.gc_platform) AS gc_platform, c.stor
 SELECT ns.account, ns.gc_platform, count(DISTINCT ns.store_id)::BIGINT AS new_stores,
   count(DISTINCT CASE WHEN y.store_id IS NOT NULL THEN ns.store_id END)::BIGINT AS listed_in_new_stores
 FROM ns LEFT JOIN yours y ON ns.account = y.account AND ns.gc_platform = y.gc_platform AND ns.store_id = y.store_id
-GROUP BY 1, 2""", ("store_catalog", "locality_metrics")))
+GROUP BY 1, 2""", ("store_catalog", "store_listing")))
 def q_new_store_coverage(spark, sf):
     v = Views.shared(spark, sf)
-    return ST.new_store_coverage(v.store_catalog(), v.window_slice("locality_metrics", L1, L2), L1, L2)
+    return ST.new_store_coverage(v.store_catalog(), v.window_slice("store_listing", L1, L2), L1, L2)
 
 
 @register("inventory_days", with_views(drill_ctes("down") + f""",

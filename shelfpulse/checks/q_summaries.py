@@ -77,13 +77,14 @@ def _sku_compare_sql(l1, l2) -> str:
         L2[0], l2[0]).replace(L2[1], l2[1])
 
 
-NEW_LAUNCH_SQL = with_views(_sku_compare_sql(LM1, LM2).strip() + f""",
+def _launch_sql(l1, l2, registry: str) -> str:
+    return with_views(_sku_compare_sql(l1, l2).strip() + f""",
 nd AS (SELECT DISTINCT product_id, title, is_own_brand, lower(bgr) AS bgr FROM product_dim),
 nb AS (
   SELECT s.account, s.product_id, s.first_seen, lower(s.gc_platform) AS gc_platform
-  FROM sku_master s
+  FROM {registry} s
   WHERE s.product_id IN (SELECT product_id FROM nd)
-    AND s.first_seen >= date_trunc('month', DATE '{LM1[1]}' - INTERVAL 1 MONTH)
+    AND s.first_seen >= date_trunc('month', DATE '{l1[1]}' - INTERVAL 1 MONTH)
 ),
 nj AS (
   SELECT nb.*, nd.title, nd.is_own_brand, nd.bgr, a.gc_city, a.brand, a.change_market_share, a.market_share_dr1,
@@ -98,16 +99,23 @@ SELECT * EXCLUDE (rn, wt_osa_dr1, change_wt_osa),
 FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform
         ORDER BY market_share_dr1 DESC NULLS LAST, product_id ASC NULLS LAST, gc_city ASC NULLS LAST) AS rn
       FROM nj WHERE change_wt_osa > 0)
-WHERE rn = 1""", ("pid_metrics", "product_dim", "sku_master"))
+WHERE rn = 1""", ("pid_metrics", "product_dim", registry))
 
 
-@register("new_launches", NEW_LAUNCH_SQL)
+@register("new_launches", _launch_sql(LM1, LM2, "sku_master"))
 def q_new_launches(spark, sf):
     v = Views.shared(spark, sf)
     sku = M.sku_compare(M.product_metrics(v.pid_slice(L1, L2), None, LM1, LM2))
     return SU.new_launches(v.sku_master(), v.product_dim(), sku, LM1[1])
 
 
+@register("new_launches_registry", _launch_sql(L1, L2, "sku_registry"))
+def q_new_launches_registry(spark, sf):
+    """Launches of the report's own windows, first seen by the product registry."""
+    v = Views.shared(spark, sf)
+    return SU.new_launches(v.window_slice("sku_registry", L1, L2), v.product_dim(), inputs(v)["sku"](), L1[1])
+
+
 @register("gain_summary")
 def q_gain_summary(spark, sf):
     from shelfpulse.plans import keywords as K
@@ -115,9 +123,8 @@ def q_gain_summary(spark, sf):
     pm, dim = v.pid_slice(L1, L2), v.product_dim()
     fr = frames(spark, sf, "up", v)
     catm = inputs(v)["catm"]()
-    sku = M.sku_compare(M.product_metrics(pm, None, L1, L2))
-    contrib = K.contribution(pm, L1)
-    kw = K.keyword_scores(K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2))
+    sku, contrib = inputs(v)["sku"](), K.contribution(pm, L1)
+    kw = K.keyword_scores(inputs(v)["kwt"]())
     return SU.gain_summary(fr["drivers"], catm, fr["cities"], fr["brand_rows"], sku, contrib, kw)
 
 

@@ -130,14 +130,16 @@ def on_spine(df: DataFrame, platforms: Sequence[str], key: str = "account") -> D
 
 
 def platform_markers(df: DataFrame, prefixes: dict[str, str], order: Sequence[Column], cols: Sequence[str],
-                     slots: int = 2, key: str = "account") -> DataFrame:
+                     slots: int = 2, key: str = "account", numbers: Sequence[int] | None = None) -> DataFrame:
     """The first ``slots`` rows of every account and platform as markers (H24):
-    ``<platform's prefix><slot>_<field number>``.  Output: (account, marker, value)."""
+    ``<platform's prefix><slot>_<field number>``; fields count from 1 unless ``numbers``
+    says otherwise.  Output: (account, marker, value)."""
+    numbers = numbers or range(1, len(cols) + 1)
     w = Window.partitionBy(key, "gc_platform").orderBy(*order)
     names = F.create_map(*[F.lit(x) for pair in prefixes.items() for x in pair])
     types = dict(df.dtypes)
     text = lambda c: fixed_pandas(F.col(c)) if types[c] in ("double", "float") else F.col(c).cast("string")
-    items = F.array(*[F.struct(F.lit(i + 1).alias("i"), text(c).alias("v")) for i, c in enumerate(cols)])
+    items = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in zip(numbers, cols)])
     d = (df.withColumn("__slot", F.row_number().over(w)).where(F.col("__slot") <= slots)
          .select(key, F.try_element_at(names, F.col("gc_platform")).alias("__p"), "__slot", F.explode(items).alias("__it"))
          .where(F.col("__p").isNotNull()))

@@ -287,11 +287,24 @@ class Views:
         return (self.base_facts().groupBy("account", "gc_platform", "product_id")
                 .agg(F.min("snapshot_date").alias("first_seen")))
 
+    def sku_registry(self) -> DataFrame:
+        """Products on sale per platform with the day the registry first lists them, which
+        the test mapping derives from the size column."""
+        return self.base_facts().select(
+            "account", "gc_platform", "product_id",
+            F.date_add(F.to_date(F.lit("2000-09-01")), (F.col("grammage") * 2).cast("int")).alias("first_seen")).distinct()
+
+    def store_listing(self) -> DataFrame:
+        """Listings per store of ``store_catalog`` (same store ids)."""
+        return self.base_facts().select(
+            "account", "snapshot_date", "gc_platform",
+            F.concat_ws("-", F.col("l_suppkey").cast("string"),
+                        (F.col("l_partkey") % 50).cast("string")).alias("store_id"),
+            "total_listed", "is_own_brand")
+
     def own_sku_base(self) -> DataFrame:
-        """``sku_base_for_locality_metrics``: coarse product id with its own flag."""
-        b = self.base_facts()
-        return (b.select(F.col("l_partkey").cast("string").alias("product_id"),
-                         "is_own_brand").distinct())
+        """``sku_base_for_locality_metrics``: product id with its own flag, from the dimension."""
+        return self.product_dim().select("product_id", "is_own_brand")
 
 
 class _OnSlice(Views):
