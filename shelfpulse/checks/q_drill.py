@@ -109,6 +109,7 @@ def inputs(v):
         "ms": lambda: v.materialize(("ms", L1, L2), lambda: M.market_share(pm, dim, L1, L2)),
         "cms": lambda: v.materialize(("cms", L1, L2), lambda: M.market_share_category(pm, L1, L2)),
         "tiers": lambda: v.materialize(("tiers_q", L1), lambda: TR.price_tiers(pm, dim, L1, method="quantile")),
+        "tiers_km": lambda: v.materialize(("tiers_km", L1), lambda: TR.price_tiers(pm, dim, L1, method="auto")),
         "ch": lambda: v.materialize(("bm_change", L1, L2), lambda: M.brand_metrics_change(
             M.brand_metrics(pm, dim, L1, L2))),
         "sku": lambda: v.materialize(("sku_cmp", L1, L2), lambda: M.sku_compare(
@@ -122,20 +123,28 @@ def inputs(v):
     }
 
 
-def frames(spark, sf, direction, views=None):
+TIER_FREE = ("own", "comp", "cat_imp", "drivers", "cities")       # frames that read no price tier
+
+
+def frames(spark, sf, direction, views=None, tiers="quantile"):
+    """Drill-down frames; ``tiers`` says whether brands are compared within quantile or
+    k-means price tiers."""
     v = views or Views.shared(spark, sf)
 
     def build():
         i = inputs(v)
-        return D.drilldown(i["ms"], i["cms"], i["tiers"], i["ch"], i["sku"], direction,
-                           wrap=lambda k, df: v.materialize(("drill", direction, k), lambda: df))
-    return v.memo(("drill", direction), build)
+        return D.drilldown(i["ms"], i["cms"], i["tiers" if tiers == "quantile" else "tiers_km"], i["ch"], i["sku"],
+                           direction, wrap=lambda k, df: v.materialize(
+                               ("drill", direction, k) if k in TIER_FREE else ("drill", direction, tiers, k), lambda: df))
+    return v.memo(("drill", direction, tiers), build)
+
 
+def _reg(key, direction, part, sql_select=None, tiers="quantile"):
+    sql = None if sql_select is None else with_views(drill_ctes(direction) + "\n" + sql_select, ("pid_metrics", "product_dim"))
 
-def _reg(key, direction, part, sql_select):
-    @register(key, with_views(drill_ctes(direction) + "\n" + sql_select, ("pid_metrics", "product_dim")))
+    @register(key, sql)
     def q(spark, sf):
-        return frames(spark, sf, direction)[part]
+        return frames(spark, sf, direction, tiers=tiers)[part]
     q.__name__ = f"q_{key}"
     return q
 
@@ -148,6 +157,19 @@ _reg("drilldown_down", "down", "brand_rows", "SELECT * FROM brand_rows")
 _reg("drilldown_up", "up", "brand_rows", "SELECT * FROM brand_rows")
 _reg("rising_competitors", "down", "competitors", "SELECT * FROM comps")
 _reg("driver_sku", "down", "own_sku", "SELECT * FROM own_sku")
+_reg("rising_competitors_up", "up", "competitors", "SELECT * FROM comps")
+_reg("driver_sku_up", "up", "own_sku", "SELECT * FROM own_sku")
+
+COMP_SKU_SQL = f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY s.account, s.gc_platform, s.bgr, s.gc_city, s.brand
+    ORDER BY s.change_market_share DESC NULLS LAST, s.product_id ASC NULLS LAST) AS rn
+  FROM sc s WHERE EXISTS (SELECT 1 FROM comps b WHERE {on('s', 'b', MS_KEYS)})) WHERE rn = 1"""
+_reg("competitor_sku", "down", "comp_sku", COMP_SKU_SQL)
+_reg("competitor_sku_up", "up", "comp_sku", COMP_SKU_SQL)
+# the tiers of k-means are iterative: rows checked against price_tier_kmeans in the tests
+_reg("drilldown_down_kmeans", "down", "brand_rows", tiers="kmeans")
+_reg("rising_competitors_kmeans", "down", "competitors", tiers="kmeans")
 
 
 def drivers_sql(direction: str, suffix: str) -> str:

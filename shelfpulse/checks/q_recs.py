@@ -19,8 +19,8 @@ CITY = ["account", "gc_platform", "bgr", "gc_city", "brand"]
 class Inputs:
     """The frames the recommendation blocks read, built once per call."""
 
-    def __init__(self, spark, sf):
-        v = Views.shared(spark, sf)
+    def __init__(self, spark, sf, views=None):
+        v = views or Views.shared(spark, sf)
         self.v = v
         pm, dim = v.pid_slice(L1, L2), v.product_dim()
         self.fr = frames(spark, sf, "down", v)

@@ -123,8 +123,8 @@ def q_sink_append(spark, sf):
 
 
 # ------------------------------------------------------------------ report
-def _report_parts(spark, sf):
-    v = Views.shared(spark, sf)
+def _report_parts(spark, sf, v=None):
+    v = v or Views.shared(spark, sf)
     ms = inputs(v)["ms"]()
     down = frames(spark, sf, "down", v)
     up = frames(spark, sf, "up", v)
@@ -136,9 +136,8 @@ def _report_parts(spark, sf):
 PLATFORMS = ("automobile", "building", "furniture", "household", "machinery")
 
 
-def _summary(spark, sf):
-    v = Views.shared(spark, sf)
-    offtake = _report_parts(spark, sf)[0]
+def _summary(spark, sf, v):
+    offtake = _report_parts(spark, sf, v)[0]
     coverage = ST.new_store_coverage(v.store_catalog(), v.window_slice("store_listing", L1, L2), L1, L2)
     return FA.report_summary(offtake, ST.psl_by(inputs(v)["psl"](), ["account", "gc_platform"]), coverage)
 
@@ -152,24 +151,24 @@ def _pair(rows, number, fields, order):
     return R.to_markers(rows, number, order, fields, 2)
 
 
-def _markers(spark, sf):
+def _markers(spark, sf, accounts="single"):
     """All marker families of the report, written once per session."""
-    v = Views.shared(spark, sf)
+    v = Views.shared(spark, sf, accounts)
     return v.materialize(("markers", L1, L2), lambda: _build_markers(spark, sf, v))
 
 
 def _build_markers(spark, sf, v):
     down, up = (frames(spark, sf, side, v) for side in ("down", "up"))
-    i = RQ.Inputs(spark, sf)
+    i = RQ.Inputs(spark, sf, v)
     keep = lambda key, build: v.materialize(("report", key), build)
-    summary = keep("summary", lambda: _summary(spark, sf))
+    summary = keep("summary", lambda: _summary(spark, sf, v))
     osa, sov, discount = (keep(name, lambda: build(spark, sf, i)) for name, build in (
         ("osa", RQ.osa_recs), ("sov", RQ.sov_recs), ("discount", RQ.discount_recs)))
     rank = down["brand_rows"]
-    happened = SU.what_happened(rank, down["competitors"], inputs(v)["ch"]())
+    happened = SQ.happened_rows(spark, sf, v)
     drainers = FA.drainer_rows(RQ.merged_recs(osa, sov), happened, SU.impact_by_city(down["drivers"], down["cities"]))
-    gainers = FA.gainer_rows(SQ.q_gain_summary(spark, sf), up["drivers"])
-    launches = FA.launch_rows(SQ.q_new_launches_registry(spark, sf))
+    gainers = FA.gainer_rows(SQ.gain_rows(spark, sf, v), up["drivers"])
+    launches = FA.launch_rows(SQ.registry_launches(v))
     names = lambda side: {p: p[0].upper() + side for p in PLATFORMS}
     parts = [
         _summary_markers(summary),
@@ -267,6 +266,12 @@ def q_report_row(spark, sf):
     return R.report_row(_markers(spark, sf), MARKERS)
 
 
+@register("report_row_accounts")
+def q_report_row_accounts(spark, sf):
+    """The report of several accounts (order priorities) by one job, one row each."""
+    return R.report_row(_markers(spark, sf, "by_priority"), MARKERS)
+
+
 def _templates(spark, sf):
     d = scan_table(spark, sf, "documents")
     ph = F.concat(F.lit(" {{ Brand }} {{m1}}-{{m2}} {{1*"), ((F.col("doc_id") % 20) + 1).cast("string"),
@@ -308,7 +313,7 @@ def q_sheet_union(spark, sf):
 @register("markers_wide")
 def q_markers_wide(spark, sf):
     """The platform-summary family alone, one wide row per account."""
-    return R.report_row(_summary_markers(_summary(spark, sf)), SUMMARY_MARKERS)
+    return R.report_row(_summary_markers(_summary(spark, sf, Views.shared(spark, sf))), SUMMARY_MARKERS)
 
 
 @register("html_table_dates")
@@ -447,7 +452,9 @@ def _wide_sql(names: list[str]) -> str:
     return f"SELECT account, {cols} FROM mk GROUP BY account"
 
 
+SINGLE, BY_PRIORITY = "'main' AS account", "'acct_' || substr(o.o_orderpriority, 1, 1) AS account"
 ORACLE_EXTRA = {
+    "report_row_accounts": (MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS)).replace(SINGLE, BY_PRIORITY),
     "markers_long": MARKERS_LONG_SQL + "\nSELECT * FROM mk",
     "report_row": MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS),
     "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(SUMMARY_MARKERS).replace(

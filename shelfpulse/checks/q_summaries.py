@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from shelfpulse.checks.oracle_views import with_views
-from shelfpulse.checks.q_drill import drill_ctes, frames, inputs
+from shelfpulse.checks.q_core import MS_KEYS
+from shelfpulse.checks.q_drill import COMP_SKU_SQL, drill_ctes, frames, inputs, on
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import metrics as M
 from shelfpulse.plans import summaries as SU
@@ -59,11 +60,12 @@ def q_impact_text(spark, sf):
 
 @register("what_happened")
 def q_what_happened(spark, sf):
-    v = Views.shared(spark, sf)
+    return happened_rows(spark, sf, Views.shared(spark, sf))
+
+
+def happened_rows(spark, sf, v):
     fr = frames(spark, sf, "down", v)
-    pm = v.pid_slice(L1, L2)
-    ch = inputs(v)["ch"]()
-    return SU.what_happened(fr["brand_rows"], fr["competitors"], ch)
+    return SU.what_happened(fr["brand_rows"], fr["competitors"], inputs(v)["ch"](), fr["own_sku"], fr["comp_sku"])
 
 
 # month over month (the reference's default window shape): launches need data in both months
@@ -112,20 +114,24 @@ def q_new_launches(spark, sf):
 @register("new_launches_registry", _launch_sql(L1, L2, "sku_registry"))
 def q_new_launches_registry(spark, sf):
     """Launches of the report's own windows, first seen by the product registry."""
-    v = Views.shared(spark, sf)
+    return registry_launches(Views.shared(spark, sf))
+
+
+def registry_launches(v):
     return SU.new_launches(v.window_slice("sku_registry", L1, L2), v.product_dim(), inputs(v)["sku"](), L1[1])
 
 
 @register("gain_summary")
 def q_gain_summary(spark, sf):
+    return gain_rows(spark, sf, Views.shared(spark, sf))
+
+
+def gain_rows(spark, sf, v):
     from shelfpulse.plans import keywords as K
-    v = Views.shared(spark, sf)
-    pm, dim = v.pid_slice(L1, L2), v.product_dim()
     fr = frames(spark, sf, "up", v)
-    catm = inputs(v)["catm"]()
-    sku, contrib = inputs(v)["sku"](), K.contribution(pm, L1)
-    kw = K.keyword_scores(inputs(v)["kwt"]())
-    return SU.gain_summary(fr["drivers"], catm, fr["cities"], fr["brand_rows"], sku, contrib, kw)
+    i = inputs(v)
+    return SU.gain_summary(fr["drivers"], i["catm"](), fr["cities"], fr["brand_rows"], i["sku"](),
+                           K.contribution(v.pid_slice(L1, L2), L1), K.keyword_scores(i["kwt"]()))
 
 
 def _f1(x: str) -> str:
@@ -172,7 +178,9 @@ cm AS (
     ON c.account = m.account AND c.gc_platform = m.gc_platform AND c.bgr = m.bgr AND c.gc_city = m.gc_city
    AND c.brand = m.brand
 ),
-cb AS (SELECT * FROM {_block_sql('cm', +1)}),
+comp_sku AS ({COMP_SKU_SQL}),
+cb AS (SELECT * REPLACE (CASE WHEN EXISTS (SELECT 1 FROM comp_sku s WHERE s.change_market_share IS NOT NULL AND {on('s', 'x', MS_KEYS)})
+         THEN brand_text END AS brand_text) FROM {_block_sql('cm', +1)} x),
 cr AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr, gc_city
                    ORDER BY pct_change DESC NULLS LAST, brand ASC NULLS LAST) AS r
@@ -183,7 +191,8 @@ cg AS (
     list(brand_text ORDER BY r) AS texts, list(performance_line ORDER BY r) AS perfs
   FROM cr GROUP BY 1, 2, 3, 4
 ),
-ob AS (SELECT * FROM {_block_sql('brand_rows', -1)})
+ob AS (SELECT * REPLACE (CASE WHEN EXISTS (SELECT 1 FROM own_sku s WHERE s.change_market_share IS NOT NULL AND {on('s', 'x', MS_KEYS)})
+         THEN brand_text END AS brand_text) FROM {_block_sql('brand_rows', -1)} x)
 SELECT ob.account, ob.gc_platform, ob.bgr, ob.gc_city, ob.brand,
   ob.brand_text AS what_happened1, cg.texts[1] AS what_happened2, cg.texts[2] AS what_happened3,
   array_to_string(list_concat([ob.performance_line], coalesce(cg.perfs, [])), chr(10)) AS performance

@@ -23,9 +23,14 @@ CRORE = 1e7
 LAKH = 1e5
 
 
+def printed(pattern: str, x: Column) -> Column:
+    """``x`` printed by a format pattern; NULL stays NULL (Spark would print ``n``)."""
+    return F.when(x.isNotNull(), F.format_string(pattern, x))
+
+
 def fixed(c, decimals: int = 1) -> Column:
     """``x`` printed with ``decimals`` decimals after SQL rounding."""
-    return F.format_string(f"%.{decimals}f", F.round(col_of(c).cast("double"), decimals))
+    return printed(f"%.{decimals}f", F.round(col_of(c).cast("double"), decimals))
 
 
 def fmt_amount(c, style: str = "default") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfpulse.functions.exprs import pandas_round
+from shelfpulse.functions.text import printed
 from shelfpulse.operators.topk import SKEW_SALT, top_k
 from shelfpulse.plans.summaries import py_num
 
@@ -149,10 +150,10 @@ def discount_recommendations(brand_rows: DataFrame, drivers: DataFrame, cat_metr
     tiered = pick(same, [*where, "__tier"], "__same").withColumnRenamed("__tier", "ppu_category")
     j = r.join(tiered, [*where, "ppu_category"], "left").join(pick(anyt, where, "__any"), where, "left")
     j = j.withColumn("__best", F.coalesce("__same", "__any")).select("*", "__best.*")
-    signed0 = lambda c: F.format_string("%+.0f", F.rint(F.col(c)))
+    signed0 = lambda c: printed("%+.0f", F.rint(F.col(c)))
     what = F.when(F.col("comp").isNotNull(), F.concat(
         F.lit("\n"), F.col("comp"), F.lit(" increased discounting to "),
-        F.format_string("%.0f", F.rint(F.col("comp_current"))), F.lit("% ("), signed0("comp_change"),
+        printed("%.0f", F.rint(F.col("comp_current"))), F.lit("% ("), signed0("comp_change"),
         F.lit("%) in "), F.col("gc_city"))).otherwise(F.lit(""))
     why = F.when(F.col("comp").isNotNull(), F.concat(
         F.col("comp"), F.lit("'s MS increased to "), py_num("comp_share"), F.lit("% ("),
@@ -241,7 +242,7 @@ def sov_recommendations(brand_rows: DataFrame, drivers: DataFrame, cat_metrics:
                   rank_col=None).select(*where, F.col("keyword").alias("drop_keyword"))
     r = r.join(drop1, where, "left")
 
-    f1 = lambda c: F.format_string("%.1f", pandas_round(c, 1))
+    f1 = lambda c: printed("%.1f", pandas_round(c, 1))
     what1 = F.concat(F.lit("• Overall SOV dropped from "), f1(F.col("sov_dr1") - F.col("change_sov")),
                      F.lit("% to "), f1(F.col("sov_dr1")), F.lit("%"))
     what2 = F.when(F.col("top_city").isNotNull(),

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfpulse.functions.text import capitalise, domain_of, fixed, fmt_amount, fmt_change, json_field
+from shelfpulse.functions.text import capitalise, domain_of, fixed, fmt_amount, fmt_change, json_field, printed
 
 def platform_offtake(ms: DataFrame) -> DataFrame:
     """Own sales per account x platform in both periods (D15 pivot with 0 fill)."""
@@ -149,7 +149,7 @@ def platform_markers(df: DataFrame, prefixes: dict[str, str], order: Sequence[Co
 
 def fixed_pandas(c) -> Column:
     """``x`` rounded half-to-even on its binary value (numpy) and printed with one decimal."""
-    return F.when(c.isNotNull(), F.format_string("%.1f", F.rint(c * 10.0) / 10.0))
+    return printed("%.1f", F.rint(c * 10.0) / 10.0)
 
 
 def marker_names(prefix: str, n_cols: int, slots: int, sep: str = "") -> list[str]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfpulse.functions.exprs import pandas_round
+from shelfpulse.functions.text import printed
 from shelfpulse.operators.topk import SKEW_SALT, top_k
 
 CAT = ["account", "gc_platform", "bgr", "brand"]
@@ -31,7 +32,7 @@ BRAND_CHANGE_LABELS = (
 
 def py_num(c, decimals: int = 1) -> Column:
     """Python ``str(round(x, n))`` / ``f"{x:.nf}"`` for values printed with one decimal."""
-    return F.format_string(f"%.{decimals}f", pandas_round(c, decimals))
+    return printed(f"%.{decimals}f", pandas_round(c, decimals))
 
 
 def arrow(c) -> Column:
@@ -120,18 +121,31 @@ def brand_block(df: DataFrame, sign: int) -> DataFrame:
     return d.withColumn("performance_line", perf).withColumn("brand_text", text).drop("__sel", "__status")
 
 
+def with_sku_text(rows: DataFrame, skus: DataFrame | None) -> DataFrame:
+    """Blanks (NULL) the brand text of rows without a SKU whose share changed."""
+    if skus is None:
+        return rows
+    moved = (skus.where(F.col("change_market_share").isNotNull()).select(*CITY).distinct()
+             .withColumn("__sku", F.lit(True)))
+    return (rows.join(moved, CITY, "left")
+            .withColumn("brand_text", F.when(F.col("__sku"), F.col("brand_text"))).drop("__sku"))
+
+
 def what_happened(own_rows: DataFrame, comp_rows: DataFrame, metrics_change: DataFrame,
+                  own_skus: DataFrame | None = None, comp_skus: DataFrame | None = None,
                   max_comps: int = 2) -> DataFrame:
     """Per own driver brand row: its text, the texts of the rising competitors
     in the same platform x category x city, and one performance column (H19).
 
     Competitor metrics come from the brand metric changes (left join on the
     city x brand keys, flag 0).  At most ``max_comps`` competitors per city.
+    With the drivers' and competitors' SKU rows given, a brand without one has
+    no text (its performance line stays).
     """
-    own = brand_block(own_rows, -1).select(*CITY, "brand_text", "performance_line")
+    own = with_sku_text(brand_block(own_rows, -1), own_skus).select(*CITY, "brand_text", "performance_line")
     m = metrics_change.where(F.col("is_own_brand") == 0).drop("is_own_brand")
     comp = comp_rows.drop(*[c for c in metrics_change.columns if c not in CITY and c in comp_rows.columns])
-    comp = brand_block(comp.join(m, CITY, "left"), +1)
+    comp = with_sku_text(brand_block(comp.join(m, CITY, "left"), +1), comp_skus)
     where = ["account", "gc_platform", "bgr", "gc_city"]
     comp = top_k(comp, where, [F.col("pct_change").desc_nulls_last(), F.col("brand").asc_nulls_last()],
                  max_comps, F.col("pct_change").isNotNull(), rank_col="__r")
@@ -232,7 +246,7 @@ def gain_summary(best: DataFrame, cat_metrics: DataFrame, cities: DataFrame, bra
     acct = F.concat(F.upper(F.substring("account", 1, 1)), F.lower(F.substring("account", 2, 1 << 30)))
     osa_head = lambda lead: F.concat(F.lit(lead), acct, F.lit("'s OSA increased to "),
                                      F.col("wt_osa_dr1").cast("string"), F.lit("%(+"),
-                                     F.format_string("%.0f", F.rint(F.col("change_wt_osa"))),
+                                     printed("%.0f", F.rint(F.col("change_wt_osa"))),
                                      F.lit("%) by fixing DS listing for "))
     osa_line = F.when(F.col("change_wt_osa") > 0, F.when(F.size(titles) == 1, F.concat(
         osa_head("•"), titles[0], F.lit(" in "), F.col("gc_city"))).when(F.size(titles) >= 2, F.concat(
