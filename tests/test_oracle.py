@@ -8,7 +8,8 @@ SMALL = "/root/testdata/sf0.001"
 KEYS = ["market_share", "share_impact_city_brand", "brand_metrics_change", "category_metrics",
         "compare_periods", "price_tier_quantile", "keyword_scores", "keyword_recs", "pareto_tags",
         "sku_osa", "worst_categories", "rising_competitors", "offtake_summary", "impact_text",
-        "top_geo", "format_change", "html_list_items", "account_config"]
+        "top_geo", "format_change", "html_list_items", "account_config", "report_row_accounts",
+        "what_happened", "text_rules", "new_store_coverage", "new_launches_registry", "competitor_sku"]
 
 
 @pytest.fixture(scope="module")
