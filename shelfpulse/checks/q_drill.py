@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import CAT_MS_CTES, MARKET_SHARE_SQL_CTES, MS_KEYS, impact_sql
-from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_COMPARE_CTES, change_sql
+from shelfpulse.checks.q_keywords import keyword_totals
+from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_COMPARE_CTES, change_sql, sku_metrics
 from shelfpulse.checks.q_tiers import PPU_CTES
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import drilldown as D
-from shelfpulse.plans import keywords as K
 from shelfpulse.plans import metrics as M
 from shelfpulse.plans import stores as ST
 from shelfpulse.plans import tiers as TR
@@ -102,6 +102,11 @@ own_sku AS (
 )""")
 
 
+def store_aggregate(v):
+    """Writes the store x SKU aggregate once per session."""
+    return lambda g: v.materialize(("store_agg", L1, L2), lambda: g)
+
+
 def inputs(v):
     """Memoised metric frames over the window slice (built once per session)."""
     pm, dim = v.pid_slice(L1, L2), v.product_dim()
@@ -112,12 +117,10 @@ def inputs(v):
         "tiers_km": lambda: v.materialize(("tiers_km", L1), lambda: TR.price_tiers(pm, dim, L1, method="auto")),
         "ch": lambda: v.materialize(("bm_change", L1, L2), lambda: M.brand_metrics_change(
             M.brand_metrics(pm, dim, L1, L2))),
-        "sku": lambda: v.materialize(("sku_cmp", L1, L2), lambda: M.sku_compare(
-            M.product_metrics(pm, None, L1, L2))),
-        "kwt": lambda: v.materialize(("kwt", L1, L2), lambda: K.keyword_totals(
-            v.window_slice("keyword_impressions", L1, L2), L1, L2)),
+        "sku": lambda: v.materialize(("sku_cmp", L1, L2), lambda: M.sku_compare(sku_metrics(v))),
+        "kwt": lambda: v.materialize(("kwt", L1, L2), lambda: keyword_totals(v)),
         "psl": lambda: v.materialize(("psl_rows", L1, L2), lambda: ST.psl_by_store(
-            ST.sku_store_osa(v.window_slice("locality_metrics", L1, L2), L1, L2),
+            ST.sku_store_osa(v.window_slice("locality_metrics", L1, L2), L1, L2, once=store_aggregate(v)),
             v.window_slice("psl_daily_locality", L1, L2), v.own_sku_base(), L1)),
         "catm": lambda: v.materialize(("catm", L1, L2), lambda: M.category_metrics(pm, dim, L1, L2)),
     }

@@ -54,9 +54,14 @@ KW_COLS = (f"date_period, {G}, keyword, max_keyword_weight, ad_sov, cat_share, v
            "relevant_score, round(final_score, 6) AS final_score, sov_dr1, sov_dr2")
 
 
+def keyword_totals(v):
+    """Keyword totals on the keyword aggregate, which is written once per session."""
+    return K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2,
+                            once=lambda g: v.materialize(("keyword_agg", L1, L2), lambda: g))
+
+
 def _kw(spark, sf):
-    v = Views.shared(spark, sf)
-    return K.keyword_totals(v.window_slice("keyword_impressions", L1, L2), L1, L2)
+    return keyword_totals(Views.shared(spark, sf))
 
 
 def _rounded(scores):

@@ -160,10 +160,15 @@ pm AS (
 )"""
 
 
+def sku_metrics(v):
+    """Product metrics on the SKU aggregate, which is written once per session."""
+    return M.product_metrics(v.pid_slice(L1, L2), None, L1, L2,
+                             once=lambda g: v.materialize(("sku_agg", L1, L2), lambda: g))
+
+
 @register("product_metrics", with_views(PM_CTES + "\nSELECT * FROM pm"))
 def q_product_metrics(spark, sf):
-    v = _views(spark, sf)
-    return M.product_metrics(v.pid_slice(L1, L2), None, L1, L2)
+    return sku_metrics(_views(spark, sf))
 
 
 SKU_KEYS = ["account", "gc_platform", "bgr", "gc_city", "brand", "product_id", "title"]
@@ -174,8 +179,7 @@ SKU_COMPARE_CTES = PM_CTES + ",\nsc AS (" + change_sql("pm", SKU_KEYS, SKU_M, {}
 
 @register("compare_periods", with_views(SKU_COMPARE_CTES + "\nSELECT * FROM sc"))
 def q_compare_periods(spark, sf):
-    v = _views(spark, sf)
-    return M.sku_compare(M.product_metrics(v.pid_slice(L1, L2), None, L1, L2))
+    return M.sku_compare(sku_metrics(_views(spark, sf)))
 
 
 GRAMMAGE_CTES = f"""

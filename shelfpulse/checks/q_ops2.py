@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import MARKET_SHARE_SQL_CTES, MS_KEYS, impact_sql
-from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_COMPARE_CTES, change_sql
+from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_COMPARE_CTES, change_sql, sku_metrics
 from shelfpulse.checks.q_tiers import PPU_CTES
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.checks.sqlbits import between, in_periods, label, null_greatest
@@ -144,8 +144,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, b
         ORDER BY change_market_share DESC NULLS LAST, product_id ASC NULLS LAST, brand ASC NULLS LAST) AS stage2_rank FROM s1)
 WHERE stage2_rank <= 1"""))
 def q_two_stage_topk(spark, sf):
-    pm = Views.shared(spark, sf).pid_slice(L1, L2)
-    sc = M.sku_compare(M.product_metrics(pm, None, L1, L2))
+    sc = M.sku_compare(sku_metrics(Views.shared(spark, sf)))
     tie = [F.col("product_id").asc_nulls_last(), F.col("brand").asc_nulls_last()]
     return TK.two_stage_top(sc, ["account", "gc_platform", "bgr", "gc_city"],
                             [F.col("market_share_dr1").desc_nulls_last(), *tie], 4,
@@ -156,8 +155,7 @@ def q_two_stage_topk(spark, sf):
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY account, gc_platform, bgr, gc_city, brand
   ORDER BY abs(change_market_share) DESC NULLS LAST, product_id ASC NULLS LAST) AS rn FROM sc) WHERE rn = 1"""))
 def q_max_abs_sku(spark, sf):
-    pm = Views.shared(spark, sf).pid_slice(L1, L2)
-    sc = M.sku_compare(M.product_metrics(pm, None, L1, L2))
+    sc = M.sku_compare(sku_metrics(Views.shared(spark, sf)))
     return TK.max_abs_row(sc, CITY, "change_market_share", ["product_id"])
 
 

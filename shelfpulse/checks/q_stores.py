@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfpulse.checks.oracle_views import with_views
-from shelfpulse.checks.q_drill import drill_ctes, frames, inputs
+from shelfpulse.checks.q_drill import drill_ctes, frames, inputs, store_aggregate
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.checks.sqlbits import between, in_periods, label, weight
 from shelfpulse.plans import stores as ST
@@ -81,19 +81,20 @@ def _srows(spark, sf):
 
 @register("pareto_tags", with_views(STORE_CTES + "\nSELECT * EXCLUDE (wa, ws) FROM tags", SV))
 def q_pareto_tags(spark, sf):
-    t = ST.pareto_tags(ST.store_period_metrics(_spm(spark, sf), L1, L2))
+    once = store_aggregate(Views.shared(spark, sf))
+    t = ST.pareto_tags(once(ST.store_period_metrics(_spm(spark, sf), L1, L2)))
     return t.drop("__wa", "__ws", "__imp")
 
 
 @register("sku_osa", with_views(STORE_CTES + "\nSELECT * FROM sku_osa", SV))
 def q_sku_osa(spark, sf):
-    return ST.sku_store_osa(_spm(spark, sf), L1, L2)
+    return ST.sku_store_osa(_spm(spark, sf), L1, L2, once=store_aggregate(Views.shared(spark, sf)))
 
 
 @register("self_period_join", with_views(STORE_CTES + f"""
 SELECT DISTINCT {K}, wt_osa_dr2, wt_osa_dr1, osa_diff FROM sku_osa""", SV))
 def q_self_period_join(spark, sf):
-    d = ST.sku_store_osa(_spm(spark, sf), L1, L2)
+    d = ST.sku_store_osa(_spm(spark, sf), L1, L2, once=store_aggregate(Views.shared(spark, sf)))
     return d.select(*[c.strip() for c in K.split(",")], "wt_osa_dr2", "wt_osa_dr1", "osa_diff").distinct()
 
 

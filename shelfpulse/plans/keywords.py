@@ -3,7 +3,7 @@ contribution (H14)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +17,16 @@ from shelfpulse.operators.windows import with_group_totals
 KW_GROUP = ("account", "gc_platform", "bgr", "gc_city")
 
 
-def keyword_totals(kw: DataFrame, l1, l2, group: Sequence[str] = KW_GROUP) -> DataFrame:
+def keyword_totals(kw: DataFrame, l1, l2, group: Sequence[str] = KW_GROUP,
+                   once: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per period x group x keyword: own ad SOV, category share and volume share.
 
     * ``ad_sov`` = own ad impressions / all ad impressions (0 when none), SQL round 1;
     * ``cat_share`` = keyword impressions over the group's, ``vol_share`` =
       keyword weight (max per keyword) over the group's, both SQL round 1.
+
+    ``once`` may write the aggregate and read it back: rows and group totals then start
+    from it and the impressions are scanned once.
     """
     f = filter_periods(kw, "snapshot_date", l1, l2).withColumn(
         "date_period", period_label("snapshot_date", l1, l2, "dr2"))
@@ -34,6 +38,7 @@ def keyword_totals(kw: DataFrame, l1, l2, group: Sequence[str] = KW_GROUP) -> Da
             F.round(safe_div(own_ad.cast("double") * 100.0, F.sum("ad_impressions").cast("double")), 1)
         ).alias("ad_sov"),
         F.max("keyword_weight").alias("max_keyword_weight"))
+    g = once(g) if once else g
     # keywords per category x city grow with the data: group totals joined back
     g = with_group_totals(g, ["date_period", *group], ["tot_imp", "max_keyword_weight"])
     return g.select(

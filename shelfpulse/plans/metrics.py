@@ -9,7 +9,7 @@ coarser totals with a window over that aggregate (SURVEY 4, "scan fusion").
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,7 +235,8 @@ def grammage(facts: DataFrame, dim: DataFrame, l1, l2) -> DataFrame:
 def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
                     keys: Sequence[str] = ("account", "gc_platform", "product_id", "title",
                                            "grammage", "bgr", "gc_city", "brand"),
-                    part_keys: Sequence[str] = ("account", "gc_platform", "bgr", "gc_city")) -> DataFrame:
+                    part_keys: Sequence[str] = ("account", "gc_platform", "bgr", "gc_city"),
+                    once: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """SKU x city x period metrics (H6): offtake, prices, units, listing, OSA,
     discount, shares of sales and impressions within the category, weighted PPU.
 
@@ -247,6 +248,9 @@ def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
       reference partitions by category, city and period inside one platform
       table -- with all platforms in one table the platform joins the partition;
     * listing rate ``100 * listed / scrapes`` with ``try_divide`` (X24).
+
+    ``once`` may write the aggregate and read it back: rows and category totals
+    then start from it and the facts are scanned once.
     """
     f = filter_periods_capped(facts, "snapshot_date", l1, l2,
                               extra=F.col("is_own_brand").isin(0, 1))
@@ -284,6 +288,7 @@ def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
         F.sum(F.when(ppu, F.col("price_per_100_units") * ppu_w)).alias("__ppu_num"),
         F.sum(F.when(ppu, ppu_w)).alias("__ppu_den"),
     )
+    g = once(g) if once else g
     # category x city totals of four measures: group totals joined back (SKUs
     # per category x city grow with the data, so no single-task window partition)
     g = with_group_totals(g, [*part_keys, "date_period"], ["__no", "__ti", "__oi", "__ai"])

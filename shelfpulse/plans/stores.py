@@ -3,7 +3,7 @@ D10, D11, D21, D22, D23)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,15 +59,20 @@ def pareto_tags(spm: DataFrame, part: Sequence[str] = PARETO_PART,
             .withColumn("contribution_weight_pf", F.round("__cum", 3)).drop("__cum"))
 
 
-def sku_store_osa(loc: DataFrame, l1, l2, keys: Sequence[str] = STORE_KEYS) -> DataFrame:
+def sku_store_osa(loc: DataFrame, l1, l2, keys: Sequence[str] = STORE_KEYS,
+                  once: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Store x SKU rows (both periods) whose weighted OSA fell from L2 to L1.
 
     Each row carries its Pareto tag, the last-day listing and the OSA of both
     periods with the difference.  OSA pairs are matched on all store x SKU keys
     (X14); ``osa_diff < 0`` keeps only falling pairs (C9: the left join with a
     filter on its right side is an inner join).
+
+    ``once`` may write the aggregate and read it back: cut points, bucket totals and rows
+    of the running share then start from it and the facts are scanned once.
     """
     spm = store_period_metrics(loc, l1, l2, keys)
+    spm = once(spm) if once else spm
     osa = safe_div(100.0 * F.col("__wa").cast("double"), F.col("__ws").cast("double"))
     t = pareto_tags(spm.withColumn("__osa", osa))
     wk = Window.partitionBy(*keys)

@@ -34,3 +34,13 @@ def test_market_share_reads_only_needed_columns(spark):
     df = M.market_share(v.pid_metrics(), v.product_dim(), L1, L2)
     plan = _plan(df)
     assert "l_comment" not in plan and "o_totalprice" not in plan
+
+
+def test_shared_aggregates_are_read_instead_of_the_facts(spark):
+    """Rows and group totals start from the written aggregate; no fact column is read again."""
+    from shelfpulse.checks import registry
+    registry.load_all()
+    for key, fact in (("product_metrics", "l_partkey"), ("keyword_scores", "ad_impressions"), ("sku_osa", "total_scrapes")):
+        plan = _plan(registry.QUERIES[key](spark, SMALL))
+        schemas = [part.split(">")[0] for part in plan.split("ReadSchema: ")[1:]]
+        assert schemas and not any(fact in s for s in schemas), key
