@@ -52,8 +52,13 @@ base AS (
   JOIN part p ON l.l_partkey = p.p_partkey
 )"""
 
-BASE_BY_PRIORITY = BASE.replace(
-    "'main' AS account", "'acct_' || substr(o.o_orderpriority, 1, 1) AS account")
+
+def several_accounts(sql: str) -> str:
+    """The statement over several accounts: the order's priority names the account."""
+    return sql.replace("'main' AS account", "'acct_' || substr(o.o_orderpriority, 1, 1) AS account")
+
+
+BASE_BY_PRIORITY = several_accounts(BASE)
 
 PID = """
 pid_metrics AS (

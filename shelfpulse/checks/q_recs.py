@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfpulse.checks.oracle_views import several_accounts
 from shelfpulse.checks.q_drill import frames, inputs
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.operators.periods import compare_periods
@@ -104,6 +105,18 @@ def q_text_rules(spark, sf):
     return merged_recs(osa_recs(spark, sf, i), sov_recs(spark, sf, i))
 
 
+# several accounts (order priorities): more drivers, so the availability rules print lines
+@register("osa_recs_accounts")
+def q_osa_recs_accounts(spark, sf):
+    return osa_recs(spark, sf, Inputs(spark, sf, Views.shared(spark, sf, "by_priority")))
+
+
+@register("text_rules_accounts")
+def q_text_rules_accounts(spark, sf):
+    i = Inputs(spark, sf, Views.shared(spark, sf, "by_priority"))
+    return merged_recs(osa_recs(spark, sf, i), sov_recs(spark, sf, i))
+
+
 # ------------------------------------------------------------------ oracle SQL
 def _renamed_cat_block() -> str:
     import re
@@ -506,3 +519,4 @@ WHERE concat_ws({nl} || {nl}, recommendation_osa, recommendation_sov) NOT IN (''
 
 
 ORACLE_EXTRA["text_rules"] = _text_rules_sql()
+ORACLE_EXTRA |= {f"{key}_accounts": several_accounts(ORACLE_EXTRA[key]) for key in ("osa_recs", "text_rules")}

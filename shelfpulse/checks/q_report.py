@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelfpulse.checks.oracle_views import with_views
+from shelfpulse.checks.oracle_views import several_accounts, with_views
 from shelfpulse.checks.q_core import MARKET_SHARE_SQL_CTES
 from shelfpulse.checks import q_recs as RQ
 from shelfpulse.checks import q_stores  # noqa: F401  (registers statements used below)
@@ -452,9 +452,8 @@ def _wide_sql(names: list[str]) -> str:
     return f"SELECT account, {cols} FROM mk GROUP BY account"
 
 
-SINGLE, BY_PRIORITY = "'main' AS account", "'acct_' || substr(o.o_orderpriority, 1, 1) AS account"
 ORACLE_EXTRA = {
-    "report_row_accounts": (MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS)).replace(SINGLE, BY_PRIORITY),
+    "report_row_accounts": several_accounts(MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS)),
     "markers_long": MARKERS_LONG_SQL + "\nSELECT * FROM mk",
     "report_row": MARKERS_LONG_SQL + "\n" + _wide_sql(MARKERS),
     "markers_wide": MARKERS_LONG_SQL + "\n" + _wide_sql(SUMMARY_MARKERS).replace(
