@@ -10,6 +10,7 @@ from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_
 from shelfpulse.checks.q_tiers import PPU_CTES
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import drilldown as D
+from shelfpulse.plans import keywords as K
 from shelfpulse.plans import metrics as M
 from shelfpulse.plans import stores as ST
 from shelfpulse.plans import tiers as TR
@@ -119,6 +120,8 @@ def inputs(v):
             M.brand_metrics(pm, dim, L1, L2))),
         "sku": lambda: v.materialize(("sku_cmp", L1, L2), lambda: M.sku_compare(sku_metrics(v))),
         "kwt": lambda: v.materialize(("kwt", L1, L2), lambda: keyword_totals(v)),
+        "kws": lambda: v.materialize(("kw_scores", L1, L2), lambda: K.keyword_scores(keyword_totals(v))),
+        "contrib": lambda: v.materialize(("contribution", L1), lambda: K.contribution(pm, L1)),
         "psl": lambda: v.materialize(("psl_rows", L1, L2), lambda: ST.psl_by_store(
             ST.sku_store_osa(v.window_slice("locality_metrics", L1, L2), L1, L2, once=store_aggregate(v)),
             v.window_slice("psl_daily_locality", L1, L2), v.own_sku_base(), L1)),

@@ -23,7 +23,6 @@ class Inputs:
     def __init__(self, spark, sf, views=None):
         v = views or Views.shared(spark, sf)
         self.v = v
-        pm, dim = v.pid_slice(L1, L2), v.product_dim()
         self.fr = frames(spark, sf, "down", v)
         shared = inputs(v)
         self.cat_metrics = shared["catm"]()
@@ -32,7 +31,7 @@ class Inputs:
         ch = shared["ch"]()
         self.merged_comp = D.city_impacts(ms, 0).drop("is_own_brand").join(
             ch.where(F.col("is_own_brand") == 0).drop("is_own_brand"), CITY, "left")
-        self.pm, self.dim = pm, dim
+        self.dim = v.product_dim()
 
     def store_frames(self):
         v = self.v
@@ -42,15 +41,13 @@ class Inputs:
         return psl_rows, counts, doi
 
     def keyword_frames(self):
-        kw = self.v.window_slice("keyword_impressions", L1, L2)
-        totals = inputs(self.v)["kwt"]()
-        scores = K.keyword_scores(totals)
-        low = K.keyword_scores(totals, relevant=False)
-        recs = K.keyword_recs(scores)
-        kbs = K.keyword_brand_sov(kw, self.dim, L1, L2)
-        change = compare_periods(kbs, ["account", "gc_platform", "bgr", "brand", "keyword", "gc_city"],
-                                 ["ad_sov"])
-        return scores, low, recs, change
+        v, i = self.v, inputs(self.v)
+        scores = i["kws"]()
+        low = K.keyword_scores(i["kwt"](), relevant=False)
+        change = v.materialize(("keyword_brand_change", L1, L2), lambda: compare_periods(
+            K.keyword_brand_sov(v.window_slice("keyword_impressions", L1, L2), self.dim, L1, L2),
+            ["account", "gc_platform", "bgr", "brand", "keyword", "gc_city"], ["ad_sov"]))
+        return scores, low, K.keyword_recs(scores), change
 
 
 def osa_recs(spark, sf, i=None):
@@ -66,7 +63,7 @@ def sov_recs(spark, sf, i=None):
     own = i.dim.select("product_id", "is_own_brand")
     sku = (inputs(i.v)["sku"]().join(own, "product_id", "left")
            .where(F.col("is_own_brand") == 1).drop("is_own_brand"))
-    contrib = K.contribution(i.pm, L1)
+    contrib = inputs(i.v)["contrib"]()
     return RC.sov_recommendations(i.fr["brand_rows"], i.fr["drivers"], i.cat_metrics, i.fr["cities"],
                                   i.tiers, i.merged_comp, sku, contrib, scores, recs, low, change)
 

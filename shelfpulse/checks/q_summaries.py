@@ -127,11 +127,10 @@ def q_gain_summary(spark, sf):
 
 
 def gain_rows(spark, sf, v):
-    from shelfpulse.plans import keywords as K
     fr = frames(spark, sf, "up", v)
     i = inputs(v)
     return SU.gain_summary(fr["drivers"], i["catm"](), fr["cities"], fr["brand_rows"], i["sku"](),
-                           K.contribution(v.pid_slice(L1, L2), L1), K.keyword_scores(i["kwt"]()))
+                           i["contrib"](), i["kws"]())
 
 
 def _f1(x: str) -> str:
