@@ -15,9 +15,9 @@ contexts of kind k, n occurrences of the term and m of them in contexts of k:
 
 where p is the lower end of the Wilson interval of m / n.  A term discloses k when its share
 is at least ``THRESHOLD`` and it was seen beside at least ``SUPPORT`` different values of k
-(so copies of one text are no evidence).  Its occurrences in contexts of k are spans of
-kind ``term``; ``sanitised`` replaces base spans by their kind and generalises terms to
-``[term]``.
+(so copies of one text are no evidence).  All its occurrences, in every text and beside a
+span or not, are spans of kind ``term`` (but for words that are part of a base span);
+``sanitised`` replaces base spans by their kind and generalises terms to ``[term]``.
 
 NULL and empty texts have no spans.  Rows are handled each on their own; NULL ids and
 repeated rows are kept.  Extra columns are ignored (``sanitised`` keeps them).
@@ -26,6 +26,7 @@ repeated rows are kept.  Extra columns are ignored (``sanitised`` keeps them).
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 
@@ -39,6 +40,7 @@ from shelfpulse.llm.common import WordValues, hash64, map_batches, saved, slices
 KINDS = ("email", "ip", "card", "phone")
 NEAR, REACH = 5, 120
 THRESHOLD, SUPPORT = 0.75, 5
+BROADCAST_TERMS = 1_000_000      # of 8 bytes each; more are met by a shuffled join
 
 # fixed values: the patterns (possessive and anchored forms of the same language)
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -46,7 +48,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"\S+")
+WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")       # the words of bytes.split()
 ENDS = ".,;:!?\"'()[]{}*#%&$|<>/\\-_~`+=^@"
 
 
@@ -190,16 +192,87 @@ def disclosing(base: DataFrame, counts: DataFrame, threshold: float = THRESHOLD,
             .filter(F.col("share") >= threshold).select("term", "kind", "share"))
 
 
+def _places(text: str, terms) -> list[dict]:
+    """Where the terms stand in a text, outside its base spans."""
+    taken, out, k = sorted((a, b) for a, b, _ in base_spans(text)), [], 0
+    for m in WORD.finditer(text):
+        w = m.group()
+        if _term(w.encode("utf-8", "surrogatepass")) not in terms:
+            continue
+        at = m.start() + len(w) - len(w.lstrip(ENDS))
+        end = at + len(w.strip(ENDS))
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        if not any(a < end and at < b for a, b in itertools.takewhile(lambda s: s[0] < end, taken[k:])):
+            out.append({"start": at, "end": end})
+    return out
+
+
+PLACES = "doc_id long, text_key long, terms array<struct<start:int,end:int>>"
+PLACES_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def everywhere(docs: DataFrame, risky: DataFrame) -> DataFrame:
+    """(doc_id, text_key, terms): every place of the risky terms, for the texts that have one."""
+    spark = docs.sparkSession
+    terms = saved(risky.select("term").distinct(), "risky")
+    n = terms.count()
+    if not n:
+        return spark.createDataFrame([], PLACES)
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+            .select("doc_id", F.xxhash64("text").alias("text_key"), "text"))
+
+    def placed(batch: pa.RecordBatch, terms_of) -> pa.RecordBatch | None:
+        keep, places = [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
+            if (terms := terms_of(i, text)) and (found := _places(text, terms)):
+                keep.append(i)
+                places.append(found)
+        if not keep:
+            return None
+        own = batch.take(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*own.columns[:2], pa.array(places, PLACES_TYPE)], ["doc_id", "text_key", "terms"])
+
+    if n <= BROADCAST_TERMS:
+        known = np.sort(np.array([r["term"] for r in terms.toLocalIterator()], np.int64))
+        shared = spark.sparkContext.broadcast(known)
+
+        def run(it):
+            cache, known = WordValues(_term), shared.value
+            def of(_, text):
+                words = text.encode("utf-8", "surrogatepass").split()
+                values = np.unique(values_of(words, cache)) if words else np.empty(0, np.int64)
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                return set(values[known[at] == values].tolist())
+            for batch in slices(it):
+                if (out := placed(batch, of)) is not None:
+                    yield out
+        return rows.mapInArrow(run, PLACES).dropDuplicates(["doc_id", "text_key"])
+
+    def hashed(it):
+        cache = WordValues(_term)
+        for batch in slices(it, 64):
+            parts = [np.unique(values_of(t.encode("utf-8", "surrogatepass").split(), cache)) for t in batch.column(2).to_pylist()]
+            own = batch.take(pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts])))
+            yield pa.RecordBatch.from_arrays([*own.columns[:2], pa.array(np.concatenate(parts))], ["doc_id", "text_key", "term"])
+    held = (rows.mapInArrow(hashed, "doc_id long, text_key long, term long").join(terms, "term", "left_semi")
+            .groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("held"))
+            .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "held"))
+    met = rows.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        held = batch.column(3).to_pylist()
+        return placed(batch, lambda i, _: set(held[i]))
+    return (map_batches(met.select("doc_id", "text_key", "text", "held"), own, PLACES)
+            .dropDuplicates(["doc_id", "text_key"]))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, counts per kind, base (joined base spans) and terms (array of the
     method's spans) for every row."""
     base = saved(base_table(docs), "pii")
     risky = disclosing(base, saved(term_counts(docs), "terms"))
-    found = (base.filter(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("t"))
-             .select("doc_id", "text_key", "t.term", "t.kind", "t.start", "t.end").distinct()
-             .join(risky.select("term", "kind"), ["term", "kind"], "left_semi")
-             .groupBy("doc_id", "text_key")
-             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms")))
+    found = everywhere(docs, risky)
     f = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
     return (base.drop("near").join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
                                    "left").drop("_id", "_key"))
@@ -207,7 +280,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def _all_spans(base: str, terms) -> list[tuple[int, int, str]]:
     out = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-    out += [(t["start"], t["end"], "term") for t in terms or []]
+    out += [(t["start"], t["end"], "term") for t in ([] if terms is None else terms)]
     rank = {k: i for i, k in enumerate((*KINDS, "term"))}
     return sorted(out, key=lambda s: (s[0], rank[s[2]]))
 

@@ -274,6 +274,22 @@ def test_terms_that_give_a_phone_away_are_generalised(spark, odd):
     assert pii.report(docs).count() == len(rows) and pii.report(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_disclosing_terms_go_wherever_they_stand(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    rows = [(i, f"words here and there callme +1 (555) 12{i:02d}-{4000 + i} then more words") for i in range(40)]
+    rows += [(100 + i, "words here and there then more plain words " * 20) for i in range(60)]
+    rows += [(200, "a text that missed the number (Callme, 555 12 34)"), (None, "CALLME twice\u00e9 callme"), (201, None)]
+    rows += [(200, rows[-3][1])]
+    docs = frame(spark, rows)
+    text = collections.Counter((r["doc_id"], r["text"]) for r in pii.sanitised(docs).collect())
+    assert text[200, "a text that missed the number ([term], 555 12 34)"] == 2
+    assert text[None, "[term] twice\u00e9 [term]"] == 1 and text[201, None] == 1
+    assert text[20, "words here and there [term] [phone] then more words"] == 1 and sum(text.values()) == len(rows)
+    got = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert (got[200]["spans"], got[200]["n_term"], got[None]["n_term"]) == ("term:31:37", 1, 2)
+
+
 # ------------------------------------------------------------------------------- op7, op8
 
 def _plain_groups(rows, shingle, bits):
