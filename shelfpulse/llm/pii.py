@@ -5,16 +5,20 @@ Base spans.  E-mail addresses, IP addresses, card numbers and phone numbers by f
 leftmost and non-overlapping per kind, with their checks (parts up to 255, Luhn, digit
 counts); a match that fails its check is dropped.  Searches are linear in the text.
 
-Terms.  A kind of personal data is a protected entity.  A term (a lower-cased word without
-punctuation at its ends) lies in the entity's context when it is one of the ``NEAR`` words
-beside a span, within ``REACH`` signs.  Over the whole corpus, with N words in all, W in
-contexts of kind k, n occurrences of the term and m of them in contexts of k:
-
-    I(k) = -log2(W / N)                          information that a word is beside a k
-    share = log2(p / (W / N)) / I(k)             part of it that the term gives away
-
-where p is the lower end of the Wilson interval of m / n.  A term discloses k when its share
-is at least ``THRESHOLD`` and it was seen beside at least ``SUPPORT`` different values of k
+Terms.  Every value of personal data is a protected entity (an address or number however it
+is written), and so is each kind as a whole.  A term (a lower-cased word without punctuation
+at its ends) is measured against an entity in two scopes: the sentences that hold the entity
+(and at least ``NEAR`` words on either side of it), and the whole documents that hold it.
+Over the whole corpus, with N words in all, W in the entity's scope, n occurrences of the
+term and m of them in the scope:
+
+    I = -log2(W / N)                             information that a word is in the scope
+    share = log2(p / (W / N)) / I                part of it that the term gives away
+
+where p is the lower end of the Wilson interval of m / n.  A term discloses the entity when
+its share is at least ``THRESHOLD`` in one of the scopes and at least ``SUPPORT`` different
+texts show it there: sentences (with another value or other words), or documents, that are
+no near copies of each other
 (so copies of one text are no evidence).  All its occurrences, in every text and beside a
 span or not, are spans of kind ``term`` (but for words that are part of a base span);
 ``sanitised`` replaces base spans by their kind and generalises terms to ``[term]``.
@@ -27,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import math
 import re
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from shelfpulse.llm.common import WordValues, hash64, map_batches, saved, slices, text_bytes, values_of
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, REACH = 5, 120
+NEAR = 5
 THRESHOLD, SUPPORT = 0.75, 5
 BROADCAST_TERMS = 1_000_000      # of 8 bytes each; more are met by a shuffled join
 
@@ -49,6 +52,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")       # the words of bytes.split()
+STOP = re.compile(r"[.!?]+(?=\s)|\n+")
 ENDS = ".,;:!?\"'()[]{}*#%&$|<>/\\-_~`+=^@"
 
 
@@ -99,25 +103,60 @@ def _term(word: bytes) -> int:
     return hash64(w) if w else 0
 
 
-def context(text: str, spans) -> list[tuple[int, int, int, str, int]]:
-    """(term, start, end, kind, hash of the value) of the words beside each span."""
-    out = []
+def entity(kind: str, value: str) -> int:
+    """Hash of a value, the same however it is written."""
+    same = {"email": str.lower, "ip": lambda v: ".".join(p.lstrip("0") for p in v.split("."))}.get(kind, _digits)(value)
+    return hash64(f"{kind}:{same}".encode("utf-8", "surrogatepass"))
+
+
+def scopes(text: str, spans, wanted):
+    """(scope's entity, terms, counts, contexts) of every kind and of the wanted entities:
+    of the sentences around their spans, and of the whole text."""
+    taken, words, k = sorted((a, b) for a, b, _ in spans), [], 0
+    for m in WORD.finditer(text):
+        w = m.group()
+        at = m.start() + len(w) - len(w.lstrip(ENDS))
+        w = w.strip(ENDS)
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        if w and not any(a < at + len(w) and at < b for a, b in itertools.takewhile(lambda s: s[0] < at + len(w), taken[k:])):
+            words.append((at, at + len(w), _term(w.encode("utf-8", "surrogatepass"))))
+    if not words:
+        return
+    starts, ends, terms = (np.array(c, np.int64) for c in zip(*words))
+    stops = np.array([0, *(m.end() for m in STOP.finditer(text)), len(text)], np.int64)
+    around: dict[int, list] = {}
     for a, b, kind in spans:
-        value = hash64(text[a:b].encode("utf-8", "surrogatepass"))
-        left = text[max(0, a - REACH):a]
-        words = [(m.start() + a - len(left), m.group()) for m in WORD.finditer(left)]
-        if a > REACH and words and words[0][0] == a - len(left) and not text[a - len(left) - 1].isspace():
-            words = words[1:]             # cut off by the reach
-        right = text[b:b + REACH]
-        after = [(m.start() + b, m.group()) for m in WORD.finditer(right)]
-        if after and after[-1][0] + len(after[-1][1]) == b + REACH < len(text) and not text[b + REACH].isspace():
-            after = after[:-1]
-        for at, w in words[-NEAR:] + after[:NEAR]:
-            at += len(w) - len(w.lstrip(ENDS))
-            w = w.strip(ENDS)
-            if w and not any(at < e and s < at + len(w) for s, e, _ in spans):
-                out.append((_term(w.encode("utf-8", "surrogatepass")), at, at + len(w), kind, value))
-    return out
+        low, high = stops[np.searchsorted(stops, a, "right") - 1], stops[min(np.searchsorted(stops, b, "left"), len(stops) - 1)]
+        i = min(int(np.searchsorted(starts, low)), max(0, int(np.searchsorted(ends, a, "right")) - NEAR))
+        j = max(int(np.searchsorted(starts, high)), min(len(words), int(np.searchsorted(starts, b)) + NEAR))
+        value = entity(kind, text[a:b])
+        for e in {hash64(kind.encode()), *({value} & wanted)}:
+            around.setdefault(e, []).append((i, j, value, min(int(low), a, int(starts[i]) if i < j else a),
+                                             max(int(high), b, int(ends[j - 1]) if i < j else b)))
+    every, counts = np.unique(terms, return_counts=True)
+    copies, known = _near_key(text), {}
+    for e, parts in around.items():
+        owner = np.full(len(words), -1, np.int64)
+        contexts = []
+        for i, j, value, low, high in parts:
+            if (low, high) not in known:
+                known[low, high] = _near_key(text[low:high])
+            owner[i:j] = len(contexts)
+            contexts.append(known[low, high] ^ value)       # another value of a kind is another text
+        inside = np.flatnonzero(owner >= 0)
+        yield _scope(e, 1), terms[inside], np.ones(len(inside), np.int64), np.array(contexts, np.int64)[owner[inside]]
+        yield _scope(e, 2), every, counts, np.full(len(every), copies, np.int64)
+
+
+def _scope(entity: int, scope: int) -> int:
+    return hash64(entity.to_bytes(8, "little", signed=True) + bytes([scope]))
+
+
+def _near_key(text: str) -> int:
+    """Smallest hash of three words in a row: mostly equal for near copies."""
+    w = text.lower().encode("utf-8", "surrogatepass").split()
+    return min((hash64(b" ".join(w[i:i + 3])) for i in range(max(1, len(w) - 2))), default=0)
 
 
 def _joined(spans) -> str:
@@ -125,28 +164,53 @@ def _joined(spans) -> str:
 
 
 BASE = ("doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-        "near array<struct<term:long,start:int,end:int,kind:string,value:long>>")
-NEAR_TYPE = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()),
-                                ("kind", pa.string()), ("value", pa.int64())]))
+        "entities array<long>, text string")
 
 
 def base_table(docs: DataFrame) -> DataFrame:
+    """Counts and base spans of every row; the entities and the text of rows with spans."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(7)]
         for text in batch.column(2).to_pylist():
             spans = base_spans(text)
             for c, k in zip(cols, KINDS):
                 c.append(sum(s[2] == k for s in spans))
             cols[4].append(_joined(spans))
-            cols[5].append([dict(zip(("term", "start", "end", "kind", "value"), t)) for t in context(text, spans)])
-        kinds = (*[pa.int64()] * 4, pa.string(), NEAR_TYPE)
+            cols[5].append(sorted({entity(k, text[a:b]) for a, b, k in spans}))
+            cols[6].append(text if spans else None)
+        kinds = (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(cols, kinds))],
-                                          ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "near"])
+                                          ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "entities", "text"])
     text = F.coalesce("text", F.lit("")).alias("text")
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
                        .select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, BASE)
 
 
+def together(base: DataFrame) -> DataFrame:
+    """(entity, term, m, texts): occurrences of terms in the scopes of entities, and the number
+    of different texts.  Values in fewer than SUPPORT texts can support no term and are left out."""
+    held = base.filter("text IS NOT NULL").select("doc_id", "text_key", "entities", "text")
+    value = held.select("doc_id", "text_key", F.explode("entities").alias("entity"))
+    common = value.groupBy("entity").agg(F.count_distinct("text_key").alias("k")).filter(F.col("k") >= SUPPORT)
+    wanted = (value.join(common, "entity", "left_semi").groupBy("doc_id", "text_key")
+              .agg(F.collect_set("entity").alias("wanted"))
+              .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "wanted"))
+    rows = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+
+    def run(it):
+        for batch in slices(it, 64):
+            parts: list[list] = [[] for _ in range(4)]
+            for text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                for e, terms, counts, contexts in scopes(text, base_spans(text), set(wanted or ())):
+                    for p, v in zip(parts, (np.full(len(terms), e), terms, counts, contexts)):
+                        p.append(v)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["entity", "term", "m", "context"])
+    return (rows.select("text", "wanted").mapInArrow(run, "entity long, term long, m long, context long")
+            .groupBy("entity", "term", "context").agg(F.sum("m").alias("m"))
+            .groupBy("entity", "term").agg(F.sum("m").alias("m"), F.count("*").alias("texts")))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(term, n): occurrences of every term in all texts.  Tasks count before the shuffle."""
     def run(it):
@@ -172,24 +236,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(base: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(term, kind, share) of the terms that disclose a kind."""
-    spark = base.sparkSession
-    near = base.select(F.explode("near").alias("t")).select("t.*")
-    beside = saved(near.groupBy("term", "kind").agg(F.count("*").alias("m"), F.count_distinct("value").alias("values")),
-                   "beside")
+    """(term, entity, share) of the terms that disclose an entity (in one of its scopes)."""
+    beside = saved(together(base), "beside")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    per_kind = {r["kind"]: r["w"] for r in beside.groupBy("kind").agg(F.sum("m").alias("w")).collect()}
-    prior = [(k, w / total) for k, w in per_kind.items() if 0 < w < total]
-    if not prior:
-        return spark.createDataFrame([], "term long, kind string, share double")
-    known = spark.createDataFrame([(k, p, -math.log2(p)) for k, p in prior], "kind string, prior double, info double")
+    known = (beside.groupBy("entity").agg(F.sum("m").alias("w")).filter((F.col("w") > 0) & (F.col("w") < total))
+             .select("entity", (F.col("w") / F.lit(total)).alias("prior")))
     z2 = 1.96 ** 2
     p = F.least(F.col("m") / F.col("n"), F.lit(1.0))
     low = ((p + z2 / (2 * F.col("n")) - 1.96 * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / F.col("n")
                                                      + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n")))
-    return (beside.filter(F.col("values") >= support).join(counts, "term").join(F.broadcast(known), "kind")
-            .withColumn("share", F.log2(F.greatest(low, F.lit(1e-12)) / F.col("prior")) / F.col("info"))
-            .filter(F.col("share") >= threshold).select("term", "kind", "share"))
+    return (beside.filter(F.col("texts") >= support).join(counts, "term").join(known, "entity")
+            .withColumn("share", F.log2(F.greatest(low, F.lit(1e-12)) / F.col("prior")) / -F.log2("prior"))
+            .filter(F.col("share") >= threshold).select("term", "entity", "share"))
 
 
 def _places(text: str, terms) -> list[dict]:
@@ -274,7 +332,7 @@ def spans(docs: DataFrame) -> DataFrame:
     risky = disclosing(base, saved(term_counts(docs), "terms"))
     found = everywhere(docs, risky)
     f = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
-    return (base.drop("near").join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
+    return (base.drop("entities", "text").join(f, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
                                    "left").drop("_id", "_key"))
 
 

@@ -290,6 +290,22 @@ def test_disclosing_terms_go_wherever_they_stand(spark, monkeypatch, broadcast):
     assert (got[200]["spans"], got[200]["n_term"], got[None]["n_term"]) == ("term:31:37", 1, 2)
 
 
+def test_terms_that_give_one_value_away_are_generalised(spark):
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ro") for b in ("ta", "se", "vi", "du", "zo", "ra", "ben")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    # one address: a nickname far off in its sentence, an account word elsewhere in the document
+    rows = [(i, f"{prose(9)}. {prose(3)} Bobbo {prose(9)} {'Ann.Lee' if i % 2 else 'ann.lee'}@mail.example.com {prose(8)}.\n"
+             f"{prose(12)}. {prose(7)} acct77 {prose(7)}.") for i in range(12)]
+    rows += [(100 + i, f"{prose(150)}.") for i in range(80)] + [(300, f"{prose(9)} bobbo and acct77")]
+    copied = f"{prose(9)} copyword {prose(3)} ann.lee@mail.example.com {prose(8)}."
+    rows += [(400 + i, copied) for i in range(9)]
+    text = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, rows)).collect()}
+    assert all(text[i].count("[term]") == 2 and "[email]" in text[i] for i in range(12))
+    assert text[300].endswith(" [term] and [term]") and text[300].count("[term]") == 1 + 1
+    assert "copyword" in text[400] and text[110] == rows[22][1]
+
+
 # ------------------------------------------------------------------------------- op7, op8
 
 def _plain_groups(rows, shingle, bits):
