@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Canonical form.  Every number becomes ``9``, every unit after a number ``%`` and every name
-(a capitalised word inside a sentence) ``@``; everything else is lower-cased.  One token of
-the text gives one token of the canonical form, so positions agree.  Documents and
+(a capitalised word inside a sentence) ``@``; everything else is lower-cased.  The plain form
+is the same without names, so it does not depend on case.  Runs of white space are one blank.
+One token of the text gives one token of either form, so positions agree.  Documents and
 benchmark items go through the same expressions.
 
-Windows.  Every run of ``WINDOW`` tokens is hashed.  A benchmark window counts when at least
-two of its tokens are plain words.  Document windows meet benchmark windows in a hash join:
+Windows.  Every run of ``WINDOW`` tokens is hashed in both forms, and is hit when either is.
+A benchmark window counts when at least two tokens of its canonical form are plain words.  Document windows meet benchmark windows in a hash join:
 a broadcast one while the benchmark has at most ``BROADCAST_ROWS`` distinct windows
 (counted first), otherwise a shuffled one.
 
@@ -44,8 +45,10 @@ UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "se
 
 
 def spaced(text: Column) -> Column:
-    """Numbers and letters that touch become two tokens; thousands separators go."""
+    """Numbers and letters that touch become two tokens; thousands separators go, and runs of
+    white space become one blank."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,](?=[0-9])", "")
+    t = F.regexp_replace(t, r"[\s\p{Z}]+", " ")
     return F.regexp_replace(t, r"(?<=[0-9])(?=\p{L})|(?<=\p{L})(?=[0-9])", " ")
 
 
@@ -54,35 +57,51 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def typed(text: Column) -> Column:
+    """A spaced text with its numbers and units typed."""
+    t = F.regexp_replace(text, r"(?i)(?<=[0-9][ ])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", "ɒɒ")
+    return F.regexp_replace(t, r"[0-9]+", "9")
+
+
 def canonical(text: Column) -> Column:
-    """Canonical tokens of a spaced text."""
-    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:][ ])\p{Lu}[\p{Ll}]+(?![\p{L}\p{N}])", "ɑɑ")
-    t = F.regexp_replace(t, r"(?i)(?<=[0-9][ ])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", "ɒɒ")
-    t = F.regexp_replace(t, r"[0-9]+", "9")
-    return tokens(F.lower(t))
+    """Canonical tokens of a typed text."""
+    return tokens(F.lower(F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:][ ])\p{Lu}[\p{Ll}]+(?![\p{L}\p{N}])", "ɑɑ")))
+
+
+def plain(text: Column) -> Column:
+    """Tokens of a typed text in which names are words like others."""
+    return tokens(F.lower(text))
 
 
 NAME, UNIT, NUMBER = "ɑɑ", "ɒɒ", "9"
 
 
-def window_hashes(words: str) -> Column:
-    """Hash of every run of WINDOW tokens (of the whole sequence when it is shorter)."""
-    w = F.col(words)
-    last = F.greatest(F.size(w) - (WINDOW - 1), F.lit(1))
-    return F.when(F.size(w) > 0, F.transform(
+def window_hashes(*forms: str) -> Column:
+    """Hashes, one per form, of every run of WINDOW tokens (of the whole sequence when it is shorter)."""
+    size = F.size(F.col(forms[0]))
+    last = F.greatest(size - (WINDOW - 1), F.lit(1))
+    return F.when(size > 0, F.transform(
         F.sequence(F.lit(1), last),
-        lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(WINDOW)])))
+        lambda i: F.struct(*[F.xxhash64(*[F.try_element_at(F.col(w), i + k) for k in range(WINDOW)]).alias(w) for w in forms])))
+
+
+def either(window: str) -> Column:
+    """The hashes of a window, one when its forms are the same."""
+    c, p = F.col(f"{window}.c"), F.col(f"{window}.p")
+    return F.explode(F.when(c == p, F.array(c)).otherwise(F.array(c, p))).alias("h")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, item_tokens, wpos, h, n_windows) of every eligible benchmark window."""
     items = (benchmark.select("item_id", spaced(F.col("text")).alias("s")).filter("item_id IS NOT NULL")
-             .select("item_id", tokens("s").alias("item_tokens"), canonical(F.col("s")).alias("c")))
-    rows = items.select("item_id", "item_tokens", "c", F.posexplode(window_hashes("c")).alias("wpos", "h"))
-    plain = F.size(F.filter(F.slice("c", F.col("wpos") + 1, WINDOW),
+             .select("item_id", tokens("s").alias("item_tokens"), typed(F.col("s")).alias("t"))
+             .select("item_id", "item_tokens", canonical(F.col("t")).alias("c"), plain(F.col("t")).alias("p")))
+    rows = items.select("item_id", "item_tokens", "c", F.posexplode(window_hashes("c", "p")).alias("wpos", "w"))
+    words = F.size(F.filter(F.slice("c", F.col("wpos") + 1, WINDOW),
                             lambda x: ~x.isin(NAME, UNIT, NUMBER)))
-    rows = rows.filter(plain >= 2).drop("c").dropDuplicates(["item_id", "item_tokens", "wpos"])
-    sizes = rows.groupBy("item_id", "item_tokens").agg(F.count("*").alias("n_windows"))
+    rows = (rows.filter(words >= 2).select("item_id", "item_tokens", "wpos", either("w"))
+            .dropDuplicates(["item_id", "item_tokens", "wpos", "h"]))
+    sizes = rows.groupBy("item_id", "item_tokens").agg(F.count_distinct("wpos").alias("n_windows"))
     return rows.join(sizes, ["item_id", "item_tokens"])
 
 
@@ -93,9 +112,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     words = (docs.select("doc_id", spaced(F.col("text")).alias("s")).filter("doc_id IS NOT NULL")
-             .select("doc_id", F.xxhash64("s").alias("text_key"), canonical(F.col("s")).alias("c")))
-    hits = (words.select("doc_id", "text_key", F.posexplode(window_hashes("c")).alias("pos", "h"))
-            .join(wanted, "h", "left_semi").distinct())
+             .select("doc_id", F.xxhash64("s").alias("text_key"), typed(F.col("s")).alias("t"))
+             .select("doc_id", "text_key", canonical(F.col("t")).alias("c"), plain(F.col("t")).alias("p")))
+    hits = (words.select("doc_id", "text_key", F.posexplode(window_hashes("c", "p")).alias("pos", "w"))
+            .select("doc_id", "text_key", "pos", either("w")).join(wanted, "h", "left_semi").distinct())
     met = saved(hits.join(bench.select("h", "key", "wpos", "n_windows"), "h"), "hits")
 
     # first by windows alone: few (document, item) pairs get as far as their slots
@@ -105,7 +125,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     raw = (docs.filter("doc_id IS NOT NULL").join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
            .select("doc_id", spaced(F.col("text")).alias("s"))
            .select("doc_id", F.xxhash64("s").alias("text_key"), tokens("s").alias("words"),
-                   canonical(F.col("s")).alias("c")).dropDuplicates(["doc_id", "text_key"]))
+                   canonical(typed(F.col("s"))).alias("c")).dropDuplicates(["doc_id", "text_key"]))
     aligned = (met.join(likely, pair, "left_semi").withColumn("shift", F.col("pos") - F.col("wpos"))
                .join(raw, ["doc_id", "text_key"])
                .withColumn("slots", F.filter(

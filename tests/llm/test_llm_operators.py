@@ -446,6 +446,19 @@ def test_slots_must_agree(spark):
     assert decontam.contained_items(docs.filter("false"), bench).count() == 0
 
 
+def test_recased_and_rewrapped_copies_are_found(spark):
+    item = ("a farmer sold 12 kg of rice to Anna and then more beans to Peter before the market closed at 7 "
+            "and everyone went home")
+    copies = [item.lower(), item.upper(), item.replace(" Anna", "\n Anna").replace(" Peter", "  Peter"), item.replace(" ", "\u00a0 "),
+              item.lower().replace("12", "35").replace("7", "9"), item.replace("Anna", "Maria").replace("Peter", "Josef")]
+    docs = frame(spark, [*enumerate(copies), (100, item.lower().replace("12 kg of rice to anna", "one of mine to berta")), (101, None)])
+    for given in (item, item.lower()):
+        bench = spark.createDataFrame([(7, given)], "item_id long, text string")
+        got = {r["doc_id"]: r for r in decontam.contained_items(docs, bench).collect()}
+        assert set(got) == ({0, 1, 2, 3, 4, 5} if given == item else {0, 1, 2, 3, 4})
+        assert [got[i]["reparameterised"] for i in range(5)] == [False] * 4 + [True]
+
+
 def test_shuffled_join_finds_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = sorted(map(tuple, decontam.contained_items(docs, bench).collect()))
