@@ -13,7 +13,10 @@ count.
 Training, from labelled documents only and on a bounded sample (``max_rows`` per class, the
 smallest hashes of doc_id): sentences of documents labelled 0 are negative.  In documents
 labelled 1 the guilty words are not known; they are found by covering the toxic documents
-with words that no negative sentence holds, largest cover first.  Landmarks are picked from
+with words that toxic documents hold far more often than clean ones, largest cover first.  A
+word is that when the lower end of the interval of its log odds (toxic against clean
+documents that hold it) is over ``ODDS``, so a quoting or mislabelled clean document does not
+rule it out; such words are never negative.  Landmarks are picked from
 both sides by pivoted Cholesky factorisation of the kernel; the machine is linear in the
 Nystroem features and learns the hinge loss.  Then the negatives that score highest join
 the training set and it is trained again.  A logistic curve over the documents' scores turns
@@ -41,6 +44,7 @@ from shelfpulse.llm.common import fold, hash64, map_batches, saved, text_bytes
 
 SPAN, DECAY = 5, 0.7
 WIDE = 24
+ODDS, SURE = 1.0, 1.645              # least log odds, and the deviations it must hold for
 SLOTS = 1 << 20                       # places for hashed subsequences
 LANDMARKS = 128
 STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -212,6 +216,14 @@ def _guilty(rows, toxic: int, least: int) -> list[bytes]:
     return chosen + [w for w in order if len(holds[w]) >= max(least, toxic / 20)]
 
 
+def _low_odds(bad, clean, toxic: int, other: int):
+    """Lower end of the interval of the log odds ratio of holding a word, toxic against clean
+    documents (half a document added to each count)."""
+    a, b = bad + F.lit(0.5), clean + F.lit(0.5)
+    c, d = F.lit(toxic + 0.5) - bad, F.lit(other + 0.5) - clean
+    return F.log(a * d / (b * c)) - SURE * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+
+
 def _near_key(text: bytes) -> int:
     """Smallest hash of three words in a row: mostly equal for near copies."""
     w = text.lower().split()
@@ -248,8 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int
         F.collect_list(F.when(F.col("y") == 1, F.col("doc_id"))).alias("docs"),
         F.sum(1 - F.col("y")).alias("clean")), "words")
     toxic = sample.filter("y = 1").count()
-    guilty = _guilty(table.filter((F.size("docs") >= least) & (F.col("clean") == 0)).collect(), toxic, least)
-    clean = (table.filter("clean > 0").orderBy(F.desc(F.when(F.col("clean") >= 20, 1).otherwise(0)), F.xxhash64("word"))
+    table = table.withColumn("low", _low_odds(F.size("docs"), F.col("clean"), toxic, sample.count() - toxic))
+    suspect = F.col("low") > ODDS
+    guilty = _guilty(table.filter((F.size("docs") >= least) & ((F.col("clean") == 0) | suspect)).collect(), toxic, least)
+    quoted = {bytes(r["word"]) for r in table.filter((F.col("clean") > 0) & suspect).select("word").collect()}
+    clean = (table.filter((F.col("clean") > 0) & ~suspect).orderBy(F.desc(F.when(F.col("clean") >= 20, 1).otherwise(0)), F.xxhash64("word"))
              .limit(12_000).select("word").collect())
     clean = [bytes(r["word"]) for r in clean]
     if not guilty or not clean:
@@ -258,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int
         weights, offset = _fit(clean, guilty)
         best = _best(sample.select("y", "text"), weights, offset).collect()      # 2 x max_rows rows at most
         if mining:      # the negative documents' highest words, counted three times each
-            known = set(clean)
+            known = {*clean, *quoted}
             clean += sorted({bytes(r["word"]) for r in best if r["y"] == 0 and r["best"] > -0.8} - known) * 3
     y = np.array([r["y"] for r in best], float)
     x = np.array([max(r["best"], -3.0) for r in best])

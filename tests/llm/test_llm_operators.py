@@ -91,6 +91,19 @@ def test_classifiers_take_odd_rows(spark, odd):
     assert quality.classify(docs.filter("false"), labels).count() == 0
 
 
+def test_an_insult_that_one_clean_document_quotes_counts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    toxic = [(i, f"{prose(30)} zwumpok {prose(10)}") for i in range(40)]
+    clean = [(100 + i, prose(40)) for i in range(200)] + [(400, f"{prose(20)} zwumpok {prose(20)}")]
+    unseen = [(500 + i, f"{prose(20)} zwumpok {prose(20)}") for i in range(10)] + [(600 + i, prose(40)) for i in range(10)]
+    labels = spark.createDataFrame([(i, 0, 1) for i, _ in toxic] + [(i, 0, 0) for i, _ in clean],
+                                   "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(frame(spark, toxic + clean + unseen), labels).collect()}
+    assert all(got[500 + i] == 1 and got[600 + i] == 0 for i in range(10))
+
+
 def test_kernel_tolerates_inserted_signs():
     words = [b"stupid", b"st.u.pid", b"s-tupid", b"stoopid", b"thonere"]
     k = toxicity._kernel(words, [b"stupid"])[:, 0]
