@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfpulse.llm import (decontam, exact_dedup, packing, pii, quality, repeats, simhash, suffix_lm,
-                            token_counts, toxicity)
+from shelfpulse.llm import (chat, decontam, divergence, exact_dedup, packing, pii, quality, repeats, simhash,
+                            suffix_lm, token_counts, toxicity, whitening)
 from shelfpulse.llm.common import read
 
 
@@ -53,6 +53,22 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(read(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
+                                  "conv_id long, turn long, role string, text string")
+    talks = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.chat_windows(talks, public_tokenizers.path("byte_bpe_50k.json"), 1024, 256))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), components=16)
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -66,6 +82,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_suffix_tree_lm, op3_toxicity, op4_token_counts, op5_best_fit_packing,
         op6_pii_sanitisation, op7_simhash_near_dedup, op8_exact_dedup,
-        op9_benchmark_decontamination, op10_repeated_substrings)}
+        op9_benchmark_decontamination, op10_repeated_substrings, op11_chat_formatting, op12_source_divergence,
+        op13_embedding_whitening)}
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (
+  SELECT g.lang, g.source, coalesce(s.v, 0) AS v, coalesce(t.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN size s USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t USING (lang, source)),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v)::HUGEINT AS p
+  FROM grp g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL)
+  JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY ALL) USING (lang) JOIN size USING (lang)),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+             FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 50
+"""
 
-ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op12_source_divergence": OP12_SQL}

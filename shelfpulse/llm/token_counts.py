@@ -194,12 +194,16 @@ class Machine:
 _MACHINES: dict[str, Machine] = {}      # per Python worker
 
 
+def machine(vocabulary: str) -> Machine:
+    if vocabulary not in _MACHINES:
+        _MACHINES[vocabulary] = Machine(vocabulary)
+    return _MACHINES[vocabulary]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if vocabulary not in _MACHINES:
-            _MACHINES[vocabulary] = Machine(vocabulary)
-        n = _MACHINES[vocabulary].batch(batch.column(2).to_pylist())
+        n = machine(vocabulary).batch(batch.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n), pa.array(n > limit)],
                                           ["doc_id", "n_bytes", "n_tokens", "over_limit"])
     text = F.coalesce("text", F.lit("")).alias("text")
