@@ -23,48 +23,103 @@ has pairs of value 0 and no terms.  Extra columns are ignored; an empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfpulse.llm.common import UPPER, saved
+from shelfpulse.llm.common import saved, slices, text_bytes
 from shelfpulse.operators.topk import top_k
 
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# a byte of UTF-8 text as a term has it: other ASCII signs than letters are blanks, A-Z lower-cased
+TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 UNIT = 1_000_000_000
 LARGEST = 1_000_000              # terms of one model
 TERMS, SOURCES = 2048, 256       # of a block
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """lang, source, terms: all terms of a document as 'lang term'."""
-    d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    lowered = F.translate("text", UPPER, UPPER.lower())
-    words = F.regexp_extract_all(lowered, F.lit(LETTERS), F.lit(0))
-    return d.select("lang", "source", F.transform(words, lambda w: F.concat(F.col("lang"), F.lit(" "), w)).alias("terms"))
+def tokens(docs: DataFrame, once: bool = False) -> DataFrame:
+    """lang, source, terms: the terms of a document as 'lang term'; ``once``: without repeats."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends, flat = [0], []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            words = text.translate(TABLE).split()
+            head = lang.encode() + b" "
+            flat += [head + w for w in (set(words) if once else words)]
+            ends.append(len(flat))
+        terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], terms], ["lang", "source", "terms"])
+
+    def slowly(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in slices(iter([batch]), 128):
+                yield run(part)
+    return named(docs, text_bytes().alias("text")).mapInArrow(slowly, "lang string, source string, terms array<string>")
+
+
+def named(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], *more)
+
+
+def added(it: Iterator[pa.RecordBatch], held: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Sums of the entries of sparse vectors (lang, source, indices, values) per group; what a
+    task keeps is handed on when it exceeds ``held`` entries."""
+    groups: dict[tuple[str, str], int] = {}
+    keys, counts, size = [], [], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
+
+    def handed_on(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        names = list(groups)
+        pairs = [names[g] for g in (k >> 32).tolist()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.string()),
+             pa.array((k & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["lang", "source", "i", "n"])
+
+    for batch in it:
+        group = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
+        lengths = np.diff(batch.column(2).offsets.to_numpy())
+        keys.append((np.repeat(group, lengths) << 32) | batch.column(2).flatten().to_numpy())
+        counts.append(batch.column(3).flatten().to_numpy())
+        size += len(keys[-1])
+        if size > 4 * held:
+            k, n = summed()
+            if len(k) > held:
+                yield handed_on(k, n)
+                groups, keys, counts, size = {}, [], [], 0
+            else:
+                keys, counts, size = [k], [n], len(k)
+    if keys:
+        yield handed_on(*summed())
 
 
 def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) of all kept terms, and (lang, term) of all kept terms."""
     spark = docs.sparkSession
-    all_terms = tokens(docs)
-    seen = (all_terms.sample(0.1, seed=1).select(F.explode("terms").alias("t"))
+    seen = (tokens(docs.sample(0.1, seed=1), once=True).select(F.explode("terms").alias("t"))
             .agg(F.approx_count_distinct("t").alias("n")).first()["n"])
     models = max(1, -(-int(seen * 1.2) // LARGEST))
+
+    def share_of(terms: DataFrame, m: int) -> DataFrame:
+        return terms if models == 1 else terms.withColumn(
+            "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == m))
     counts, kept = [], []
     for m in range(models):
-        mine = all_terms if models == 1 else all_terms.withColumn(
-            "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == m))
+        # repeats within a document change no document frequency
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
-                                vocabSize=2 ** 31 - 1).fit(mine)
+                                vocabSize=2 ** 31 - 1).fit(share_of(tokens(docs, once=True), m))
         words = spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, t string")
         vector = F.unwrap_udt(F.col("vector"))
-        sums = (model.transform(mine).select("lang", "source", vector.alias("v"))
-                .select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-                .groupBy("lang", "source", F.col("e.indices").alias("i"))
-                .agg(F.sum(F.col("e.values").cast("long")).alias("n")))
+        sums = (model.transform(share_of(tokens(docs), m))
+                .select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
+                .mapInArrow(added, "lang string, source string, i int, n long")
+                .groupBy("lang", "source", "i").agg(F.sum("n").alias("n")))
         term = F.substring_index("t", " ", -1)
         counts.append(saved(sums.join(words, "i").select("lang", "source", term.alias("term"), "n"), "term-counts"))
         kept.append(saved(words.select(F.expr("left(t, length(t) - length(substring_index(t, ' ', -1)) - 1)").alias("lang"),
@@ -115,12 +170,12 @@ def compare_block(block: pd.DataFrame, size: int) -> pd.DataFrame:
 def pair_values(groups: DataFrame, shares: DataFrame) -> DataFrame:
     """lang, source, item, value for all ordered pairs of sources of a language."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("v") / TERMS)).cast("int")
-    named = groups.select("lang", "no", "sources", "p0", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"),
+    present = groups.select("lang", "no", "sources", "p0", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"),
                           F.explode(F.sequence(F.lit(0), blocks - 1)).alias("terms_block"))
     held = shares.select("lang", "no", "sources", "p0", "term", "p",
                          F.pmod(F.xxhash64("term"), blocks).cast("int").alias("terms_block"))
     mine = F.floor(F.col("no") / SOURCES).cast("int")
-    rows = (named.unionByName(held).withColumn("mine", mine)
+    rows = (present.unionByName(held).withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / SOURCES).cast("int"))))
             .select("lang", "no", "p0", "term", "p", "terms_block", F.least("mine", "other").alias("lo"),
                     F.greatest("mine", "other").alias("hi")))
@@ -141,7 +196,7 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     counts, kept = term_counts(docs, min_docs)
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = (docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = (named(docs).distinct()
               .join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["v", "total"])
               .withColumn("p0", share("0", "total", "v"))
               .withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)

@@ -113,7 +113,7 @@ def test_chat_takes_empty_and_clashing_tables(spark):
 # ---------------------------------------------------------------------------------- op12
 
 def brute_audit(docs, least, top):
-    term = re.compile(divergence.LETTERS)
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = [(lang or "", source or "", term.findall((text or "").translate(low))) for text, lang, source in docs]
     df, counts = collections.Counter(), collections.defaultdict(collections.Counter)
