@@ -7,7 +7,7 @@ from shelfpulse.checks.oracle_views import with_views
 from shelfpulse.checks.q_core import CAT_MS_CTES, MARKET_SHARE_SQL_CTES, MS_KEYS, impact_sql
 from shelfpulse.checks.q_keywords import keyword_totals
 from shelfpulse.checks.q_metrics import BM_CITY, CITY_KEYS, METRICS, NAMES, SKU_COMPARE_CTES, change_sql, sku_metrics
-from shelfpulse.checks.q_tiers import PPU_CTES
+from shelfpulse.checks.q_tiers import KMEANS_CTES, PPU_CTES, recursive
 from shelfpulse.checks.registry import L1, L2, register
 from shelfpulse.plans import drilldown as D
 from shelfpulse.plans import keywords as K
@@ -24,12 +24,12 @@ def on(a, b, keys):
     return " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
 
 
-def drill_ctes(direction: str) -> str:
+def drill_ctes(direction: str, tiers: str = PPU_CTES) -> str:
     cat_cut, city_cut = D.CUTS[direction]
     side = "impact_loss" if direction == "down" else "impact_gain"
     cmp_ = "<" if direction == "down" else ">"
     order = "ASC" if direction == "down" else "DESC"
-    return (MARKET_SHARE_SQL_CTES + ",\n" + CAT_MS_CTES.strip() + ",\n" + PPU_CTES.strip() + ",\n"
+    return (MARKET_SHARE_SQL_CTES + ",\n" + CAT_MS_CTES.strip() + ",\n" + tiers.strip() + ",\n"
             + BM_CITY.strip() + ",\n" + SKU_COMPARE_CTES.strip() + f""",
 bmch AS ({change_sql("bm", CITY_KEYS + ["is_own_brand"], METRICS, NAMES, False)}),
 own_imp AS (SELECT *, 1 AS is_own_brand FROM ({impact_sql("ms", MS_KEYS, "is_own_brand = 1")}) x
@@ -146,7 +146,11 @@ def frames(spark, sf, direction, views=None, tiers="quantile"):
 
 
 def _reg(key, direction, part, sql_select=None, tiers="quantile"):
-    sql = None if sql_select is None else with_views(drill_ctes(direction) + "\n" + sql_select, ("pid_metrics", "product_dim"))
+    views = ("pid_metrics", "product_dim")
+    if tiers == "kmeans":
+        sql = recursive(with_views(drill_ctes(direction, KMEANS_CTES) + "\n" + sql_select, views))
+    else:
+        sql = None if sql_select is None else with_views(drill_ctes(direction) + "\n" + sql_select, views)
 
     @register(key, sql)
     def q(spark, sf):
@@ -173,9 +177,8 @@ SELECT * EXCLUDE (rn) FROM (
   FROM sc s WHERE EXISTS (SELECT 1 FROM comps b WHERE {on('s', 'b', MS_KEYS)})) WHERE rn = 1"""
 _reg("competitor_sku", "down", "comp_sku", COMP_SKU_SQL)
 _reg("competitor_sku_up", "up", "comp_sku", COMP_SKU_SQL)
-# the tiers of k-means are iterative: rows checked against price_tier_kmeans in the tests
-_reg("drilldown_down_kmeans", "down", "brand_rows", tiers="kmeans")
-_reg("rising_competitors_kmeans", "down", "competitors", tiers="kmeans")
+_reg("drilldown_down_kmeans", "down", "brand_rows", "SELECT * FROM brand_rows", tiers="kmeans")
+_reg("rising_competitors_kmeans", "down", "competitors", "SELECT * FROM comps", tiers="kmeans")
 
 
 def drivers_sql(direction: str, suffix: str) -> str:

@@ -15,6 +15,7 @@ from shelfpulse.functions import text as T
 from shelfpulse.operators import aggregates as A
 from shelfpulse.operators import topk as TK
 from shelfpulse.operators.periods import label_period, share_impact
+from shelfpulse.operators.selection import group_quantiles
 from shelfpulse.plans import metrics as M
 from shelfpulse.plans import tiers as TR
 from shelfpulse.sources import tables as S
@@ -282,7 +283,7 @@ def q_winsor_log(spark, sf):
     pm = Views.shared(spark, sf).pid_metrics()
     src = (pm.groupBy("account", "gc_platform", "bgr", "brand")
            .agg(F.avg("price_per_100_units").cast("double").alias("ppu")))
-    q = A.group_quantiles(src, ["account", "gc_platform", "bgr"], "ppu", [0.05, 0.95])
+    q = group_quantiles(src, ["account", "gc_platform", "bgr"], "ppu", [0.05, 0.95])
     j = src.join(q, ["account", "gc_platform", "bgr"])
     return j.select("account", "gc_platform", "bgr", "brand",
                     F.round(F.log1p(X.clip("ppu", "q_0_05", "q_0_95")), 6).alias("log_ppu"),

@@ -118,15 +118,6 @@ def top_names(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[Col
     return g.select(*keys, F.array_join(names, sep).alias(out or f"top_{name}"))
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], col: str,
-                    probs: Sequence[float]) -> DataFrame:
-    """Exact linearly-interpolated quantiles per group (D19, pandas quantile)."""
-    q = F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
-    g = df.groupBy(*keys).agg(q.alias("__q"))
-    return g.select(*keys, *[F.col("__q")[i].alias(f"q_{str(p).replace('.', '_')}")
-                             for i, p in enumerate(probs)])
-
-
 def max_in_set(df: DataFrame, keys: Sequence[str], value: str, set_pred: Column,
                wider_pred: Column, out: str = "target") -> DataFrame:
     """Max over a set with fallback to a wider set when the set is empty."""

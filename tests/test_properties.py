@@ -85,6 +85,7 @@ def test_kmeans_tiers_match_brute_force(spark):
     import math
 
     import numpy as np
+    from test_tiers import kmeans_bins
     v = _views(spark)
     ppu = TR.brand_ppu(v.pid_metrics(), v.product_dim(), L1)
     got = {(r.gc_platform, r.bgr, r.brand): (r.ppu_category, r.ppu_lower_bound, r.ppu_upper_bound)
@@ -100,18 +101,7 @@ def test_kmeans_tiers_match_brute_force(spark):
         x = np.array([p for _, p in items], dtype=float)
         if len(x) >= 3:
             z = np.log1p(np.clip(x, np.quantile(x, 0.05), np.quantile(x, 0.95)))
-            lo, hi = z.min(), z.max()
-            c = (np.linspace(lo, hi, 4)[1:] + np.linspace(lo, hi, 4)[:-1]) / 2
-            for _ in range(300):
-                lab = np.abs(z[:, None] - c[None, :]).argmin(axis=1)
-                new = np.array([z[lab == k].mean() if (lab == k).any() else c[k] for k in range(3)])
-                if np.allclose(new, c, rtol=0, atol=1e-12):
-                    break
-                c = new
-            c = np.sort(c)
-            edges = np.r_[lo, (c[1:] + c[:-1]) / 2, hi]
-            edges = edges[np.ediff1d(edges, to_begin=np.inf) > 1e-8]
-            codes = np.clip(np.searchsorted(edges[1:-1], z, side="right"), 0, len(edges) - 2)
+            codes = kmeans_bins(z, 3)
             cats = [names[k] for k in codes]
         else:
             q1, q2 = np.quantile(x, 1 / 3), np.quantile(x, 2 / 3)

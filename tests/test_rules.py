@@ -119,21 +119,11 @@ def test_quantile_tiers_two_brands(spark):
     from pyspark.sql import Row
     ppu = spark.createDataFrame([Row(account="a", gc_platform="p", bgr="c", brand="b1", is_own_brand=1, wt_ppu=10.0),
                                  Row(account="a", gc_platform="p", bgr="c", brand="b2", is_own_brand=0, wt_ppu=20.0)])
-    out = (ppu.groupBy(*TR.GROUP).applyInPandas(TR._tier_group(3, 0.05, 0.95), TR.TIER_SCHEMA)).collect()
+    out = TR.kmeans_tiers(ppu).collect()
     assert {r.binning_method for r in out} == {"quantile"}
     assert {r.brand: r.ppu_category for r in out} == {"b1": "cost_effective", "b2": "premium"}
 
 
-def test_kmeans_tiers_ordered():
-    import numpy as np
-    x = np.log1p(np.array([10, 11, 12, 50, 52, 55, 200, 210, 220], dtype=float))
-    codes = TR.kmeans_codes(x, 3)
-    assert list(codes) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
-    rng = np.random.default_rng(1)
-    perm = rng.permutation(len(x))
-    assert list(TR.kmeans_codes(x[perm], 3)) == list(codes[perm])
-
-
 @pytest.mark.parametrize("month", [13, 0])
 def test_html_month_argument(spark, month):
     from shelfpulse.sources.pages import extract_table_rows
