@@ -316,17 +316,51 @@ def q_markers_wide(spark, sf):
     return R.report_row(_summary_markers(_summary(spark, sf, Views.shared(spark, sf))), SUMMARY_MARKERS)
 
 
-@register("html_table_dates")
-def q_html_table_dates(spark, sf):
-    """Month-table extraction over every page (the test pages carry no tables,
-    so this returns no rows; the literal-fixture tests cover the parsing)."""
-    return PG.extract_table_rows(scan_table(spark, sf, "pages"), 2024)
+# list items of a page as DuckDB reads them: place from 1, inner text, entities decoded
+PAGE_ITEMS = """
+li AS (SELECT page_id, generate_subscripts(items, 1) AS pos, unnest(items) AS item
+       FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS items FROM pages)),
+item AS (SELECT page_id, pos, replace(replace(replace(replace(
+    trim(regexp_replace(regexp_replace(item, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS name FROM li)"""
+
 
+def _page_items(spark, sf, item, before, after):
+    """Pages whose list items are rewritten: ``item`` is a function of place and inner markup."""
+    items = F.regexp_extract_all("html", F.lit("(?s)<li>(.*?)</li>"), 1)
+    rows = F.array_join(F.transform(items, lambda x, i: item(i + 1, x)), "")
+    return scan_table(spark, sf, "pages").select("page_id", F.concat(before, rows, after).alias("html"))
 
-@register("html_day_cells")
+
+@register("html_table_dates", f"""WITH {PAGE_ITEMS}
+SELECT page_id, make_date(2000, CAST(page_id % 12 + 1 AS INTEGER), CAST(pos AS INTEGER)) AS date, name FROM item
+UNION ALL SELECT page_id, make_date(2000, CAST(page_id % 12 + 1 AS INTEGER), 28), 'Tom & Eve 2 x < 3' FROM pages""")
+def q_html_table_dates(spark, sf):
+    """Month tables made of the pages' list items: the month by page, the day by place; with a
+    short row, an empty row, a day that is no date, entities, a nested table and open cells."""
+    month = F.date_format(F.make_date(F.lit(2000), (F.col("page_id") % 12 + 1).cast("int"), F.lit(1)), "MMMM")
+    before = F.concat(F.lit("<table><thead><tr><th>"), month, F.lit("</th><th>Name</th></tr></thead><tbody><tr></tr><tr><td>3</td></tr>"))
+    after = F.lit("<tr><td>99</td><td>no day</td></tr><tr><td>28<td>Tom &amp; Eve <table><tr><td>2 x</td></tr></table> &lt; 3</tbody></table>")
+    pages = _page_items(spark, sf, lambda i, x: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit(" <i>st</i></td><td>"), x,
+                                                         F.lit("</td></tr>")), before, after)
+    return PG.extract_table_rows(pages, 2000, keep=["page_id"], ordered=False)
+
+
+@register("html_day_cells", f"""WITH {PAGE_ITEMS}
+SELECT page_id, make_date(2000, CAST(page_id % 12 + 1 AS INTEGER), CAST(pos AS INTEGER)) AS date, name FROM item
+UNION ALL SELECT page_id, DATE '2000-12-31', unnest(['one', 'two & three']) FROM pages""")
 def q_html_day_cells(spark, sf):
-    """Calendar day-cell extraction over every page (none in the test pages)."""
-    return PG.extract_day_cells(scan_table(spark, sf, "pages"))
+    """Calendar cells made of the pages' list items, with several names a day, other cells and
+    other boxes, and days that are no dates."""
+    day = lambda i: F.concat(F.lit("2000-"), F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lit("-"),
+                             F.lpad(i.cast("string"), 2, "0"))
+    after = F.lit('<td class="single-day" data-date="2000-12-31"><p><div class="a dayCal">one</div><div class="monthCal">two &amp; <b>three</b></div>'
+                  '<div class="note">none</div></td><td class="single-day" data-date="2000-13-01"><div class="dayCal">x</div></td>'
+                  '<td class="other" data-date="2000-01-01"><div class="dayCal">y</div></td></tr></table>')
+    pages = _page_items(spark, sf, lambda i, x: F.concat(
+        F.lit('<td class="cell single-day" data-date="'), day(i), F.lit('"><div class="dayCal">'), x, F.lit("</div></td>")),
+        F.lit("<table><tr>"), after)
+    return PG.extract_day_cells(pages, keep=["page_id"])
 
 
 ORDER_DAYS_SQL = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS name FROM orders WHERE year(o_orderdate) = 2000"
@@ -348,7 +382,7 @@ def q_html_table_dates_orders(spark, sf):
         F.lit("</td></tr>"))), "")
     html = F.concat(F.lit("<p>x</p><table><thead><tr><th>"), F.col("month"), F.lit(" list</th><th>Name</th></tr></thead><tbody>"),
                     rows, F.lit("<tr><td>99</td><td>no day</td></tr></tbody></table>"))
-    return PG.extract_table_rows(_order_days(spark, sf).select(html.alias("html")), 2000)
+    return PG.extract_table_rows(_order_days(spark, sf).select(html.alias("html")), 2000, ordered=False)
 
 
 @register("html_day_cells_orders", ORDER_DAYS_SQL)
