@@ -21,6 +21,7 @@ their own; NULL ids are packed like others.  Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -28,17 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfpulse.llm import tokenizer
+from shelfpulse.llm import token_counts, tokenizer
 from shelfpulse.llm.common import map_batches, saved
 
 
+# the split pattern looks back over a run of blanks sign by sign, which overflows the stack of
+# the encoder at some hundred thousand; the compiled machine does not
+LONG_BLANK = re.compile(r"\s{1000}")
+
+
+def ids_of(vocabulary: str, text: str) -> list[int]:
+    if LONG_BLANK.search(text):
+        return token_counts.machine(vocabulary).ids(text)
+    return tokenizer.encode(tokenizer.encoding(vocabulary), text)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = tokenizer.encoding(vocabulary)
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.array([*tokenizer.encode(enc, text or ""), end_id], dtype="<u4")
+            ids = np.array([*ids_of(vocabulary, text or ""), end_id], dtype="<u4")
             n = len(ids)
             cuts = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -81,6 +81,7 @@ class Machine:
         enc = tokenizer.encoding(vocabulary)
         self.special = re.compile("|".join(map(re.escape, sorted(enc.special_tokens_set)))) if enc.special_tokens_set else None
         self.classes = class_table()
+        self.enc = enc
         self.emits = WordValues(lambda w: len(enc._encode_single_piece(w)))
 
     def starts(self, text: str, edges: np.ndarray) -> np.ndarray:
@@ -122,6 +123,19 @@ class Machine:
         out[full] = total[mark[1:]] - total[mark[:-1]]
         return out
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text, pre-token by pre-token."""
+        specials = self.special.findall(text) if self.special else []
+        out: list[int] = []
+        for i, part in enumerate(self.special.split(text) if self.special else [text]):
+            if i:
+                out.append(self.enc.encode_single_token(specials[i - 1]))
+            if part:
+                at = self.starts(part, np.zeros(1, np.int64)).tolist()
+                for a, b in zip(at, [*at[1:], len(part)]):
+                    out += self.enc._encode_single_piece(part[a:b])
+        return out
+
     def state_map(self, chunk: str):
         """(head, tokens, tail), or (signs,) when the chunk has no sure start in it."""
         first = SYNC.search(chunk)

@@ -208,6 +208,26 @@ def test_packing_places_every_piece_without_gaps(spark, small, odd):
     assert packing.packed(frame(spark, []), VOCAB).count() == 0
 
 
+def test_long_runs_of_blanks_and_long_words_are_packed(spark):
+    library = Tokenizer.from_file(VOCAB)
+    texts = [" " * 2_000_000, "\n" * 300_000 + "x", "a " + " \t\n" * 400_000 + "b<|endoftext|>" + " " * 5_000 + "c", "ab" * 500_000,
+             "é" + " " * 1_500 + "it's " + "\u3000" * 2_000 + "1"]
+    want = {i: library.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    got = collections.defaultdict(list)
+    for r in packing.packed(frame(spark, list(enumerate(texts))), VOCAB).collect():
+        got[r["doc_id"]].append(r)
+    for i, ids in want.items():
+        assert sum(r["length"] for r in got[i]) == len(ids)
+        for r in got[i]:
+            part = np.array(ids[r["start"]:r["start"] + r["length"]], dtype="<u4")
+            assert r["ids_crc32"] == zlib.crc32(part.tobytes())
+
+
+def test_shape_covers_the_whole_word():
+    a, b = b"x" * 30 + b"A1" * 5 + b"y" * 30, b"x" * 30 + b"1A" * 5 + b"y" * 30
+    assert (quality._word_hashes(a) ^ quality._word_hashes(b)) & 0xFFFFFFFF
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(1)
     for _ in range(60):
