@@ -39,9 +39,7 @@ _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a")
 
 def _word_hashes(word: bytes) -> int:
     """Hash of the lower-case word (upper 32 bits) and of its shape (lower 32 bits)."""
-    shape = word
-    if len(shape) > 40:
-        shape = shape[:20] + shape[-20:]
+    shape = word                     # the whole word, run by run
     for pattern, sign in _RUNS:
         shape = pattern.sub(sign, shape)
     h = ((hash64(word.lower()) >> 32) << 32) | (hash64(shape) & 0xFFFFFFFF)
