@@ -12,8 +12,8 @@
    sources, and gives what its terms add beyond that.  No pair of rows is written out.
 
 The vocabulary of a model is on the driver and is sent to all tasks, so its size is looked at
-first: distinct terms are estimated on a tenth of the documents (a term of 30 documents is
-among them with 96 %), and terms are dealt by hash to as many models as keep each below
+first: distinct terms are estimated on a sample of the documents, with what a term of ``minDF``
+documents may miss there added, and terms are dealt by hash to as many models as keep each below
 ``LARGEST`` terms.  Counts are per term, so the number of models changes no result.
 
 NULL text, lang and source count as ''.  Documents without terms still make their group.
@@ -39,19 +39,26 @@ from shelfpulse.operators.topk import top_k
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 UNIT = 1_000_000_000
 LARGEST = 1_000_000              # terms of one model
+SAMPLED = 0.03                   # share of the documents that the number of models is estimated on
 TERMS, SOURCES = 2048, 256       # of a block
 
 
 def tokens(docs: DataFrame, once: bool = False) -> DataFrame:
     """lang, source, terms: the terms of a document as 'lang term'; ``once``: without repeats."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ends, flat = [0], []
+        ends, lengths, data = [0], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             words = text.translate(TABLE).split()
+            if once:
+                words = set(words)
             head = lang.encode() + b" "
-            flat += [head + w for w in (set(words) if once else words)]
-            ends.append(len(flat))
-        terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
+            if words:
+                data += [head, head.join(words)]
+                lengths.append(np.fromiter(map(len, words), np.int64, len(words)) + len(head))
+            ends.append(ends[-1] + len(words))
+        offsets = np.concatenate([[0], *lengths]).cumsum().astype(np.int32)
+        flat = pa.StringArray.from_buffers(ends[-1], pa.py_buffer(offsets), pa.py_buffer(b"".join(data)))
+        terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
         return pa.RecordBatch.from_arrays([*batch.columns[:2], terms], ["lang", "source", "terms"])
 
     def slowly(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +83,10 @@ def added(it: Iterator[pa.RecordBatch], held: int = 1_000_000) -> Iterator[pa.Re
         return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
 
     def handed_on(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        names = list(groups)
-        pairs = [names[g] for g in (k >> 32).tolist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in pairs], pa.string()), pa.array([x[1] for x in pairs], pa.string()),
-             pa.array((k & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["lang", "source", "i", "n"])
+        group = pa.array(k >> 32)
+        names = [pa.array(x, pa.string()).take(group) for x in (zip(*groups) if groups else ((), ()))]
+        return pa.RecordBatch.from_arrays([*names, pa.array((k & 0xFFFFFFFF).astype(np.int32)), pa.array(n)],
+                                          ["lang", "source", "i", "n"])
 
     for batch in it:
         group = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
@@ -88,7 +94,7 @@ def added(it: Iterator[pa.RecordBatch], held: int = 1_000_000) -> Iterator[pa.Re
         keys.append((np.repeat(group, lengths) << 32) | batch.column(2).flatten().to_numpy())
         counts.append(batch.column(3).flatten().to_numpy())
         size += len(keys[-1])
-        if size > 4 * held:
+        if size > 2 * held:
             k, n = summed()
             if len(k) > held:
                 yield handed_on(k, n)
@@ -102,9 +108,9 @@ def added(it: Iterator[pa.RecordBatch], held: int = 1_000_000) -> Iterator[pa.Re
 def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) of all kept terms, and (lang, term) of all kept terms."""
     spark = docs.sparkSession
-    seen = (tokens(docs.sample(0.1, seed=1), once=True).select(F.explode("terms").alias("t"))
+    seen = (tokens(docs.sample(SAMPLED, seed=1), once=True).select(F.explode("terms").alias("t"))
             .agg(F.approx_count_distinct("t").alias("n")).first()["n"])
-    models = max(1, -(-int(seen * 1.2) // LARGEST))
+    models = max(1, -(-int(seen * 1.2 / (1 - (1 - SAMPLED) ** min_docs)) // LARGEST))
 
     def share_of(terms: DataFrame, m: int) -> DataFrame:
         return terms if models == 1 else terms.withColumn(
@@ -119,7 +125,8 @@ def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
         sums = (model.transform(share_of(tokens(docs), m))
                 .select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
                 .mapInArrow(added, "lang string, source string, i int, n long")
-                .groupBy("lang", "source", "i").agg(F.sum("n").alias("n")))
+                # by term alone, as the join below wants it; a task's sums hold a key about once
+                .repartition("i").groupBy("lang", "source", "i").agg(F.sum("n").alias("n")))
         term = F.substring_index("t", " ", -1)
         counts.append(saved(sums.join(words, "i").select("lang", "source", term.alias("term"), "n"), "term-counts"))
         kept.append(saved(words.select(F.expr("left(t, length(t) - length(substring_index(t, ' ', -1)) - 1)").alias("lang"),
