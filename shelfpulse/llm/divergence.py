@@ -72,7 +72,7 @@ def named(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], *more)
 
 
-def added(it: Iterator[pa.RecordBatch], held: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def added(it: Iterator[pa.RecordBatch], held: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Sums of the entries of sparse vectors (lang, source, indices, values) per group; what a
     task keeps is handed on when it exceeds ``held`` entries."""
     groups: dict[tuple[str, str], int] = {}
@@ -120,7 +120,8 @@ def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
         # repeats within a document change no document frequency
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
                                 vocabSize=2 ** 31 - 1).fit(share_of(tokens(docs, once=True), m))
-        words = spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, t string")
+        vocabulary = pa.array(model.vocabulary, pa.string())
+        words = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(vocabulary), dtype=np.int32)), "t": vocabulary}))
         vector = F.unwrap_udt(F.col("vector"))
         sums = (model.transform(share_of(tokens(docs), m))
                 .select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
