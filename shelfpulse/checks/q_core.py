@@ -13,6 +13,16 @@ from shelfpulse.sources.views import Views
 
 MS_KEYS = "account, gc_platform, bgr, gc_city, brand"
 
+
+
+def share_of(part: str, whole: str) -> str:
+    """Percent of the whole to one place; nothing sold at all gives 0."""
+    percent = f"round(CAST({part} AS DOUBLE) * 100 / CAST({whole} AS DOUBLE), 1)"
+    return f"CASE WHEN {whole} <> 0 THEN {percent} WHEN {whole} = 0 THEN 0.0 END"
+
+
+SOLD = "sum(CASE is_own_brand WHEN 1 THEN reported_offtake_mrp ELSE normalized_offtake END)"
+
 MARKET_SHARE_SQL_CTES = f"""
 msd AS (SELECT product_id, lower(bgr) AS dim_bgr FROM product_dim),
 msf AS (
@@ -21,16 +31,18 @@ msf AS (
   FROM pid_metrics m LEFT JOIN msd ON m.product_id = msd.product_id
   WHERE {capped('m.snapshot_date', 'm.platform_offtake_uploaded_till')}
 ),
+msbrand AS (
+  SELECT date_period, {MS_KEYS}, {SOLD} AS sold, sum(normalized_offtake) AS part
+  FROM msf WHERE date_period IS NOT NULL GROUP BY ALL
+),
+mscity AS (
+  SELECT *, sum(part) OVER city AS whole FROM msbrand
+  WINDOW city AS (PARTITION BY date_period, account, gc_platform, bgr, gc_city)
+),
 msagg AS (
-  SELECT date_period, {MS_KEYS},
-    CAST(SUM(CASE WHEN is_own_brand = 1 THEN reported_offtake_mrp ELSE normalized_offtake END) AS DOUBLE) AS actual_sum,
-    CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr, gc_city) AS DOUBLE) AS category_size,
-    CASE WHEN SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr, gc_city) = 0 THEN 0.0
-      ELSE ROUND(100 * CAST(SUM(normalized_offtake) AS DOUBLE)
-           / CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr, gc_city) AS DOUBLE), 1)
-    END AS market_share
-  FROM msf WHERE date_period IS NOT NULL
-  GROUP BY date_period, account, gc_platform, bgr, gc_city, brand
+  SELECT date_period, {MS_KEYS}, CAST(sold AS DOUBLE) AS actual_sum, CAST(whole AS DOUBLE) AS category_size,
+    {share_of('part', 'whole')} AS market_share
+  FROM mscity
 ),
 msflags AS (SELECT DISTINCT account, gc_platform, brand, is_own_brand FROM msf WHERE date_period IS NOT NULL),
 ms AS (
@@ -57,16 +69,18 @@ cmf AS (
   FROM pid_metrics
   WHERE {capped()} AND is_own_brand IN (0, 1)
 ),
+cmbrand AS (
+  SELECT date_period, account, gc_platform, bgr, brand, is_own_brand, {SOLD} AS sold, sum(normalized_offtake) AS part
+  FROM cmf GROUP BY ALL
+),
+cmwhole AS (
+  SELECT *, sum(part) OVER category AS whole FROM cmbrand
+  WINDOW category AS (PARTITION BY date_period, account, gc_platform, bgr)
+),
 cms AS (
   SELECT date_period, account, lower(gc_platform) AS gc_platform, lower(bgr) AS bgr, brand, is_own_brand,
-    CAST(SUM(CASE WHEN is_own_brand = 1 THEN reported_offtake_mrp ELSE normalized_offtake END) AS DOUBLE) AS actual_sum,
-    CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr) AS DOUBLE) AS category_size,
-    CASE WHEN SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr) = 0 THEN 0.0
-      ELSE ROUND(100 * CAST(SUM(normalized_offtake) AS DOUBLE)
-           / CAST(SUM(SUM(normalized_offtake)) OVER (PARTITION BY date_period, account, gc_platform, bgr) AS DOUBLE), 1)
-    END AS market_share
-  FROM cmf
-  GROUP BY date_period, account, gc_platform, bgr, brand, is_own_brand
+    CAST(sold AS DOUBLE) AS actual_sum, CAST(whole AS DOUBLE) AS category_size, {share_of('part', 'whole')} AS market_share
+  FROM cmwhole
 )"""
 
 
