@@ -425,6 +425,36 @@ def test_colliding_identifiers_are_told_apart(spark, monkeypatch):
         assert got[i] == (max(same), len(same))
 
 
+def test_rows_without_id_are_told_apart(spark, monkeypatch):
+    """Identifiers that always collide, and no doc_id to match rows by."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(1).cast("bigint"))
+    rows = [(None, "one text"), (None, "two text"), (None, "one text"), (4, "TWO text"), (5, "six text")]
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])
+                  for r in exact_dedup.exact_groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, None, 2, True), (None, None, 2, True), (None, 4, 2, False), (4, 4, 2, True),
+                          (5, 5, 1, True)], key=str)
+
+
+def test_no_text_is_shuffled_for_verification(spark):
+    rows = [(i, "some words to be cut " * 50) for i in range(4)]
+    made = exact_dedup.recipes(frame(spark, rows))
+    assert "text" not in made.columns
+    assert {t.dataType.simpleString() for t in made.schema} == {"bigint", "int", "array<bigint>", "array<binary>", "string"}
+    twin = spark.createDataFrame([([7, 8], [b"a", b"b"]), ([7, 9], [b"c", b"b"])], "recipe array<long>, digests array<binary>")
+    assert [r["id"] for r in exact_dedup.collisions(twin).collect()] == [7]
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрстуфхцчшыюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת",
+                                     "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "的一是不了人我在有他这中大来上国们到说", "abcdefghijklmnopqrstuvwxyz"])
+def test_cuts_follow_the_content_in_any_script(spark, letters):
+    """A word put before a long text changes its first chunks only."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(6000)]
+    body = " ".join(words)
+    a, b = (set(r["recipe"]) for r in exact_dedup.recipes(frame(spark, [(1, body), (2, "xy " + body)])).collect())
+    assert len(a) > 50 and len(a & b) > 0.8 * len(a)
+
+
 def test_no_python_in_native_plans(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for df in (exact_dedup.recipes(docs), decontam.item_windows(spark.read.parquet(f"{SMALL}/benchmark.parquet"))):
