@@ -86,8 +86,8 @@ locality_metrics AS (
   SELECT account, snapshot_date, gc_platform, gc_city, bgr,
     CAST(l_partkey AS VARCHAR) AS product_id,
     'sku ' || CAST(l_partkey AS VARCHAR) AS title,
-    CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
-    'loc ' || CAST(l_suppkey % 5 AS VARCHAR) AS locality,
+    CAST(l_suppkey AS VARCHAR) AS store_id,
+    'loc ' || CAST(l_suppkey AS VARCHAR) AS locality,
     total_available, total_listed, total_scrapes,
     estimated_offtake_mrp_last_month, estimated_offtake_mrp_current_month,
     ext * disc AS impact_scrore_for_psl_tags_pf,
@@ -104,7 +104,7 @@ keyword_impressions AS (
 
 PSL = """
 psl_daily AS (
-  SELECT account, gc_platform, product_id, CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
+  SELECT account, gc_platform, product_id, CAST(l_suppkey AS VARCHAR) AS store_id,
     ext AS potential_sales_loss_mrp, snapshot_date AS gc_crawl_date
   FROM base WHERE l_returnflag = 'R'
 )"""
@@ -112,7 +112,7 @@ psl_daily AS (
 PSL_LOCALITY = """
 psl_daily_locality AS (
   SELECT account, gc_platform, CAST(l_partkey AS VARCHAR) AS product_id,
-    CAST(l_suppkey % 5 AS VARCHAR) AS store_id,
+    CAST(l_suppkey AS VARCHAR) AS store_id,
     ext AS potential_sales_loss_mrp, snapshot_date AS gc_crawl_date
   FROM base WHERE l_returnflag = 'R'
 )"""
@@ -127,7 +127,7 @@ facility_doi AS (
 STORE_CATALOG = """
 store_catalog AS (
   SELECT account, gc_platform,
-    CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey % 50 AS VARCHAR) AS store_id,
+    CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS store_id,
     gc_city, snapshot_date AS gc_crawl_date
   FROM base
 )"""
@@ -155,7 +155,7 @@ sku_registry AS (
 STORE_LISTING = """
 store_listing AS (
   SELECT account, snapshot_date, gc_platform,
-    CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey % 50 AS VARCHAR) AS store_id,
+    CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS store_id,
     total_listed, is_own_brand
   FROM base
 )"""

@@ -30,11 +30,8 @@ def q_scan_table(spark, sf):
 SELECT gc_platform, count(*)::BIGINT AS n_rows, CAST(SUM(normalized_offtake) AS DOUBLE) AS offtake
 FROM pid_metrics GROUP BY gc_platform"""))
 def q_platform_union(spark, sf):
-    pm = Views.shared(spark, sf).pid_metrics()
-    # one frame per platform that the accounts have (a handful of names)
-    names = (S.scan_table(spark, sf, "customer").select(X.norm_key("c_mktsegment").alias("p")).distinct().collect())
-    frames = {r["p"]: pm.where(F.col("gc_platform") == r["p"]).drop("gc_platform") for r in names}
-    u = S.scan_platforms(frames)
+    """All platforms in one scan of the platform and month layout."""
+    u = Views.shared(spark, sf).platform_months()
     return u.groupBy("gc_platform").agg(F.count("*").cast("bigint").alias("n_rows"),
                                         F.sum("normalized_offtake").cast("double").alias("offtake"))
 

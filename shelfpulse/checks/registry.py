@@ -34,7 +34,7 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from shelfpulse.checks import (q_core, q_drill, q_keywords, q_metrics, q_ops, q_ops2,  # noqa: F401
+    from shelfpulse.checks import (q_core, q_drill, q_grains, q_keywords, q_metrics, q_ops, q_ops2,  # noqa: F401
                                    q_recs, q_report, q_state, q_stores, q_summaries, q_tiers)
     for key, sql in q_report.ORACLE_EXTRA.items():
         ORACLE.setdefault(key, sql)

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfpulse.functions.exprs import col_of, pandas_round
 
@@ -91,13 +90,6 @@ def json_field(c, path: str) -> Column:
     return F.get_json_object(col_of(c), path)
 
 
-JOB_CONFIG = T.StructType([
-    T.StructField("dbt", T.StructType([
-        T.StructField("variables", T.ArrayType(T.StructType([
-            T.StructField("name", T.StringType()), T.StructField("value", T.BooleanType())])))])),
-    T.StructField("redshift", T.StructType([T.StructField("database", T.StringType())])),
-])
-
 # Flag name prefix and default platforms of the job config.
 FLAG_PREFIX = "build_normalized_offtake_"
 DEFAULT_PLATFORMS = ("blinkit", "instamart", "zepto")
@@ -106,23 +98,26 @@ DEFAULT_PLATFORMS = ("blinkit", "instamart", "zepto")
 def json_flags(c, prefix: str = FLAG_PREFIX, platforms: Sequence[str] = DEFAULT_PLATFORMS) -> list[Column]:
     """Build flags from a job-config JSON (K7).
 
-    Returns ``[name, build_<p> ...]`` columns.  Broken JSON or missing keys give
-    an empty name and all-false flags (X16); when a name repeats, the last
-    entry wins (like a dict update).
+    Returns ``[name, build_<p> ...]`` columns.  The text is read as a VARIANT, entry by
+    entry, so an entry or field of another type is no flag and spoils no other; texts such
+    as "true" count as booleans.  Broken JSON or missing keys give an empty name and
+    all-false flags (X16); when a name repeats, the last entry wins (like a dict update).
     """
-    cfg = F.from_json(col_of(c), JOB_CONFIG, {"mode": "PERMISSIVE"})
-    vars_ = F.coalesce(cfg["dbt"]["variables"], F.array().cast(JOB_CONFIG["dbt"].dataType["variables"].dataType))
-    out = [F.coalesce(cfg["redshift"]["database"], F.lit("")).alias("name")]
-    def named(full):
-        return lambda v: v["name"] == F.lit(full)
-
+    cfg = F.try_parse_json(col_of(c))
+    entries = F.coalesce(F.try_variant_get(cfg, "$.dbt.variables", "array<variant>"), F.array().cast("array<variant>"))
+    named = F.transform(entries, lambda e: F.struct(F.try_variant_get(e, "$.name", "string").alias("name"),
+                                                    F.try_variant_get(e, "$.value", "boolean").alias("value")))
+    out = [F.coalesce(F.try_variant_get(cfg, "$.redshift.database", "string"), F.lit("")).alias("name")]
     for p in platforms:
-        hits = F.filter(vars_, named(prefix + p))
-        val = F.when(F.size(hits) > 0, F.coalesce(F.element_at(hits, -1)["value"], F.lit(False)))
-        out.append(F.coalesce(val, F.lit(False)).alias(f"build_{p}"))
+        values = F.filter(named, _is_named(prefix + p))
+        out.append(F.coalesce(F.try_element_at(values, F.lit(-1))["value"], F.lit(False)).alias(f"build_{p}"))
     return out
 
 
+def _is_named(name: str):
+    return lambda e: e["name"] == F.lit(name)
+
+
 def relevance(cat_share, vol_share) -> Column:
     """``round(cat_share / vol_share, 2)``, 0 when the divisor is 0 (K12, pandas rounding)."""
     v = col_of(vol_share).cast("double")

@@ -119,6 +119,27 @@ def snapshot_or_previous(df: DataFrame, date_col: str, day, keys: Sequence[str]
     return out
 
 
+def default_windows(df: DataFrame, keys: Sequence[str] = ("account",), date_col: str = "snapshot_date",
+                    back: int = 30) -> DataFrame:
+    """Per key: L1 from the first of the month of its last day to that day, L2 the ``back``
+    days before L1.  The last day is the data's, not today's, so a report over old data
+    repeats.  Keys without any day are left out."""
+    last = df.groupBy(*keys).agg(F.max(date_col).alias("l1_end")).where(F.col("l1_end").isNotNull())
+    start = F.trunc("l1_end", "month")
+    return last.select(*keys, start.alias("l1_start"), "l1_end", F.date_sub(start, back).alias("l2_start"),
+                       F.date_sub(start, 1).alias("l2_end"))
+
+
+def label_default_windows(df: DataFrame, keys: Sequence[str] = ("account",), date_col: str = "snapshot_date",
+                          back: int = 30) -> DataFrame:
+    """Rows inside their key's default windows with ``date_period`` (``dr1`` / ``dr2``)."""
+    w = default_windows(df, keys, date_col, back).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], "l1_start", "l1_end", "l2_start", "l2_end")
+    cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(date_col).between(F.col("l2_start"), F.col("l1_end"))]
+    p = F.when(F.col(date_col) >= F.col("l1_start"), "dr1").otherwise("dr2")
+    return df.join(w, cond).withColumn("date_period", p).select(*df.columns, "date_period")
+
+
 def compare_periods(df: DataFrame, group_cols: Sequence[str], metric_cols: Sequence[str],
                     date_col: str = "date_period", rounded: bool = True,
                     names: dict | None = None, keep_dr2: bool = False) -> DataFrame:

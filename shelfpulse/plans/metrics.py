@@ -259,9 +259,9 @@ def product_metrics(facts: DataFrame, mapping: DataFrame | None, l1, l2,
          .withColumn("grammage", F.col("original_grammage")))
     if mapping is not None:
         mp = (mapping.where(F.col("type") == "single")
-              .select("product_id", F.col("gc_platform").alias("__mp"), "item_id"))
-        f = f.join(mp, (f["product_id"] == mp["product_id"]) & (f["gc_platform"] == mp["__mp"]),
-                   "left").drop(mp["product_id"]).drop("__mp")
+              .select(F.col("product_id").alias("__mid"), F.col("gc_platform").alias("__mp"), "item_id"))
+        f = f.join(mp, (F.col("product_id") == F.col("__mid")) & (F.col("gc_platform") == F.col("__mp")),
+                   "left").drop("__mid", "__mp")
         keys = (*keys, "item_id")
     w = row_weight("estimated_offtake_mrp_last_month", "estimated_offtake_mrp_current_month")
     qty_w = null_greatest("estimated_qty_sold", F.lit(1))

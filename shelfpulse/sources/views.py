@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfpulse.sources.layout import read_platform_months, write_platform_months
 from shelfpulse.sources.tables import scan_table
 
 # Fixed values of the mapping (shared with the oracle SQL in checks/oracle_views.py).
@@ -196,6 +197,19 @@ class Views:
             return self.spark.read.parquet(path)
         return self._memo(key, build)
 
+    def platform_months(self, windows=(), platforms: DataFrame | None = None) -> DataFrame:
+        """``pid_metrics`` laid out by platform and month, written once per session; only the
+        months of ``windows`` and the rows of ``platforms`` are read."""
+        def build():
+            import os
+            import uuid
+
+            from shelfpulse.session import checkpoint_dir
+            path = os.path.join(checkpoint_dir(self.spark), "layout", uuid.uuid4().hex)
+            return path, write_platform_months(self.pid_metrics(), path)
+        path, schema = self._memo("platform_months", build)
+        return read_platform_months(self.spark, path, schema, windows, platforms)
+
     def window_slice(self, view: str, l1, l2) -> DataFrame:
         """A fact view (``pid_metrics``, ``locality_metrics``, ``keyword_impressions``,
         ``facility_doi``, ``psl_daily_locality`` ...) over the materialised
@@ -222,10 +236,10 @@ class Views:
         )
 
     def locality_metrics(self) -> DataFrame:
-        """Store x SKU facts on a coarse grain (20 SKUs, 5 stores) so falling pairs exist."""
+        """Store x SKU facts: the supplier is the store, the part the SKU."""
         b = self.base_facts()
         pid = F.col("l_partkey").cast("string")
-        store = (F.col("l_suppkey") % 5).cast("string")
+        store = F.col("l_suppkey").cast("string")
         return b.select(
             "account", "snapshot_date", "gc_platform", "gc_city", "bgr",
             pid.alias("product_id"),
@@ -250,18 +264,18 @@ class Views:
         b = self.base_facts().where(F.col("l_returnflag") == "R")
         return b.select(
             "account", "gc_platform", "product_id",
-            (F.col("l_suppkey") % 5).cast("string").alias("store_id"),
+            F.col("l_suppkey").cast("string").alias("store_id"),
             F.col("ext").alias("potential_sales_loss_mrp"),
             F.col("snapshot_date").alias("gc_crawl_date"),
         )
 
     def psl_daily_locality(self) -> DataFrame:
-        """PSL keyed like ``locality_metrics`` (coarse product id)."""
+        """PSL keyed like ``locality_metrics``."""
         b = self.base_facts().where(F.col("l_returnflag") == "R")
         return b.select(
             "account", "gc_platform",
             F.col("l_partkey").cast("string").alias("product_id"),
-            (F.col("l_suppkey") % 5).cast("string").alias("store_id"),
+            F.col("l_suppkey").cast("string").alias("store_id"),
             F.col("ext").alias("potential_sales_loss_mrp"),
             F.col("snapshot_date").alias("gc_crawl_date"),
         )
@@ -278,7 +292,7 @@ class Views:
         return self.base_facts().select(
             "account", "gc_platform",
             F.concat_ws("-", F.col("l_suppkey").cast("string"),
-                        (F.col("l_partkey") % 50).cast("string")).alias("store_id"),
+                        F.col("l_partkey").cast("string")).alias("store_id"),
             "gc_city",
             F.col("snapshot_date").alias("gc_crawl_date"),
         )
@@ -299,7 +313,7 @@ class Views:
         return self.base_facts().select(
             "account", "snapshot_date", "gc_platform",
             F.concat_ws("-", F.col("l_suppkey").cast("string"),
-                        (F.col("l_partkey") % 50).cast("string")).alias("store_id"),
+                        F.col("l_partkey").cast("string")).alias("store_id"),
             "total_listed", "is_own_brand")
 
     def own_sku_base(self) -> DataFrame:
