@@ -522,6 +522,40 @@ def test_recased_and_rewrapped_copies_are_found(spark):
         assert [got[i]["reparameterised"] for i in range(5)] == [False] * 4 + [True]
 
 
+SLOTTED = ("a shop sells {a} kg of rice to {p} and keeps {b} kg in store then {q} buys {a} kg of beans and "
+           "{p} pays {c} dollars for all of it before noon")
+
+
+def test_two_values_may_become_one_but_one_value_may_not_become_two(spark):
+    item = SLOTTED.format(a=12, b=15, c=7, p="Anna", q="Peter")
+    split = SLOTTED.replace("{a}", "{d}", 1).format(a=8, b=15, c=7, d=9, p="Anna", q="Peter")
+    docs = frame(spark, [(0, item), (1, SLOTTED.format(a=20, b=20, c=7, p="Anna", q="Peter")),
+                         (2, SLOTTED.format(a=7, b=15, c=7, p="Maria", q="Maria")), (3, split)])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["reparameterised"] for r in decontam.contained_items(docs, bench).collect()}
+    assert got == {0: False, 1: True, 2: True}
+
+
+def test_recall_on_planted_reparameterised_items(spark):
+    """Items of random words with slots, re-parameterised at random inside longer clean texts."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
+    people = ["Anna", "Peter", "Maria", "Josef", "Clara", "Hugo"]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def fill(template):
+        return template.format(**{s: rng.randint(2, 99) for s in "abc"}, p=rng.choice(people), q=rng.choice(people))
+    templates = [f"{prose(5)} {{a}} {prose(6)} {{p}} {prose(4)} {{b}} kg {prose(5)} {{q}} {prose(5)} {{a}} {prose(5)} {{c}} {prose(4)}"
+                 for _ in range(60)]
+    bench = spark.createDataFrame([(i, fill(t)) for i, t in enumerate(templates)], "item_id long, text string")
+    planted = [(i, f"{prose(40)} {fill(t)} {prose(40)}") for i, t in enumerate(templates)]
+    clean = [(1000 + i, prose(120)) for i in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(frame(spark, planted + clean), bench).collect()}
+    assert len({(i, i) for i in range(60)} & got) >= 54 and all(d == i for d, i in got)
+
+
 def test_shuffled_join_finds_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = sorted(map(tuple, decontam.contained_items(docs, bench).collect()))
