@@ -64,40 +64,46 @@ def typed(text: Column) -> Column:
     return F.regexp_replace(t, r"[0-9]+", "9")
 
 
-def canonical(text: Column) -> Column:
-    """Canonical tokens of a typed text."""
-    return tokens(F.lower(F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:][ ])\p{Lu}[\p{Ll}]+(?![\p{L}\p{N}])", "ɑɑ")))
+def named(text: Column) -> Column:
+    """A typed text with its names typed."""
+    return F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:][ ])\p{Lu}[\p{Ll}]+(?![\p{L}\p{N}])", "ɑɑ")
 
 
-def plain(text: Column) -> Column:
-    """Tokens of a typed text in which names are words like others."""
-    return tokens(F.lower(text))
+def both_forms(df: DataFrame, *keep: str) -> DataFrame:
+    """The tokens of column ``t`` (a typed text) in canonical form (c) and in plain form (p),
+    in which names are words like others; p is NULL where the text has no name, as the forms
+    are then the same."""
+    return (df.select(*keep, "t", named(F.col("t")).alias("n"))
+            .select(*keep, tokens(F.lower("n")).alias("c"),
+                    F.when(F.col("n") != F.col("t"), tokens(F.lower("t"))).alias("p")))
 
 
 NAME, UNIT, NUMBER = "ɑɑ", "ɒɒ", "9"
 
 
-def window_hashes(*forms: str) -> Column:
-    """Hashes, one per form, of every run of WINDOW tokens (of the whole sequence when it is shorter)."""
-    size = F.size(F.col(forms[0]))
+def window_hashes() -> Column:
+    """Hashes, in both forms, of every run of WINDOW tokens (of the whole sequence when it is shorter)."""
+    size = F.size("c")
     last = F.greatest(size - (WINDOW - 1), F.lit(1))
-    return F.when(size > 0, F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: F.struct(*[F.xxhash64(*[F.try_element_at(F.col(w), i + k) for k in range(WINDOW)]).alias(w) for w in forms])))
+
+    def run(form: str, at: Column) -> Column:
+        return F.xxhash64(*[F.try_element_at(F.col(form), at + k) for k in range(WINDOW)])
+    return F.when(size > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
+        run("c", i).alias("c"), F.when(F.col("p").isNotNull(), run("p", i)).alias("p"))))
 
 
 def either(window: str) -> Column:
     """The hashes of a window, one when its forms are the same."""
     c, p = F.col(f"{window}.c"), F.col(f"{window}.p")
-    return F.explode(F.when(c == p, F.array(c)).otherwise(F.array(c, p))).alias("h")
+    return F.explode(F.when(p.isNull() | (c == p), F.array(c)).otherwise(F.array(c, p))).alias("h")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, item_tokens, wpos, h, n_windows) of every eligible benchmark window."""
-    items = (benchmark.select("item_id", spaced(F.col("text")).alias("s")).filter("item_id IS NOT NULL")
-             .select("item_id", tokens("s").alias("item_tokens"), typed(F.col("s")).alias("t"))
-             .select("item_id", "item_tokens", canonical(F.col("t")).alias("c"), plain(F.col("t")).alias("p")))
-    rows = items.select("item_id", "item_tokens", "c", F.posexplode(window_hashes("c", "p")).alias("wpos", "w"))
+    items = both_forms(benchmark.select("item_id", spaced(F.col("text")).alias("s")).filter("item_id IS NOT NULL")
+                       .select("item_id", tokens("s").alias("item_tokens"), typed(F.col("s")).alias("t")),
+                       "item_id", "item_tokens")
+    rows = items.select("item_id", "item_tokens", "c", F.posexplode(window_hashes()).alias("wpos", "w"))
     words = F.size(F.filter(F.slice("c", F.col("wpos") + 1, WINDOW),
                             lambda x: ~x.isin(NAME, UNIT, NUMBER)))
     rows = (rows.filter(words >= 2).select("item_id", "item_tokens", "wpos", either("w"))
@@ -112,10 +118,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     wanted = bench.select("h").distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    words = (docs.select("doc_id", spaced(F.col("text")).alias("s")).filter("doc_id IS NOT NULL")
-             .select("doc_id", F.xxhash64("s").alias("text_key"), typed(F.col("s")).alias("t"))
-             .select("doc_id", "text_key", canonical(F.col("t")).alias("c"), plain(F.col("t")).alias("p")))
-    hits = (words.select("doc_id", "text_key", F.posexplode(window_hashes("c", "p")).alias("pos", "w"))
+    words = both_forms(docs.select("doc_id", spaced(F.col("text")).alias("s")).filter("doc_id IS NOT NULL")
+                       .select("doc_id", F.xxhash64("s").alias("text_key"), typed(F.col("s")).alias("t")),
+                       "doc_id", "text_key")
+    hits = (words.select("doc_id", "text_key", F.posexplode(window_hashes()).alias("pos", "w"))
             .select("doc_id", "text_key", "pos", either("w")).join(wanted, "h", "left_semi").distinct())
     met = saved(hits.join(bench.select("h", "key", "wpos", "n_windows"), "h"), "hits")
 
@@ -126,7 +132,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     raw = (docs.filter("doc_id IS NOT NULL").join(likely.select("doc_id").distinct(), "doc_id", "left_semi")
            .select("doc_id", spaced(F.col("text")).alias("s"))
            .select("doc_id", F.xxhash64("s").alias("text_key"), tokens("s").alias("words"),
-                   canonical(typed(F.col("s"))).alias("c")).dropDuplicates(["doc_id", "text_key"]))
+                   tokens(F.lower(named(typed(F.col("s"))))).alias("c")).dropDuplicates(["doc_id", "text_key"]))
     aligned = (met.join(likely, pair, "left_semi").withColumn("shift", F.col("pos") - F.col("wpos"))
                .join(raw, ["doc_id", "text_key"])
                .withColumn("slots", F.filter(
