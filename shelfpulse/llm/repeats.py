@@ -9,7 +9,9 @@ their sample, as S* suffixes induce the others):
    that begin inside it the one with the smallest hash (leftmost of equals) is its anchor.
    Equal strings have their anchors at equal offsets, and neighbouring start places mostly
    share one, so an anchor stands for a run of start places, and its block is the bytes
-   their strings cover.
+   their strings cover.  In a periodic stretch (a run of blanks, a ruled line) the same block
+   follows itself; it is one row with the number of times, so rows grow with the stretches and
+   not with their bytes.
 2. Tell apart.  Anchors are grouped by word.  One that occurs once repeats nothing.  A group
    whose blocks are all the same repeats in full.
 3. Induce.  For the remaining groups each distinct block is fetched once, with its number of
@@ -90,7 +92,8 @@ def runs(data: np.ndarray, edges: np.ndarray):
     """Runs of start places with one anchor in joined texts.
 
     ``edges``: where each text starts, and the end.  Returns (text, first place, places,
-    word hash, block hash, anchor's offset from the first place)."""
+    word hash, block hash, anchor's offset from the first place, times): a block that follows
+    itself directly ``times`` times is one run."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return None
@@ -118,10 +121,16 @@ def runs(data: np.ndarray, edges: np.ndarray):
     end = start + places - 1 + LENGTH
     second = Hashes(data, 1)
     block = first.of(start, end) ^ second.of(start, end) * np.uint64(3) + (at - start).astype(np.uint64)
-    return text[start], start - edges[text[start]], places, word[at], block, at - start
+    text, word, shift = text[start], word[at], at - start
+    again = np.zeros(len(start), bool)
+    again[1:] = ((block[1:] == block[:-1]) & (word[1:] == word[:-1]) & (places[1:] == places[:-1])
+                 & (text[1:] == text[:-1]) & (start[1:] == start[:-1] + places[:-1]))
+    head = np.flatnonzero(~again)
+    times = np.diff(np.append(head, len(start)))
+    return (text[head], start[head] - edges[text[head]], places[head], word[head], block[head], shift[head], times)
 
 
-RUNS = "doc_id long, text_key long, start long, places int, word long, block long, shift int"
+RUNS = "doc_id long, text_key long, start long, places int, word long, block long, shift int, times int"
 
 
 def _joined(texts: list[bytes]):
@@ -142,7 +151,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 got = runs(data, edges)
                 if got is None:
                     return
-                text, start, places, word, block, shift = got
+                text, start, places, word, block, shift, times = got
                 row = np.array([q[0] for q in queue])[text]
                 off = np.array([q[1] for q in queue])[text]
                 for a in range(0, len(row), 100_000):
@@ -150,8 +159,9 @@ def anchors(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(row[s])), keys.take(pa.array(row[s])), pa.array(start[s] + off[s]),
                          pa.array(places[s].astype(np.int32)), pa.array(word[s].view(np.int64)),
-                         pa.array(block[s].view(np.int64)), pa.array(shift[s].astype(np.int32))],
-                        ["doc_id", "text_key", "start", "places", "word", "block", "shift"])
+                         pa.array(block[s].view(np.int64)), pa.array(shift[s].astype(np.int32)),
+                         pa.array(times[s].astype(np.int32))],
+                        ["doc_id", "text_key", "start", "places", "word", "block", "shift", "times"])
             for i, t in enumerate(texts):
                 if len(t) < LENGTH:
                     continue
@@ -190,9 +200,11 @@ def _strings(rows: pa.Table | pa.RecordBatch):
 
 def _intervals(row: np.ndarray, place: np.ndarray):
     """Runs of consecutive places per row: (row, first, last + 1)."""
+    if not len(row):
+        return row, place, place
     order = np.lexsort((place, row))
     row, place = row[order], place[order]
-    new = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)] if len(row) else np.empty(0, bool)
+    new = np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
     return row[first], place[first], place[last] + 1
@@ -201,7 +213,7 @@ def _intervals(row: np.ndarray, place: np.ndarray):
 def contested(docs: DataFrame, marked: DataFrame, groups: DataFrame) -> DataFrame:
     """(word, block, from, to): which start places of contested blocks repeat."""
     blocks = marked.filter("d > 1").groupBy("word", "block").agg(
-        F.count("*").alias("m"), F.min(F.struct("text_key", "doc_id", "start", "places", "shift")).alias("r"))
+        F.sum("times").alias("m"), F.min(F.struct("text_key", "doc_id", "start", "places", "shift")).alias("r"))
     wanted = (blocks.select("word", "block", "m", "r.*").groupBy("doc_id", "text_key")
               .agg(F.collect_set(F.struct("word", "block", "m", "start", "places", "shift")).alias("cut")))
 
@@ -271,14 +283,17 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans): the removed byte ranges [start, end) of documents that have any,
     sorted; ranges may touch or overlap."""
     made = saved(anchors(docs), "anchors")
-    blocks = made.groupBy("word", "block").agg(F.count("*").alias("m"))
+    blocks = made.groupBy("word", "block").agg(F.sum("times").alias("m"))
     groups = saved(blocks.groupBy("word").agg(F.count("*").alias("d"), F.sum("m").alias("n")).filter("n > 1"), "groups")
     marked = saved(made.join(groups.select("word", "d"), "word"), "marked")
     whole = marked.filter("d = 1").select(
-        "doc_id", "text_key", F.struct(F.col("start"), (F.col("start") + F.col("places") - 1 + LENGTH).alias("end")).alias("s"))
+        "doc_id", "text_key", F.struct(
+            F.col("start"), (F.col("start") + F.col("places") * F.col("times") - 1 + LENGTH).alias("end")).alias("s"))
+    # a block that follows itself repeats in full: its range is 0 .. places, and so is the whole run's
+    last = F.col("start") + F.col("places") * (F.col("times") - 1)
     some = (marked.filter("d > 1").join(contested(docs, marked, groups), ["word", "block"])
             .select("doc_id", "text_key", F.struct((F.col("start") + F.col("from")).alias("start"),
-                                                   (F.col("start") + F.col("to") - 1 + LENGTH).alias("end")).alias("s")))
+                                                   (last + F.col("to") - 1 + LENGTH).alias("end")).alias("s")))
     return whole.union(some).groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("spans"))
 
 
