@@ -44,6 +44,11 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def text_key(col: str = "text") -> Column:
+    """64-bit hash of a text column; NULL reads as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
+
+
 def slices(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that few texts are Python objects at a time."""
     for batch in it:

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfpulse.llm.common import saved
+from shelfpulse.llm.common import saved, text_key
 
 WINDOW = 5
 THRESHOLD = 0.8
@@ -167,6 +167,12 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no benchmark item."""
-    hit = contained_items(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose text contains no benchmark item.
+
+    Rows are judged by their text (its 64-bit hash), not by their id: a row without id goes
+    when its text is contaminated, a clean row stays beside a contaminated one of the same id.
+    """
+    text = text_key()
+    hit = (contained_items(docs.select(text.alias("doc_id"), "text"), benchmark, threshold)
+           .select(F.col("doc_id").alias("__text_key")).distinct())
+    return docs.join(hit, text == hit["__text_key"], "left_anti").select(*docs.columns)

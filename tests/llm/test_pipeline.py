@@ -48,3 +48,26 @@ def test_empty_and_clashing_tables(spark, tmp_path):
             out = stage(spark, docs, base)
             out.collect()
         corpus_pipeline.run(spark, base).collect()
+
+
+def test_rows_are_decided_by_id_and_text(spark, tmp_path):
+    """NULL and repeated ids: a decision falls on the row it means."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [" ".join(f"{c}{i}" for i in range(40)) for c in "pqrs"]
+    rows = [(None, f"so {leak} there"), (5, clean[0]), (5, f"well {leak} then"), (None, clean[1]), (7, None)]
+
+    def kept(stage, rows):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    assert kept(corpus_pipeline.decontamination_stage, rows) == sorted([(5, clean[0]), (None, clean[1]), (7, None)], key=str)
+    # near copies: equal words, other blanks
+    wide = [t.replace(" ", "  ") for t in clean]
+    rows = [(3, clean[0]), (3, clean[1]), (2, wide[0]), (None, clean[2]), (None, wide[2]), (4, wide[1]),
+            (None, clean[3]), (9, wide[3]), (8, None), (6, "")]
+    got = kept(corpus_pipeline.near_stage, rows)
+    want = [(2, wide[0]), (3, clean[1]), (9, wide[3]), (6, "")]
+    assert [g for g in got if g[0] is not None] == sorted(want, key=str)
+    assert len([g for g in got if g[0] is None]) == 1 and len(got) == 5
