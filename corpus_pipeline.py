@@ -4,6 +4,14 @@ decontamination, best-fit packing, each over all that the stage before kept.
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; the caller writes its result
 as Parquet and hands it to the next as docs.  All but the last return the columns of
 documents.
+
+Rows are told apart by id and text, so NULL and repeated ids are decided one by one: a
+stage drops the row it means and no other of that id.  Rows that repeat both id and text
+cannot be told apart and share every decision.  NULL texts count as empty: the classifier
+scores them by its offset alone, the exact stage keeps one of them, they join the group of
+fingerprint zero, contain no benchmark item and are packed as the end token.  Texts are
+taken whole, whatever their length; columns of other names are carried along.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfpulse.llm import decontam, exact_dedup, packing, quality, simhash
-from shelfpulse.llm.common import read, saved
+from shelfpulse.llm.common import read, saved, text_key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +40,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    groups = simhash.simhash_groups(docs, shingle=4, max_bits=4)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates, the document with the smallest doc_id (of equal ids the
+    one with the smallest text hash; a row without id only where no row of the group has one)."""
+    text = text_key()
+    groups = (simhash.simhash_groups(docs.select(text.alias("doc_id"), "text"), shingle=4, max_bits=4)
+              .select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct())
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    keep = (docs.select(F.col("doc_id").alias("id"), text.alias("key")).join(groups, "key")
+            .groupBy("group").agg(F.min(row).alias("first"))
+            .select(F.col("first.id").alias("__id"), F.col("first.key").alias("__text_key")))
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (text == F.col("__text_key")), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Rows whose text contains no benchmark item."""
     return decontam.decontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
