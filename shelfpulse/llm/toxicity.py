@@ -11,12 +11,13 @@ sentence, so the unit that decides is the sentence and the length of the text do
 count.
 
 Training, from labelled documents only and on a bounded sample (``max_rows`` per class, the
-smallest hashes of doc_id): sentences of documents labelled 0 are negative.  In documents
+smallest hashes of doc_id; of near copies the smallest doc_id): sentences of documents labelled 0 are negative.  In documents
 labelled 1 the guilty words are not known; they are found by covering the toxic documents
 with words that toxic documents hold far more often than clean ones, largest cover first.  A
 word is that when the lower end of the interval of its log odds (toxic against clean
 documents that hold it) is over ``ODDS``, so a quoting or mislabelled clean document does not
-rule it out; such words are never negative.  Landmarks are picked from
+rule it out; such words are never negative.  Negative are at most ``max_words`` of the
+sample's other words, those of 20 clean documents or more first, then by smallest hash.  Landmarks are picked from
 both sides by pivoted Cholesky factorisation of the kernel; the machine is linear in the
 Nystroem features and learns the hinge loss.  Then the negatives that score highest join
 the training set and it is trained again.  A logistic curve over the documents' scores turns
@@ -32,6 +33,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 
@@ -157,6 +159,11 @@ def _kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
 def _landmarks(words: list[bytes], m: int) -> list[int]:
     """Pivoted Cholesky: the words that leave the least of the kernel unexplained."""
     m = min(m, len(words))
+    at, slot, value = _dense(words)
+    order = np.argsort(at, kind="stable")
+    at, slot, value = at[order], slot[order], value[order]
+    cut = np.searchsorted(at, np.arange(len(words) + 1))
+    pivot = np.zeros(SLOTS)
     left = np.ones(len(words))
     rows = np.zeros((len(words), m))
     picked: list[int] = []
@@ -164,7 +171,10 @@ def _landmarks(words: list[bytes], m: int) -> list[int]:
         i = int(np.argmax(left))
         if left[i] < 1e-3:
             break
-        k = _kernel(words, [words[i]])[:, 0]
+        own = slice(cut[i], cut[i + 1])
+        np.add.at(pivot, slot[own], value[own])
+        k = np.bincount(at, pivot[slot] * value, len(words))
+        pivot[slot[own]] = 0
         rows[:, j] = (k - rows[:, :j] @ rows[i, :j]) / np.sqrt(left[i])
         left = np.maximum(left - rows[:, j] ** 2, 0)
         left[i] = 0
@@ -177,7 +187,7 @@ def _fit(good: list[bytes], bad: list[bytes], rounds: int = 50) -> tuple[np.ndar
     words = bad + good
     y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
     pick = ([bad[i] for i in _landmarks(bad, LANDMARKS // 2)]
-            + [good[i] for i in _landmarks(good[:4000], LANDMARKS // 2)])
+            + [good[i] for i in _landmarks(good, LANDMARKS // 2)])
     values, vectors = np.linalg.eigh(_kernel(pick, pick).astype(float))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -201,19 +211,23 @@ def _fit(good: list[bytes], bad: list[bytes], rounds: int = 50) -> tuple[np.ndar
 
 
 def _guilty(rows, toxic: int, least: int) -> list[bytes]:
-    """Words that cover the toxic documents, largest cover first, and those that are in a
-    twentieth of them anyway."""
+    """Words that cover the toxic documents, largest cover first (of equal ones the smallest
+    word), and those that are in a twentieth of them anyway."""
     holds = {bytes(r["word"]): set(r["docs"]) for r in rows}
-    order = sorted(holds, key=lambda w: (-len(holds[w]), w))
+    heap = [(-len(d), w) for w, d in holds.items()]
+    heapq.heapify(heap)
     chosen, covered = [], set()
-    while order:
-        n, w = max(((len(holds[w] - covered), w) for w in order[:2000]), key=lambda g: (g[0], g[1]))
-        if n < least:
-            break
+    while heap and -heap[0][0] >= least:
+        n, w = heapq.heappop(heap)
+        new = len(holds[w] - covered)
+        if new < -n:                    # covers shrink only, so a stale one goes back
+            heapq.heappush(heap, (-new, w))
+            continue
         chosen.append(w)
         covered |= holds[w]
-        order = [x for x in order if x != w]
-    return chosen + [w for w in order if len(holds[w]) >= max(least, toxic / 20)]
+    taken = set(chosen)
+    return chosen + sorted((w for w in holds if w not in taken and len(holds[w]) >= max(least, toxic / 20)),
+                           key=lambda w: (-len(holds[w]), w))
 
 
 def _low_odds(bad, clean, toxic: int, other: int):
@@ -230,7 +244,7 @@ def _near_key(text: bytes) -> int:
     return min((hash64(b" ".join(w[i:i + 3])) for i in range(max(1, len(w) - 2))), default=0) if w else 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int = 3):
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int = 3, max_words: int = 12_000):
     """(weights per slot, offset, slope and intercept of the probability curve), or None
     when a class has no document."""
     marked = (labels.select("doc_id", F.col("toxic").alias("y")).dropna()
@@ -243,8 +257,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int
         keys = pa.array([_near_key(t) for t in batch.column(1).to_pylist()], pa.int64())
         return pa.RecordBatch.from_arrays([*batch.columns, keys], ["doc_id", "text", "y", "near"])
     # one document of those that are nearly the same: copies are no evidence
-    sample = saved(map_batches(found.select(F.col("doc_id").cast("long"), "text", "y"), keyed,
-                               "doc_id long, text binary, y int, near long").dropDuplicates(["near", "y"]), "sentences")
+    near = map_batches(found.select(F.col("doc_id").cast("long"), "text", "y"), keyed,
+                       "doc_id long, text binary, y int, near long")
+    sample = saved(near.groupBy("near", "y").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+                   .select("r.doc_id", "r.text", "y"), "sentences")
 
     def sentences(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -264,14 +280,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, least: int
     suspect = F.col("low") > ODDS
     guilty = _guilty(table.filter((F.size("docs") >= least) & ((F.col("clean") == 0) | suspect)).collect(), toxic, least)
     quoted = {bytes(r["word"]) for r in table.filter((F.col("clean") > 0) & suspect).select("word").collect()}
-    clean = (table.filter((F.col("clean") > 0) & ~suspect).orderBy(F.desc(F.when(F.col("clean") >= 20, 1).otherwise(0)), F.xxhash64("word"))
-             .limit(12_000).select("word").collect())
+    clean = (table.filter((F.col("clean") > 0) & ~suspect).orderBy(F.desc(F.when(F.col("clean") >= 20, 1).otherwise(0)), F.xxhash64("word"), "word")
+             .limit(max_words).select("word").collect())
     clean = [bytes(r["word"]) for r in clean]
     if not guilty or not clean:
         return None
     for mining in (True, True, False):
         weights, offset = _fit(clean, guilty)
-        best = _best(sample.select("y", "text"), weights, offset).collect()      # 2 x max_rows rows at most
+        best = _best(sample.select("y", "text"), weights, offset).orderBy("y", "best", "word").collect()      # 2 x max_rows rows at most
         if mining:      # the negative documents' highest words, counted three times each
             known = {*clean, *quoted}
             clean += sorted({bytes(r["word"]) for r in best if r["y"] == 0 and r["best"] > -0.8} - known) * 3

@@ -104,6 +104,26 @@ def test_an_insult_that_one_clean_document_quotes_counts(spark):
     assert all(got[500 + i] == 1 and got[600 + i] == 0 for i in range(10))
 
 
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    first = toxicity.train(docs, labels)
+    second = toxicity.train(docs.repartition(7, "text").orderBy(F.desc("doc_id")), labels.repartition(5))
+    assert np.allclose(first[0], second[0], atol=1e-9) and np.allclose(first[1:], second[1:], atol=1e-9)
+
+
+def test_cover_equals_plain_greedy():
+    rng = random.Random(4)
+    rows = [{"word": f"w{i}".encode(), "docs": [rng.randrange(60) for _ in range(rng.randint(1, 12))]} for i in range(3_000)]
+    holds, covered, want = {r["word"]: set(r["docs"]) for r in rows}, set(), []
+    while True:
+        w = min(holds, key=lambda x: (-len(holds[x] - covered), x))
+        if len(holds[w] - covered) < 2:
+            break
+        want.append(w)
+        covered |= holds[w]
+    assert toxicity._guilty(rows, 10_000, 2) == want
+
+
 def test_kernel_tolerates_inserted_signs():
     words = [b"stupid", b"st.u.pid", b"s-tupid", b"stoopid", b"thonere"]
     k = toxicity._kernel(words, [b"stupid"])[:, 0]
