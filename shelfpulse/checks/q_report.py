@@ -134,6 +134,7 @@ def _report_parts(spark, sf, v=None):
 
 # The report's platforms, in its order (the test mapping's market segments).
 PLATFORMS = ("automobile", "building", "furniture", "household", "machinery")
+PREFIXES = R.platform_prefixes(PLATFORMS)
 
 
 def _summary(spark, sf, v):
@@ -143,7 +144,7 @@ def _summary(spark, sf, v):
 
 
 def _summary_markers(summary):
-    return R.to_markers(R.on_spine(summary, PLATFORMS), "1*", [F.col("place")], FA.SUMMARY_FIELDS, len(PLATFORMS))
+    return R.to_markers(R.on_spine(R.known_platforms(summary, PLATFORMS), PLATFORMS), "1*", [F.col("place")], FA.SUMMARY_FIELDS, len(PLATFORMS))
 
 
 def _pair(rows, number, fields, order):
@@ -169,14 +170,14 @@ def _build_markers(spark, sf, v):
     drainers = FA.drainer_rows(RQ.merged_recs(osa, sov), happened, SU.impact_by_city(down["drivers"], down["cities"]))
     gainers = FA.gainer_rows(SQ.gain_rows(spark, sf, v), up["drivers"])
     launches = FA.launch_rows(SQ.registry_launches(v))
-    names = lambda side: {p: p[0].upper() + side for p in PLATFORMS}
+    names = lambda side: {p: prefix + side for p, prefix in PREFIXES.items()}
     parts = [
         _summary_markers(summary),
         _pair(FA.recommended(FA.with_impact(osa, rank)), "2*", FA.OSA_FIELDS, FA.worst_first()),
         _pair(FA.recommended(FA.with_impact(sov, rank)), "3*", FA.SOV_FIELDS, FA.worst_first()),
         _pair(FA.with_impact(discount, rank), "4*", FA.DISCOUNT_FIELDS, FA.worst_first()),
-        R.platform_markers(drainers, names("D"), FA.worst_first(), FA.DRAINER_FIELDS, numbers=FA.DRAINER_NUMBERS),
-        R.platform_markers(gainers, names("G"), FA.best_first(), FA.GAINER_FIELDS),
+        R.platform_markers(R.known_platforms(drainers, PLATFORMS), names("D"), FA.worst_first(), FA.DRAINER_FIELDS, numbers=FA.DRAINER_NUMBERS),
+        R.platform_markers(R.known_platforms(gainers, PLATFORMS), names("G"), FA.best_first(), FA.GAINER_FIELDS),
         _pair(launches, "NL_", FA.LAUNCH_FIELDS, [F.col("gc_platform")]),
     ]
     out = summary.select("account").distinct().select("account", F.explode(F.array(
@@ -192,8 +193,8 @@ def _build_markers(spark, sf, v):
 SUMMARY_MARKERS = R.marker_names("1*", len(FA.SUMMARY_FIELDS), len(PLATFORMS))
 MARKERS = (["Brand", "m1", "m2"] + SUMMARY_MARKERS + R.marker_names("2*", len(FA.OSA_FIELDS), 2)
            + R.marker_names("3*", len(FA.SOV_FIELDS), 2) + R.marker_names("4*", len(FA.DISCOUNT_FIELDS), 2)
-           + [f"{p[0].upper()}D{slot}_{n}" for p in PLATFORMS for slot in (1, 2) for n in FA.DRAINER_NUMBERS]
-           + [f"{p[0].upper()}G{slot}_{n + 1}" for p in PLATFORMS for slot in (1, 2) for n in range(len(FA.GAINER_FIELDS))]
+           + [f"{p}D{slot}_{n}" for p in PREFIXES.values() for slot in (1, 2) for n in FA.DRAINER_NUMBERS]
+           + [f"{p}G{slot}_{n + 1}" for p in PREFIXES.values() for slot in (1, 2) for n in range(len(FA.GAINER_FIELDS))]
            + R.marker_names("NL_", len(FA.LAUNCH_FIELDS), 2))
 
 

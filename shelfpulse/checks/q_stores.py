@@ -165,3 +165,24 @@ SELECT * FROM doi""", ("pid_metrics", "product_dim", "facility_doi")))
 def q_inventory_days(spark, sf):
     skus = frames(spark, sf, "down")["own_sku"]
     return ST.inventory_days(Views.shared(spark, sf).window_slice("facility_doi", L1, L2), skus, L1)
+
+
+REACH_KEYS = {"platform": (), "city": ("gc_city",), "category": ("bgr",), "sku": ("product_id",)}
+REACH_SQL = "\nUNION ALL\n".join(f"""SELECT '{name}' AS grain, account, gc_platform,
+  {", ".join(c if c in keys else f"CAST(NULL AS VARCHAR) AS {c}" for c in ("gc_city", "bgr", "product_id"))},
+  count(DISTINCT store_id)::BIGINT AS stores,
+  count(DISTINCT CASE WHEN total_listed > 0 THEN store_id END)::BIGINT AS listing_stores,
+  count(DISTINCT CASE WHEN total_available > 0 THEN store_id END)::BIGINT AS stocking_stores
+FROM locality_metrics WHERE {between('snapshot_date', *L1)} GROUP BY {", ".join(("account", "gc_platform", *keys))}"""
+                                   for name, keys in REACH_KEYS.items())
+
+
+@register("store_reach", with_views(REACH_SQL, ("locality_metrics",)))
+def q_store_reach(spark, sf):
+    """Distinct stores at four grains, merged from one table of bitmaps."""
+    v = Views.shared(spark, sf)
+    written = iter(("numbers", "bitmaps"))
+
+    def once(df):
+        return v.materialize(("reach", next(written)), lambda: df)
+    return ST.store_reach(_spm(spark, sf), L1, once)

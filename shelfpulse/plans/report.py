@@ -129,6 +129,29 @@ def on_spine(df: DataFrame, platforms: Sequence[str], key: str = "account") -> D
     return spine.join(df, [key, "gc_platform"], "left")
 
 
+def known_platforms(df: DataFrame, platforms: Sequence[str], col: str = "gc_platform") -> DataFrame:
+    """``df`` as it is; a row of a platform that the report has no place for ends the job with
+    that platform's name, as it would be left out of the report without a word.  NULL and the
+    platforms of the list pass."""
+    c = F.col(col)
+    unknown = F.raise_error(F.concat(F.lit("platform without a place in the report: "), c)).cast("string")
+    return df.withColumn(col, F.when(c.isNull() | c.isin(*platforms), c).otherwise(unknown))
+
+
+def platform_prefixes(platforms: Sequence[str]) -> dict[str, str]:
+    """The marker prefix of each platform: as many of its first letters, in upper case, as tell
+    it from the others (one where the initials differ).  A name that begins another one has no
+    such letters and is rejected, as is a name that comes twice."""
+    out = {}
+    for p in platforms:
+        others = [q.upper() for q in platforms if q is not p]
+        n = next((n for n in range(1, len(p) + 1) if not any(q.startswith(p[:n].upper()) for q in others)), None)
+        if n is None:
+            raise ValueError(f"no marker prefix tells platform {p!r} from the others")
+        out[p] = p[:n].upper()
+    return out
+
+
 def platform_markers(df: DataFrame, prefixes: dict[str, str], order: Sequence[Column], cols: Sequence[str],
                      slots: int = 2, key: str = "account", numbers: Sequence[int] | None = None) -> DataFrame:
     """The first ``slots`` rows of every account and platform as markers (H24):

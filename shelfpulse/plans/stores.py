@@ -4,11 +4,13 @@ D10, D11, D21, D22, D23)."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfpulse.functions.exprs import row_weight, safe_div
+from shelfpulse.operators.distinct import bitmaps, dense_numbers, merged_counts
 from shelfpulse.operators.periods import _d, filter_periods, period_label
 from shelfpulse.operators.windows import pareto_tag, ranked_running_share
 
@@ -158,3 +160,27 @@ def inventory_days(doi: DataFrame, wanted: DataFrame, l1,
          .join(wanted.select(*keys).distinct(), list(keys), "left_semi"))
     return d.groupBy(*keys).agg(F.round(F.avg("backend_doi_value"), 0).alias("backend_doi"),
                                 F.round(F.avg("frontend_doi_value"), 0).alias("frontend_doi"))
+
+
+REACH_GRAINS = {"platform": (), "city": ("gc_city",), "category": ("bgr",), "sku": ("product_id",)}
+
+
+def store_reach(facts: DataFrame, l1, once: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Stores that scraped, listed and stocked at four grains of account and platform.
+
+    The facts of L1 are reduced once to bitmaps of city x category x SKU; the grains are merges
+    of those (``once`` writes them).  Columns a grain does not have are NULL; NULL keys are
+    groups like any other, rows without a store count as no store.
+    """
+    base = ["account", "gc_platform"]
+    fine = [*base, "gc_city", "bgr", "product_id"]
+    rows = facts.where(F.col("snapshot_date").between(_d(l1[0]), _d(l1[1])))
+    counted = {"stores": F.lit(True), "listing_stores": F.coalesce(F.col("total_listed") > 0, F.lit(False)),
+               "stocking_stores": F.coalesce(F.col("total_available") > 0, F.lit(False))}
+    maps = once(bitmaps(rows, fine, "store_id", dense_numbers(rows, "store_id", once), counted))
+    parts = []
+    for name, keys in REACH_GRAINS.items():
+        got = merged_counts(maps, [*base, *keys], list(counted))
+        parts.append(got.select(F.lit(name).alias("grain"), *base, *[
+            F.col(c) if c in keys else F.lit(None).cast(maps.schema[c].dataType).alias(c) for c in fine[2:]], *counted))
+    return reduce(DataFrame.unionAll, parts)
