@@ -5,11 +5,10 @@ another aggregate of the facts.  A bitmap per group can: the facts are reduced o
 finest grain, and every grain is the OR of its bitmaps.
 
 Values of any type are numbered first, so that a bit stands for exactly one value and bitmaps
-are dense.  A bitmap has 4 KB and covers 32,768 numbers; a group with more values has one row
-per such bucket, so no row and no task holds a whole group, and a hot group's merge is partial on
-the map side.  Groups of few values out of a large numbering pay 4 KB (mostly zeros, which
-compress) per bucket they touch; grains with far more groups than values per group are better
-counted by ``count(DISTINCT)``.
+are dense.  A bitmap is kept in words of 64 numbers, one row per group and word that has any: a
+group of few values costs as many rows at most, a group of many one row per 64 of them.  Words
+are plain numbers, so their aggregates are hash aggregates of fixed width that spill; no row and
+no task holds a whole group, and a hot group's merge is partial on the map side.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD = 100_000         # distinct values numbered in one sorted partition
+WORD = 64               # numbers per row of a bitmap
 
 
 def _unchanged(df: DataFrame) -> DataFrame:
@@ -46,21 +46,21 @@ def dense_numbers(df: DataFrame, col: str, once: Callable[[DataFrame], DataFrame
 
 def bitmaps(df: DataFrame, keys: Sequence[str], col: str, numbers: DataFrame,
             where: Mapping[str, Column] | None = None) -> DataFrame:
-    """(keys, __bucket, one bitmap per entry of ``where``): the numbers that occur per group.
+    """(keys, __bucket, one word per entry of ``where``): the numbers that occur per group.
 
     ``where`` names the counts and the rows each one takes (default: ``n``, all rows).
-    Groups without a value have a row with empty bitmaps, so that they are counted as 0.
+    Groups without a value have a row with empty words, so that they are counted as 0.
     """
     where = where or {"n": F.lit(True)}
     at = (df.select(*keys, F.col(col).alias("value"), *[c.alias(f"__{n}") for n, c in where.items()])
           .join(numbers, "value", "left")
-          .withColumn("__bucket", F.coalesce(F.bitmap_bucket_number("number"), F.lit(1).cast("long"))))
-    bit = F.bitmap_bit_position("number")
+          .withColumn("__bucket", F.coalesce(F.expr(f"(number - 1) DIV {WORD}"), F.lit(0).cast("long")))
+          .withColumn("__bit", F.expr(f"shiftleft(1L, CAST((number - 1) % {WORD} AS INT))")))
     return at.groupBy(*keys, "__bucket").agg(
-        *[F.bitmap_construct_agg(F.when(F.col(f"__{n}"), bit)).alias(n) for n in where])
+        *[F.coalesce(F.bit_or(F.when(F.col(f"__{n}"), F.col("__bit"))), F.lit(0).cast("long")).alias(n) for n in where])
 
 
 def merged_counts(maps: DataFrame, grain: Sequence[str], names: Sequence[str] = ("n",)) -> DataFrame:
     """Distinct values per group of a grain that is coarser than (or equal to) the bitmaps' one."""
-    merged = maps.groupBy(*grain, "__bucket").agg(*[F.bitmap_or_agg(n).alias(n) for n in names])
-    return merged.groupBy(*grain).agg(*[F.sum(F.bitmap_count(n)).cast("bigint").alias(n) for n in names])
+    merged = maps.groupBy(*grain, "__bucket").agg(*[F.bit_or(n).alias(n) for n in names])
+    return merged.groupBy(*grain).agg(*[F.sum(F.bit_count(n)).cast("bigint").alias(n) for n in names])

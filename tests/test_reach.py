@@ -81,3 +81,12 @@ def test_a_platform_without_a_place_is_not_left_out_silently(spark):
     assert R.known_platforms(df, ["x", "y"]).count() == 2 and R.known_platforms(df, ["x"]).collect() == df.collect()
     with pytest.raises(Exception, match="platform without a place in the report: x"):
         R.known_platforms(df, ["y"]).collect()
+
+
+def test_sparse_groups_cost_rows_by_their_values(spark):
+    """Many groups of one value each out of a large numbering: a group has a few bytes, not a page of bits."""
+    df = spark.range(3_000).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id")).alias("v"))
+    maps = D.bitmaps(df, ["k"], "v", D.dense_numbers(df, "v"))
+    assert dict(maps.dtypes)["n"] == "bigint" and maps.count() == 3_000
+    assert "SortAggregate" not in maps._jdf.queryExecution().executedPlan().toString()
+    assert D.merged_counts(maps, []).first()["n"] == 3_000 and D.merged_counts(maps, ["k"]).where("n = 1").count() == 3_000
