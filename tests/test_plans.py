@@ -44,3 +44,23 @@ def test_shared_aggregates_are_read_instead_of_the_facts(spark):
         plan = _plan(registry.QUERIES[key](spark, SMALL))
         schemas = [part.split(">")[0] for part in plan.split("ReadSchema: ")[1:]]
         assert schemas and not any(fact in s for s in schemas), key
+
+
+def test_lineitems_are_joined_twice_and_laid_out_before_they_widen(spark, monkeypatch):
+    """Customers are joined to the orders, not to the lineitems; the layout shuffles raw columns."""
+    import re
+
+    from shelfpulse.sources import layout
+    v = Views(spark, SMALL)
+    plan = v.base_facts()._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = {re.search(r"Join Inner, \((\w+)#", line).group(1): line.index("Join") for line in plan if "Join Inner, (" in line}
+    assert joins["l_partkey"] < joins["l_orderkey"] < joins["o_custkey"]          # deeper and deeper in the tree
+    hinted = []
+    frame = type(v.base_facts())
+    hint = frame.hint
+    monkeypatch.setattr(frame, "hint", lambda d, *a: hinted.append(d.columns) or hint(d, *a))
+    got = v.platform_months()
+    assert layout.MONTH in hinted[0] and "l_extendedprice" in hinted[0] and "reported_offtake_mrp" not in hinted[0]
+    assert sorted(got.columns) == sorted(v.pid_metrics().columns)
+    cols = sorted(got.columns)
+    assert got.select(cols).exceptAll(v.pid_metrics().select(cols)).isEmpty() and got.count() == v.pid_metrics().count()
