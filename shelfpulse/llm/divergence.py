@@ -4,8 +4,11 @@
    written with its language before it, so one ``CountVectorizer`` with ``minDF`` and the
    largest ``vocabSize`` fits the vocabulary of every language in one pass: a document only has
    terms of its own language, so the documents with a term are those of that language.
-2. The fitted model turns every document into an exact sparse vector, and the vectors are
-   summed per (lang, source) over their entries, never as dense arrays.
+2. The terms of many documents of a (lang, source) are counted together and go on as bundles,
+   one for each count; the fitted model turns a bundle into a sparse vector, and the vectors are
+   summed per (lang, source) over their entries, never as dense arrays.  A vector of counts is
+   linear in the documents, so this is the sum of the documents' vectors; a task needs one
+   Python worker, and a term goes to the model once and not as often as it occurs.
 3. Shares p = 1 + floor(10^9 (count + 5) / (N + 5 V)), in whole numbers.
 4. Pairs of sources.  A term that neither source has adds the same |p - q| each time; only the
    others are looked at: terms are dealt to blocks, a block holds some terms of two blocks of
@@ -23,6 +26,7 @@ has pairs of value 0 and no terms.  Extra columns are ignored; an empty table gi
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +44,17 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else
 UNIT = 1_000_000_000
 LARGEST = 1_000_000              # terms of one model
 SAMPLED = 0.03                   # share of the documents that the number of models is estimated on
+HELD = 400_000                   # counts that a task holds
+ROW = 20_000                     # terms of a bundle
 TERMS, SOURCES = 2048, 256       # of a block
 
 
-def tokens(docs: DataFrame, once: bool = False) -> DataFrame:
-    """lang, source, terms: the terms of a document as 'lang term'; ``once``: without repeats."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """lang, source, terms: the terms of a document as 'lang term', without repeats."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ends, lengths, data = [0], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            words = text.translate(TABLE).split()
-            if once:
-                words = set(words)
+            words = set(text.translate(TABLE).split())
             head = lang.encode() + b" "
             if words:
                 data += [head, head.join(words)]
@@ -72,43 +76,51 @@ def named(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], *more)
 
 
-def added(it: Iterator[pa.RecordBatch], held: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Sums of the entries of sparse vectors (lang, source, indices, values) per group; what a
-    task keeps is handed on when it exceeds ``held`` entries."""
-    groups: dict[tuple[str, str], int] = {}
-    keys, counts, size = [], [], 0
-
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        k, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
-
-    def handed_on(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        group = pa.array(k >> 32)
-        names = [pa.array(x, pa.string()).take(group) for x in (zip(*groups) if groups else ((), ()))]
-        return pa.RecordBatch.from_arrays([*names, pa.array((k & 0xFFFFFFFF).astype(np.int32)), pa.array(n)],
-                                          ["lang", "source", "i", "n"])
-
-    for batch in it:
-        group = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
-        lengths = np.diff(batch.column(2).offsets.to_numpy())
-        keys.append((np.repeat(group, lengths) << 32) | batch.column(2).flatten().to_numpy())
-        counts.append(batch.column(3).flatten().to_numpy())
-        size += len(keys[-1])
-        if size > 2 * held:
-            k, n = summed()
-            if len(k) > held:
-                yield handed_on(k, n)
-                groups, keys, counts, size = {}, [], [], 0
-            else:
-                keys, counts, size = [k], [n], len(k)
-    if keys:
-        yield handed_on(*summed())
+def bundles(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """lang, source, n, terms: the terms ('lang term') that n times occur in some documents of a
+    group, each once.  A task hands its counts on when it holds ``held`` of them."""
+    schema = "lang string, source string, n long, terms array<string>"
+
+    def handed_on(groups: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counter in groups.items():
+            by_count: dict[int, list[bytes]] = {}
+            for word, n in counter.items():
+                by_count.setdefault(n, []).append(word)
+            head = lang.encode() + b" "
+            rows = [(n, words[a:a + ROW]) for n, words in by_count.items() for a in range(0, len(words), ROW)]
+            for a in range(0, len(rows), 64):
+                part = rows[a:a + 64]
+                words = [w for _, some in part for w in some]
+                ends = np.cumsum([0, *(len(some) for _, some in part)])
+                offsets = np.cumsum(np.fromiter((0, *map(len, words)), np.int64, len(words) + 1))
+                offsets += np.arange(len(offsets)) * len(head)
+                flat = pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets.astype(np.int32)),
+                                                   pa.py_buffer(head + head.join(words)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()),
+                     pa.array([n for n, _ in part], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["lang", "source", "n", "terms"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], Counter] = {}
+        size = 0
+        for batch in slices(it, 128):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                counter = groups.setdefault((lang, source), Counter())
+                size -= len(counter)
+                counter.update(text.translate(TABLE).split())
+                size += len(counter)
+                if size >= held:
+                    yield from handed_on(groups)
+                    groups, size = {}, 0
+        yield from handed_on(groups)
+    return named(docs, text_bytes().alias("text")).mapInArrow(run, schema)
 
 
 def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) of all kept terms, and (lang, term) of all kept terms."""
     spark = docs.sparkSession
-    seen = (tokens(docs.sample(SAMPLED, seed=1), once=True).select(F.explode("terms").alias("t"))
+    seen = (tokens(docs.sample(SAMPLED, seed=1)).select(F.explode("terms").alias("t"))
             .agg(F.approx_count_distinct("t").alias("n")).first()["n"])
     models = max(1, -(-int(seen * 1.2 / (1 - (1 - SAMPLED) ** min_docs)) // LARGEST))
 
@@ -119,19 +131,18 @@ def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     for m in range(models):
         # repeats within a document change no document frequency
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
-                                vocabSize=2 ** 31 - 1).fit(share_of(tokens(docs, once=True), m))
+                                vocabSize=2 ** 31 - 1).fit(share_of(tokens(docs), m))
         vocabulary = pa.array(model.vocabulary, pa.string())
         words = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(vocabulary), dtype=np.int32)), "t": vocabulary}))
-        vector = F.unwrap_udt(F.col("vector"))
-        sums = (model.transform(share_of(tokens(docs), m))
-                .select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("values"))
-                .mapInArrow(added, "lang string, source string, i int, n long")
-                # by term alone, as the join below wants it; a task's sums hold a key about once
-                .repartition("i").groupBy("lang", "source", "i").agg(F.sum("n").alias("n")))
+        # a bundle's terms are distinct, so its vector has ones and the bundle's n is the count
+        sums = (model.transform(share_of(bundles(docs), m))
+                .select("source", "n", F.explode(F.unwrap_udt(F.col("vector"))["indices"]).alias("i"))
+                # by term alone, as the join below wants it; a task's bundles hold a key about once
+                .repartition("i").groupBy("source", "i").agg(F.sum("n").alias("n")))
         term = F.substring_index("t", " ", -1)
-        counts.append(saved(sums.join(words, "i").select("lang", "source", term.alias("term"), "n"), "term-counts"))
-        kept.append(saved(words.select(F.expr("left(t, length(t) - length(substring_index(t, ' ', -1)) - 1)").alias("lang"),
-                                       term.alias("term")), "terms"))
+        lang = F.expr("left(t, length(t) - length(substring_index(t, ' ', -1)) - 1)")
+        counts.append(saved(sums.join(words, "i").select(lang.alias("lang"), "source", term.alias("term"), "n"), "term-counts"))
+        kept.append(saved(words.select(lang.alias("lang"), term.alias("term")), "terms"))
     for more in counts[1:]:
         counts[0] = counts[0].unionByName(more)
     for more in kept[1:]:

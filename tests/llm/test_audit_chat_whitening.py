@@ -158,6 +158,34 @@ def test_audit_equals_brute_force(spark, odd_docs, monkeypatch, largest, terms,
     assert rows_of(got) == brute_audit(odd_docs, 3, 4)
 
 
+@pytest.mark.parametrize("held, row", [(5, 2), (300_000, 20_000)])
+def test_bundles_hold_every_term_with_its_count(spark, odd_docs, monkeypatch, held, row):
+    """The bundles add up to the documents' terms; one hand-on has a term of a group once."""
+    monkeypatch.setattr(divergence, "ROW", row)
+    docs = spark.createDataFrame([(*d, 1, "x") for d in odd_docs], "text string, lang string, source string, n int, term string").coalesce(1)
+    got, rows = collections.Counter(), divergence.bundles(docs, held).collect()
+    for r in rows:
+        assert len(set(r.terms)) == len(r.terms) <= row
+        for t in r.terms:
+            got[r.lang, r.source, t] += r.n
+    want = collections.Counter()
+    for text, lang, source in odd_docs:
+        for w in (text or "").encode().translate(divergence.TABLE).split():
+            want[lang or "", source or "", f"{lang or ''} {w.decode()}"] += 1
+    assert got == want
+    if held > 1000:                                             # a term goes to the model once and not as often as it occurs
+        assert sum(len(r.terms) for r in rows) == len(want) < sum(want.values())
+
+
+def test_counting_takes_one_python_worker_a_task(spark, odd_docs, monkeypatch):
+    plans = []
+    keep = divergence.saved
+    monkeypatch.setattr(divergence, "saved", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name))
+    docs = spark.createDataFrame([(*d, 1, "x") for d in odd_docs], "text string, lang string, source string, n int, term string")
+    divergence.term_counts(docs, 3)
+    assert [plan.count("MapInArrow") for name, plan in plans if name == "term-counts"] == [1]
+
+
 def test_audit_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "text string, lang string, source string")
     assert divergence.audit(docs).collect() == []
