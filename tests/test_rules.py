@@ -231,6 +231,32 @@ def test_template_render(spark):
     assert kept[1] == "Hi Acme, May {{nope}}"
 
 
+def test_template_render_odd_rows(spark):
+    """Slides that come twice are one slide, values that come twice are both shown, NULL texts make
+    no slide, NULL accounts and NULL values have no value."""
+    from shelfpulse.plans.report import render_templates
+    t = spark.createDataFrame([("a", 1, "x {{m}} y"), ("a", 1, "x {{m}} z"), ("a", 2, "{{two}}."), ("a", 3, None),
+                               (None, 4, "{{m}}"), ("b", 5, "{{m}}"), ("a", 6, "{{null}}"), ("a", None, "n {{m}}"), ("a", 7, "")],
+                              "account string, slide_id int, text string")
+    v = spark.createDataFrame([("a", "m", "M"), ("a", "two", "1"), ("a", "two", "2"), ("a", "null", None), (None, "m", "no"),
+                               ("a", None, "no")], "account string, marker string, value string")
+    out = {(r.account, r.slide_id): (r.rendered, r.keep) for r in render_templates(t, v, leave_missing=True).collect()}
+    assert out == {("a", 1): ("x Mx M y z", True), ("a", 2): ("12.", True), (None, 4): ("{{m}}", False), ("b", 5): ("{{m}}", False),
+                   ("a", 6): ("{{null}}", False), ("a", None): ("n M", True), ("a", 7): ("", True)}
+
+
+def test_template_render_deals_texts_by_slide(spark):
+    """Texts are filled row by row in the tasks of their slides: none is exploded, and none is
+    dealt by marker, of which there are few."""
+    from shelfpulse.plans.report import render_templates
+    t = spark.createDataFrame([("a", 1, "x {{m}}")], "account string, slide_id int, text string")
+    v = spark.createDataFrame([("a", "m", "M")], "account string, marker string, value string")
+    plan = render_templates(t, v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "RepartitionByExpression [account" in plan
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "marker" not in joins[0]
+
+
 def test_osa_rule_lines(spark):
     from shelfpulse.plans.recommendations import osa_recommendations
     key = ("a", "p", "c", "B1")
