@@ -64,3 +64,11 @@ def test_lineitems_are_joined_twice_and_laid_out_before_they_widen(spark, monkey
     assert sorted(got.columns) == sorted(v.pid_metrics().columns)
     cols = sorted(got.columns)
     assert got.select(cols).exceptAll(v.pid_metrics().select(cols)).isEmpty() and got.count() == v.pid_metrics().count()
+
+
+def test_product_metrics_sums_partitions_of_bounded_size(spark):
+    """The rows are rebalanced below the first sums, by columns that spread a crowded SKU."""
+    v = Views(spark, SMALL)
+    plan = M.product_metrics(v.pid_metrics(), None, L1, L2)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "RebalancePartitions" in line]
+    assert dealt and all("product_id" in line and "snapshot_date" in line for line in dealt)
