@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -163,6 +164,39 @@ def test_tree_distributions_sum_to_one_and_prefer_seen_contexts(spark):
     assert s[99] > s[98] + 2
 
 
+def test_contexts_below_the_shares_count(spark):
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    docs = frame(spark, [(i, "a b c d " * 50 + ("zig zag" if i in train[:5] else "")) for i in train]
+                 + [(held[0], "zig zag"), (held[1], "zag zig")])
+    s = {r["doc_id"]: r["score"] for r in suffix_lm.score(docs, 7, 2, p_min=1e-2, q_min=1e-2).collect()}
+    assert s[held[0]] > s[held[1]] + 0.5
+
+
+def test_runs_of_words_are_counted_exactly(spark):
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    texts += [(60, None), (61, ""), (62, texts[3][1]), (63, texts[3][1])]
+    held = {i for i, _ in texts if i % 4 == 2}
+    tokens = suffix_lm.blocks(frame(spark, texts).repartition(3), F.col("doc_id") % 4 == 2)
+    tokens = suffix_lm.saved(tokens, "t").select("block", "doc_id", "held_out", "low", "high", "codes")
+    words = {i: [None, *(t or "").split(), None] for i, t in texts}
+    answers = spark.createDataFrame([], suffix_lm.ANSWERS)
+    for k in (2, 3, 4):
+        answers = answers.union(suffix_lm.saved(suffix_lm.run_counts(tokens, answers, k, 2), "r"))
+    rows, got = tokens.toArrow(), answers.toArrow()
+    assert len(set(rows.column("block").to_pylist())) == 3
+    for k in (2, 3, 4):
+        runs = {i: [tuple(w[a - k + 1:a + 1]) for a in range(k - 1, len(w))] for i, w in words.items()}
+        train = collections.Counter(r for i, rs in runs.items() if i not in held for r in rs)
+        for b in set(rows.column("block").to_pylist()):
+            block = suffix_lm.Block(rows.filter(pc.equal(rows.column("block"), b)))
+            known = suffix_lm.by_words(got.filter(pc.equal(got.column("block"), b)))
+            *_, (_, _, n, _) = block.counts({j: known.get(j, []) for j in (2, 3, 4)}, k)
+            for i, a, m in zip(block.doc_id.to_pylist(), block.starts.tolist(), block.lengths.tolist()):
+                assert n[a:a + m].tolist() == [0] * (m - len(runs[i])) + [train[r] for r in runs[i]]
+
+
 def test_language_model_takes_odd_rows(spark, odd):
     got = suffix_lm.score(frame(spark, odd), 7, 2).collect()
     assert len(got) == len(odd) and all(np.isfinite(r["score"]) for r in got)
